@@ -174,8 +174,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
     # documents of equal text hit the same windows: one of them is enough
     spots = rows.where(F.size("hits") > 0).groupBy("key").agg(F.any_value("hits").alias("hits"))
     spots = spots.select("key", F.explode(F.array_distinct("hits")).alias("h")).select("key", "h.m", "h.win")
-    items = spots.join(wins, ["m", "win"]).groupBy("key").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    out = rows.join(items, "key", "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+    items = cut(spots.join(wins, ["m", "win"]).groupBy("key").agg(F.sort_array(F.collect_set("item")).alias("items")))
+    out = rows.drop("hits").join(items, "key", "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), "items", contaminated().alias("contaminated"))
 
 
@@ -185,8 +185,10 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, how: str = "documents
     hits, _ = scan(docs, benchmark, carry=True, **options)
     names = docs.columns
     if how == "documents":
-        hits = hits.select("row", "n_words", covered("hits").alias("n_hit"))
-        return hits.where(~contaminated()).select(*[F.col(f"row.`{c}`") for c in names])
+        # a predicate over this column isn't pushed into the projections below, which
+        # would put the word arrays' expressions inside the lambdas that read them
+        hits = hits.select("row", "n_words", covered("hits").alias("n_hit"), F.monotonically_increasing_id().alias("at"))
+        return hits.where((F.col("at") >= 0) & ~contaminated()).select(*[F.col(f"row.`{c}`") for c in names])
     text = options.get("text_col", "text")
     flagged = hits.select("row", "hits", "n_words", covered("hits").alias("n_hit"))
     gap, word = GAP_ANY_CASE[:-1], r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
