@@ -56,6 +56,10 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"(class|id|role|style|aria-hidden|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
+#: End tags of elements without tags inside; start and end tags of the other skipped ones.
+_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.I) for t in RAW}
+_NESTED = {t: re.compile(rf"<(/?){t}(?=[\s/>])[^>]*>?", re.I) for t in SKIPPED - RAW}
+
 CLIP = 3.0
 TAG_LEAST, TAG_MOST = -0.3, -0.01
 
@@ -215,12 +219,11 @@ class Extractor:
     @staticmethod
     def skip(page: str, tag: str, at: int) -> int:
         """Behind the end tag of an element that is skipped, or the end of the page."""
-        end = _end_tag(tag)
         if tag in RAW:
-            m = end.search(page, at)
+            m = _END[tag].search(page, at)
             return m.end() if m else len(page)
         depth = 1
-        for m in _nested(tag).finditer(page, at):
+        for m in _NESTED[tag].finditer(page, at):
             depth += -1 if m[1] else 0 if m[0].endswith("/>") else 1
             if not depth:
                 return m.end()
@@ -252,16 +255,6 @@ class Extractor:
         return "\n\n".join(blocks)
 
 
-@functools.cache
-def _end_tag(tag: str) -> re.Pattern:
-    return re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I)
-
-
-@functools.cache
-def _nested(tag: str) -> re.Pattern:
-    return re.compile(rf"<(/?){re.escape(tag)}(?=[\s/>])[^>]*>?", re.I)
-
-
 SCHEMA = "page_id bigint, url string, text string, n_chars bigint"
 
 
