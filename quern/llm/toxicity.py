@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import cut, map_batches
 
 #: Bound of the training sample: documents of each label.
-PER_CLASS = 4000
+PER_CLASS = 2000
 #: Bound of the features, by their log-likelihood ratio with the label.
 FEATURES = 4000
 LEAST_RATIO = 10.0
@@ -55,33 +55,53 @@ def held_out(id_col: str = "doc_id", folds: int = 5):
 class Model:
     """Weights of features; ``leak`` is the score of a document without sentences."""
 
+    #: Words whose weight is kept at hand.
+    MEMO = 200_000
+
     def __init__(self, weights: dict[str, float], bias: float, leak: float):
         self.weights, self.bias, self.leak = weights, bias, leak
         self.gate = {f[2:5] for f in weights}
+        self.whole = {f[2:]: w for f, w in weights.items() if f[0] == "w"}
+        begin: dict[int, dict[str, float]] = {}
+        for f, w in weights.items():
+            if f[0] == "p":
+                begin.setdefault(len(f) - 2, {})[f[2:]] = w
+        self.begin = sorted(begin.items())
+        self.memo: dict[str, float] = {}
 
     def word_weight(self, word: str) -> float:
-        if word[:3] not in self.gate:
-            return 0.0
-        w = self.weights
-        return sum(w.get(f, 0.0) for f in features_of(word))
+        found = self.memo.get(word)
+        if found is None:
+            found = self.whole.get(word, 0.0)
+            for n, table in self.begin:
+                if len(word) < n:
+                    break
+                found += table.get(word[:n], 0.0)
+            if len(self.memo) >= self.MEMO:
+                self.memo.clear()
+            self.memo[word] = found
+        return found
 
     def sentence(self, words) -> float:
         return 1 / (1 + math.exp(-max(-700.0, min(700.0, self.bias + sum(map(self.word_weight, set(words)))))))
 
     def score(self, text: str) -> tuple[float, int, int, float, list[int]]:
         """Score, sentences, number and score of the worst one, and the numbers of those at 0.5 or more."""
-        low = text.lower()
-        hot = {w for w in set(_WORD.findall(low)) if w[:3] in self.gate and self.word_weight(w)}
-        plain = math.log1p(-1 / (1 + math.exp(min(700.0, -self.bias))))
+        gate, weight, bias = self.gate, self.word_weight, self.bias
+        plain = self.sentence(())
+        plain_miss = math.log1p(-plain)
         n, miss, worst, top, bad = 0, math.log1p(-self.leak), -1, 0.0, []
-        if not hot:
-            n = sum(1 for s in _SENTENCE.finditer(low) if not s[0].isspace())
-            return -math.expm1(miss + n * plain), n, -1 if not n else 0, self.sentence(()), bad
-        for s in _SENTENCE.findall(low):
-            if s.isspace():
-                continue
-            p = self.sentence(hot.intersection(_WORD.findall(s)))
-            miss += math.log1p(-min(p, 1 - 1e-12))
+        for s in _SENTENCE.findall(text.lower()):
+            words = [w for w in _WORD.findall(s) if w[:3] in gate]
+            if not words:
+                if s.isspace():
+                    continue
+                p, no = plain, plain_miss
+            else:
+                z = bias + sum([weight(w) for w in set(words)])
+                p = 1 / (1 + math.exp(-max(-700.0, min(700.0, z))))
+                no = math.log1p(-min(p, 1 - 1e-12))
+            miss += no
             if p > top:
                 worst, top = n, p
             if p >= 0.5:
