@@ -1,4 +1,156 @@
-"""Queries over records and log lines."""
+"""Queries over records (made of documents) and log lines (made of events)."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import corpora
+from .sources import jsonl, records
 
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- log lines: an event a line, some of them broken ---------------------------------
+
+LINES_SQL = """lines AS (SELECT user_id, event_id,
+  row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS line_no, count(*) OVER (PARTITION BY user_id) AS n_lines, event_id % 11 = 0 AS broken FROM events)"""
+
+
+def log_files(spark, d) -> DataFrame:
+    """(user_id, body): a log per user; broken lines lack their end, and so does the file."""
+    e = corpora.read(spark, d, "events")
+    line = F.when(F.col("event_id") % 11 == 0, F.concat(F.lit('{"id": '), F.col("event_id").cast("string"))).otherwise(F.concat(F.lit('{"id": '), F.col("event_id").cast("string"), F.lit(', "props": '), F.col("props"), F.lit("}")))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("event_id", line.alias("line")))), lambda x: x["line"])
+    return e.groupBy("user_id").agg(F.array_join(lines, "\n").alias("body"))
+
+
+def decoded(spark, d, schema: str, rows_of) -> DataFrame:
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame([(u, *r) for u, b in zip(frame["user_id"], frame["body"], strict=True) for r in rows_of(b)], columns=names)
+
+    return log_files(spark, d).mapInPandas(run, schema)
+
+
+@query(f"WITH {LINES_SQL} SELECT user_id, event_id AS id, line_no FROM lines WHERE NOT broken")
+def jsonl_salvage(spark, d):
+    """The valid lines of tolerant reading, with their numbers."""
+    return decoded(spark, d, "user_id bigint, id bigint, line_no bigint", lambda b: [(v["id"], n) for n, v, w in jsonl.decode_lines(b) if not w])
+
+
+@query(f"WITH {LINES_SQL} SELECT user_id, 'ignored malformed JSONL line ' || line_no AS warning FROM lines WHERE broken AND line_no < n_lines")
+def jsonl_warnings(spark, d):
+    """Malformed lines; a malformed last line without an end is dropped in silence."""
+    return decoded(spark, d, "user_id bigint, warning string", lambda b: [(w,) for _, _, w in jsonl.decode_lines(b) if w])
+
+
+@query(f"WITH {LINES_SQL} SELECT user_id, count(*) FILTER (WHERE NOT broken) AS n_values FROM lines GROUP BY user_id")
+def json_stream(spark, d):
+    """Values of concatenated JSON, the broken lines left out and the file cut off at its end."""
+
+    def values(body: str):
+        whole = "".join(x for x in body.split("\n") if x.endswith("}"))
+        return [(sum(1 for _ in jsonl.decode_stream(whole + '{"id": 1')),)]
+
+    return decoded(spark, d, "user_id bigint, n_values bigint", values)
+
+
+# --- records --------------------------------------------------------------------------
+
+MADE = "timestamp '2026-01-01 00:00:00'"
+
+
+def made_records(spark, d) -> DataFrame:
+    """(doc_id, r): a record per document; some break a rule by their number."""
+    docs = corpora.read(spark, d, "documents")
+    i = F.col("doc_id")
+    at = lambda n: F.timestamp_seconds(F.lit(1767225600) + n)
+    rev = lambda n, body: F.struct(n.cast("int").alias("revision"), body.alias("content"), at(n).alias("createdAt"))
+    text = F.substring("text", 1, 40)
+    second = F.when(i % 13 == 3, 3).otherwise(2)
+    r = F.struct(
+        F.when(i % 13 == 1, 2).otherwise(1).alias("schemaVersion"),
+        F.when(i % 13 == 2, F.lit("bad id")).otherwise(F.concat(F.lit("m_"), F.lpad(i.cast("string"), 8, "0"))).alias("id"),
+        F.when(i % 5 == 0, "global").otherwise("project").alias("scope"),
+        F.when(i % 5 == 0, F.when(i % 13 == 4, "odd").otherwise("")).otherwise(F.col("source")).alias("projectKey"), F.when(i % 5 == 0, "").otherwise("name").alias("projectName"),
+        at(F.lit(0)).alias("createdAt"), at(F.when(i % 13 == 5, -1).otherwise(10)).alias("updatedAt"), F.when(i % 7 == 0, at(F.when(i % 13 == 6, -5).otherwise(5))).alias("archivedAt"),
+        F.when(i % 13 == 7, 1).otherwise(2).alias("currentRevision"), F.array(rev(F.lit(1), F.when(i % 13 == 8, " ").otherwise("first")), rev(second, text)).alias("revisions"),
+    )
+    return docs.select("doc_id", r.alias("r"))
+
+
+RULES_SQL = """CASE
+  WHEN doc_id % 13 = 1 THEN 'unsupported schemaVersion' WHEN doc_id % 13 = 2 THEN 'invalid memory ID'
+  WHEN doc_id % 5 = 0 AND doc_id % 13 = 4 THEN 'global memory must not contain project metadata'
+  WHEN doc_id % 13 = 5 THEN 'updatedAt precedes createdAt' WHEN doc_id % 7 = 0 AND doc_id % 13 = 6 THEN 'archivedAt precedes createdAt'
+  WHEN doc_id % 13 = 7 THEN 'currentRevision must identify the last revision' WHEN doc_id % 13 = 3 THEN 'revision numbers must be contiguous'
+  WHEN doc_id % 13 = 8 OR trim(substr(text, 1, 40)) = '' THEN 'revision content is empty' END"""
+
+
+@query(f"SELECT doc_id, {RULES_SQL} AS error FROM documents")
+def record_validate(spark, d):
+    return made_records(spark, d).select("doc_id", records.validation_error(F.col("r")).alias("error"))
+
+
+@query(
+    f"""SELECT doc_id, 1 AS revision, 'first' AS content FROM documents WHERE {RULES_SQL} IS NULL
+UNION ALL SELECT doc_id, 2, substr(text, 1, 40) FROM documents WHERE {RULES_SQL} IS NULL"""
+)
+def revision_history(spark, d):
+    good = made_records(spark, d).where(records.validation_error(F.col("r")).isNull())
+    return good.select("doc_id", F.inline("r.revisions")).select("doc_id", "revision", "content")
+
+
+@query("SELECT id, count(*) OVER () AS n_matches FROM (SELECT 'm_' || lpad(doc_id::VARCHAR, 8, '0') AS id FROM documents) WHERE starts_with(id, 'm_0000001')")
+def id_prefix(spark, d):
+    m = corpora.memories(spark, d).where(F.startswith("id", F.lit("m_0000001"))).select("id")
+    return m.crossJoin(F.broadcast(m.agg(F.count("*").alias("n_matches"))))
+
+
+CONFLICT_SQL = r"'(?i)^(.+)\.sync-conflict-\d{8}-\d{6}-[a-z0-9]+(\.[^.]+)$'"
+
+
+@query(
+    f"""WITH names AS (SELECT 'm_' || (doc_id // 4) || CASE doc_id % 4 WHEN 0 THEN '.json' WHEN 1 THEN '.sync-conflict-20260101-000000-ABC' || doc_id || '.json'
+    WHEN 2 THEN '.SYNC-conflict-20260101-000000-x1.json' ELSE '.sync-conflict-2026-x.json' END AS name FROM documents)
+SELECT regexp_extract(name, {CONFLICT_SQL}, 1) || regexp_extract(name, {CONFLICT_SQL}, 2) AS canonical, string_agg(name, ',' ORDER BY name) AS copies
+FROM names WHERE regexp_matches(name, {CONFLICT_SQL}) GROUP BY 1"""
+)
+def conflict_scan(spark, d):
+    """Conflict copies by the record they belong to."""
+    i = F.col("doc_id")
+    end = (
+        F.when(i % 4 == 0, ".json")
+        .when(i % 4 == 1, F.concat(F.lit(".sync-conflict-20260101-000000-ABC"), i.cast("string"), F.lit(".json")))
+        .when(i % 4 == 2, ".SYNC-conflict-20260101-000000-x1.json")
+        .otherwise(".sync-conflict-2026-x.json")
+    )
+    pattern = rf"(?i)^{records.CONFLICT.pattern.removeprefix('(?i)')}$"
+    n = corpora.read(spark, d, "documents").select(F.concat(F.lit("m_"), F.floor(i / 4).cast("string"), end).alias("name")).where(F.rlike("name", F.lit(pattern)))
+    canonical = F.concat(F.regexp_extract("name", pattern, 1), F.regexp_extract("name", pattern, 2))
+    return n.groupBy(canonical.alias("canonical")).agg(F.array_join(F.sort_array(F.collect_list("name")), ",").alias("copies"))
+
+
+@query("SELECT doc_id, sha256('{\"id\": ' || doc_id || '}') AS content_hash FROM documents")
+def content_hash(spark, d):
+    raw = F.concat(F.lit('{"id": '), F.col("doc_id").cast("string"), F.lit("}"))
+    return corpora.read(spark, d, "documents").select("doc_id", F.sha2(raw, 256).alias("content_hash"))
+
+
