@@ -60,7 +60,10 @@ _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.I) for t in RAW}
 _NESTED = {t: re.compile(rf"<(/?){t}(?=[\s/>])[^>]*>?", re.I) for t in SKIPPED - RAW}
 
-CLIP = 3.0
+#: Most and least of a word's score.  Words in places that aren't main text are left
+#: out anyhow; what they take from the sum stays small, so that a long advert doesn't
+#: part an article from its last short paragraph.  The tags around menus do the parting.
+MOST, LEAST = 3.0, -0.05
 TAG_LEAST, TAG_MOST = -0.3, -0.01
 
 
@@ -163,7 +166,7 @@ class Extractor:
                 text = html.unescape(raw) if "&" in raw else raw
                 words = len(text.split())
                 if words:
-                    score = max(-CLIP, min(CLIP, stack[-1][2]))
+                    score = max(LEAST, min(MOST, stack[-1][2]))
                     out.append((words * score, text if score > 0 else None))
                 else:
                     out.append((0.0, text))

@@ -249,8 +249,8 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")).alias("b"))
     best = best.select(F.col("b.doc_id").alias("best_id"), F.col("b.mark").alias("best_mark"))
     twice = found.join(best, F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("mark") == F.col("best_mark"))).groupBy("best_id", "best_mark").count().where("count > 1")
-    rows = docs.withColumn("best_mark", mark)
-    kept = rows.join(best, rows["doc_id"].eqNullSafe(best["best_id"]) & (rows["best_mark"] == best["best_mark"]), "left_semi")
+    rows = docs.select(F.col("doc_id").alias("row_id"), mark.alias("row_mark"), F.struct("*").alias("row"))
+    kept = rows.join(best, F.col("row_id").eqNullSafe(F.col("best_id")) & (F.col("row_mark") == F.col("best_mark")), "left_semi")
     if not twice.isEmpty():  # repeated rows
-        kept = kept.dropDuplicates(["doc_id", "best_mark"])
-    return kept.drop("best_mark")
+        kept = kept.dropDuplicates(["row_id", "row_mark"])
+    return kept.select(*[F.col(f"row.`{c}`") for c in docs.columns])
