@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import corpora
+from . import corpora_sql as S
+from .functions import vectors
+from .operators import maintenance
 from .sources import jsonl, records
 
 QUERIES: dict = {}
@@ -154,3 +157,95 @@ def content_hash(spark, d):
     return corpora.read(spark, d, "documents").select("doc_id", F.sha2(raw, 256).alias("content_hash"))
 
 
+
+
+# --- more maintenance and record queries ---------------------------------------------
+
+
+@query("SELECT 'k' || user_id AS source_key, event_type AS harness, 'p' || user_id AS path, 'e' || event_id AS error, event_id AS created_at FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
+def record_source_errors(spark, d):
+    """Newest error per source."""
+    u = F.col("user_id").cast("string")
+    e = corpora.read(spark, d, "events").select(F.concat(F.lit("k"), u).alias("source_key"), F.col("event_type").alias("harness"), F.concat(F.lit("p"), u).alias("path"), F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("error"), F.col("event_id").alias("created_at"))
+    return maintenance.record_errors(e.where("created_at % 3 = 0"), e.where("created_at % 3 <> 0"))
+
+
+@query(
+    """SELECT doc_id, round(coalesce(e.embedding[1], CASE WHEN doc_id % 2 = 0 THEN 7.0 END), 6) AS first_value,
+  CASE WHEN e.embedding IS NOT NULL THEN 'new' WHEN doc_id % 2 = 0 THEN 'old' ELSE '' END AS embedding_fingerprint
+FROM documents LEFT JOIN (SELECT * FROM embeddings WHERE vec_id % 3 = 0) e ON e.vec_id = doc_id"""
+)
+def update_embeddings(spark, d):
+    old = F.col("doc_id") % 2 == 0
+    table = corpora.read(spark, d, "documents").select("doc_id", F.when(old, F.array(F.lit(7.0)).cast("array<float>")).alias("embedding"), F.when(old, "old").otherwise("").alias("embedding_fingerprint"))
+    made = corpora.read(spark, d, "embeddings").where("vec_id % 3 = 0").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    out = maintenance.update_embeddings(table, made, "doc_id", "new")
+    return out.select("doc_id", F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first_value"), "embedding_fingerprint")
+
+
+@query("SELECT vec_id, '' AS embedding_fingerprint, true AS cleared FROM embeddings")
+def clear_embeddings(spark, d):
+    t = corpora.read(spark, d, "embeddings").withColumn("embedding_fingerprint", F.lit("f"))
+    return maintenance.clear_embeddings(t).select("vec_id", "embedding_fingerprint", F.col("embedding").isNull().alias("cleared"))
+
+
+@query("SELECT vec_id, round(embedding[2] * 3 / sqrt(list_sum(list_transform(embedding, lambda x: (3 * x)::DOUBLE * (3 * x)::DOUBLE))), 5) AS second_value FROM embeddings")
+def l2_normalize(spark, d):
+    v = F.transform("embedding", lambda x: (x * 3).cast("float"))
+    return corpora.read(spark, d, "embeddings").select("vec_id", F.round(F.get(vectors.normalized(v), F.lit(1)).cast("double"), 5).alias("second_value"))
+
+
+@query(f"WITH {S.MEMORIES} SELECT row_number() OVER (ORDER BY updated_at DESC, id) AS nth, id, updated_at FROM memories WHERE archived_at IS NULL ORDER BY updated_at DESC, id LIMIT 100")
+def list_memories(spark, d):
+    m = corpora.memories(spark, d).where("archived_at is null").orderBy(F.desc("updated_at"), "id").limit(100).select("id", "updated_at")
+    return m.select(F.expr("cast(row_number() over (order by updated_at desc, id) as bigint)").alias("nth"), "id", "updated_at")
+
+
+@query(f"SELECT error AS type, count(*) AS n FROM (SELECT {RULES_SQL} AS error FROM documents) WHERE error IS NOT NULL GROUP BY 1")
+def warning_counts(spark, d):
+    return made_records(spark, d).select(records.validation_error(F.col("r")).alias("type")).where("type is not null").groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query(
+    """SELECT doc_id FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '  <skill> ' WHEN 1 THEN '<user_action>' WHEN 2 THEN 'see <skill>' ELSE '' END || text AS t FROM documents)
+WHERE NOT (starts_with(ltrim(t, ' '), '<skill>') OR starts_with(ltrim(t, ' '), '<user_action>') OR starts_with(ltrim(t, ' '), '# AGENTS.md instructions') OR starts_with(ltrim(t, ' '), '<environment_context>'))"""
+)
+def injected_texts(spark, d):
+    """What is left once texts that a tool put in are gone."""
+    i = F.col("doc_id") % 5
+    t = F.concat(F.when(i == 0, "  <skill> ").when(i == 1, "<user_action>").when(i == 2, "see <skill>").otherwise(""), F.col("text"))
+    any_prefix = F.lit(False)
+    for p in jsonl.INJECTED:
+        any_prefix = any_prefix | F.startswith(F.ltrim(t), F.lit(p))
+    return corpora.read(spark, d, "documents").where(~any_prefix).select("doc_id")
+
+
+@query(
+    """SELECT event_id, CASE event_id % 4 WHEN 0 THEN (epoch_us(ts) // 1000) END AS ms FROM events"""
+)
+def rfc3339_millis(spark, d):
+    """Times in RFC 3339 only: dates, other forms and nonsense are unknown."""
+    t = F.col("ts").cast("timestamp")
+    day, second, fraction = F.date_format(t, "yyyy-MM-dd"), F.date_format(t, "HH:mm:ss"), F.date_format(t, "SSSSSS")
+    i = F.col("event_id") % 4
+    text = F.when(i == 0, F.concat(day, F.lit("T"), second, F.lit("."), fraction, F.lit("Z"))).when(i == 1, day).when(i == 2, F.concat(day, F.lit(" "), second)).otherwise("soon")
+    known = F.when(F.rlike(text, F.lit(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:\d\d)$")), F.try_to_timestamp(text))
+    return corpora.read(spark, d, "events").select("event_id", F.unix_millis(known).alias("ms"))
+
+
+@query(
+    """SELECT conv_id, turn, trim(text, ' ' || chr(10) || chr(9)) || CASE WHEN turn % 2 = 0 THEN chr(10) || chr(10) || 'more' ELSE '' END AS body FROM conversations"""
+)
+def content_blocks(spark, d):
+    """Text of a message's content: a string, or the text blocks of a list."""
+    c = corpora.read(spark, d, "conversations")
+    block = lambda kind, t: F.struct(F.lit(kind).alias("type"), t.alias("text"))
+    blocks = F.to_json(F.struct(F.array(block("text", F.col("text")), block("image", F.lit("no")), block("text", F.lit("  ")), block("text", F.lit(" more "))).alias("content")))
+    plain = F.to_json(F.struct(F.concat(F.lit(" "), F.col("text"), F.lit("\n")).alias("content")))
+    v = F.try_parse_json(F.when(F.col("turn") % 2 == 0, blocks).otherwise(plain))
+    c = c.withColumn("v", v).withColumn("kind", F.schema_of_variant(F.try_variant_get("v", "$.content", "variant")))
+    trim = lambda t: F.regexp_replace(t, r"^\s+|\s+$", "")
+    items = F.try_variant_get("v", "$.content", "array<struct<type:string,text:string>>")
+    texts = F.filter(F.transform(F.filter(items, lambda b: b["type"] == "text"), lambda b: trim(b["text"])), lambda t: t != "")
+    body = F.when(F.col("kind") == "STRING", trim(F.try_variant_get("v", "$.content", "string"))).otherwise(F.coalesce(F.array_join(texts, "\n\n"), F.lit("")))
+    return c.select("conv_id", "turn", body.alias("body"))
