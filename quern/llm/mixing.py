@@ -43,6 +43,8 @@ SHARDS = 24
 SEED = "mix-1"
 #: A bucket of a source's order holds about 1/2048 of all rows, within these limits.
 BUCKET_ROWS = (256, 200_000)
+#: Bucket offsets that may be broadcast, some 60 bytes each.
+MOST_BUCKETS = 200_000
 
 
 def targets(sizes: list[int], weights: Iterable[float], most: float = MOST) -> list[float]:
@@ -147,6 +149,9 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     upto = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     first = keyed.groupBy("s", "bucket").agg(F.sum("size").alias("b_size")).withColumn("b_before", F.sum("b_size").over(upto) - F.col("b_size"))
     first = first.select(F.col("s").alias("f_s"), F.col("bucket").alias("f_bucket"), "b_before")
+    # offsets of at most so many buckets are broadcast, then rows are shuffled once, for the window
+    if sum(16**d for d in digits) <= MOST_BUCKETS:
+        first = F.broadcast(first)
     in_bucket = Window.partitionBy("s", "bucket").orderBy("key", "tie", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = keyed.withColumn("own", F.sum("size").over(in_bucket) - F.col("size"))
     out = out.join(first, F.col("s").eqNullSafe(F.col("f_s")) & (F.col("bucket") == F.col("f_bucket")))
