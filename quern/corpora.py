@@ -6,6 +6,7 @@ embeddings for vectors; :mod:`quern.corpora_sql` has the same views in SQL.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,11 +56,19 @@ def session_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions(spark, sf_dir).withColumn("group_key", F.col("session_key"))
 
 
+def stored(rows: DataFrame) -> DataFrame:
+    """Search rows are what indexing stores once and many channels read; here a
+    cache (that spills, and is computed again where an executor is lost) stands for
+    the table.  It also keeps filters on tokens from being pushed below the
+    functions that make them, where every word asked for would tokenise anew."""
+    return rows.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def session_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search rows: chunks with their session's columns and token arrays."""
     s = sessions(spark, sf_dir)
     s = s.select("session_key", "native_id", "harness", "cwd", "updated_at", *[T.tokens(T.normalize(F.col(c))).alias(t) for t, c in (("t_name", "name"), ("t_cwd", "cwd"), ("t_native", "native_id"), ("t_branch", "git_branch"))])
-    return chunks(spark, sf_dir).withColumnRenamed("tokens", "t_content").join(s, "session_key").withColumn("group_key", F.col("session_key"))
+    return stored(chunks(spark, sf_dir).withColumnRenamed("tokens", "t_content").join(s, "session_key").withColumn("group_key", F.col("session_key")))
 
 
 def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +86,7 @@ def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def memory_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = memories(spark, sf_dir).withColumn("t_content", T.tokens(T.normalize(F.col("text"))))
-    return m.select(
+    return stored(m.select(
         F.col("id").alias("row_id"), F.col("id").alias("group_key"), "*", T.grams_of(F.col("t_content")).alias("grams"),
         *[T.tokens(T.normalize(F.col(c))).alias(t) for t, c in (("t_source", "source"), ("t_project", "project_key"), ("t_id", "id"))],
-    )
+    ))

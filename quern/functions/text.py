@@ -54,7 +54,8 @@ def normalize(text: Column) -> Column:
     """:func:`normalize_text` with built-in functions, for scripts whose letters
     decompose to one letter each (Latin, Greek, Cyrillic)."""
     src, dst = _accent_table()
-    plain = F.regexp_replace(F.translate(F.lower(text), src, dst), r"\p{Mn}+", "")
+    ascii_only = F.octet_length(text) == F.char_length(text)
+    plain = F.when(ascii_only, F.lower(text)).otherwise(F.regexp_replace(F.translate(F.lower(text), src, dst), r"\p{Mn}+", ""))
     return F.trim(F.regexp_replace(plain, r"[^\p{L}\p{Nd}]+", " "))
 
 

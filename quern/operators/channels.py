@@ -8,7 +8,6 @@ pos``), ``pos`` being its order from 1.  All limits are top-k plans
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -81,16 +80,25 @@ def least_coverage(query: list[str]) -> int:
     return 1 if n < 3 else -(-n // 3)
 
 
-def lexical_rows(rows: DataFrame, spec: CorpusSpec, query: list[str], where: Column) -> DataFrame:
-    """The top rows by BM25, then those that cover enough of the query, with ``coverage``."""
-    scored = bm25.score_scan(rows, dict(spec.weights), query, "raw", where, unweighted="plain")
+Postings = tuple[DataFrame, DataFrame]
+
+
+def lexical_rows(rows: DataFrame, spec: CorpusSpec, query: list[str], where: Column, postings: Postings | None = None) -> DataFrame:
+    """The top rows by BM25, then those that cover enough of the query, with ``coverage``.
+
+    With ``postings`` (an inverted index and its sizes) only the buckets of the
+    query's words are scored, and rows are looked up for what scored."""
+    if postings is not None and not spec.unweighted_order:
+        scored = rows.where(where).join(bm25.score_postings(*postings, "row_id", query, "raw"), "row_id")
+    else:
+        scored = bm25.score_scan(rows, dict(spec.weights), query, "raw", where, unweighted="plain")
     by = F.round("plain" if spec.unweighted_order else "raw", DIGITS)
     top = scored.withColumn("by", by).orderBy("by", F.desc("updated_at"), "row_id").limit(TOP)
     return top.withColumn("coverage", covered(spec, query)).where(F.col("coverage") >= least_coverage(query))
 
 
-def lexical(rows: DataFrame, spec: CorpusSpec, query: list[str], where: Column) -> DataFrame:
-    top = lexical_rows(rows, spec, query, where)
+def lexical(rows: DataFrame, spec: CorpusSpec, query: list[str], where: Column, postings: Postings | None = None) -> DataFrame:
+    top = lexical_rows(rows, spec, query, where, postings)
     n = len(set(query))
     if spec.gate and n >= 3:
         top = top.withColumn("best", F.max("coverage").over(Window.partitionBy(F.lit(0)))).where(F.col("best") * 2 >= n)
@@ -115,6 +123,3 @@ def semantic(rows: DataFrame, query: list[float], fingerprint: str, threshold: f
     usable = usable.withColumn("raw", F.round(V.dot(F.col("embedding"), V.vector(query)), DIGITS)).where(F.col("raw") >= threshold)
     order = (F.desc("raw"), F.col("row_id"))
     return _ranked(usable.orderBy(*order).limit(TOP), *order)
-
-
-Channel = Callable[..., DataFrame]

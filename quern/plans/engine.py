@@ -44,6 +44,10 @@ class Engine:
             s = indexer.index_sessions(self.spark, self.sessions_store, roots, self.provider, self.exact)
             return s, self.refresh()
 
+    def write_postings(self) -> None:
+        """Store the inverted index of the sessions; searches use it until the tables change."""
+        self.sessions_store.write_postings(self.session_rows(), "row_id", dict(channels.SESSIONS.weights))
+
     def refresh(self) -> indexer.Result:
         return indexer.refresh_memories(self.spark, self.memories_store, self.records, self.provider, self.exact)
 
@@ -72,7 +76,7 @@ class Engine:
     def search_sessions(self, query: str, f: SessionFilters | None = None, threshold: float | None = None) -> tuple[DataFrame, str]:
         vector, error = self._vector(query, threshold)
         s = self.sessions_store.read("sessions")
-        fused = search.hybrid(s.withColumn("group_key", F.col("session_key")), self.session_rows(), channels.SESSIONS, query, f or SessionFilters(), vector)
+        fused = search.hybrid(s.withColumn("group_key", F.col("session_key")), self.session_rows(), channels.SESSIONS, query, f or SessionFilters(), vector, self.sessions_store.postings())
         return search.session_results(fused, s), error
 
     def search_memories(self, query: str, f: MemoryFilters | None = None, threshold: float | None = None, refresh: bool = True) -> tuple[DataFrame, str]:

@@ -22,7 +22,7 @@ class QueryVector:
     threshold: float = 0.8
 
 
-def run_channels(groups: DataFrame, rows: DataFrame, spec: C.CorpusSpec, query: str, filters: SessionFilters | MemoryFilters, vector: QueryVector | None) -> dict[str, DataFrame]:
+def run_channels(groups: DataFrame, rows: DataFrame, spec: C.CorpusSpec, query: str, filters: SessionFilters | MemoryFilters, vector: QueryVector | None, postings: C.Postings | None = None) -> dict[str, DataFrame]:
     """The channels that the query has something for."""
     query = query.strip()
     if not query:
@@ -30,7 +30,7 @@ def run_channels(groups: DataFrame, rows: DataFrame, spec: C.CorpusSpec, query:
     words, grams = T.query_tokens(query), T.query_grams(query)
     found = {"exact": C.exact(groups, spec, query, filters.predicate(with_chunk=False))}
     if words:
-        found["lexical"] = C.lexical(rows, spec, words, filters.predicate())
+        found["lexical"] = C.lexical(rows, spec, words, filters.predicate(), postings)
     if grams:
         found["fuzzy"] = C.fuzzy(rows, spec, grams, filters.predicate())
     if vector is not None:
@@ -38,9 +38,9 @@ def run_channels(groups: DataFrame, rows: DataFrame, spec: C.CorpusSpec, query:
     return found
 
 
-def hybrid(groups: DataFrame, rows: DataFrame, spec: C.CorpusSpec, query: str, filters: SessionFilters | MemoryFilters, vector: QueryVector | None = None) -> DataFrame:
+def hybrid(groups: DataFrame, rows: DataFrame, spec: C.CorpusSpec, query: str, filters: SessionFilters | MemoryFilters, vector: QueryVector | None = None, postings: C.Postings | None = None) -> DataFrame:
     """Fused result rows, best first."""
-    return fusion.fuse(run_channels(groups, rows, spec, query, filters, vector), filters.limit, spec.dedupe)
+    return fusion.fuse(run_channels(groups, rows, spec, query, filters, vector, postings), filters.limit, spec.dedupe)
 
 
 def session_results(fused: DataFrame, sessions: DataFrame) -> DataFrame:

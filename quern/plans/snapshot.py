@@ -15,6 +15,7 @@ import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import schemas
 from ..operators import bm25
@@ -105,8 +106,19 @@ class Snapshot:
     # inverted index
 
     def write_postings(self, rows: DataFrame, key: str, weights: dict[str, float]) -> None:
-        """Store the inverted index of search rows by bucket of terms, beside the tables."""
-        self.commit({"postings": bm25.postings(rows, key, weights)})
+        """Store the inverted index of the search rows by bucket of terms, and its sizes."""
+        of = self.manifest()["tables"]
+        sizes = rows.agg(F.count("*").alias("n"), F.avg(bm25.length(weights)).alias("a")).first()
+        mark = f"{of.get('chunks')} {of.get('sessions')}"
+        self.commit({"postings": bm25.postings(rows, key, weights)}, {"postings_of": mark, "n_docs": str(sizes["n"]), "avg_len": repr(sizes["a"] or 0.0)})
+
+    def postings(self) -> tuple[DataFrame, DataFrame] | None:
+        """(inverted index, one row n_docs and avg_len) if they are those of the tables as they are now."""
+        m = self.manifest()
+        if "postings" not in m["tables"] or m["meta"].get("postings_of") != f"{m['tables'].get('chunks')} {m['tables'].get('sessions')}":
+            return None
+        sizes = self.spark.range(1).select(F.lit(float(m["meta"]["n_docs"])).alias("n_docs"), F.lit(float(m["meta"]["avg_len"])).alias("avg_len"))
+        return self.spark.read.parquet(f"{self.root}/{m['tables']['postings']}"), sizes
 
 
 @contextmanager

@@ -60,11 +60,16 @@ def test_index_and_search(spark, tmp_path):
     assert e.search_sessions("genrate", SessionFilters(path="/elsewhere"))[0].count() == 0
     exact, _ = e.search_sessions("s2")
     assert exact.where("exact_rank = 1").collect()[0]["session_id"] == "s2"
+    plain = sorted(map(repr, hits.drop("score").collect()))
+    e.write_postings()
+    assert e.sessions_store.postings() is not None
+    assert sorted(map(repr, e.search_sessions("database storage")[0].drop("score").collect())) == plain
     # nothing changed, then one file with one more turn, then one gone
     again, _ = e.index()
     assert (again.updated, again.unchanged, again.embedded) == (0, 2, 0)
     log(logs / "b.jsonl", "s2", "paint the garden fence", "green paint is fine", "now a storage shed")
     more, _ = e.index()
+    assert e.sessions_store.postings() is None
     assert (more.updated, more.unchanged, more.embedded) == (1, 1, 1)
     os.unlink(logs / "a.jsonl")
     (logs / "c.jsonl").write_text("{bad}")
