@@ -22,7 +22,10 @@ def _relink(edges: DataFrame, large: bool) -> DataFrame:
     else:
         both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    linked = both.join(least, "u")
+    # the key as an expression: the aggregate's partitioning isn't taken over, so both
+    # sides of the join are shuffled for it and a hub's edges can be split at run time
+    least = least.select(F.expr("u ^ 0L").alias("w"), "m")
+    linked = both.join(least, F.col("u") == F.col("w"))
     if large:
         out = linked.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:

@@ -238,7 +238,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     found = components(links(classes, distance=distance, cell_limit=cell_limit))
     named = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     smallest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = named.join(smallest, "root").select("fp", "root", "component_id")
+    # as in components(): both sides are shuffled for the join, so a large group can be split
+    smallest = smallest.select(F.expr("root ^ 0L").alias("of"), "component_id")
+    named = named.join(smallest, F.col("root") == F.col("of")).select("fp", "root", "component_id")
     return made.join(named, "fp").select("doc_id", "fp", "root", "component_id", *[n for n, _ in extra])
 
 
