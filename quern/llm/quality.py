@@ -31,16 +31,40 @@ CHUNK = 4096
 LEVEL = 3
 
 #: (shortest length in bytes, lowest ratio, highest ratio) of a unit, be it a
-#: whole document or one chunk.  Prose of any language in these corpora lies
-#: well between the limits; the gaps on both sides are wide on purpose.
+#: whole document or one chunk.  The upper limits lie above prose and, from 200
+#: bytes, below base64; from 1000 bytes also below random lower-case letters, from
+#: 3000 below hex.  Shorter keyboard noise compresses as prose of its length does.
 BANDS = (
     (0, 0.0, float("inf")),
-    (200, 0.30, 1.05),
-    (1000, 0.25, 0.85),
-    (3000, 0.22, 0.75),
-    (10000, 0.20, 0.72),
+    (200, 0.30, 0.88),
+    (300, 0.30, 0.84),
+    (400, 0.30, 0.80),
+    (500, 0.30, 0.76),
+    (700, 0.30, 0.71),
+    (1000, 0.25, 0.60),
+    (1250, 0.25, 0.585),
+    (1500, 0.25, 0.57),
+    (2000, 0.25, 0.54),
+    (3000, 0.22, 0.515),
+    (4096, 0.22, 0.49),
+    (8192, 0.22, 0.46),
+    (10000, 0.20, 0.46),
+    (16000, 0.20, 0.445),
 )
 
+#: A unit over its band's upper limit is kept all the same if it is compressed below
+#: this multiple of its bytes' entropy: scripts of many bytes and upper-case prose have
+#: a high entropy, but repeat themselves, which noise doesn't.  (shortest length, multiple)
+GAINS = ((0, 0.0), (1000, 1.05), (1500, 1.02), (3000, 1.005), (8192, 0.99))
+#: Below this length repetition tells nothing; units with a share of bytes outside
+#: ASCII above MULTIBYTE have no upper limit there.
+SHORT, MULTIBYTE = 1500, 0.25
+
+HEX = b"0123456789abcdefABCDEF"
+ASCII = bytes(range(128))
+#: Hexadecimal text counts as incompressible if its decoded bytes have a higher ratio.
+HEX_RATIO = 0.9
+
 #: Share of chunks outside their band from which a document is rejected.
 BAD_CHUNKS = 0.5
 
@@ -100,22 +124,55 @@ def band_of(size: int, bands=BANDS) -> tuple[float, float]:
     return low, high
 
 
+def entropy(raw: bytes) -> float:
+    """Entropy of the single bytes over their eight bits: the ratio of a coder that knows no repetition."""
+    p = np.bincount(np.frombuffer(raw, dtype=np.uint8)) / len(raw)
+    p = p[p > 0]
+    return float(-(p * np.log2(p)).sum() / 8)
+
+
+def incompressible(raw: bytes, ratio: float, high: float) -> bool:
+    """Whether a unit of ``ratio`` over the limit ``high`` is noise, not prose with many different bytes."""
+    if ratio <= high:
+        return False
+    n = len(raw)
+    if n < SHORT and len(raw.translate(None, ASCII)) > MULTIBYTE * n:
+        return False
+    return ratio > [m for least, m in GAINS if n >= least][-1] * entropy(raw)
+
+
+def encoded(raw: bytes, packer) -> bool:
+    """Whether a unit is nothing but hexadecimal digits of incompressible bytes."""
+    if raw[:64].translate(None, HEX + WS) or raw.translate(None, HEX + WS):
+        return False
+    digits = raw.translate(None, WS)
+    if digits.isdigit():
+        return False
+    data = bytes.fromhex(digits[: len(digits) // 2 * 2].decode())
+    return len(packer.compress(data)) > HEX_RATIO * len(data)
+
+
+def fits(raw: bytes, ratio: float, packer, bands=BANDS) -> bool:
+    """Whether a unit lies in its band."""
+    low, high = band_of(len(raw), bands)
+    return low <= ratio and not incompressible(raw, ratio, high) and not (high < float("inf") and encoded(raw, packer))
+
+
 def compression(raw: bytes, packer, chunk: int = CHUNK, bands=BANDS) -> tuple[float, int, int, bool]:
     """Whole ratio, chunks, chunks outside their band, and whether the whole lies in its band."""
     n = len(raw)
     if not n:
         return 1.0, 0, 0, True
     ratio = len(packer.compress(raw)) / n
-    low, high = band_of(n, bands)
+    inside = fits(raw, ratio, packer, bands)
     bad, chunks = 0, max(1, n // chunk)  # the rest joins the last chunk
     if chunks == 1:
-        bad = not low <= ratio <= high
+        bad = not inside
     else:
         for i in range(chunks):
             part = raw[i * chunk : (i + 1) * chunk if i < chunks - 1 else n]
-            lo, hi = band_of(len(part), bands)
-            bad += not lo <= len(packer.compress(part)) / len(part) <= hi
-    return ratio, chunks, int(bad), low <= ratio <= high
+            bad += not fits(part, len(packer.compress(part)) / len(part), packer, bands)
+    return ratio, chunks, int(bad), inside
 
 
 def judge(raw: bytes, cp: int, packer, chunk: int = CHUNK, bands=BANDS, bad_chunks: float = BAD_CHUNKS) -> tuple:

@@ -264,6 +264,38 @@ def test_quality(spark, sf):
     assert kept.count() == sum(w[7] for w in want) and kept.columns == spark.read.parquet(f"{sf}/documents.parquet").columns
 
 
+def test_quality_incompressible():
+    import base64
+    import random
+    import string
+
+    packer, rng = zstandard.ZstdCompressor(level=quality.LEVEL), random.Random(5)
+
+    def words(s, n):
+        out, i = [], 0
+        while i < len(s):
+            k = rng.randint(3, 10)
+            out.append(s[i : i + k])
+            i += k
+        return " ".join(out)[:n].encode()
+
+    def inside(raw):
+        return quality.compression(raw, packer)[3]
+
+    for n in (300, 1500, 5000):
+        for _ in range(20):
+            assert not inside(words(base64.b64encode(rng.randbytes(n)).decode(), n))
+            assert not inside(words(rng.randbytes(n).hex(), n))
+            # at 300 bytes, random letters compress no worse than prose
+            assert n == 300 or not inside(words("".join(rng.choices(string.ascii_lowercase, k=n)), n))
+    # scripts of three bytes are not noise
+    han = "".join(chr(0x4E00 + int(20 * rng.expovariate(0.05))) for _ in range(700))
+    assert inside(han[:100].encode()) and inside(han[:333].encode())
+    assert inside(("The quality of a text is judged by how well it compresses, which depends on its length; "
+                   "short texts hardly repeat themselves, and so the limits must be wide where little is known, "
+                   "narrow where much is seen, and never so narrow that an honest paragraph is thrown away by mistake.").encode())
+
+
 def test_repeated_words_collision(monkeypatch):
     import random
 
