@@ -35,7 +35,7 @@ from .common import map_batches
 from .html_pages import PAGES, crossed
 
 #: Elements whose content is no page text.
-SKIPPED = frozenset("script style noscript template iframe object svg math canvas audio video select textarea title head button datalist map embed applet noembed noframes xmp".split())
+SKIPPED = frozenset("script style noscript template iframe object svg math canvas audio video select textarea title head button datalist map applet noembed noframes xmp".split())
 #: Of those, elements whose content holds no tags.
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())

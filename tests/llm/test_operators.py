@@ -62,6 +62,12 @@ def test_html(spark, sf):
         assert r["text"] == want and r["n_chars"] == len(want)
 
 
+def test_html_void_embed():
+    e = html_extract.Extractor(*html_extract.train())
+    for embed in ("<embed src=x>", "<embed src='x'/>", "<object><embed src=x></object>", "<EMBED>"):
+        assert e.text(f"<article><p>First paragraph here.</p>{embed}<p>Second paragraph here.</p></article>") == "First paragraph here.\n\nSecond paragraph here."
+
+
 def test_html_is_linear():
     e = html_extract.Extractor(*html_extract.train())
     for bad in ("<p " * 50_000, "<div>" * 20_000 + "x", '<a href="' * 20_000, "<!--" * 50_000, "<script>" * 20_000, "&" * 100_000, "</p>" * 50_000):
