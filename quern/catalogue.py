@@ -486,18 +486,20 @@ def backfill_batches(spark, d):
     return numbered.groupBy(F.floor(F.col("nth") / 32).alias("batch")).agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
 
 
-def number_rows(df: DataFrame, key: str, buckets: int = 64) -> DataFrame:
+def number_rows(df: DataFrame, *key: str, buckets: int = 64) -> DataFrame:
     """``nth``: the place of unique keys in their order, from 0, without one task for all.
 
     Range bounds come from quantiles of the keys' hashes' order, so both passes agree:
     rows are bucketed by comparing with bounds taken once."""
-    bounds = [r[0] for r in df.select(key).orderBy(F.xxhash64(key)).limit(buckets - 1).collect()]
-    cuts = F.array(*[F.lit(b) for b in sorted(bounds)]) if bounds else F.array().cast("array<string>")
-    b = df.withColumn("_b", F.size(F.filter(cuts, lambda x: x <= F.col(key))))
+    place = F.struct(*key)
+    bounds = df.select(*key).orderBy(F.xxhash64(*key)).limit(buckets - 1).collect()
+    cuts = [F.struct(*[F.lit(r[k]).cast(df.schema[k].dataType).alias(k) for k in key]) for r in bounds]
+    bucket = F.size(F.filter(F.array(*cuts), lambda x: x <= place)) if cuts else F.lit(0)
+    b = df.withColumn("_b", bucket)
     sizes = b.groupBy("_b").agg(F.count("*").alias("_n"))
     upto = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(F.col("_b"), F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_o"))  # one row a bucket
-    own = F.row_number().over(Window.partitionBy("_b").orderBy(key)) - 1
+    own = F.row_number().over(Window.partitionBy("_b").orderBy(*key)) - 1
     return b.withColumn("_r", own).join(F.broadcast(offsets), "_b").withColumn("nth", F.col("_o") + F.col("_r")).drop("_b", "_r", "_o")
 
 

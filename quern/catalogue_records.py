@@ -197,8 +197,11 @@ def l2_normalize(spark, d):
 
 @query(f"WITH {S.MEMORIES} SELECT row_number() OVER (ORDER BY updated_at DESC, id) AS nth, id, updated_at FROM memories WHERE archived_at IS NULL ORDER BY updated_at DESC, id LIMIT 100")
 def list_memories(spark, d):
-    m = corpora.memories(spark, d).where("archived_at is null").orderBy(F.desc("updated_at"), "id").limit(100).select("id", "updated_at")
-    return m.select(F.expr("cast(row_number() over (order by updated_at desc, id) as bigint)").alias("nth"), "id", "updated_at")
+    """All records that aren't archived, the newest first."""
+    from .catalogue import number_rows
+
+    m = corpora.memories(spark, d).where("archived_at is null").select("id", "updated_at", (-F.col("updated_at")).alias("age"))
+    return number_rows(m, "age", "id").select((F.col("nth") + 1).cast("bigint").alias("nth"), "id", "updated_at").orderBy("nth")
 
 
 @query(f"SELECT error AS type, count(*) AS n FROM (SELECT {RULES_SQL} AS error FROM documents) WHERE error IS NOT NULL GROUP BY 1")
