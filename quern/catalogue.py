@@ -522,8 +522,7 @@ def memory_stats(spark, d):
 def parser_errors_sorted(spark, d):
     e = corpora.read(spark, d, "events").where("event_type = 'error' or event_id % 97 = 0")
     e = e.select(F.col("event_type").alias("harness"), F.concat(F.lit("k"), F.col("event_id").cast("string")).alias("path"))
-    top = e.orderBy("harness", "path").limit(100)
-    return top.select(long(F.row_number().over(Window.orderBy("harness", "path"))).alias("nth"), "harness", "path")
+    return number_rows(e, "harness", "path").select(long(F.col("nth") + 1).alias("nth"), "harness", "path").orderBy("nth")
 
 
 # --- session parsing semantics -------------------------------------------------------

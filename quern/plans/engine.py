@@ -155,6 +155,6 @@ class Engine:
                 rows.append((name, True, f"snapshot {store.manifest()['number']}"))
             except RuntimeError as e:
                 rows.append((name, False, str(e)))
-        rows += [(f"parser error {r['path']}", False, r["error"]) for r in self.sessions_store.read("parser_errors").orderBy("harness", "path").limit(100).collect()]
+        rows += [(f"parser error {r['path']}", False, r["error"]) for r in self.sessions_store.read("parser_errors").orderBy("harness", "path").collect()]
         rows += [(f"conflict {w['path']}", False, w["message"]) for w in self.records.listing()[1]]
         return self.spark.createDataFrame(rows, "check string, ok boolean, detail string")

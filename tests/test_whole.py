@@ -24,3 +24,23 @@ def test_list_memories(spark, con):
     same(got, con, sql)
     nth = [r["nth"] for r in got.collect()]
     assert nth == list(range(1, len(nth) + 1)) and len(nth) > 100
+
+
+def test_parser_errors_sorted(spark, con):
+    sql = "SELECT row_number() OVER (ORDER BY event_type, 'k' || event_id) AS nth, event_type AS harness, 'k' || event_id AS path FROM events WHERE event_type = 'error' OR event_id % 97 = 0"
+    got = run(spark, "parser_errors_sorted")
+    same(got, con, sql)
+    nth = [r["nth"] for r in got.collect()]
+    assert nth == list(range(1, len(nth) + 1)) and len(nth) > 100
+
+
+def test_doctor_has_every_parser_error(spark, tmp_path):
+    from quern import config as cfg
+    from quern import schemas
+    from quern.plans.engine import Engine
+
+    base = str(tmp_path)
+    e = Engine(spark, cfg.Config(index=f"{base}/index", memory_directory=f"{base}/notes", memory_index=f"{base}/notes-index"))
+    rows = spark.range(150).selectExpr("concat('k', id) source_key", "'pi' harness", "concat('p', id) path", "'broken' error", "id created_at")
+    e.sessions_store.commit({"parser_errors": rows.select(*schemas.names(schemas.PARSER_ERRORS))})
+    assert e.doctor().where("check like 'parser error %'").count() == 150
