@@ -107,7 +107,7 @@ def resume_hint(spark, d):
 
 @query(f"SELECT doc_id, {QUOTE.format('replace(substr(text, 1, 60), chr(32), chr(39))')} AS quoted FROM documents")
 def shell_quote(spark, d):
-    return corpora.read(spark, d, "documents").select("doc_id", T.shell_quote(F.replace(F.substring("text", 1, 60), F.lit(" "), F.lit("'"))).alias("quoted"))
+    return corpora.read(spark, d, "documents").select("doc_id", T.shell_quote(F.replace("text", F.lit(" "), F.lit("'"))).alias("quoted"))
 
 
 @query(

@@ -86,7 +86,6 @@ def made_records(spark, d) -> DataFrame:
     i = F.col("doc_id")
     at = lambda n: F.timestamp_seconds(F.lit(1767225600) + n)
     rev = lambda n, body: F.struct(n.cast("int").alias("revision"), body.alias("content"), at(n).alias("createdAt"))
-    text = F.substring("text", 1, 40)
     second = F.when(i % 13 == 3, 3).otherwise(2)
     r = F.struct(
         F.when(i % 13 == 1, 2).otherwise(1).alias("schemaVersion"),
@@ -94,7 +93,7 @@ def made_records(spark, d) -> DataFrame:
         F.when(i % 5 == 0, "global").otherwise("project").alias("scope"),
         F.when(i % 5 == 0, F.when(i % 13 == 4, "odd").otherwise("")).otherwise(F.col("source")).alias("projectKey"), F.when(i % 5 == 0, "").otherwise("name").alias("projectName"),
         at(F.lit(0)).alias("createdAt"), at(F.when(i % 13 == 5, -1).otherwise(10)).alias("updatedAt"), F.when(i % 7 == 0, at(F.when(i % 13 == 6, -5).otherwise(5))).alias("archivedAt"),
-        F.when(i % 13 == 7, 1).otherwise(2).alias("currentRevision"), F.array(rev(F.lit(1), F.when(i % 13 == 8, " ").otherwise("first")), rev(second, text)).alias("revisions"),
+        F.when(i % 13 == 7, 1).otherwise(2).alias("currentRevision"), F.array(rev(F.lit(1), F.when(i % 13 == 8, " ").otherwise("first")), rev(second, F.col("text"))).alias("revisions"),
     )
     return docs.select("doc_id", r.alias("r"))
 

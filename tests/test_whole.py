@@ -44,3 +44,22 @@ def test_doctor_has_every_parser_error(spark, tmp_path):
     rows = spark.range(150).selectExpr("concat('k', id) source_key", "'pi' harness", "concat('p', id) path", "'broken' error", "id created_at")
     e.sessions_store.commit({"parser_errors": rows.select(*schemas.names(schemas.PARSER_ERRORS))})
     assert e.doctor().where("check like 'parser error %'").count() == 150
+
+
+def test_whole_texts(spark, con, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    texts = {13: " " * 40 + "late", 26: "x" * 70 + " it's", 39: " " * 50}
+    cols = {"doc_id": pa.array(list(texts)), "text": list(texts.values()), "lang": ["en"] * 3, "source": ["s"] * 3, "n_chars": pa.array([len(t) for t in texts.values()])}
+    pq.write_table(pa.table(cols), tmp_path / "documents.parquet")
+    rows = lambda name: catalogue.queries()[name](spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: r["error"] for r in rows("record_validate")} == {13: None, 26: None, 39: "revision content is empty"}
+    assert {r["type"]: r["n"] for r in rows("warning_counts")} == {"revision content is empty": 1}
+    assert {r["doc_id"]: r["content"] for r in rows("revision_history") if r["revision"] == 2} == {13: texts[13], 26: texts[26]}
+    mark = "'\"'\"'"
+    assert {r["doc_id"]: r["quoted"] for r in rows("shell_quote")}[26] == "'" + "x" * 70 + mark + "it" + mark + "s'"
+
+
+def test_whole_texts_of_the_tables(spark, con):
+    same(run(spark, "shell_quote"), con, f"SELECT doc_id, {catalogue.QUOTE.format('replace(text, chr(32), chr(39))')} AS quoted FROM documents")
