@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -22,12 +23,15 @@ def checkpoint_dir(spark: SparkSession) -> None:
     """Make sure that ``checkpoint()`` has a folder.
 
     ``spark.checkpoint.dir`` names the folder that driver and executors share.
-    Only where it is unset (tests, local mode) a temporary one is set.
+    Where it is unset, a temporary folder is set if the master is local; on a
+    cluster no folder of one machine would do, so that is an error.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quern-ckpt-")
-        sc.setCheckpointDir(named)
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quern-ckpt-"))
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -1,13 +1,17 @@
-"""Line dedup: documents probe a sharded minimal perfect hash of the repeated lines.
-
-1. Every document gives the 128-bit hashes of its distinct long line keys; a
-   count per hash (pre-aggregated on the map side, so a line that a third of the
-   documents share is no hot spot) leaves the hashes found in enough documents.
-2. Those are dealt to shards by hash, about ``shard_lines`` each.  A shard is a
-   minimal perfect hash of the first half of the line hashes, indexing three
-   compact arrays: fingerprint (the second half), number of documents, and the
-   document that keeps the line.
-3. Documents look their lines up in the arrays; no line is joined.
+"""Line dedup: documents probe a sharded minimal perfect hash of the lines.
+
+1. Every document gives the 128-bit hashes of its distinct long line keys.  Line
+   and a salt of the document's id deal them to tasks that drop repeated ids and
+   count, so a line that a third of the documents share is counted by many.
+2. The distinct lines are dealt to shards by hash, about ``shard_lines`` each.  A
+   shard is a minimal perfect hash of the first half of the line hashes, indexing
+   three compact arrays: fingerprint (the second half), number of documents, and
+   the document that keeps the line.  The partial counts are added up in the
+   arrays, so no line is joined or grouped for its count.
+3. Lines whose count stays below ``min_docs`` can't be dropped; the shard leaves
+   them out and lays out hash and arrays anew for the others, so what is sent to
+   the documents grows with the repeated lines only.
+4. Documents look their lines up in the arrays: fingerprint, count and keeper.
 
 The arrays are broadcast while they are within ``most_bytes``.  A larger index is
 broadcast in rounds of so many bytes: each round scans the documents and returns
@@ -41,6 +45,8 @@ MIN_CHARS = 40
 MIN_DOCS = 5
 SHARD_LINES = 50_000
 MOST_BYTES = 96 << 20
+#: Tasks that the documents of one line are dealt to for counting, at most.
+SALTS = 512
 #: Stands for a null id; no real id is smaller.
 NO_ID = -(2**63)
 
@@ -75,33 +81,55 @@ def line_hashes(docs: DataFrame, id_col: str, text_col: str, min_chars: int) ->
     return map_batches(docs.select(id_col, text_col), make, "h bigint, f bigint, doc bigint")
 
 
-def repeated_lines(hashes: DataFrame, min_docs: int) -> DataFrame:
-    """(h, f, n_docs, keep) of the keys found in at least ``min_docs`` documents."""
-    counted = hashes.withColumn("doc", F.coalesce("doc", F.lit(NO_ID))).groupBy("h", "f")
-    return counted.agg(F.countDistinct("doc").alias("n_docs"), F.max("doc").alias("keep")).where(F.col("n_docs") >= min_docs)
-
-
-def build_shards(lines: DataFrame, shards: int) -> DataFrame:
-    """(shard, index, size): a perfect hash and its arrays per shard."""
+def partial_counts(hashes: DataFrame, salts: int = SALTS) -> DataFrame:
+    """(h, f, n, keep): documents and largest id of every line, one row a line and salt."""
+    rows = hashes.select("h", "f", F.coalesce("doc", F.lit(NO_ID)).alias("doc"))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(salts)).cast("int")).repartition("h", "f", "salt")
+    return rows.distinct().groupBy("h", "f", "salt").agg(F.count("*").alias("n"), F.max("doc").alias("keep")).drop("salt")
+
+
+def lay_out(keys: np.ndarray) -> tuple[PerfectHash, np.ndarray]:
+    ph = PerfectHash(keys)
+    return ph, ph.slots(keys)
+
+
+def count_shard(h: np.ndarray, f: np.ndarray, n: np.ndarray, keep: np.ndarray, min_docs: int) -> tuple[bytes, int]:
+    """The dumped index of one shard, made from the partial counts of all its lines, and how many lines it had."""
+    keys, first, of = np.unique(h, return_index=True, return_inverse=True)
+    ph, slot = lay_out(keys)
+    prints, counts, keeps = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), np.full(len(keys), NO_ID)
+    prints[slot] = f[first]
+    at = slot[of]
+    own = prints[at] == f
+    np.add.at(counts, at[own], n[own])
+    np.maximum.at(keeps, at[own], keep[own])
+    side: dict[tuple[int, int], list[int]] = {}  # other lines whose first halves are equal
+    for i in np.flatnonzero(~own):
+        found = side.setdefault((int(h[i].view(np.int64)), int(f[i])), [0, NO_ID])
+        found[0] += int(n[i])
+        found[1] = max(found[1], int(keep[i]))
+    often = keys[counts[slot] >= min_docs]
+    old = ph.slots(often)
+    ph, slot = lay_out(often)
+    arrays = []
+    for a, kind in ((prints, np.int64), (counts, np.uint32), (keeps, np.int64)):
+        new = np.zeros(len(often), kind)
+        new[slot] = np.minimum(a[old], 2**32 - 1) if kind is np.uint32 else a[old]
+        arrays.append(new.tobytes())
+    more = {k: v for k, v in side.items() if v[0] >= min_docs}
+    return pickle.dumps((ph.dump(), *arrays, more), 5), len(keys) + len(side)
+
+
+def build_shards(lines: DataFrame, shards: int, min_docs: int) -> DataFrame:
+    """(shard, index, size, lines): a perfect hash and its arrays per shard."""
 
     def build(table: pa.Table) -> pa.Table:
-        cols = {c: table.column(c).to_numpy() for c in ("h", "f", "n_docs", "keep")}
-        keys = cols["h"].astype(np.int64).view(np.uint64)
-        _, first = np.unique(keys, return_index=True)  # equal halves of different hashes: in the side table
-        side = np.setdiff1d(np.arange(len(keys)), first)
-        ph = PerfectHash(keys[first])
-        slot = ph.slots(keys[first])
-        arrays = []
-        for c in ("f", "n_docs", "keep"):
-            a = np.zeros(len(first), dtype=np.int64 if c != "n_docs" else np.uint32)
-            a[slot] = cols[c][first]
-            arrays.append(a.tobytes())
-        more = {(int(cols["h"][i]), int(cols["f"][i])): int(cols["keep"][i]) for i in side}
-        raw = pickle.dumps((ph.dump(), *arrays, more), 5)
-        return pa.table({"shard": table.column("shard")[:1].cast(pa.int32()), "index": pa.array([raw], pa.binary()), "size": pa.array([len(raw)], pa.int64())})
+        h, f, n, keep = (table.column(c).to_numpy().astype(np.int64) for c in ("h", "f", "n", "keep"))
+        raw, distinct = count_shard(h.view(np.uint64), f, n, keep, min_docs)
+        return pa.table({"shard": table.column("shard")[:1].cast(pa.int32()), "index": pa.array([raw], pa.binary()), "size": pa.array([len(raw)], pa.int64()), "lines": pa.array([distinct], pa.int64())})
 
     keyed = lines.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int"))
-    return keyed.groupBy("shard").applyInArrow(build, "shard int, index binary, size bigint")
+    return keyed.groupBy("shard").applyInArrow(build, "shard int, index binary, size bigint, lines bigint")
 
 
 class Index:
@@ -114,21 +142,21 @@ class Index:
             self.parts[shard] = (PerfectHash.load(ph), np.frombuffer(f, np.int64), np.frombuffer(n, np.uint32), np.frombuffer(keep, np.int64), more)
 
     def keeper(self, h: np.ndarray, f: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether the line is a repeated one, and the id of the document that keeps it."""
-        found, keep = np.zeros(len(h), dtype=bool), np.zeros(len(h), dtype=np.int64)
+        """The number of documents of each line (0: not a repeated one), and the id of the one that keeps it."""
+        count, keep = np.zeros(len(h), dtype=np.int64), np.zeros(len(h), dtype=np.int64)
         order = np.argsort(shard, kind="stable")
         for s, rows in zip(*_runs(shard[order], order), strict=True):
             if int(s) not in self.parts:
                 continue
-            ph, prints, _, keeps, more = self.parts[int(s)]
+            ph, prints, counts, keeps, more = self.parts[int(s)]
             slot = ph.slots(h[rows].view(np.uint64))
             ok = slot >= 0
             ok[ok] = prints[slot[ok]] == f[rows[ok]]
-            found[rows[ok]], keep[rows[ok]] = True, keeps[slot[ok]]
+            count[rows[ok]], keep[rows[ok]] = counts[slot[ok]], keeps[slot[ok]]
             for i in rows[~ok] if more else ():
                 if (k := (int(h[i]), int(f[i]))) in more:
-                    found[i], keep[i] = True, more[k]
-        return found, keep
+                    count[i], keep[i] = more[k]
+        return count, keep
 
 
 def _runs(values: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -146,8 +174,8 @@ def _shard_of(h: np.ndarray, shards: int) -> np.ndarray:
     return signed % shards
 
 
-def _probe(docs: DataFrame, id_col: str, text_col: str, min_chars: int, index, shards: int, drops_only: bool) -> DataFrame:
-    schema = "doc_id bigint, t bigint, dropped array<int>" if drops_only else "doc_id bigint, n_lines bigint, n_dropped bigint, kept_text string"
+def _probe(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int, index, shards: int, drops_only: bool) -> DataFrame:
+    schema = "doc_id bigint, t string, dropped array<int>, most_docs bigint" if drops_only else "doc_id bigint, n_lines bigint, n_dropped bigint, most_docs bigint, kept_text string"
 
     def make():
         table = Index(index.value, shards)
@@ -162,13 +190,17 @@ def _probe(docs: DataFrame, id_col: str, text_col: str, min_chars: int, index, s
                         place.append((i, j))
             halves = np.frombuffer(b"".join(hashes), dtype="<i8").reshape(-1, 2)
             h, f = halves[:, 0].copy(), halves[:, 1].copy()
-            found, keep = table.keeper(h, f, _shard_of(h, shards))
+            count, keep = table.keeper(h, f, _shard_of(h, shards))
             own = np.array([NO_ID if ids[i] is None else ids[i] for i, _ in place], dtype=np.int64)
             gone: dict[int, list[int]] = {}
-            for k in np.flatnonzero(found & (keep != own)):
-                gone.setdefault(place[k][0], []).append(place[k][1])
+            most: dict[int, int] = {}
+            for k in np.flatnonzero(count >= min_docs):
+                i, j = place[k]
+                most[i] = max(most.get(i, 0), int(count[k]))
+                if keep[k] != own[k]:
+                    gone.setdefault(i, []).append(j)
             if drops_only:
-                return [ids[i] for i in gone], [marks[i] for i in gone], list(gone.values())
+                return [ids[i] for i in most], [marks[i] for i in most], [gone.get(i, []) for i in most], list(most.values())
             kept = []
             for i, lines in enumerate(split):
                 if i in gone:
@@ -176,7 +208,7 @@ def _probe(docs: DataFrame, id_col: str, text_col: str, min_chars: int, index, s
                     kept.append(b"\n".join(x for j, x in enumerate(lines) if j not in out))
                 else:
                     kept.append(texts[i])
-            return ids, [len(x) for x in split], [len(gone.get(i, ())) for i in range(len(ids))], kept
+            return ids, [len(x) for x in split], [len(gone.get(i, ())) for i in range(len(ids))], [most.get(i, 0) for i in range(len(ids))], kept
 
         def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids, texts, marks = batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist()
@@ -191,21 +223,23 @@ def _probe(docs: DataFrame, id_col: str, text_col: str, min_chars: int, index, s
                 cols = [[*a, *b] for a, b in zip(cols, got, strict=True)] if cols else [list(x) for x in got]
                 at = end
             if drops_only:
-                return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.int32()))], names=["doc_id", "t", "dropped"])
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary()).cast(pa.string())], names=["doc_id", "n_lines", "n_dropped", "kept_text"])
+                kinds = [pa.int64(), pa.string(), pa.list_(pa.int32()), pa.int64()]
+                return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "t", "dropped", "most_docs"])
+            counts = [pa.array(c, pa.int64()) for c in cols[:4]]
+            return pa.RecordBatch.from_arrays([*counts, pa.array(cols[4], pa.binary()).cast(pa.string())], names=["doc_id", "n_lines", "n_dropped", "most_docs", "kept_text"])
 
         return fn
 
-    mark = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    mark = F.md5(F.coalesce(F.col(text_col), F.lit(""))) if drops_only else F.lit(None).cast("string")
     return map_batches(docs.select(F.col(id_col).cast("bigint"), text_col, mark.alias("mark")), make, schema)
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shard_lines: int = SHARD_LINES, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """doc_id, n_lines (before), n_dropped, kept_text."""
+    """doc_id, n_lines (before), n_dropped, most_docs (documents of its most common repeated line, 0 without one), kept_text."""
     spark = docs.sparkSession
-    lines = cut(repeated_lines(line_hashes(docs, id_col, text_col, min_chars), min_docs))
-    shards = max(1, -(-lines.count() // shard_lines))
-    built = cut(build_shards(lines, shards))
+    hashes = cut(line_hashes(docs, id_col, text_col, min_chars))
+    shards = max(1, -(-hashes.count() // shard_lines))  # a line has a row a document, so shards are no larger
+    built = cut(build_shards(partial_counts(hashes), shards, min_docs))
     rounds: list[list[int]] = [[]]
     room = most_bytes
     for r in built.select("shard", "size").orderBy("shard").collect():  # two numbers a shard
@@ -216,16 +250,17 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         room -= r["size"]
     send = lambda part: spark.sparkContext.broadcast({r["shard"]: bytes(r["index"]) for r in built.where(F.col("shard").isin(part)).collect()})
     if len(rounds) == 1:
-        return _probe(docs, id_col, text_col, min_chars, send(rounds[0]), shards, False)
+        return _probe(docs, id_col, text_col, min_chars, min_docs, send(rounds[0]), shards, False)
     drops = None
     for part in rounds:
         sent = send(part)
-        got = cut(_probe(docs, id_col, text_col, min_chars, sent, shards, True))
+        got = cut(_probe(docs, id_col, text_col, min_chars, min_docs, sent, shards, True))
         sent.destroy()
         drops = got if drops is None else drops.unionByName(got)
-    drops = drops.groupBy("doc_id", "t").agg(F.array_distinct(F.flatten(F.collect_list("dropped"))).alias("dropped")).select(F.col("doc_id").alias("d"), "t", "dropped")
+    drops = drops.groupBy("doc_id", "t").agg(F.array_distinct(F.flatten(F.collect_list("dropped"))).alias("dropped"), F.max("most_docs").alias("most_docs"))
+    drops = drops.select(F.col("doc_id").alias("d"), "t", "dropped", "most_docs")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.split(text, "\n").alias("lines"), F.xxhash64(text).alias("mark"))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.split(text, "\n").alias("lines"), F.md5(text).alias("mark"))
     rows = rows.join(drops, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("t")), "left").withColumn("dropped", F.coalesce("dropped", F.array().cast("array<int>")))
     kept = F.filter("lines", lambda _, i: ~F.array_contains("dropped", i))
-    return rows.select("doc_id", F.size("lines").cast("bigint").alias("n_lines"), F.size("dropped").cast("bigint").alias("n_dropped"), F.array_join(kept, "\n").alias("kept_text"))
+    return rows.select("doc_id", F.size("lines").cast("bigint").alias("n_lines"), F.size("dropped").cast("bigint").alias("n_dropped"), F.coalesce("most_docs", F.lit(0).cast("bigint")).alias("most_docs"), F.array_join(kept, "\n").alias("kept_text"))

@@ -14,7 +14,10 @@ Block selection: a source's documents stand in a seeded order (md5 of seed and
 id) and are cut into blocks along their running word count.  A quota of q blocks
 takes every block ``q // n`` times and the leading ``q % n`` blocks of the
 seeded order once more.  A document's ``taken`` is the number of its words in
-taken blocks, repeats counted, so at most three times its size.
+taken blocks, repeats counted, so at most three times its size.  The taken blocks
+go to the shards of the mix in that order, each shard taking its quota of the
+source: ``mix_shard`` is the shard of a document's first taken word, and
+:func:`deal` gives every document's words shard by shard.
 
 Per-source totals are one row a source and go to the driver, like the targets
 that come back; nothing else does.  Running counts are made per bucket of the
@@ -29,6 +32,7 @@ documents; an empty table gives no rows; other columns are not looked at.
 from __future__ import annotations
 
 import heapq
+import itertools
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, Window
@@ -111,18 +115,21 @@ def plan(sizes: list[int], weights: tuple[float, ...] = WEIGHTS, block: int = BL
     seats = round(sum(free) / block)
     per_shard = shard_quotas(free, seats, shards)
     quota = [most * n if f else min(most * n, sum(s[i] for s in per_shard)) for i, (n, f) in enumerate(zip(blocks, full, strict=True))]
-    return [
-        {"size": s, "target": g, "blocks": n, "quota": q, "per_shard": [x[i] if not f else q * (j + 1) // shards - q * j // shards for j, x in enumerate(per_shard)]}
-        for i, (s, g, n, q, f) in enumerate(zip(sizes, goal, blocks, quota, full, strict=True))
-    ]
+    out = []
+    for i, (s, g, n, q, f) in enumerate(zip(sizes, goal, blocks, quota, full, strict=True)):
+        dealt = [q * (j + 1) // shards - q * j // shards for j in range(shards)] if f else [x[i] for x in per_shard]
+        upto = [min(q, at) for at in itertools.accumulate(dealt)]  # taken blocks of the source up to each shard's end
+        out.append({"size": s, "target": g, "blocks": n, "quota": q, "upto": upto})
+    return out
 
 
 def count_words(col):
     return F.regexp_count(F.coalesce(col, F.lit("")), F.lit(WORD)).cast("bigint")
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, block: int = BLOCK_TOKENS, most: int = MOST, seed: str = SEED, bucket_rows: tuple[int, int] = BUCKET_ROWS, carry: bool = False) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, and with ``carry`` ``row``, a struct of all columns."""
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, block: int = BLOCK_TOKENS, most: int = MOST, shards: int = SHARDS, seed: str = SEED, bucket_rows: tuple[int, int] = BUCKET_ROWS, carry: bool = False) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken, mix_shard, and with ``carry``
+    ``row``, a struct of all columns, and ``place``, what :func:`deal` needs."""
     spark = docs.sparkSession
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
@@ -136,15 +143,15 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
         rows = cut(rows)
     found = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     found.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-8", "surrogatepass")))
-    planned = plan([r["size"] for r in found], weights, block, most)
+    planned = plan([r["size"] for r in found], weights, block, most, shards)
     # hex digits of the seeded key that name a bucket: 16**d buckets of about bucket_rows
     rows_each = min(bucket_rows[1], max(bucket_rows[0], sum(r["n"] for r in found) // 2048))
     digits = [0 if r["n"] <= rows_each else min(8, len(f"{r['n'] // rows_each:x}")) for r in found]
     table = spark.createDataFrame(
-        [(r["source"], p["size"], p["target"], p["blocks"], p["quota"], d) for r, p, d in zip(found, planned, digits, strict=True)],
-        "s string, source_size bigint, target double, blocks bigint, quota bigint, digits int",
+        [(r["source"], p["size"], p["target"], p["blocks"], p["quota"], p["upto"], d) for r, p, d in zip(found, planned, digits, strict=True)],
+        "s string, source_size bigint, target double, blocks bigint, quota bigint, upto array<bigint>, digits int",
     )
-    small = len(found) <= 100_000  # a row of about 100 bytes a source
+    small = len(found) <= 100_000  # a row of about 300 bytes a source
     keyed = rows.join(F.broadcast(table) if small else table, F.col("source").eqNullSafe(F.col("s"))).withColumn("bucket", F.expr("substring(key, 1, digits)"))
     upto = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     first = keyed.groupBy("s", "bucket").agg(F.sum("size").alias("b_size")).withColumn("b_before", F.sum("b_size").over(upto) - F.col("b_size"))
@@ -159,7 +166,29 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     lead = (F.col("quota") % F.greatest(F.col("blocks"), F.lit(1))) * F.lit(block)  # words of the blocks taken once more
     more = F.greatest(F.lit(0), F.least(begin + F.col("size"), lead) - begin)
     rounds = F.floor(F.col("quota") / F.greatest(F.col("blocks"), F.lit(1)))
-    return out.select("doc_id", "source", "size", "source_size", "target", (rounds * F.col("size") + more).cast("bigint").alias("taken"), *(["row"] if carry else []))
+    out = out.withColumn("taken", (rounds * F.col("size") + more).cast("bigint")).withColumn("begin", begin)
+    first = F.expr(f"size(filter(upto, x -> x <= begin div {block}))")
+    out = out.withColumn("mix_shard", F.when(F.col("taken") > 0, first))
+    place = F.struct("begin", "blocks", "quota", "upto", F.lit(block).alias("block")).alias("place")
+    return out.select("doc_id", "source", "size", "source_size", "target", "taken", "mix_shard", *(["row", place] if carry else []))
+
+
+def deal(mixed: DataFrame, text_col: str = "text") -> DataFrame:
+    """The words of the mix by shard: shard, doc_id, source, round, from_word, n_words
+    and their text.  Takes what ``mix(..., carry=True)`` returns; a document whose
+    blocks fall into several shards, or are taken more than once, has several rows."""
+    names = ("begin", "blocks", "quota", "upto", "block")
+    m = mixed.where("taken > 0").select("doc_id", "source", "size", *[F.col(f"place.{n}").alias(n) for n in names], F.col(f"row.`{text_col}`").alias("text"))
+    m = m.withColumn("round", F.explode(F.expr("sequence(0L, quota div blocks)")))
+    # the shards' ends in words of this round of the source's order
+    m = m.withColumn("ends", F.expr("transform(upto, x -> greatest(0L, least(blocks, x - round * blocks)) * block)"))
+    m = m.withColumn("part", F.expr("""filter(transform(ends, (e, i) -> struct(i as shard,
+        greatest(begin, if(i = 0, 0L, ends[i - 1])) - begin as from_word,
+        least(begin + size, e) - greatest(begin, if(i = 0, 0L, ends[i - 1])) as n_words)), x -> x.n_words > 0)"""))
+    m = m.select("doc_id", "source", "round", "text", F.inline("part"))
+    pieces = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    words = F.array_join(F.slice(pieces, (F.col("from_word") + 1).cast("int"), F.col("n_words").cast("int")), " ")
+    return m.select("shard", "doc_id", "source", "round", "from_word", "n_words", words.alias("text"))
 
 
 def emit(mixed: DataFrame, text_col: str = "text") -> DataFrame:

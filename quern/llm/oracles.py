@@ -40,16 +40,43 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM c GROUP BY conv_id
 """
 
+#: CRC32 of the text goes byte by byte over a table made from the polynomial.
+OP7 = r"""
+WITH tab AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i] || list_transform(range(8), lambda x: 0::BIGINT),
+      lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i))),
+d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, strlen(coalesce(text, '')) + 8 AS size,
+    ('0x' || substr(md5(coalesce(text, '')), 1, 15))::BIGINT AS h,
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '-')), 1, 15))::BIGINT AS k
+  FROM documents),
+crc AS (
+  SELECT rid, xor(list_reduce([4294967295] || list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::BIGINT),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32
+  FROM d, tab),
+total AS (SELECT greatest(1.0, sum(size) / 24.0) AS target, max(size) AS top FROM d),
+run AS (
+  SELECT rid, doc_id, size, h, k, sum(size) OVER (ORDER BY h, k, doc_id NULLS FIRST, size, rid) - size AS before FROM d),
+unit AS (SELECT *, min(before) OVER (PARTITION BY h) AS g_before, sum(size) OVER (PARTITION BY h) AS g_bytes FROM run),
+placed AS (
+  SELECT u.*, least(23, floor(CASE WHEN g_bytes <= greatest(top, floor(target / 64)) THEN g_before + g_bytes / 2 ELSE before + size / 2 END / target))::INTEGER AS shard
+  FROM unit u, total)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'bytes' AS law, shard,
+  (row_number() OVER (PARTITION BY shard ORDER BY before) - 1)::BIGINT AS slot, NULL::INTEGER AS grown_shard
+FROM placed JOIN crc USING (rid)
+"""
+
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 OP8 = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(doc_id, -9223372036854775808) AS id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 lines AS (SELECT rid, doc_id, id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM d),
 keyed AS (SELECT *, {_LOWER.format(f"trim(line, {_WS})")} AS key FROM lines),
 repeated AS (
-  SELECT key, max(id) AS keep FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT id) >= 5),
-judged AS (SELECT k.*, r.key IS NOT NULL AND k.id <> r.keep AS gone FROM keyed k LEFT JOIN repeated r ON r.key = k.key)
+  SELECT key, max(id) AS keep, count(DISTINCT id) AS n_docs FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT id) >= 5),
+judged AS (SELECT k.*, r.n_docs, r.key IS NOT NULL AND k.id <> r.keep AS gone FROM keyed k LEFT JOIN repeated r ON r.key = k.key)
 SELECT any_value(doc_id) AS doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (WHERE gone))::BIGINT AS n_dropped,
-  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256, coalesce(max(n_docs), 0)::BIGINT AS most_docs
 FROM judged GROUP BY rid
 """
 
@@ -83,20 +110,24 @@ goal AS (
   FROM weighed s LEFT JOIN ordered o ON o.nth = s.nth, lambda_ l, open_ u),
 seats AS (SELECT round(coalesce(sum(target) FILTER (WHERE NOT is_full), 0) / 16)::BIGINT AS n FROM goal),
 quotients AS (
-  SELECT nth, target / (2 * a.a + 1) AS q FROM goal, LATERAL (SELECT unnest(range(0, 3 * blocks + 1)) AS a) a WHERE NOT is_full),
-won AS (
-  SELECT nth, count(*) AS n FROM (SELECT nth, row_number() OVER (ORDER BY q DESC, nth) AS r FROM quotients), seats WHERE r <= seats.n GROUP BY nth),
+  SELECT nth, a.a, target / (2 * a.a + 1) AS q FROM goal, LATERAL (SELECT unnest(range(0, 3 * blocks + 1)) AS a) a WHERE NOT is_full),
+dealt AS (
+  SELECT nth, a, (24 * r + n - 1) // n - 1 AS shard
+  FROM (SELECT nth, a, row_number() OVER (ORDER BY q DESC, nth) AS r FROM quotients), seats WHERE r <= n),
+won AS (SELECT nth, count(*) AS n FROM dealt GROUP BY nth),
 quota AS (
-  SELECT g.source, g.source_size, g.target, g.blocks,
+  SELECT g.source, g.source_size, g.target, g.blocks, g.nth, g.is_full,
     CASE WHEN is_full THEN 3 * g.blocks ELSE least(3 * g.blocks, coalesce(won.n, 0)) END AS quota
   FROM goal g LEFT JOIN won ON won.nth = g.nth),
 placed AS (
   SELECT d.doc_id, d.size, q.*, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.tie, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-  FROM docs d JOIN quota q ON d.source IS NOT DISTINCT FROM q.source)
-SELECT doc_id, size, source_size, target,
-  ((quota // greatest(blocks, 1)) * size
-   + greatest(0, least(start + size, (quota % greatest(blocks, 1)) * 16) - start))::BIGINT AS taken
-FROM placed
+  FROM docs d JOIN quota q ON d.source IS NOT DISTINCT FROM q.source),
+mixed AS (
+  SELECT *, ((quota // greatest(blocks, 1)) * size
+    + greatest(0, least(start + size, (quota % greatest(blocks, 1)) * 16) - start))::BIGINT AS taken FROM placed)
+SELECT doc_id, size, source_size, target, taken,
+  CASE WHEN taken > 0 THEN CASE WHEN is_full THEN (24 * (start // 16 + 1) - 1) // quota ELSE dealt.shard END END::INTEGER AS mix_shard
+FROM mixed LEFT JOIN dealt ON dealt.nth = mixed.nth AND dealt.a = start // 16
 """
 
 _ITEM_W = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"

@@ -46,11 +46,11 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(read(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"), "most_docs")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "mix_shard")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,4 +64,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filters": oracles.OP4, "op5_chat_formatting": oracles.OP5, "op8_line_dedup": oracles.OP8, "op9_mixing": oracles.OP9, "op10_decontamination": oracles.OP10}
+    return {"op4_url_filters": oracles.OP4, "op5_chat_formatting": oracles.OP5, "op7_sharding": oracles.OP7, "op8_line_dedup": oracles.OP8, "op9_mixing": oracles.OP9, "op10_decontamination": oracles.OP10}

@@ -5,7 +5,8 @@ before it.  Cutting the line of bytes at equal targets gives contiguous shards
 of near equal bytes.
 
 The order is (hash of the text, hash of the id, id), so that equal texts are
-neighbours.  The prefix sums are made in two steps and never by one task: a row
+neighbours.  The hashes are the leading 60 bits of md5, so any engine can say the
+same order.  The prefix sums are made in two steps and never by one task: a row
 belongs to a *bucket* of the order (the leading bits of the text's hash, and for
 a text that fills more than its share also leading bits of the id's hash);
 bucket totals are pre-aggregated on the map side and summed up (there are at
@@ -23,7 +24,7 @@ other than id and text are not looked at.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -35,8 +36,13 @@ BUCKETS = (1024, 65_536)
 #: Units of equal texts stay whole up to target / WHOLE bytes.
 WHOLE = 64
 
-#: What sizes() makes.
-NARROW = "doc_id bigint, size bigint, text_crc32 bigint, h bigint, k bigint"
+#: Bits of the order's hashes.
+HASH_BITS = 60
+
+
+def order_hash(col: Column) -> Column:
+    """The leading 60 bits of a string's md5."""
+    return F.conv(F.substring(F.md5(col), 1, HASH_BITS // 4), 16, 10).cast("bigint")
 
 
 def bits_for(rows: int, per_bucket: int = BUCKET_ROWS, limits: tuple[int, int] = BUCKETS) -> int:
@@ -52,10 +58,10 @@ def prefix_sums(rows: DataFrame, bits: int, total: int) -> DataFrame:
     # at most 2**bits texts can have more rows than a bucket should, which bounds both collects
     large = {r["h"]: max(1, (r["count"] // share).bit_length()) for r in rows.groupBy("h").count().where(F.col("count") > share).collect()}
     cuts = spark.createDataFrame([(h, n) for h, n in large.items()], "h bigint, part_bits int")
-    keyed = rows.join(F.broadcast(cuts), "h", "left").withColumn("b", F.shiftright("h", 64 - bits))
-    keyed = keyed.withColumn("big", F.when(F.col("part_bits").isNotNull(), F.col("h"))).withColumn("p", F.expr("if(part_bits is null, 0L, shiftright(k, 64 - part_bits))"))
+    keyed = rows.join(F.broadcast(cuts), "h", "left").withColumn("b", F.shiftright("h", HASH_BITS - bits))
+    keyed = keyed.withColumn("big", F.when(F.col("part_bits").isNotNull(), F.col("h"))).withColumn("p", F.expr(f"if(part_bits is null, 0L, shiftright(k, {HASH_BITS} - part_bits))"))
     # where a large text splits its bucket, the rows after it are a bucket of their own
-    after = F.broadcast(cuts.select(F.col("h").alias("big_h"), F.shiftright("h", 64 - bits).alias("b")).groupBy("b").agg(F.sort_array(F.collect_list("big_h")).alias("bigs")))
+    after = F.broadcast(cuts.select(F.col("h").alias("big_h"), F.shiftright("h", HASH_BITS - bits).alias("b")).groupBy("b").agg(F.sort_array(F.collect_list("big_h")).alias("bigs")))
     keyed = keyed.join(after, "b", "left").withColumn("q", F.expr("if(bigs is null, 0, size(filter(bigs, x -> x < h)))")).drop("bigs")
     key = ["b", "q", "is_big", "p"]
     keyed = keyed.withColumn("is_big", F.col("big").isNotNull())
@@ -95,8 +101,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, *, id_col: str = "doc_
         F.col(id_col).cast("bigint").alias("doc_id"),
         (F.octet_length(text) + F.lit(8)).cast("bigint").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-        F.xxhash64(text).alias("h"),
-        F.xxhash64(F.lit("row"), F.col(id_col)).alias("k"),
+        order_hash(text).alias("h"),
+        order_hash(F.coalesce(F.col(id_col).cast("string"), F.lit("-"))).alias("k"),
         *([F.struct("*").alias("row")] if carry else []),
     )
     if not carry:  # narrow rows: the text is read once

@@ -18,7 +18,11 @@ cell's links.
 Equal fingerprints are one entry from the start, so copies cost nothing.  A cell
 that may hold over ``cell_limit`` entries (found on a sample of the fingerprints;
 a cell that the sample misses is still compared in full, just by one task) is
-dealt to blocks, and every pair of blocks is compared by its own group.
+dealt to blocks, and every pair of blocks is compared by its own group.  The
+crowded cells are a table that is joined, broadcast while it is small.
+
+The embedding proves links of up to five differing bits; a larger ``distance`` is
+an error, not a loss.
 
 Defined results: a null text or one without words has fingerprint zero, linked
 like any other; fewer than four words are one shingle; null ids take part, and
@@ -45,6 +49,10 @@ DISTANCE = 4
 SEED = 42
 CELL_LIMIT = 50_000
 SAMPLE = 64
+#: Differing bits up to which one half is within Manhattan distance 2.
+MOST_DISTANCE = 5
+#: Crowded cells that are broadcast, 16 bytes each; more are joined by a shuffle.
+MOST_CELLS = 500_000
 _POW3 = 3 ** np.arange(16, dtype=np.int64)
 
 
@@ -169,65 +177,70 @@ def links_of_runs(cell: np.ndarray, fp: np.ndarray, distance: int, large: int =
     return roots(np.concatenate(a), np.concatenate(b))
 
 
-def entries(fps: DataFrame, crowded: dict[int, int]) -> DataFrame:
-    """(cell, pair, fp): the cells of distinct fingerprints (fp)."""
+def entries(fps: DataFrame) -> DataFrame:
+    """(cell, fp): the cells of distinct fingerprints (fp)."""
 
     def make():
         def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
             fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             row, cell = cells_of(fp)
-            pair = np.zeros(len(cell), dtype=np.int64)
-            if crowded:
-                hot = np.isin(cell, np.fromiter(crowded, dtype=np.int64))
-                more_r, more_c, more_p = [row[~hot]], [cell[~hot]], [pair[~hot]]
-                for r, c in zip(row[hot], cell[hot], strict=True):
-                    n = crowded[int(c)]
-                    own = int(fp[r] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % n
-                    more_p.append(np.array([min(own, j) * n + max(own, j) for j in range(n)]))
-                    more_r.append(np.full(n, r))
-                    more_c.append(np.full(n, c))
-                row, cell, pair = np.concatenate(more_r), np.concatenate(more_c), np.concatenate(more_p)
-            return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(pair.astype(np.int32)), pa.array(fp[row].view(np.int64))], names=["cell", "pair", "fp"])
+            return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(fp[row].view(np.int64))], names=["cell", "fp"])
 
         return fn
 
-    return map_batches(fps.select("fp"), make, "cell bigint, pair int, fp bigint")
+    return map_batches(fps.select("fp"), make, "cell bigint, fp bigint")
+
+
+def crowded_cells(fps: DataFrame, cell_limit: int, sample: int) -> DataFrame | None:
+    """(cell, blocks) of the cells that may hold over ``cell_limit`` entries, or None."""
+    if fps.count() <= cell_limit:  # no cell can
+        return None
+    few = entries(fps.where(F.pmod(F.xxhash64("fp"), F.lit(sample)) == 0))
+    over = few.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") * sample > cell_limit)
+    cells = cut(over.select("cell", F.ceil(2 * F.col("n") * sample / F.lit(cell_limit)).cast("bigint").alias("blocks")))
+    found = cells.count()
+    return None if not found else F.broadcast(cells) if found <= MOST_CELLS else cells
+
+
+def dealt_entries(fps: DataFrame, crowded: DataFrame | None) -> DataFrame:
+    """(cell, pair, fp): an entry of a crowded cell goes to every pair that its block is in."""
+    made = entries(fps)
+    if crowded is None:
+        return made.select("cell", F.lit(0).cast("bigint").alias("pair"), "fp")
+    made = made.join(crowded, "cell", "left").withColumn("own", F.expr("pmod(xxhash64(fp, 7), blocks)"))
+    pairs = F.expr("if(blocks is null, array(0L), transform(sequence(0L, blocks - 1), j -> least(own, j) * blocks + greatest(own, j)))")
+    return made.select("cell", F.explode(pairs).alias("pair"), "fp")
 
 
 def links(fps: DataFrame, *, distance: int = DISTANCE, cell_limit: int = CELL_LIMIT, sample: int = SAMPLE) -> DataFrame:
     """(u, v): a spanning forest of all links between distinct fingerprints (fp)."""
-    crowded: dict[int, int] = {}
-    if fps.count() > cell_limit:
-        few = entries(fps.where(F.pmod(F.xxhash64("fp"), F.lit(sample)) == 0), {})
-        over = few.groupBy("cell").count().where(F.col("count") * sample > cell_limit)
-        crowded = {r["cell"]: -(-2 * r["count"] * sample // cell_limit) for r in over.collect()}  # at most 50 * fingerprints / cell_limit
+    if not 0 <= distance <= MOST_DISTANCE:
+        raise ValueError(f"distance must be 0 to {MOST_DISTANCE}: beyond, cells don't hold all links")
+    crowded = crowded_cells(fps, cell_limit, sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-            u, v = links_of_runs(key, fp, distance)
+        def out(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+            cell, pair, fp = (np.concatenate(x) for x in zip(*parts, strict=True))
+            u, v = links_of_runs(np.cumsum(np.r_[False, (cell[1:] != cell[:-1]) | (pair[1:] != pair[:-1])]), fp, distance)
             return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
-        held: list[tuple[np.ndarray, np.ndarray]] = []  # the run that may go on in the next batch
+        held: list[tuple[np.ndarray, ...]] = []  # the run that may go on in the next batch
 
         for batch in batches:
             cell, pair, fp = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            key = cell * np.int64(1 << 20) + pair  # pairs of blocks are far fewer than 2**20
             fp = fp.view(np.uint64)
-            last = np.searchsorted(key, key[-1])
-            if held and held[0][0][0] == key[0] == key[-1]:
-                held.append((key, fp))
+            last = int(np.flatnonzero((cell == cell[-1]) & (pair == pair[-1]))[0])  # sorted: where the last run begins
+            if not last and held and held[0][0][0] == cell[0] and held[0][1][0] == pair[0]:
+                held.append((cell, pair, fp))
                 continue
-            keys = np.concatenate([*(k for k, _ in held), key[:last]])
-            fps_ = np.concatenate([*(f for _, f in held), fp[:last]])
-            if held and last == 0:  # the held run ended with its batch
-                pass
-            held = [(key[last:], fp[last:])]
-            if len(keys):
-                yield out(keys, fps_)
+            done = [*held, (cell[:last], pair[:last], fp[:last])]
+            if any(len(x[0]) for x in done):
+                yield out(done)
+            held = [(cell[last:], pair[last:], fp[last:])]
         if held:
-            yield out(np.concatenate([k for k, _ in held]), np.concatenate([f for _, f in held]))
+            yield out(held)
 
-    dealt = entries(fps, crowded).repartition("cell", "pair").sortWithinPartitions("cell", "pair")
+    dealt = dealt_entries(fps, crowded).repartition("cell", "pair").sortWithinPartitions("cell", "pair")
     return dealt.mapInArrow(run, "u bigint, v bigint")
 
 

@@ -180,6 +180,36 @@ def test_links_lose_nothing(spark, limit):
     assert [first.setdefault(o, i) for i, o in enumerate(ours)] == want
 
 
+def test_links_of_the_largest_distance(spark):
+    rng = np.random.default_rng(8)
+    seeds = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    pairs = []
+    for s in seeds:
+        x = int(s)
+        for b in rng.choice(64, simhash.MOST_DISTANCE, replace=False):
+            x ^= 1 << int(b)
+        pairs += [int(s), x]
+    signed = [f - 2**64 if f >= 2**63 else f for f in pairs]
+    df = spark.createDataFrame([(f,) for f in signed], "fp long")
+    assert components(simhash.links(df, distance=simhash.MOST_DISTANCE)).count() == 300
+    for bad in (-1, 6, 8):
+        with pytest.raises(ValueError):
+            simhash.links(df, distance=bad)
+
+
+def test_crowded_cells_with_many_blocks(spark):
+    """Over 1023 blocks a cell: pairs of blocks keep apart."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 3, dtype=np.uint64)
+    found = sorted({int(b) ^ (1 << i) ^ (1 << j) for b in base for i in range(20) for j in range(i)})
+    df = spark.createDataFrame([(f,) for f in found], "fp long")
+    crowded = spark.createDataFrame([(int(c), 1500) for c in np.unique(simhash.cells_of(np.array(found, dtype=np.uint64))[1])[:20]], "cell long, blocks long")
+    dealt = simhash.dealt_entries(df, crowded)
+    assert dealt.agg(F.max("pair")).first()[0] > 2**20
+    plain = simhash.entries(df).where(F.col("cell").isin([r["cell"] for r in crowded.collect()])).count()
+    assert dealt.join(crowded, "cell", "left_semi").count() == 1500 * plain
+
+
 def test_forest_of_large_runs():
     rng = np.random.default_rng(1)
     fp = np.unique(rng.integers(0, 2**10, 900, dtype=np.uint64) * np.uint64(2**40))
@@ -343,6 +373,34 @@ def test_sharding(spark, sf):
     assert sorted(map(tuple, rows), key=repr) == sorted(map(tuple, q(spark, sf).collect()), key=repr)
 
 
+@pytest.mark.parametrize("buckets", [(1, 1), (64, 64), (1024, 65536)])
+def test_sharding_by_brute_force(spark, sf, buckets):
+    """Prefix sums over one global order, in plain Python."""
+    import hashlib
+
+    docs = [(i, t) for i, t, _ in tables.documents()[0]] + [(i, "one text of many") for i in range(200, 900)] + [(i, f"text {i}" * (i % 9)) for i in range(900, 1500)]
+    mark = lambda x: int(hashlib.md5(x.encode()).hexdigest()[:15], 16)
+    rows = sorted((mark(t or ""), mark("-" if i is None else str(i)), -1 if i is None else i, len((t or "").encode()) + 8, t or "") for i, t in docs)
+    total, top = sum(r[3] for r in rows), max(r[3] for r in rows)
+    target = total / 24
+    unit = max(top, int(target / shard.WHOLE))
+    group = collections.Counter()
+    for r in rows:
+        group[r[0]] += r[3]
+    want, at, begun = [], 0, {}
+    slots = collections.Counter()
+    for h, _, i, size, text in rows:
+        begun.setdefault(h, at)
+        middle = begun[h] + group[h] / 2 if group[h] <= unit else at + size / 2
+        s = min(23, int(middle // target))
+        want.append((None if i == -1 else i, size, zlib.crc32(text.encode()), s, slots[s]))
+        slots[s] += 1
+        at += size
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = [tuple(r) for r in shard.shard_by_bytes(df, buckets=buckets).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_sharding_with_large_groups(spark):
     docs = [(i, "common text " * 3) for i in range(1500)] + [(i, f"text {i % 900}" * (i % 7 + 1)) for i in range(1500, 4000)] + [(None, None)] * 40
     df = spark.createDataFrame(docs, "doc_id long, text string")
@@ -369,6 +427,29 @@ def test_perfect_hash():
     assert perfect_hash.PerfectHash(keys[:0]).slots(keys[:3]).tolist() == [-1] * 3
 
 
+def test_counts_in_the_arrays():
+    """Partial counts of lines, some with equal first halves, against a plain count."""
+    rng = np.random.default_rng(5)
+    h = rng.integers(0, 40, 3000)
+    f = rng.integers(0, 2**63, (40, 2))[h, rng.integers(0, 2, 3000)]  # two lines of each first half
+    h = h.astype(np.uint64)
+    n, keep = rng.integers(1, 4, 3000), rng.integers(0, 10**6, 3000)
+    want: dict = {}
+    for a, b, c, d in zip(h.tolist(), f.tolist(), n.tolist(), keep.tolist(), strict=True):
+        old = want.get((a, b), (0, 0))
+        want[a, b] = old[0] + c, max(old[1], d)
+    limit = sorted(v[0] for v in want.values())[len(want) // 3]
+    raw, lines = line_dedup.count_shard(h, f, n, keep, limit)
+    assert lines == len(want)
+    index = line_dedup.Index({0: raw}, 1)
+    ask = [*want, (99, 5), (3, 77)]
+    a, b = np.array([k[0] for k in ask], dtype=np.int64), np.array([k[1] for k in ask], dtype=np.int64)
+    count, keeper = index.keeper(a, b, np.zeros(len(ask), dtype=np.int64))
+    for k, c, d in zip(ask, count.tolist(), keeper.tolist(), strict=True):
+        total, most = want.get(k, (0, 0))
+        assert (c, d) == ((total, most) if total >= limit else (0, 0))
+
+
 @pytest.mark.parametrize("options", [{"shard_lines": 1}, {"shard_lines": 1, "most_bytes": 1}])
 def test_line_dedup_in_rounds(spark, sf, options):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -414,6 +495,32 @@ def test_mix(spark, sf):
     assert {r["source"]: r["n"] for r in words} == {s: n for s, own in by.items() if (n := sum(r["taken"] for r in own))}
 
 
+def test_mix_deals_each_shard_its_quota(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    mixed = mixing.mix(docs, carry=True, shards=5)
+    parts = mixing.deal(mixed).collect()
+    rows = mixed.select("doc_id", "source", "size", "source_size", "taken", "mix_shard", "place").collect()
+    block = mixing.BLOCK_TOKENS
+    have = collections.Counter()
+    for p in parts:
+        assert p["n_words"] == len(WORD.findall(p["text"])) > 0
+        have[p["source"], p["shard"]] += p["n_words"]
+    assert sum(have.values()) == sum(r["taken"] for r in rows)
+    for source in {r["source"] for r in rows}:
+        r = next(x for x in rows if x["source"] == source)
+        upto = r["place"]["upto"]
+        for s, (a, b) in enumerate(zip([0, *upto], upto, strict=False)):
+            # only the last block of a source is shorter, and it is taken at most three times
+            assert 0 <= (b - a) * block - have[source, s] <= 3 * block
+    quota = mixing.plan([r["source_size"] for r in rows][:1], shards=5)[0]
+    assert quota["upto"][-1] == quota["quota"] and max(np.diff([0, *quota["upto"]])) - min(np.diff([0, *quota["upto"]])) <= 1
+    single = [r for r in rows if r["taken"] and sum(x["doc_id"] == r["doc_id"] for x in rows) == 1]
+    for r in single:
+        first = min((p for p in parts if p["doc_id"] == r["doc_id"]), key=lambda p: (p["round"], p["from_word"]))
+        assert first["from_word"] == 0 and first["shard"] == r["mix_shard"]
+    assert {r["mix_shard"] for r in rows if not r["taken"]} <= {None}
+
+
 # 10
 
 
