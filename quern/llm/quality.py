@@ -3,31 +3,48 @@
 The verdict of the method comes from compression ratios (compressed bytes over
 raw bytes).  The whole document is compressed once, and then each fixed chunk
 on its own: a whole-document ratio sees repetition at any distance, chunk
-ratios see a document of which only a part is junk.  Text that repeats itself
-compresses too well, keyboard noise or encoded data too badly; what is usual
-depends on the length, so the limits are a table by length (:data:`BANDS`).
+ratios see a document of which only a part is junk: a fifth of the chunks
+outside their band rejects it.  Text that repeats itself compresses too well,
+keyboard noise or encoded data too badly; what is usual depends on the length, so
+the limits do.  Upper limits are a table by length (:data:`BANDS`), as noise is the
+same everywhere.  Lower limits are learned (:func:`fit`): from labelled documents
+that pass the base rules, a curve of the usual ratio and one of its spread by
+length; the limit lies so many spreads below the curve as tells documents of
+quality 0 from those of quality 1 best, where a good one lost counts
+``LOSS`` times as much as a bad one found.
+
+Learning takes a bounded sample: of each label the ``PER_CLASS`` documents with the
+smallest id hashes.  Without labels of both kinds, or with fewer than
+``FEWEST`` good ones, the lower limits are those of the table.
 
 Defined results:
 
 * null text counts as the empty text: all counts 0, ``base_failed`` true;
 * an empty or white-space-only text is the same;
 * texts shorter than the first band's length get no ratio limit;
+* units with many bytes outside ASCII (other scripts) have the table's lower limit;
 * equal rows get equal results, row by row; an empty table gives no rows;
+* labels that are null, neither 0 nor 1, or without a document teach nothing; of
+  several labels of an id the smaller holds;
 * columns other than the id and the text are not read.
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import WS, as_bytes, map_batches
+from .common import WS, as_bytes, cut, map_batches
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
-CHUNK = 4096
+CHUNK = 1024
 LEVEL = 3
 
 #: (shortest length in bytes, lowest ratio, highest ratio) of a unit, be it a
@@ -66,7 +83,19 @@ ASCII = bytes(range(128))
 HEX_RATIO = 0.9
 
 #: Share of chunks outside their band from which a document is rejected.
-BAD_CHUNKS = 0.5
+BAD_CHUNKS = 0.2
+
+#: Bound of the labelled sample: documents of each label.
+PER_CLASS = 2000
+#: Good documents without which nothing is learned.
+FEWEST = 50
+#: A good document lost weighs as many bad ones found.
+LOSS = 25
+#: Spreads below the curve that a limit may lie.
+REACHES = tuple(2.5 + 0.25 * i for i in range(23))
+#: Shortest unit with a learned limit, in bytes.
+LEAST = 200
+SEED = 42
 
 SCHEMA = (
     "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
@@ -124,6 +153,51 @@ def band_of(size: int, bands=BANDS) -> tuple[float, float]:
     return low, high
 
 
+@dataclass(frozen=True)
+class Usual:
+    """What ratio good text has at its length: curves over the logarithm of its bytes."""
+
+    mean: tuple[float, ...]
+    spread: tuple[float, ...]
+    shortest: float
+    longest: float
+    reach: float
+
+    def curves(self, size: float) -> tuple[float, float]:
+        """The usual ratio and its spread."""
+        x = (max(self.shortest, math.log(size)) - 6) / 3
+        return float(np.polyval(self.mean, x)), math.exp(float(np.polyval(self.spread, x)))
+
+    def lowest(self, size: int) -> float:
+        """The lower limit; none beyond the lengths it was learned from, where the chunks decide."""
+        if math.log(size) > self.longest:
+            return 0.0
+        mean, spread = self.curves(size)
+        return mean - self.reach * spread
+
+
+def learn(sizes: np.ndarray, ratios: np.ndarray, good: np.ndarray) -> Usual | None:
+    """Curves of the good units by robust least squares, and the reach that tells bad from good."""
+    if good.sum() < FEWEST or good.all():
+        return None
+    logs = np.log(sizes)
+    ends = np.quantile(logs[good], [0.01, 0.99])
+    x = (np.clip(logs, *ends) - 6) / 3
+    design = np.vander(x[good], 4)
+    own = ratios[good]
+    mean = np.linalg.lstsq(design, own, rcond=None)[0]
+    for _ in range(5):
+        off = np.abs(own - design @ mean)
+        weight = 1 / np.sqrt(np.maximum(1, off / max(1e-9, 2 * 1.4826 * np.median(off))))
+        mean = np.linalg.lstsq(design * weight[:, None], own * weight, rcond=None)[0]
+    off = np.abs(own - design @ mean)
+    parts = np.array_split(np.argsort(x[good], kind="stable"), max(2, min(20, int(good.sum()) // 40)))
+    spread = np.polyfit([x[good][p].mean() for p in parts], [math.log(max(1e-4, 1.4826 * np.median(off[p]))) for p in parts], 1)
+    below = (np.polyval(mean, x) - ratios) / np.exp(np.polyval(spread, x))
+    reach = max(REACHES, key=lambda r: ((below[~good] > r).sum() - LOSS * (below[good] > r).sum(), r))
+    return Usual(tuple(map(float, mean)), tuple(map(float, spread)), *map(float, ends), reach)
+
+
 def entropy(raw: bytes) -> float:
     """Entropy of the single bytes over their eight bits: the ratio of a coder that knows no repetition."""
     p = np.bincount(np.frombuffer(raw, dtype=np.uint8)) / len(raw)
@@ -152,47 +226,87 @@ def encoded(raw: bytes, packer) -> bool:
     return len(packer.compress(data)) > HEX_RATIO * len(data)
 
 
-def fits(raw: bytes, ratio: float, packer, bands=BANDS) -> bool:
+def lowest(raw: bytes, low: float, usual: Usual | None) -> float:
+    """The lower limit of a unit: the table's or, for long enough text of few bytes outside ASCII, the learned one."""
+    if usual is None or len(raw) < LEAST or len(raw.translate(None, ASCII)) > MULTIBYTE * len(raw):
+        return low
+    return max(low, usual.lowest(len(raw)))
+
+
+def fits(raw: bytes, ratio: float, packer, bands=BANDS, usual: Usual | None = None) -> bool:
     """Whether a unit lies in its band."""
     low, high = band_of(len(raw), bands)
-    return low <= ratio and not incompressible(raw, ratio, high) and not (high < float("inf") and encoded(raw, packer))
+    return lowest(raw, low, usual) <= ratio and not incompressible(raw, ratio, high) and not (high < float("inf") and encoded(raw, packer))
 
 
-def compression(raw: bytes, packer, chunk: int = CHUNK, bands=BANDS) -> tuple[float, int, int, bool]:
+def compression(raw: bytes, packer, chunk: int = CHUNK, bands=BANDS, usual: Usual | None = None) -> tuple[float, int, int, bool]:
     """Whole ratio, chunks, chunks outside their band, and whether the whole lies in its band."""
     n = len(raw)
     if not n:
         return 1.0, 0, 0, True
     ratio = len(packer.compress(raw)) / n
-    inside = fits(raw, ratio, packer, bands)
+    inside = fits(raw, ratio, packer, bands, usual)
     bad, chunks = 0, max(1, n // chunk)  # the rest joins the last chunk
     if chunks == 1:
         bad = not inside
     else:
         for i in range(chunks):
             part = raw[i * chunk : (i + 1) * chunk if i < chunks - 1 else n]
-            bad += not fits(part, len(packer.compress(part)) / len(part), packer, bands)
+            bad += not fits(part, len(packer.compress(part)) / len(part), packer, bands, usual)
     return ratio, chunks, int(bad), inside
 
 
-def judge(raw: bytes, cp: int, packer, chunk: int = CHUNK, bands=BANDS, bad_chunks: float = BAD_CHUNKS) -> tuple:
-    """The row of :data:`SCHEMA` after the id, of one text with ``cp`` code points."""
+def base_rules(raw: bytes) -> tuple[int, int, bool]:
+    """Words, words in repeated windows, and whether the base rules fail."""
     words = raw.split()
-    n = len(words)
+    n, repeat = len(words), repeated_words(words)
+    return n, repeat, n < 20 or 100 * repeat > 30 * n
+
+
+def judge(raw: bytes, cp: int, packer, chunk: int = CHUNK, bands=BANDS, bad_chunks: float = BAD_CHUNKS, usual: Usual | None = None) -> tuple:
+    """The row of :data:`SCHEMA` after the id, of one text with ``cp`` code points."""
+    n, repeat, failed = base_rules(raw)
     word_chars = cp - (len(raw) - len(raw.translate(None, WS)))
     symbols = len(raw) - len(raw.translate(None, SYMBOLS))
     dup = 0
     if b"\n" in raw:
         lines = [x for x in raw.split(b"\n") if x.strip()]
         dup = len(lines) - len(set(lines))
-    repeat = repeated_words(words)
-    failed = n < 20 or 100 * repeat > 30 * n
-    ratio, chunks, bad, inside = compression(raw, packer, chunk, bands)
+    ratio, chunks, bad, inside = compression(raw, packer, chunk, bands, usual)
     kept = not failed and inside and bad < max(1.0, bad_chunks * chunks)
     return n, word_chars, symbols, dup, repeat, failed, kept, ratio, chunks, bad
 
 
-def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, level: int = LEVEL, bands=BANDS, bad_chunks: float = BAD_CHUNKS) -> DataFrame:
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = PER_CLASS, level: int = LEVEL) -> Usual | None:
+    """Learn the lower limits from a bounded sample of labelled documents."""
+    known = labels.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
+    known = known.groupBy("doc_id").agg(F.min("label").alias("label"))
+    picked = [known.where(F.col("label") == y).orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
+    sample = F.broadcast(cut(picked[0].unionByName(picked[1])))  # at most 2 * per_class ids
+
+    def make():
+        packer = zstandard.ZstdCompressor(level=level)
+
+        def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
+            rows = []
+            for i, y, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2)), strict=True):
+                few_ascii = len(t.translate(None, ASCII)) > MULTIBYTE * len(t)
+                if len(t) >= LEAST and not few_ascii and not base_rules(t)[2]:
+                    rows.append((i, y, len(t), len(packer.compress(t)) / len(t)))
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.float64()]
+            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)], names=["doc_id", "label", "n", "ratio"])
+
+        return fn
+
+    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).join(sample, "doc_id").select("doc_id", "label", "text")
+    made = map_batches(texts, make, "doc_id bigint, label int, n bigint, ratio double")
+    # a row an id, however often it stands in the documents
+    rows = made.groupBy("doc_id", "label").agg(F.min(F.struct("n", "ratio")).alias("m")).select("label", "m.n", "m.ratio").collect()
+    rows.sort()
+    return learn(np.array([r["n"] for r in rows], dtype=np.float64), np.array([r["ratio"] for r in rows]), np.array([r["label"] == 1 for r in rows], dtype=bool))
+
+
+def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, level: int = LEVEL, bands=BANDS, bad_chunks: float = BAD_CHUNKS, usual: Usual | None = None) -> DataFrame:
     """One verdict per document, in one pass without a shuffle."""
 
     def make():
@@ -200,7 +314,7 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
         def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids, texts = batch.column(0), as_bytes(batch.column(1))
-            rows = [judge(t, len(t.decode("utf-8", "replace")), packer, chunk, bands, bad_chunks) for t in texts]
+            rows = [judge(t, len(t.decode("utf-8", "replace")), packer, chunk, bands, bad_chunks, usual) for t in texts]
             kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] + [pa.int64()] * 2
             cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
             return pa.RecordBatch.from_arrays([ids.cast(pa.int64()), *cols], names=[f.split()[0] for f in SCHEMA.split(", ")])
@@ -216,14 +330,12 @@ def keep_documents(docs: DataFrame, **options) -> DataFrame:
     The verdict is taken inside the same pass (a Boolean UDF over Arrow), so the
     text is neither joined nor shuffled.
     """
-    from pyspark.sql import functions as F
-
     chunk, level = options.get("chunk", CHUNK), options.get("level", LEVEL)
-    bands, bad_chunks = options.get("bands", BANDS), options.get("bad_chunks", BAD_CHUNKS)
+    bands, bad_chunks, usual = options.get("bands", BANDS), options.get("bad_chunks", BAD_CHUNKS), options.get("usual")
 
     @F.arrow_udf("boolean")
     def good(texts: pa.Array) -> pa.Array:
         packer = zstandard.ZstdCompressor(level=level)
-        return pa.array([judge(t, len(t.decode("utf-8", "replace")), packer, chunk, bands, bad_chunks)[6] for t in as_bytes(texts)], pa.bool_())
+        return pa.array([judge(t, len(t.decode("utf-8", "replace")), packer, chunk, bands, bad_chunks, usual)[6] for t in as_bytes(texts)], pa.bool_())
 
     return docs.where(good(F.col("text")))

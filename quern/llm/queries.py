@@ -36,7 +36,8 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_rules(read(spark, sf_dir, "documents"))
+    docs = read(spark, sf_dir, "documents")
+    return quality.quality_rules(docs, usual=quality.fit(docs, read(spark, sf_dir, "labels")))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -332,6 +332,60 @@ def test_quality_incompressible():
                    "narrow where much is seen, and never so narrow that an honest paragraph is thrown away by mistake.").encode())
 
 
+def prose(rng, n):
+    """Sentences of invented words, some of them frequent, as prose has them."""
+    common = [tables.sentence(rng, 1) for _ in range(60)]
+    out = []
+    while sum(map(len, out)) + len(out) < n:
+        out.append(rng.choice(common) if rng.random() < 0.55 else "".join(rng.choices("etaoinshrdlucmfw", weights=range(16, 0, -1), k=rng.randint(3, 9))))
+    return " ".join(out)[:n]
+
+
+def test_quality_learns_its_limits(spark):
+    """Documents of quality 0 that compress a little better than prose are told from it; nothing is learned without them."""
+    import random
+
+    rng = random.Random(7)
+    rows, labels = [], []
+    for i in range(400):
+        text = prose(rng, rng.randint(400, 6000))
+        if i % 4 == 0:
+            text = " ".join(w + "%&*#"[k % 4] * 3 for k, w in enumerate(text.split()))
+        rows.append((i, text))
+        labels.append((i, int(i % 4 != 0)))
+    docs = spark.createDataFrame(rows + [(None, "x"), (4, "again")], "doc_id long, text string")
+    good = spark.createDataFrame(labels + [(None, 1), (3, None), (999, 0), (1, 0)], "doc_id long, quality int")
+    usual = quality.fit(docs, good)
+    assert usual.lowest(10**7) == 0
+    packer = zstandard.ZstdCompressor(level=quality.LEVEL)
+    kept = {i: quality.judge(t.encode(), len(t), packer, usual=usual)[6] for i, t in rows}
+    assert sum(kept[i] for i in kept if i % 4) >= 0.98 * 300 and sum(not kept[i] for i in kept if i % 4 == 0) >= 60
+    bands = sum(not quality.judge(t.encode(), len(t), packer)[6] for i, t in rows if i % 4 == 0)
+    assert bands < 10  # the table alone doesn't find them
+    assert quality.fit(docs, good.where("quality = 1 and doc_id <> 1")) is None
+    assert quality.fit(docs, good.limit(20)) is None
+
+
+def test_quality_finds_a_third_of_junk():
+    """Noise, encodings and repetition in 30 % of a document, though the whole ratio hides them;
+    hex beside prose in one chunk is too near to prose, so that takes a longer text."""
+    import base64
+    import random
+    import string
+
+    rng, packer = random.Random(3), zstandard.ZstdCompressor(level=quality.LEVEL)
+    hidden = 0
+    for n in (6000, 9000, 30_000):
+        assert quality.judge(prose(rng, n).encode(), n, packer)[6]
+        kinds = [base64.b64encode(rng.randbytes(n)).decode(), "".join(rng.choices(string.ascii_lowercase, k=n)), "word and word " * n]
+        for junk in kinds + [rng.randbytes(n).hex()] * (n > 10_000):
+            text = f"{prose(rng, n - 3 * n // 10)} {junk}"[:n]
+            row = quality.judge(text.encode(), n, packer)
+            assert not row[6]
+            hidden += quality.compression(text.encode(), packer)[3]
+    assert hidden >= 3
+
+
 def test_repeated_words_collision(monkeypatch):
     import random
 
