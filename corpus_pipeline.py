@@ -19,7 +19,8 @@ from quern.llm.common import checkpoint_dir
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the compression bands reject go."""
-    return quality.keep_documents(docs)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.keep_documents(docs, usual=quality.fit(docs, labels))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
