@@ -1,13 +1,30 @@
 """HTML extraction: a maximum-scoring subsequence over words and tags.
 
-The page becomes one sequence of tokens in page order.  Words score positive and
-tags negative; the weights come from labelled pages (:mod:`.html_pages`): a
-logistic regression of "is main text" on the elements a word stands in gives the
-weight of a word in its place, the share of a tag's occurrences outside main
-text gives the tag's.  The elements around a word pull its score down where they
-are those of menus, adverts, notices, comments and so on.  One linear scan finds
-the contiguous region with the highest sum; inside the region, words in places
-with a score not above zero (an advert between two paragraphs) are left out.
+The page becomes one sequence of tokens in page order.  A word scores by how likely
+words like it are main text, a tag by how often it stands outside of main text, so
+words of text score positive and tags negative.  The weights come from labelled
+pages: two logistic regressions and a count of tags (:class:`Weights`).
+
+1. *Region.*  A word's score is ``2 p - 1`` of a regression over what stands near it:
+   the block it is in, its length, whether it is a sentence, how much of it are links,
+   and the elements around it with their names.  One linear scan finds the contiguous
+   region with the highest sum (:func:`best_region`).
+2. *Container.*  The region is widened to the element that holds it: its ``article`` or
+   ``main``, else the innermost division; where that is the page itself, only over
+   text next to it that is likely main text.  So first and last short paragraphs stay.
+   A page of a few words without a positive region is scanned once more with the
+   log-odds of the words' places.
+3. *Cuts.*  Text in the container that a second regression, over the place alone, takes
+   for a menu, an advert, a notice, a comment and so on is left out.
+
+Neither regression sees ``article``, ``main`` or divisions around a word: what they
+part is found by the scan.  Names of classes count as learned: the whole name, its
+last part and, less telling, its first; those of the elements around a block count
+against it only, its own also for it.
+
+Labelled pages are those of :mod:`.html_pages` and, with :func:`fit`, a bounded sample
+of the table itself: ``SAMPLE_PAGES`` pages of at most ``SAMPLE_CHARS`` characters with
+exactly one ``article`` element, labelled by that structure.
 
 Scripts, styles and other elements without text of their own are skipped whole;
 comments and declarations are no tokens.  Character references are decoded,
@@ -16,8 +33,8 @@ feeds.  A line break element is white space.
 
 Defined results: a null or empty page, or one without a positive region, has the
 empty text; unclosed elements end with the page, unclosed tags and comments
-swallow the rest of it, as browsers do; pages of any length are read whole in
-time linear in their length; repeated rows get equal results; an empty table
+swallow the rest of it, as browsers do; pages of any length and any nesting are read
+whole in time linear in their length; repeated rows get equal results; an empty table
 gives no rows; other columns are not looked at.
 """
 
@@ -26,13 +43,16 @@ from __future__ import annotations
 import functools
 import html
 import re
+from collections import Counter
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import map_batches
-from .html_pages import PAGES, crossed
+from .html_pages import PAGES, mark, page_text
 
 #: Elements whose content is no page text.
 SKIPPED = frozenset("script style noscript template iframe object svg math canvas audio video select textarea title head button datalist map applet noembed noframes xmp".split())
@@ -46,9 +66,12 @@ BLOCKS = frozenset(
 #: Elements that end when one of these begins.
 ENDS = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"])}
 SCOPE = frozenset("ul ol dl table article section div main aside nav footer header form body blockquote".split())
-#: A link inside a paragraph ("a-in-p") says something else than one in a list.
 #: Inline elements that are only kept on the stack if they say something about their place.
 PLACES = frozenset("a label".split())
+#: Elements around a word that no regression sees.
+NEUTRAL = frozenset("html body div section main article span center".split())
+#: Elements that a region is widened to.
+ARTICLES, DIVISIONS = frozenset(["article", "main"]), frozenset("article main section div td blockquote form aside nav footer header".split())
 
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*)|<!\[CDATA\[(?:.*?\]\]>|.*)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?>=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)>?", re.S
@@ -60,19 +83,33 @@ _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.I) for t in RAW}
 _NESTED = {t: re.compile(rf"<(/?){t}(?=[\s/>])[^>]*>?", re.I) for t in SKIPPED - RAW}
 
-#: Most and least of a word's score.  Words in places that aren't main text are left
-#: out anyhow; what they take from the sum stays small, so that a long advert doesn't
-#: part an article from its last short paragraph.  The tags around menus do the parting.
-MOST, LEAST = 3.0, -0.05
-TAG_LEAST, TAG_MOST = -0.3, -0.01
+#: Cost of a tag that stands outside of main text e times as often as inside, of any tag, and of one that
+#: the labelled pages have never inside, but at least so often outside: no region goes beyond it.
+TAG_SCALE, TAG_LEAST, TAG_NEVER, TAG_SEEN = 3.0, 0.02, 10_000.0, 4
+#: Log-odds of a place below which its text is cut.
+CUT = -0.7
+#: A short text straight in a division, where most text stands in paragraphs, is odd.
+ODD_WORDS, ODD_BLOCKS = 40, frozenset("div td section center".split())
+#: Bound of the table's labelled sample, and what it weighs beside the other labelled pages.
+SAMPLE_PAGES, SAMPLE_CHARS, SAMPLE_SHARE = 64, 100_000, 0.5
+PENALTY = 3e-4
+
+_LENGTHS = (2, 5, 10, 20, 40)
+_ENDS = tuple(".!?:;…。！？\"”»)")
 
 
 def attribute_features(attrs: str) -> list[str]:
+    """Features of an element's names, role and visibility."""
     out = []
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key in ("class", "id"):
-            out += [f"c:{x.lower()}" for x in _NAME.findall(value)]
+            for name in value.split():
+                parts = [x.lower() for x in _NAME.findall(name)]
+                if parts:
+                    out.append(f"h:{parts[-1]}")
+                if len(parts) > 1:
+                    out += [f"f:{parts[0]}", f"n:{'-'.join(parts)}"]
         elif key == "role":
             out.append(f"r:{value.strip().lower()}")
         elif key == "style":
@@ -83,93 +120,75 @@ def attribute_features(attrs: str) -> list[str]:
     return out
 
 
-def _element(text: str) -> tuple[str, list[str]]:
-    """Tag and features of an element of a labelled page."""
-    m = re.match(r"[\w-]+", text)
-    features = [f"t:{m[0]}"]
-    for mark, name in re.findall(r"([.#@])([\w-]+)", text):
-        features += [f"r:{name}"] if mark == "@" else [f"c:{x.lower()}" for x in _NAME.findall(name)]
-    return m[0], features
+@dataclass(frozen=True)
+class Weights:
+    """Log-odds of a word's features, near it and of its place alone, and costs of tags."""
 
+    near: dict[str, float] = field(default_factory=dict)
+    place: dict[str, float] = field(default_factory=dict)
+    tags: dict[str, float] = field(default_factory=dict)
 
-@functools.cache
-def train() -> tuple[dict[str, float], float, dict[str, float]]:
-    """Weights of the elements around a word, the weight of a word, and of the tags."""
-    rows: list[tuple[set[str], int, int]] = []
-    inside: dict[str, float] = {}
-    outside: dict[str, float] = {}
-    for page in (*PAGES, crossed()):
-        for path, times, words, label in page:
-            elements = [_element(x) for x in path.split()]
-            rows.append(({f for _, fs in elements for f in fs} | {"x:any"}, label, times * words))
-            for tag, _ in elements[-2:]:
-                side = inside if label else outside
-                side[tag] = side.get(tag, 0.0) + 2 * times
-    rows.append(({"t:div", "x:hidden"}, 0, 200))
-    rows.append(({"t:p", "x:hidden"}, 0, 200))
-    names = sorted({f for fs, _, _ in rows for f in fs} - {"x:any"})
-    x = np.zeros((len(rows), len(names) + 1))
-    for i, (fs, _, _) in enumerate(rows):
-        for f in fs - {"x:any"}:
-            x[i, names.index(f)] = 1
-        x[i, -1] = 1
-    y = np.array([label for _, label, _ in rows], dtype=float)
-    weight = np.sqrt(np.array([n for _, _, n in rows], dtype=float))
-    weight /= weight.sum()
-    w = np.zeros(len(names) + 1)
-    penalty = np.full(len(w), 3e-5)
-    for _ in range(60):  # Newton steps
-        p = 1 / (1 + np.exp(-x @ w))
-        grad = x.T @ (weight * (p - y)) + penalty * w
-        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(penalty)
-        step = np.linalg.solve(hess, grad)
-        w -= step
-        if np.abs(step).max() < 1e-10:
-            break
-    tags = {}
-    for t in {*inside, *outside}:
-        odds = np.log((outside.get(t, 0.0) + 0.5) / (inside.get(t, 0.0) + 0.5))
-        tags[t] = float(min(TAG_MOST, max(TAG_LEAST, -0.1 * max(0.0, odds))))
-    return {f: float(v) for f, v in zip(names, w, strict=False)}, float(w[-1]), tags
 
+def best_region(scores: list[float]) -> tuple[int, int]:
+    """The contiguous region [first, last) with the highest positive sum, (0, 0) if there is none; one scan."""
+    best = total = 0.0
+    start = first = last = 0
+    for i, score in enumerate(scores):
+        if total <= 0.0:
+            total, start = 0.0, i
+        total += score
+        if total > best:
+            best, first, last = total, start, i + 1
+    return first, last
 
-class Extractor:
-    def __init__(self, weights: dict[str, float], base: float, tags: dict[str, float]):
-        self.weights, self.base, self.tags = weights, base, tags
-        self.by_attrs: dict[tuple[str, str], tuple[tuple[str, ...], float]] = {}
 
-    def features(self, tag: str, attrs: str) -> tuple[tuple[str, ...], float]:
-        """Known features of an element and the sum of their weights."""
-        key = (tag, attrs)
-        found = self.by_attrs.get(key)
-        if found is None:
-            names = dict.fromkeys([f"t:{tag}", *(attribute_features(attrs) if attrs else ())])
-            known = tuple(f for f in names if f in self.weights)
-            found = known, sum(self.weights[f] for f in known)
-            if len(self.by_attrs) < 50_000 and len(attrs) < 200:
-                self.by_attrs[key] = found
-        return found
+class Page:
+    """The tokens of a page.
 
-    def pieces(self, page: str) -> list[tuple[float, str | None]]:
-        """(score, text) of the tokens in page order; tags have no text but ``""`` where they end a block."""
-        out: list[tuple[float, str | None]] = []
-        # open elements: (tag, features seen so far, score of a word here)
-        stack: list[tuple[str, frozenset, float]] = [("", frozenset(), self.base)]
-        tags, lowest = self.tags, TAG_MOST
+    ``texts`` holds (text, words, features around it, (own block's tag, its names), in a
+    link, block, element); ``tokens`` the texts' numbers and, as strings, the tags between."""
+
+    def __init__(self, page: str, known):
+        self.texts: list[tuple] = []
+        self.tokens: list = []
+        self.parent, self.name = [0], [""]
+        self._read(page, known)
+
+    def _read(self, page: str, known) -> None:
+        texts, tokens = self.texts, self.tokens
+        # open elements: tag, features around, own block, in a link, element, open inline elements of this scope
+        stack: list[tuple] = [("", frozenset(), ("body", ()), False, 0)]
+        inline: list[Counter] = [Counter()]  # open elements other than SCOPE ones, by scope
+        scopes: Counter = Counter()
+        block = 0
         at, size = 0, len(page)
         search = _TOKEN.search
+
+        def drop(upto: int) -> None:
+            # from the top, so that a scope's counter goes before its outer one is used
+            while len(stack) > upto:
+                tag = stack.pop()[0]
+                if tag in SCOPE:
+                    scopes[tag] -= 1
+                    inline.pop()
+                else:
+                    inline[-1][tag] -= 1
+
+        def last_of(tags) -> int:
+            i = len(stack) - 1
+            while stack[i][0] not in tags:
+                i -= 1
+            return i
+
         while at < size:
             m = search(page, at)
             begin = m.start() if m else size
             if begin > at:
                 raw = page[at:begin]
                 text = html.unescape(raw) if "&" in raw else raw
-                words = len(text.split())
-                if words:
-                    score = max(LEAST, min(MOST, stack[-1][2]))
-                    out.append((words * score, text if score > 0 else None))
-                else:
-                    out.append((0.0, text))
+                _, seen, own, link, node = stack[-1]
+                tokens.append(len(texts))
+                texts.append((text, len(text.split()), seen, own, link, block, node))
             if not m:
                 break
             at = m.end()
@@ -180,93 +199,321 @@ class Extractor:
             if m[1]:
                 if tag in SKIPPED:
                     continue
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == tag:
-                        del stack[i:]
-                        break
-                    if stack[i][0] in SCOPE and tag not in SCOPE:
-                        break
+                if tag in SCOPE:
+                    if scopes[tag]:
+                        drop(last_of((tag,)))
+                elif inline[-1][tag]:
+                    drop(last_of((tag,)))
+                tokens.append("/" + tag)
             elif tag in SKIPPED:
                 if not m[3].endswith("/"):
-                    at = self.skip(page, tag, at)
+                    at = skip(page, tag, at)
                 continue
             elif tag == "br":
-                out.append((tags.get(tag, lowest), " "))
+                tokens.append(len(texts))
+                texts.append((" ", 0, *stack[-1][1:4], block, stack[-1][4]))
                 continue
             elif tag not in VOID:
-                if tag in ENDS or tag in BLOCKS:
-                    self.close(stack, tag)
+                if tag in ENDS or tag in BLOCKS:  # ends an open paragraph, with what is open inside; items end items
+                    ends = [t for t in (*ENDS.get(tag, ()), "p") if inline[-1][t]]
+                    if ends:
+                        drop(min(last_of((t,)) for t in ends) if len(ends) > 1 else last_of(ends))
                 if tag in BLOCKS or tag in PLACES or m[3]:
-                    _, seen, score = stack[-1]
-                    known, total = self.features("a-in-p" if tag == "a" and "t:p" in seen else tag, m[3])
-                    new = [f for f in known if f not in seen]
-                    if new:
-                        score += total if len(new) == len(known) else sum(self.weights[f] for f in new)
-                        seen = seen.union(new)
-                    if len(stack) < 500:
-                        stack.append((tag, seen, score))
-            out.append((tags.get(tag, lowest), "" if tag in BLOCKS else None))
+                    _, seen, own, link, _ = stack[-1]
+                    new, names = known(tag, m[3], seen)
+                    if not new <= seen:
+                        seen = seen | new
+                    self.parent.append(stack[-1][4])
+                    self.name.append(tag)
+                    stack.append((tag, seen, (tag, names) if tag in BLOCKS else own, link or tag == "a", len(self.name) - 1))
+                    if tag in SCOPE:
+                        scopes[tag] += 1
+                        inline.append(Counter())
+                    else:
+                        inline[-1][tag] += 1
+                tokens.append(tag)
+            else:
+                tokens.append(tag)
+            if tag in BLOCKS:
+                block += 1
+
+    def near(self) -> list[tuple[str, ...]]:
+        """Features of each text's block: length, sentence end, links, oddness."""
+        words, links, last = Counter(), Counter(), {}
+        kinds: Counter = Counter()
+        for text, n, _, own, link, block, _ in self.texts:
+            if n:
+                words[block] += n
+                kinds[own[0]] += n
+                last[block] = text
+                if link:
+                    links[block] += n
+        mostly_p = 2 * kinds["p"] > sum(kinds.values())
+        made: dict[tuple, tuple[str, ...]] = {}
+        out = []
+        for _, n, _, own, _, block, _ in self.texts:
+            if not n:
+                out.append(())
+                continue
+            key = (block, own)
+            if key not in made:
+                w = words[block]
+                f = [f"b:{own[0]}", *own[1], f"l:{sum(w > x for x in _LENGTHS)}"]
+                if last[block].rstrip().endswith(_ENDS):
+                    f.append("e:1")
+                if 2 * links[block] > w:
+                    f.append("k:1")
+                if mostly_p and own[0] in ODD_BLOCKS and w < ODD_WORDS:
+                    f.append(f"odd:{own[0]}")
+                made[key] = tuple(f)
+            out.append(made[key])
         return out
 
-    @staticmethod
-    def close(stack: list, tag: str) -> None:
-        """A block start ends an open paragraph, and with it what is open inside; items end items."""
-        ends = ENDS.get(tag, frozenset()) | {"p"}
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] in ends:
-                del stack[i:]
-                return
-            if stack[i][0] in SCOPE:
-                return
+
+#: Features of :meth:`Page.near` that tell a place.
+PLACE_KINDS = ("b:", "o:", "odd:")
+
+
+def skip(page: str, tag: str, at: int) -> int:
+    """Behind the end tag of an element that is skipped, or the end of the page."""
+    if tag in RAW:
+        m = _END[tag].search(page, at)
+        return m.end() if m else len(page)
+    depth = 1
+    for m in _NESTED[tag].finditer(page, at):
+        depth += -1 if m[1] else 0 if m[0].endswith("/>") else 1
+        if not depth:
+            return m.end()
+    return at if tag in ("head", "button", "map", "object") else len(page)
+
+
+def around(tag: str, attrs: str, seen: frozenset) -> tuple[frozenset, tuple[str, ...]]:
+    """Features that an element gives to the words in it, and those of its names to its own."""
+    out = attribute_features(attrs) if attrs else []
+    names = tuple(dict.fromkeys(f"o:{f[2:]}" for f in out if f.startswith("h:")))
+    if tag == "a":
+        out.append("t:a-in-p" if "t:p" in seen else "t:a")
+    elif tag not in NEUTRAL:
+        out.append(f"t:{tag}")
+    return frozenset(out), names
+
+
+def labelled_rows(page: str) -> tuple[Counter, Counter]:
+    """Words by (features near, features of the place, label), and tags by (tag, label), of a page
+    whose main text stands between ``[[`` and ``]]``."""
+    read = Page(page, around)
+    near = read.near()
+    rows: Counter = Counter()
+    tags: Counter = Counter()
+    label = 0
+    for token in read.tokens:
+        if isinstance(token, str):
+            tags[token, label] += 1
+            continue
+        text, _, seen, own, *_ = read.texts[token]
+        for piece in re.split(r"(\[\[|\]\])", text):
+            if piece in ("[[", "]]"):
+                label = int(piece == "[[")
+            elif n := len(piece.split()):
+                place = {f for f in near[token] if f.startswith(PLACE_KINDS)}
+                rows[frozenset(seen | {*near[token]}), frozenset(seen | place), label] += n
+    return rows, tags
+
+
+#: Features that may only count against a word: the names of elements around it.
+AGAINST = ("n:", "h:", "f:")
+
+
+def regress(rows: list[tuple[frozenset, int, float]]) -> dict[str, float]:
+    """Weights of a logistic regression of the label on the features; names around that would count
+    for a word are left out and the rest is fitted again."""
+    names = {f for fs, _, _ in rows for f in fs}
+    while True:
+        found = newton(rows, sorted(names))
+        over = {f for f, v in found.items() if v > 0 and f.startswith(AGAINST)}
+        if not over:
+            return {f: v for f, v in found.items() if abs(v) > 1e-3 or not f}
+        names -= over
+
+
+def newton(rows: list[tuple[frozenset, int, float]], names: list[str]) -> dict[str, float]:
+    number = {f: i for i, f in enumerate(names)}
+    x = np.zeros((len(rows), len(names) + 1))
+    for i, (fs, _, _) in enumerate(rows):
+        x[i, [number[f] for f in fs if f in number]] = 1
+    x[:, -1] = 1
+    y = np.array([label for _, label, _ in rows], dtype=float)
+    weight = np.array([n for _, _, n in rows])
+    weight = weight / weight.sum()
+    w = np.zeros(len(names) + 1)
+    penalty = np.full(len(w), PENALTY)
+    penalty[-1] = PENALTY / 100
+    for _ in range(40):
+        p = 1 / (1 + np.exp(-x @ w))
+        grad = x.T @ (weight * (p - y)) + penalty * w
+        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(penalty)
+        step = np.linalg.solve(hess, grad)
+        w -= step
+        if np.abs(step).max() < 1e-8:
+            break
+    return {"": float(w[-1]), **{f: float(v) for f, v in zip(names, w, strict=False)}}
+
+
+def train(sample: tuple[str, ...] = ()) -> Weights:
+    """Weights from the labelled pages and a sample of further ones."""
+    near: Counter = Counter()
+    place: Counter = Counter()
+    tags: Counter = Counter()
+    parts = [[labelled_rows(page_text(p)) for p in PAGES], [labelled_rows(p) for p in sample]]
+    size = [sum(n**0.5 for rows, _ in part for n in rows.values()) for part in parts]
+    for part, total, share in zip(parts, size, (1.0, SAMPLE_SHARE), strict=True):
+        each = share * size[0] / total if total else 0.0
+        for rows, found in part:
+            for (a, b, label), n in rows.items():
+                near[a, label] += each * n**0.5
+                place[b, label] += each * n**0.5
+            for key, n in found.items():
+                tags[key] += each * n
+    costs = {}
+    for t in {t for t, _ in tags}:
+        outside, inside = tags[t, 0], tags[t, 1]
+        never = not inside and outside >= TAG_SEEN
+        costs[t] = TAG_NEVER if never else TAG_LEAST + TAG_SCALE * max(0.0, float(np.log((outside + 0.5) / (inside + 0.5))))
+    models = [regress([(fs, label, n) for (fs, label), n in sorted(rows.items(), key=lambda r: (sorted(r[0][0]), r[0][1]))]) for rows in (near, place)]
+    return Weights(*models, costs)
+
+
+@functools.cache
+def plain_weights() -> Weights:
+    return train()
+
+
+class Extractor:
+    def __init__(self, weights: Weights | None = None):
+        self.weights = weights or plain_weights()
+        self.known = set(self.weights.near) | set(self.weights.place)
+        self.by_attrs: dict[tuple[str, str, bool], tuple] = {}
+        self.sums: dict[frozenset, tuple[float, float]] = {}
+
+    def around(self, tag: str, attrs: str, seen: frozenset) -> tuple[frozenset, tuple[str, ...]]:
+        key = (tag, attrs, tag == "a" and "t:p" in seen)
+        found = self.by_attrs.get(key)
+        if found is None:
+            new, names = around(tag, attrs, seen)
+            found = frozenset(f for f in new if f in self.known), tuple(f for f in names if f in self.known)
+            if len(self.by_attrs) < 50_000 and len(attrs) < 200:
+                self.by_attrs[key] = found
+        return found
+
+    def judged(self, read: Page) -> tuple[list[float], list[float]]:
+        """Scores of the tokens, and log-odds of the texts' places."""
+        near, place, tags = self.weights.near, self.weights.place, self.weights.tags
+        sums = self.sums
+        score_of, place_of = [], []
+        made: dict[tuple, tuple[float, float]] = {}
+        for (_, n, seen, *_), extra in zip(read.texts, read.near(), strict=True):
+            if not n:
+                score_of.append(0.0)
+                place_of.append(0.0)
+                continue
+            found = made.get((seen, extra))
+            if found is None:
+                if seen not in sums:
+                    if len(sums) > 50_000:
+                        sums.clear()
+                    sums[seen] = sum(near.get(f, 0.0) for f in seen) + near[""], sum(place.get(f, 0.0) for f in seen) + place[""]
+                a, b = sums[seen]
+                a += sum(near.get(f, 0.0) for f in extra)
+                b += sum(place.get(f, 0.0) for f in extra if f.startswith(PLACE_KINDS))
+                found = made[seen, extra] = (2 / (1 + np.exp(-a)) - 1, b)
+            score_of.append(n * float(found[0]))
+            place_of.append(float(found[1]))
+        return [-tags.get(t, TAG_LEAST) if isinstance(t, str) else score_of[t] for t in read.tokens], place_of
 
     @staticmethod
-    def skip(page: str, tag: str, at: int) -> int:
-        """Behind the end tag of an element that is skipped, or the end of the page."""
-        if tag in RAW:
-            m = _END[tag].search(page, at)
-            return m.end() if m else len(page)
-        depth = 1
-        for m in _NESTED[tag].finditer(page, at):
-            depth += -1 if m[1] else 0 if m[0].endswith("/>") else 1
-            if not depth:
-                return m.end()
-        return at if tag in ("head", "button", "map", "object") else len(page)
+    def container(read: Page, a: int, b: int) -> int:
+        """The article or main element around two elements, else the innermost division; 0 is the page."""
+        path = set()
+        while a:
+            path.add(a)
+            a = read.parent[a]
+        while b and b not in path:
+            b = read.parent[b]
+        up = b
+        while up and read.name[up] not in ARTICLES:
+            up = read.parent[up]
+        if up:
+            return up
+        while b and read.name[b] not in DIVISIONS:
+            b = read.parent[b]
+        return b
+
+    def chosen(self, read: Page) -> list[int]:
+        """Numbers of the texts that are the main text."""
+        scores, place = self.judged(read)
+        first, last = best_region(scores)
+        if not last:  # nothing but a few words: their places alone decide
+            tags = self.weights.tags
+            first, last = best_region([-tags.get(t, TAG_LEAST) / TAG_SCALE if isinstance(t, str) else read.texts[t][1] * place[t] for t in read.tokens])
+        inside = [t for t in read.tokens[first:last] if not isinstance(t, str)]
+        words = [t for t in inside if read.texts[t][1]]
+        if not words:
+            return []
+        a, b = words[0], words[-1]
+        top = read.texts[a][6]
+        for t in words[1:]:
+            if read.texts[t][6] != top:
+                top = self.container(read, top, read.texts[t][6])
+        top = self.container(read, top, top)
+        if top:
+            within = [False] * len(read.name)
+            within[top] = True
+            for i in range(top + 1, len(read.name)):  # elements are numbered in page order
+                within[i] = within[read.parent[i]]
+            found = range(len(read.texts))
+            return [t for t in found if within[read.texts[t][6]] and place[t] >= CUT]
+        while a and place[a - 1] >= 0.0:
+            a -= 1
+        while b + 1 < len(place) and place[b + 1] >= 0.0:
+            b += 1
+        return [t for t in range(a, b + 1) if place[t] >= CUT]
 
     def text(self, page: str | None) -> str:
         if not page:
             return ""
-        tokens = self.pieces(page)
-        best = total = 0.0
-        start = first = last = 0
-        for i, (score, _) in enumerate(tokens):
-            if total <= 0.0:
-                total, start = 0.0, i
-            total += score
-            if total > best:
-                best, first, last = total, start, i + 1
+        read = Page(page, self.around)
         blocks: list[str] = []
-        block: list[str] = []
-        for _, text in tokens[first:last]:
-            if text == "":
-                if block and (done := " ".join("".join(block).split())):
+        parts: list[str] = []
+        at = None
+        for t in self.chosen(read):
+            text, block = read.texts[t][0], read.texts[t][5]
+            if block != at:
+                if done := " ".join("".join(parts).split()):
                     blocks.append(done)
-                block = []
-            elif text is not None:
-                block.append(text)
-        if block and (done := " ".join("".join(block).split())):
+                parts, at = [], block
+            parts.append(text)
+        if done := " ".join("".join(parts).split()):
             blocks.append(done)
         return "\n\n".join(blocks)
 
 
+def fit(pages: DataFrame, *, html_col: str = "html", sample_pages: int = SAMPLE_PAGES, sample_chars: int = SAMPLE_CHARS) -> Weights:
+    """Weights from the labelled pages and a bounded sample of the table, labelled by its ``article`` elements."""
+    fits = pages.where(F.char_length(html_col) <= sample_chars).where(F.lower(html_col).contains("<article"))
+    # equal pages once, in the order of their hashes
+    few = fits.select(F.col(html_col).alias("html")).groupBy(F.md5("html").alias("m")).agg(F.min("html").alias("html")).orderBy("m").limit(sample_pages).collect()
+    return train(tuple(x for x in (mark(r["html"]) for r in few) if x))
+
+
 SCHEMA = "page_id bigint, url string, text string, n_chars bigint"
 
 
-def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", model: tuple | None = None) -> DataFrame:
+def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", weights: Weights | None = None) -> DataFrame:
     """page_id, url, main text and its code points, in one pass."""
-    model = model or train()
+    weights = weights or plain_weights()
 
     def make():
-        extractor = Extractor(*model)
+        extractor = Extractor(weights)
 
         def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = [extractor.text(h) for h in batch.column(2).to_pylist()]

@@ -1,211 +1,111 @@
-"""Labelled pages: outlines of typical pages, from which the weights are learned.
+"""Labelled pages from which the weights of words and tags are learned.
 
-A page is a list of parts in page order: (elements from the body down, how often
-the part stands there, words in each, 1 for main text and 0 for the rest).
-``name.class#id@role`` describes an element; several classes may follow.
+Whole pages of common makes, whose main text stands between ``[[`` and ``]]``.  Of
+their texts only the number of words and the sentence end matter, so ``{40}``
+stands for forty words with a full stop and ``{3-}`` for three without one.
+:func:`mark` labels further pages by their structure, with a bounded number of them.
 """
 
-PAGES: tuple[tuple[tuple[str, int, int, int], ...], ...] = (
-    (  # news article
-        ("header.site-header div.logo a", 1, 2, 0),
-        ("nav.main-nav ul.menu li a", 8, 1, 0),
-        ("div.cookie-notice p", 1, 18, 0),
-        ("div.ad", 1, 14, 0),
-        ("article h1", 1, 9, 1),
-        ("article p", 12, 60, 1),
-        ("article p a-in-p", 4, 3, 1),
-        ("article p b", 3, 3, 1),
-        ("article div.ad", 1, 12, 0),
-        ("article h2", 3, 5, 1),
-        ("article ul li", 6, 8, 1),
-        ("article blockquote p", 1, 25, 1),
-        ("article figure figcaption", 1, 10, 1),
-        ("aside.sidebar h3", 1, 2, 0),
-        ("aside.sidebar ul li a", 8, 6, 0),
-        ("section.comments h2", 1, 2, 0),
-        ("section.comments div.comment p", 9, 25, 0),
-        ("form.newsletter label", 1, 6, 0),
-        ("footer p", 2, 14, 0),
-        ("footer", 2, 10, 0),
-    ),
-    (  # weblog
-        ("div#header h1 a", 1, 3, 0),
-        ("div.menu a", 6, 1, 0),
-        ("div#content div.post h2", 1, 7, 1),
-        ("div#content div.post div.entry-content p", 9, 50, 1),
-        ("div#content div.post div.entry-content p i", 2, 3, 1),
-        ("div#content div.post div.entry-content ol li", 5, 12, 1),
-        ("div#content div.post div.entry-content pre code", 1, 20, 1),
-        ("div#content div.share-buttons a", 4, 1, 0),
-        ("div#content div.related ul li a", 5, 6, 0),
-        ("div#comments ol.commentlist li div.comment-body p", 12, 30, 0),
-        ("div#respond form p", 3, 5, 0),
-        ("div#sidebar div.widget h4", 4, 2, 0),
-        ("div#sidebar div.widget ul li a", 12, 3, 0),
-        ("div#sidebar div.widget p", 2, 20, 0),
-        ("div#footer p", 2, 12, 0),
-        ("div#footer", 1, 12, 0),
-    ),
-    (  # magazine with main, banners and promotions
-        ("div.top-banner a", 1, 8, 0),
-        ("div.consent p", 1, 30, 0),
-        ("div.consent button", 2, 2, 0),
-        ("header nav@navigation a", 7, 1, 0),
-        ("header p", 1, 8, 0),
-        ("main h1", 1, 8, 1),
-        ("main p", 10, 55, 1),
-        ("main p em", 3, 2, 1),
-        ("main h3", 3, 5, 1),
-        ("main div.advertisement p", 2, 15, 0),
-        ("main aside p", 1, 20, 0),
-        ("main div.promo p", 1, 14, 0),
-        ("main section p", 4, 40, 1),
-        ("main table tr td", 12, 3, 1),
-        ("main table tr th", 3, 2, 1),
-        ("div.recommended div.teaser h3 a", 6, 7, 0),
-        ("div.recommended div.teaser p", 6, 18, 0),
-        ("div.subscribe form label", 2, 4, 0),
-        ("footer.site-footer ul li a", 10, 2, 0),
-        ("footer.site-footer div.copyright", 1, 10, 0),
-        ("div.legal p", 1, 25, 0),
-    ),
-    (  # encyclopedia
-        ("div.sitenotice div p", 1, 20, 0),
-        ("div#content h1", 1, 3, 1),
-        ("div#content div#bodyContent p", 14, 65, 1),
-        ("div#content div#bodyContent p a-in-p", 20, 2, 1),
-        ("div#content div#bodyContent ul li", 10, 9, 1),
-        ("div#content div#bodyContent ul li a", 6, 3, 1),
-        ("div#content div#bodyContent dl dd", 3, 12, 1),
-        ("div#content div#bodyContent h2", 6, 3, 1),
-        ("div#mw-panel div.portal ul li a", 14, 2, 0),
-        ("div.breadcrumb a", 4, 1, 0),
-        ("div.toolbar a", 5, 2, 0),
-        ("div#footer ul li", 5, 8, 0),
-    ),
-    (  # old page laid out with tables
-        ("table.nav tr td a", 9, 2, 0),
-        ("center font", 1, 6, 1),
-        ("p", 9, 60, 1),
-        ("p b", 3, 3, 1),
-        ("h1", 1, 6, 1),
-        ("h2", 3, 4, 1),
-        ("div p", 4, 40, 1),
-        ("div", 2, 30, 1),
-        ("div.banner a", 1, 5, 0),
-        ("form input", 1, 1, 0),
-        ("form p", 2, 6, 0),
-        ("form div label", 3, 2, 0),
-        ("div.footer", 1, 15, 0),
-        ("div.copyright p", 1, 9, 0),
-    ),
-    (  # shop or product text
-        ("div.masthead a", 3, 2, 0),
-        ("div.searchbox form label", 1, 2, 0),
-        ("div.login form p", 2, 4, 0),
-        ("ul.nav li a", 9, 2, 0),
-        ("ul.breadcrumbs li a", 4, 2, 0),
-        ("div.main div.article-body h1", 1, 6, 1),
-        ("div.main div.article-body p", 8, 45, 1),
-        ("div.main div.article-body ul li", 7, 9, 1),
-        ("div.main div.sponsored p", 1, 15, 0),
-        ("div.main div.newsletter-signup p", 1, 14, 0),
-        ("div.sidebar div p", 3, 15, 0),
-        ("div.reviews div.review p", 6, 25, 0),
-        ("div.popup p", 1, 12, 0),
-        ("div.modal div p", 1, 14, 0),
-        ("div.social a", 5, 1, 0),
-        ("div.pagination a", 5, 1, 0),
-        ("div.tags a", 6, 1, 0),
-        ("footer nav a", 8, 2, 0),
-    ),
-    (  # article page whose head and comments are inside the article
-        ("div.skip-link a", 1, 4, 0),
-        ("nav ul li a", 6, 1, 0),
-        ("nav p", 1, 5, 0),
-        ("div.ad p", 1, 18, 0),
-        ("div.ads", 1, 18, 0),
-        ("div.advert", 1, 18, 0),
-        ("div.notice", 1, 20, 0),
-        ("div.notice p", 1, 20, 0),
-        ("div.cookie-banner", 1, 20, 0),
-        ("div.alert", 1, 14, 0),
-        ("article header h1", 1, 8, 1),
-        ("article section p", 8, 55, 1),
-        ("article div.content p", 6, 50, 1),
-        ("article div.body p", 4, 50, 1),
-        ("article div.story p", 4, 50, 1),
-        ("article div.text p", 4, 50, 1),
-        ("article nav a", 3, 2, 0),
-        ("article nav ul li a", 3, 2, 0),
-        ("article aside p", 2, 20, 0),
-        ("article aside", 1, 20, 0),
-        ("article form p", 1, 8, 0),
-        ("article form label", 2, 3, 0),
-        ("article footer p", 1, 10, 0),
-        ("article footer", 1, 10, 0),
-        ("article div.comments p", 5, 20, 0),
-        ("article section.comments p", 5, 20, 0),
-        ("article div.comments div.comment", 5, 20, 0),
-        ("article div.sidebar p", 3, 20, 0),
-        ("article div.notice p", 1, 20, 0),
-        ("article div.related ul li a", 4, 6, 0),
-        ("article div.share a", 3, 1, 0),
-        ("main article p", 9, 55, 1),
-        ("main nav a", 4, 2, 0),
-        ("main form label", 2, 3, 0),
-        ("main footer p", 1, 10, 0),
-        ("div.comment p", 5, 25, 0),
-        ("ul.comments li", 5, 25, 0),
-        ("ol.comments li p", 5, 25, 0),
-        ("section#comments article p", 6, 25, 0),
-        ("section#comments article.comment p", 6, 25, 0),
-        ("section.comments article.comment div p", 6, 25, 0),
-        ("aside div p", 3, 20, 0),
-        ("aside p", 3, 20, 0),
-        ("aside", 2, 20, 0),
-        ("aside nav ul li a", 5, 2, 0),
-        ("footer div p", 2, 16, 0),
-        ("footer form label", 1, 4, 0),
-        ("div@banner p", 1, 8, 0),
-        ("div@contentinfo p", 1, 12, 0),
-        ("div@complementary p", 2, 20, 0),
-        ("div@navigation a", 4, 1, 0),
-        ("div@dialog p", 1, 16, 0),
-        ("div@search form label", 1, 2, 0),
-        ("div@main p", 6, 50, 1),
-        ("div.page div.container div.row div p", 6, 45, 1),
-    ),
-)
+from __future__ import annotations
 
-#: Names of elements that hold no main text, wherever they stand.
-ASIDE_NAMES = (
-    "ad ads advert adverts advertisement adsbygoogle sponsor sponsored promo promotion banner "
-    "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login register search "
-    "share sharing social follow related recommended recommendations trending popular teaser sidebar aside widget widgets rail "
-    "nav navbar navigation menu submenu breadcrumb breadcrumbs pagination pager toolbar topbar masthead header footer copyright legal disclaimer "
-    "comments comment commentlist respond replies reply discussion disqus feedback reviews"
-).split()
+import re
 
-#: Elements that do.
-MAIN_PLACES = ("article", "main", "main article", "div.content", "div.post", "div.entry", "div.story", "div.article", "div#main", "div.body", "div.text", "section", "div.page div.container", "div", "div div")
+PAGES = (
+    # a newspaper
+    """<html><body><header class="site-header"><a href="/" class="logo">{2-}</a><p class="claim">{6-}</p></header>
+    <nav class="main-nav"><ul class="menu"><li><a href="1">{1-}</a></li><li><a href="2">{2-}</a></li><li><a href="3">{1-}</a></li><li><a href="4">{1-}</a></li><li><a href="5">{2-}</a></li></ul></nav>
+    <div class="cookie-notice"><p>{18}</p><button>{1-}</button></div><div class="ad">{14}</div><div class="ad">{5}</div>
+    <article>[[<h1>{9-}</h1><p><b>{22}</b></p><p>{60}</p><p>{14}</p><p>{23}</p><p>{7}</p><p>{4}</p><p>{71} <a href="x">{3-}</a> {20}</p>]]<div class="ad">{12}</div>[[<h2>{4-}</h2><p>{55}</p><p>{11}</p><p>{18}</p><p>{2}</p>
+    <ul><li>{6-}</li><li>{9-}</li><li>{3-}</li></ul><figure><img src="a"><figcaption>{10}</figcaption></figure><blockquote><p>{25}</p></blockquote><p>{48}</p><p>{19}</p><p>{33}</p>]]<div class="share-buttons"><a>{1-}</a><a>{1-}</a></div></article>
+    <aside class="sidebar"><h3>{2-}</h3><ul><li><a href="s">{6-}</a></li><li><a href="t">{7-}</a></li><li><a href="u">{5-}</a></li></ul><p>{16}</p></aside>
+    <section class="comments" id="comments"><h2>{2-}</h2><div class="comment"><p>{25}</p></div><div class="comment"><p>{41}</p></div><div class="comment"><p>{9}</p></div></section>
+    <form class="newsletter"><label>{6-}</label><p>{8}</p></form><footer><p>{14}</p><ul><li><a>{2-}</a></li><li><a>{1-}</a></li></ul>{10-}</footer></body></html>""",
+    # a weblog without sectioning elements
+    """<html><body><div id="header"><h1><a href="/">{3-}</a></h1><p>{5-}</p></div><div class="ad"><p>{4}</p></div><div class="menu"><a href="1">{1-}</a> <a href="2">{1-}</a> <a href="3">{2-}</a> <a href="4">{1-}</a></div>
+    <div id="content"><div class="post">[[<h2>{7-}</h2><div class="entry-content"><p>{50}</p><p>{15}</p><p>{5}</p><p>{63} <i>{3-}</i> {12}</p><ol><li>{12}</li><li>{9}</li><li>{14}</li></ol><pre><code>{20-}</code></pre><p>{44}</p><p>{21}</p><p>{17}</p><p>{38}</p></div>]]
+    <div class="post-meta">{5-} <a href="c">{1-}</a></div><div class="social-links"><a>{1-}</a><a>{1-}</a><a>{1-}</a></div><div class="related-posts"><h3>{2-}</h3><ul><li><a href="r">{6-}</a></li><li><a href="q">{5-}</a></li></ul></div></div>
+    <div class="navigation"><a href="p">{3-}</a><a href="n">{3-}</a></div><div id="comments"><h3>{2-}</h3><ol class="commentlist"><li><div class="comment-body"><p>{30}</p></div></li><li><div class="comment-body"><p>{22}</p><p>{13}</p></div></li></ol>
+    <div id="respond"><form><p>{5-}</p><label>{2-}</label><p>{4-}</p></form></div></div></div>
+    <div id="sidebar"><div class="widget"><h4>{2-}</h4><ul><li><a>{3-}</a></li><li><a>{2-}</a></li><li><a>{4-}</a></li></ul></div><div class="widget"><p>{20}</p></div></div><div id="footer"><p>{12}</p></div></body></html>""",
+    # a magazine: banners and promotions inside main
+    """<html><body><div class="top-banner"><a href="b">{8-}</a></div><div class="consent-banner" role="dialog"><p>{30}</p></div><header><nav role="navigation"><a>{1-}</a><a>{1-}</a><a>{2-}</a></nav><p>{8-}</p></header>
+    <main>[[<h1>{8-}</h1><p>{55}</p><p>{11}</p><p>{18}</p><p>{47} <em>{2-}</em> {6}</p><h3>{5-}</h3><p>{3}</p><p>{58}</p>]]<div class="advertisement"><p>{15}</p></div>[[<p>{49}</p>]]<aside><p>{20}</p></aside>[[<section><h3>{4-}</h3><p>{40}</p><p>{13}</p><p>{52}</p><p>{12}</p></section>]]<div class="promo"><p>{14}</p><a>{2-}</a></div>
+    [[<table><tr><th>{2-}</th><th>{1-}</th></tr><tr><td>{3-}</td><td>{1-}</td></tr><tr><td>{4-}</td><td>{2-}</td></tr></table><p>{37}</p>]]<form class="subscribe"><p>{12}</p><label>{2-}</label></form></main>
+    <div class="recommended"><div class="teaser"><h3><a href="1">{7-}</a></h3><p>{18}</p></div><div class="teaser"><h3><a href="2">{8-}</a></h3><p>{16}</p></div><div class="teaser"><h3><a href="3">{6-}</a></h3><p>{19}</p></div></div>
+    <footer class="site-footer"><ul><li><a>{2-}</a></li><li><a>{2-}</a></li></ul><div class="copyright">{10-}</div></footer><div class="legal"><p>{25}</p></div></body></html>""",
+    # an encyclopedia
+    """<html><body><div id="siteNotice"><div>{20}</div></div><div id="content"><div class="toolbar"><a>{2-}</a><a>{1-}</a><a>{2-}</a></div>[[<h1>{3-}</h1><div id="bodyContent"><p>{65} <a href="a">{2-}</a> {11}</p><p>{72}</p><h2>{3-}</h2><p>{48} <a href="b">{1-}</a> {20}</p>
+    <ul><li>{9} <a href="c">{2-}</a></li><li><a href="d">{3-}</a></li><li><a href="e">{4-}</a> {7}</li></ul><h4>{3-}</h4><p>{29}</p><h4>{2-}</h4><p>{80}</p><p>{22}</p><p>{6}</p><p>{14}</p><dl><dt>{2-}</dt><dd>{12}</dd><dt>{1-}</dt><dd>{15}</dd></dl><p>{61}</p><p>{24}</p><p>{10}</p></div>]]</div>
+    <div id="panel"><div class="portal"><ul><li><a>{2-}</a></li><li><a>{3-}</a></li><li><a>{2-}</a></li></ul></div></div><ul class="breadcrumbs"><li><a>{1-}</a></li><li><a>{2-}</a></li></ul><div id="footer"><ul><li>{8}</li><li>{6}</li></ul></div></body></html>""",
+    # an old page laid out with a table
+    """<html><body><table class="nav"><tr><td><a href="1">{2-}</a></td><td><a href="2">{1-}</a></td><td><a href="3">{2-}</a></td></tr></table><center>[[<h1>{6-}</h1></center><p>{60}<p>{54}<br>{20}<p><b>{3-}</b> {41}<h2>{4-}</h2><p>{66}<hr><h4>{2-}</h4><p>{5}<address>{4-}</address><center>{3-}</center><p>{47}]]
+    <form action="s"><p>{6-}</p></form><div class="banner"><a href="z">{5-}</a></div><div class="footer">{15-}</div></body></html>""",
+    # text straight in the body, and in divisions
+    """<html><body>[[{30} {45}<br><br>{38}<br>{52}]]<hr><address>{6-}</address></body></html>""",
+    """<html><body><div class="nav"><a>{1-}</a><a>{2-}</a><a>{1-}</a></div><div class="ad">{6}</div><div class="ads">{9}</div><div class="text">[[<div>{45}</div><div>{52}</div><div>{8}</div><div>{60}</div><div>{39}</div>]]</div><div class="copyright">{9-}</div></body></html>""",
+    """<html><body><div class="ad">{7}</div>[[<p>{21}</p><p>{34}</p><p>{18}</p>]]<div class="advert">{11}</div></body></html>""",
+    """<html><body><nav><a>{1-}</a></nav><div class="ad">{5}</div><article>[[<h1>{1-}</h1><p>{2}</p>]]</article><footer>{6}</footer></body></html>""",
+    """<html><body><main>[[<p>{3}</p><p>{9}</p>]]<div class="ad">{8}</div>[[<p>{4}</p>]]</main><div class="ad">{12}</div></body></html>""",
+    """<html><body>[[<h1>{4-}</h1>{40}<p>{34}</p>{18}]]</body></html>""",
+    """<html><body><div class="wrap"><div class="col">[[<div><h2>{5-}</h2><div><p>{31}</p><p>{12}</p></div></div><div><div><p>{44}</p></div><div><p>{6}</p><p>{27}</p></div></div><div><h3>{3-}</h3><p>{35}</p></div>]]</div><div class="rail"><a>{4-}</a></div></div></body></html>""",
+    # a shop
+    """<html><body><div class="masthead"><a>{2-}</a></div><div class="searchbox"><form><label>{2-}</label></form></div><div class="login"><form><p>{4-}</p></form></div><ul class="nav"><li><a>{2-}</a></li><li><a>{1-}</a></li><li><a>{2-}</a></li></ul>
+    <div class="main"><div class="article-body">[[<h1>{6-}</h1><p>{45}</p><p>{16}</p><p>{8}</p><p>{51}</p><ul><li>{9}</li><li>{7-}</li><li>{11}</li></ul><p>{40}</p><p>{13}</p>]]</div><div class="sponsored-box"><p>{15}</p></div><div class="newsletter-signup"><p>{14}</p></div></div>
+    <div class="reviews"><h3>{2-}</h3><div class="review"><p>{25}</p></div><div class="review"><p>{31}</p></div></div><div class="sidebar"><div><p>{15}</p></div></div><div class="popup"><p>{12}</p></div><div class="modal"><div><p>{14}</p></div></div><div class="tags"><a>{1-}</a><a>{1-}</a></div>
+    <div class="pagination"><a>{1-}</a><a>{1-}</a></div><footer><nav><a>{2-}</a><a>{1-}</a></nav></footer></body></html>""",
+    # an article with much that is no article inside of it
+    """<html><body><div class="skip-link"><a>{4-}</a></div><article><nav class="toc"><ul><li><a>{2-}</a></li><li><a>{3-}</a></li></ul></nav>[[<header><h1>{8-}</h1><p>{7}</p></header><section><p>{55}</p><p>{11}</p><p>{18}</p><p>{49}</p>]]<div class="notice"><p>{20}</p></div>[[<p>{40}</p><p>{13}</p><p>{3}</p></section>]]
+    <div class="xk-slot">{13}</div>[[<p>{61}</p><p>{24}</p><p>{10}</p>]]<aside class="box"><p>{24}</p><p>{11}</p></aside>[[<p>{52}</p><p>{12}</p><p>{44}</p><p>{21}</p><p>{17}</p>]]<div><a href="k">{9-}</a></div>[[<p>{47}</p><p>{1}</p><p>{15}</p><p>{2}</p>]]<form><p>{8}</p><label>{3-}</label></form><footer>{10-}<p>{9}</p></footer>
+    <div class="comments"><h3>{2-}</h3><p>{20}</p><p>{34}</p></div></article><section id="comments"><article class="comment"><p>{27}</p></article><article class="comment"><p>{18}</p></article></section></body></html>""",
+    """<html><body><div class="alert">{14}</div><div class="page"><div class="container"><div class="row"><article class="story"><header>[[<h1>{7-}</h1></header><div class="lead">{24}</div><div class="story-text"><p>{42}</p><p>{58}</p><p>{1}</p><p>{46}</p></div>]]<div class="ad-slot">{12}</div><div class="ad-box"><p>{16}</p></div>
+    [[<div class="story-text"><p>{50}</p><p>{15}</p><p>{5}</p><p>{39}</p></div>]]<section class="comments"><p>{20}</p><p>{25}</p></section></article></div></div></div><div class="overlay"><p>{13}</p></div><div class="cookie-banner">{20}</div><div role="contentinfo"><p>{12}</p></div></body></html>""",
+    # a review whose ratings and boxes stand in the text, without helpful names
+    """<html><body><div><ul><li><a>{1-}</a></li><li><a>{1-}</a></li><li><a>{2-}</a></li></ul></div><main><article>[[<h1>{5-}</h1><div class="intro">{19}</div><p>{44}</p><p>{21}</p><p>{17}</p>]]<div>{11}</div>[[<p>{57}</p><h2>{3-}</h2><p>{62}</p>]]<div>{16}</div>[[<p>{51}</p><ol><li>{5-}</li><li>{8}</li></ol><p>{40}</p><p>{13}</p>]]</article></main>
+    <div><p>{12}</p><a>{3-}</a></div><div><div><h4><a href="1">{6-}</a></h4><p>{13}</p></div><div><h4><a href="2">{7-}</a></h4><p>{12}</p></div></div><ul class="comments"><li>{25}</li><li>{14}</li></ul></body></html>""",
+    # a forum's opening text, the replies below
+    """<html><body><div class="topbar"><a>{1-}</a><a>{2-}</a></div><div class="breadcrumb"><a>{1-}</a><a>{2-}</a></div><div class="topic">[[<h1>{7-}</h1><div class="body"><p>{64}</p><p>{38}</p><p>{45}</p><p>{16}</p><p>{8}</p></div>]]</div><div class="replies"><div class="reply"><p>{30}</p></div><div class="reply"><p>{22}</p></div><div class="reply"><p>{12}</p></div></div>
+    <aside><div class="widget"><ul><li><a>{3-}</a></li></ul></div><p>{20}</p></aside><footer><div><p>{16}</p></div><form><label>{4-}</label></form></footer></body></html>""",
+    # documentation: a menu of many entries beside a long text
+    """<html><body><aside class="menu"><nav><ul><li><a>{1-}</a><ul><li><a>{2-}</a></li><li><a>{2-}</a></li></ul></li><li><a>{3-}</a></li></ul></nav></aside><main role="main"><div class="docs">[[<h1>{3-}</h1><div class="summary">{16}</div><div class="lead">{12}</div><p>{31}</p><pre>{24-}</pre><p>{27} <a href="x">{2-}</a> {4}</p><h2>{3-}</h2><ul><li>{8} <a href="y">{1-}</a></li><li>{6-}</li></ul>
+    <table><tr><td>{2-}</td><td>{9}</td></tr><tr><td>{1-}</td><td>{12}</td></tr></table><p>{46}</p>]]</div><div class="pager"><a>{2-}</a><a>{2-}</a></div></main><footer class="footer"><p>{9-}</p></footer></body></html>""",
+    # nothing but a menu, nothing but a form
+    """<html><body><nav><a>{2-}</a><ul><li><a>{1-}</a></li></ul></nav></body></html>""",
+    """<html><body><form><label>{2-}</label><p>{4-}</p></form><div hidden>{30}</div><div style="display:none"><p>{30}</p></div><p hidden>{20}</p></body></html>""",
+)
 
+#: Elements that :func:`mark` takes for the article, and those inside of it that are none.
+WHOLE, ASIDE = "article", frozenset("nav aside footer form".split())
 
-def crossed() -> tuple[tuple[str, int, int, int], ...]:
-    """Every such name in every such place, beside main text in that place."""
-    out: list[tuple[str, int, int, int]] = []
-    for place in ("", *MAIN_PLACES):
-        n = len(ASIDE_NAMES)
-        for inner, times, words in (("p", n, 40), ("", n // 4, 30), ("p a-in-p", n // 2, 3), ("h1", n // 4, 6), ("h2", n // 2, 5), ("ul li", n // 2, 9), ("ul li a", n // 8, 3), ("ol li", n // 4, 9), ("p b", n // 4, 3), ("blockquote p", n // 4, 20), ("table tr td", n // 4, 3), ("div p", n // 2, 30), ("section p", n // 2, 30)):
-            out.append((f"{place} {inner}".strip() or "font", times, words, 1))
-        for name in ASIDE_NAMES:
-            for inner in ("p", "", "ul li", "div p"):
-                out.append((f"{place} div.{name} {inner}".strip(), 1, 15, 0))
-            out.append((f"{place} div.{name} ul li a".strip(), 3, 2, 0))
-        for tag in ("nav", "aside", "footer", "form"):
-            for inner in ("p", "", "ul li", "div", "ul li a", "label"):
-                out.append((f"{place} {tag} {inner}".strip(), 4, 12, 0))
-        if not place:
-            out += [("header p", 8, 10, 0), ("header", 4, 6, 0), ("header a", 8, 2, 0), ("header h1", 4, 4, 0), ("header div", 8, 8, 0), ("ul li a", 30, 2, 0)]
-    out += [(f"{p} header h1", 20, 6, 1) for p in ("article", "main")]
-    return tuple(out)
+_STAND_IN = re.compile(r"\{(\d+)(-?)\}")
+
+
+def page_text(page: str) -> str:
+    """The page with words for its stand-ins."""
+    return _STAND_IN.sub(lambda m: " ".join(["word"] * int(m[1])) + ("" if m[2] else "."), page)
+
+
+def mark(page: str) -> str | None:
+    """A page with exactly one ``article`` element, its text marked as main text but
+    for menus, asides, footers and forms in it; None for any other page."""
+    low = page.lower()
+    tags = list(re.finditer(r"<(/?)([a-z][a-z0-9]*)(?=[\s/>])[^>]*>", low))
+    own = [m for m in tags if m[2] == WHOLE]
+    if "[[" in page or "]]" in page or [m[1] for m in own] != ["", "/"]:
+        return None
+    at, depth, out = own[0].end(), 0, [page[: own[0].end()], "[["]
+    for m in tags:
+        if m[2] not in ASIDE or not own[0].end() <= m.start() < own[1].start():
+            continue
+        if not m[1]:
+            if not depth:
+                out += [page[at : m.start()], "]]"]
+                at = m.start()
+            depth += 1
+        elif depth:
+            depth -= 1
+            if not depth:
+                out += [page[at : m.end()], "[["]
+                at = m.end()
+    if depth:
+        return None
+    return "".join([*out, page[at : own[1].start()], "]]", page[own[1].start() :]])
