@@ -44,10 +44,10 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of the entries; the first window of an entry may have a vector."""
-    made = chunking.chunk_entries(entries(spark, sf_dir))
+    # the entries' vectors are joined before the windows are cut: keys have no nulls and no long text is doubled
     vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id"), "embedding")
-    made = made.withColumn("vec_id", F.when(F.col("part") == 0, F.col("conv_id") * 8 + F.col("turn")))
-    out = made.join(vectors, "vec_id", "left")
+    with_vector = entries(spark, sf_dir).withColumn("vec_id", F.col("conv_id") * 8 + F.col("turn")).join(vectors, "vec_id", "left")
+    out = chunking.chunk_entries(with_vector).withColumn("embedding", F.when(F.col("part") == 0, F.col("embedding")))
     row = F.concat(F.col("entry_key"), F.lit("-"), F.col("part").cast("string"))
     return out.select(row.alias("row_id"), "session_key", "entry_key", "part", "role", "text", "text_hash", "tokens", "grams", "embedding", F.when(F.col("embedding").isNotNull(), F.lit(FINGERPRINT)).otherwise("").alias("embedding_fingerprint"))
 

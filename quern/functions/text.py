@@ -2,71 +2,44 @@
 
 from __future__ import annotations
 
-import functools
-
 import unicodedata
 
-import pandas as pd
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 #: White space that counts inside regular expressions (vertical tab is not one).
 BLANK = r"[\t\n\f\r ]"
 NOT_BLANK = r"[^\t\n\f\r ]"
 
 
-def normalize_text(text: str) -> str:
-    """Lower-case per character, NFKD, drop non-spacing marks; what is neither
-    letter nor decimal digit becomes one space; trimmed."""
-    low = "".join(c.lower() for c in text)
-    out: list[str] = []
-    gap = False
-    for c in unicodedata.normalize("NFKD", low):
-        kind = unicodedata.category(c)
-        if kind == "Mn":
-            continue
-        if kind[0] == "L" or kind == "Nd":
-            if gap and out:
-                out.append(" ")
-            out.append(c)
-            gap = False
-        else:
-            gap = True
-    return "".join(out)
-
-
-@functools.cache
-def _accent_table() -> tuple[str, str]:
-    """Characters whose decomposition is one letter and marks, and that letter."""
-    a, b = [], []
-    for cp in range(0x80, 0x2000):
-        c = chr(cp)
-        base = [x for x in unicodedata.normalize("NFKD", c.lower()) if unicodedata.category(x) != "Mn"]
-        if len(base) == 1 and base[0] != c.lower() and unicodedata.category(base[0])[0] == "L":
-            a.append(c.lower() if len(c.lower()) == 1 else c)
-            b.append(base[0])
-    pairs = dict(zip(a, b, strict=True))
-    return "".join(pairs), "".join(pairs.values())
+#: The form of a text's letters in which words are compared: ICU's compatibility
+#: decomposition, marks dropped.  Rows and queries go through the same JVM functions.
+_DECOMPOSE = "com.ibm.icu.text.Normalizer"
+_MARKS, _GAPS = r"\p{Mn}+", r"[^\p{L}\p{Nd}]+"
 
 
 def normalize(text: Column) -> Column:
-    """:func:`normalize_text` with built-in functions, for scripts whose letters
-    decompose to one letter each (Latin, Greek, Cyrillic)."""
-    src, dst = _accent_table()
+    """Lower-case per character, NFKD, drop non-spacing marks; what is neither letter
+    nor decimal digit becomes one space; trimmed.  The same for every script."""
+    # the final sigma is the one letter that lower-casing a string makes depend on its neighbours
+    low = F.lower(F.translate(text, "Σ", "σ"))
+    full = F.regexp_replace(F.reflect(F.lit(_DECOMPOSE), F.lit("decompose"), low, F.lit(True)), _MARKS, "")
     ascii_only = F.octet_length(text) == F.char_length(text)
-    plain = F.when(ascii_only, F.lower(text)).otherwise(F.regexp_replace(F.translate(F.lower(text), src, dst), r"\p{Mn}+", ""))
-    return F.trim(F.regexp_replace(plain, r"[^\p{L}\p{Nd}]+", " "))
-
+    return F.trim(F.regexp_replace(F.when(ascii_only, F.lower(text)).otherwise(full), _GAPS, " "))
 
-def normalize_exact(text: Column) -> Column:
-    """:func:`normalize_text` for every script."""
 
-    @F.pandas_udf(StringType())
-    def exact(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else normalize_text(t))
-
-    return exact(text)
+def normalize_text(text: str) -> str:
+    """:func:`normalize` of one string on the driver: with the session's JVM where there is one,
+    else with Python's own tables, which may know newer characters."""
+    sc = SparkContext._active_spark_context
+    if sc is not None and sc._jvm is not None:
+        jvm = sc._jvm
+        full = getattr(jvm, _DECOMPOSE).decompose(jvm.java.lang.String(text.replace("Σ", "σ").lower()), True)
+        replace = lambda pattern, s, by: jvm.java.util.regex.Pattern.compile(pattern).matcher(s).replaceAll(by)
+        return replace(_GAPS, replace(_MARKS, full, ""), " ").strip(" ")
+    kinds = [(c, unicodedata.category(c)) for c in unicodedata.normalize("NFKD", text.replace("Σ", "σ").lower())]
+    return " ".join("".join(c if k[0] == "L" or k == "Nd" else " " for c, k in kinds if k != "Mn").split())
 
 
 def tokens(normalized: Column) -> Column:

@@ -19,11 +19,11 @@ from .snapshot import Snapshot, writer_lock
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, config: cfg.Config | None = None, provider: embedding.Provider | None = None, exact: bool = True):
+    def __init__(self, spark: SparkSession, config: cfg.Config | None = None, provider: embedding.Provider | None = None):
         self.spark = spark
         self.config = config or cfg.load()
         cfg.check_index_outside(self.config.memory_directory, self.config.memory_index)
-        self.provider, self.exact = provider, exact
+        self.provider = provider
         self.sessions_store = Snapshot(spark, self.config.index)
         self.memories_store = Snapshot(spark, self.config.memory_index)
         self.records = RecordStore(self.config.memory_directory)
@@ -41,7 +41,7 @@ class Engine:
                 self.memories_store.commit({"memories": maintenance.clear_embeddings(self.memories_store.read("memories"))})
             wanted = [h for h in filters.HARNESSES if self.config.harnesses.get(h) and (not harnesses or h in harnesses)]
             roots = {h: self.config.sources.get(h, "") for h in wanted}
-            s = indexer.index_sessions(self.spark, self.sessions_store, roots, self.provider, self.exact)
+            s = indexer.index_sessions(self.spark, self.sessions_store, roots, self.provider)
             return s, self.refresh()
 
     def write_postings(self) -> None:
@@ -49,7 +49,7 @@ class Engine:
         self.sessions_store.write_postings(self.session_rows(), "row_id", dict(channels.SESSIONS.weights))
 
     def refresh(self) -> indexer.Result:
-        return indexer.refresh_memories(self.spark, self.memories_store, self.records, self.provider, self.exact)
+        return indexer.refresh_memories(self.spark, self.memories_store, self.records, self.provider)
 
     # search
 

@@ -38,7 +38,7 @@ def _empty(spark: SparkSession, table: str) -> DataFrame:
     return spark.createDataFrame([], schemas.TABLES[table])
 
 
-def index_sessions(spark: SparkSession, store: Snapshot, roots: dict[str, str], provider: embedding.Provider | None = None, exact: bool = True, available: dict[str, bool] | None = None) -> Result:
+def index_sessions(spark: SparkSession, store: Snapshot, roots: dict[str, str], provider: embedding.Provider | None = None, available: dict[str, bool] | None = None) -> Result:
     """Bring the index up to date with the logs below ``roots`` (harness -> place).
 
     New and changed sources are parsed; rows of vanished sources and of harnesses
@@ -88,7 +88,7 @@ def index_sessions(spark: SparkSession, store: Snapshot, roots: dict[str, str],
         new_sessions = parsed.sessions.withColumn("generation", F.lit(stamp))
         new_sessions = chunking.last_writer(new_sessions.select(*schemas.names(schemas.SESSIONS)), "source_path", "session_key")
         sessions = maintenance.upsert(sessions, new_sessions, "session_key")
-        made = chunking.chunk_entries(parsed.entries, exact=exact).withColumn("generation", F.lit(stamp))
+        made = chunking.chunk_entries(parsed.entries).withColumn("generation", F.lit(stamp))
         made = made.withColumn("embedding", F.lit(None).cast("array<float>")).withColumn("embedding_fingerprint", F.lit(""))
         made = chunking.last_writer(made.select(*schemas.names(schemas.CHUNKS), "ord"), "ord").drop("ord")
         chunks = maintenance.upsert(chunks, made, "chunk_key", keep=("embedding", "embedding_fingerprint"), same="text_hash")
@@ -104,7 +104,7 @@ def index_sessions(spark: SparkSession, store: Snapshot, roots: dict[str, str],
     return result
 
 
-def refresh_memories(spark: SparkSession, store: Snapshot, records: RecordStore, provider: embedding.Provider | None = None, exact: bool = True) -> Result:
+def refresh_memories(spark: SparkSession, store: Snapshot, records: RecordStore, provider: embedding.Provider | None = None) -> Result:
     """Mirror the record files in the index: changed files by hash, vanished ones
     deleted; an invalid file keeps its last good row."""
     scanned, warnings = records.scan(spark)
@@ -120,8 +120,7 @@ def refresh_memories(spark: SparkSession, store: Snapshot, records: RecordStore,
     result = Result(discovered=good.count(), updated=counts.get("new", 0) + counts.get("changed", 0), unchanged=counts.get("unchanged", 0), deleted=gone.count(), warnings=warnings)
     if result.updated or result.deleted:
         todo = good.join(status.where("status in ('new', 'changed')").select("path"), "path", "left_semi")
-        plain = T.normalize_exact(F.col("content")) if exact else T.normalize(F.col("content"))
-        todo = todo.withColumn("tokens", T.tokens(plain))
+        todo = todo.withColumn("tokens", T.tokens(T.normalize(F.col("content"))))
         new = todo.select(
             "id", F.col("path").alias("canonical_path"), "content_hash", "current_revision", "content", "scope", "project_key", "project_remote", "project_name", "source", "created_at", "updated_at", "archived_at",
             "tokens", T.grams_of(F.col("tokens")).alias("grams"), F.lit(None).cast("array<float>").alias("embedding"), F.lit("").alias("embedding_fingerprint"), F.lit(now_ms()).alias("indexed_at"),
