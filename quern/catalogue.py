@@ -105,7 +105,7 @@ def resume_hint(spark, d):
     return corpora.sessions(spark, d).select("native_id", T.resume_hint(F.col("harness"), F.col("native_id"), F.col("cwd")).alias("resume"))
 
 
-@query(f"SELECT doc_id, {QUOTE.format('replace(substr(text, 1, 60), chr(32), chr(39))')} AS quoted FROM documents")
+@query(f"SELECT doc_id, {QUOTE.format('replace(text, chr(32), chr(39))')} AS quoted FROM documents")
 def shell_quote(spark, d):
     return corpora.read(spark, d, "documents").select("doc_id", T.shell_quote(F.replace("text", F.lit(" "), F.lit("'"))).alias("quoted"))
 
@@ -518,7 +518,7 @@ def memory_stats(spark, d):
     return maintenance.memory_stats(corpora.memories(spark, d), corpora.FINGERPRINT)
 
 
-@query("SELECT row_number() OVER (ORDER BY event_type, 'k' || event_id) AS nth, event_type AS harness, 'k' || event_id AS path FROM events WHERE event_type = 'error' OR event_id % 97 = 0 ORDER BY 1 LIMIT 100")
+@query("SELECT row_number() OVER (ORDER BY event_type, 'k' || event_id) AS nth, event_type AS harness, 'k' || event_id AS path FROM events WHERE event_type = 'error' OR event_id % 97 = 0")
 def parser_errors_sorted(spark, d):
     e = corpora.read(spark, d, "events").where("event_type = 'error' or event_id % 97 = 0")
     e = e.select(F.col("event_type").alias("harness"), F.concat(F.lit("k"), F.col("event_id").cast("string")).alias("path"))

@@ -103,7 +103,7 @@ RULES_SQL = """CASE
   WHEN doc_id % 5 = 0 AND doc_id % 13 = 4 THEN 'global memory must not contain project metadata'
   WHEN doc_id % 13 = 5 THEN 'updatedAt precedes createdAt' WHEN doc_id % 7 = 0 AND doc_id % 13 = 6 THEN 'archivedAt precedes createdAt'
   WHEN doc_id % 13 = 7 THEN 'currentRevision must identify the last revision' WHEN doc_id % 13 = 3 THEN 'revision numbers must be contiguous'
-  WHEN doc_id % 13 = 8 OR trim(substr(text, 1, 40)) = '' THEN 'revision content is empty' END"""
+  WHEN doc_id % 13 = 8 OR trim(text) = '' THEN 'revision content is empty' END"""
 
 
 @query(f"SELECT doc_id, {RULES_SQL} AS error FROM documents")
@@ -113,7 +113,7 @@ def record_validate(spark, d):
 
 @query(
     f"""SELECT doc_id, 1 AS revision, 'first' AS content FROM documents WHERE {RULES_SQL} IS NULL
-UNION ALL SELECT doc_id, 2, substr(text, 1, 40) FROM documents WHERE {RULES_SQL} IS NULL"""
+UNION ALL SELECT doc_id, 2, text FROM documents WHERE {RULES_SQL} IS NULL"""
 )
 def revision_history(spark, d):
     good = made_records(spark, d).where(records.validation_error(F.col("r")).isNull())
@@ -194,7 +194,7 @@ def l2_normalize(spark, d):
     return corpora.read(spark, d, "embeddings").select("vec_id", F.round(F.get(vectors.normalized(v), F.lit(1)).cast("double"), 5).alias("second_value"))
 
 
-@query(f"WITH {S.MEMORIES} SELECT row_number() OVER (ORDER BY updated_at DESC, id) AS nth, id, updated_at FROM memories WHERE archived_at IS NULL ORDER BY updated_at DESC, id LIMIT 100")
+@query(f"WITH {S.MEMORIES} SELECT row_number() OVER (ORDER BY updated_at DESC, id) AS nth, id, updated_at FROM memories WHERE archived_at IS NULL")
 def list_memories(spark, d):
     """All records that aren't archived, the newest first."""
     from .catalogue import number_rows
