@@ -190,8 +190,9 @@ def bm25_weighted_columns(spark, d):
 def bm25_postings(spark, d):
     rows = corpora.session_rows(spark, d)
     w = dict(channels.SESSIONS.weights)
-    sizes = rows.agg(F.count("*").cast("double").alias("n_docs"), F.avg(bm25.length(w)).alias("avg_len"))
-    return bm25.score_postings(bm25.postings(rows, "row_id", w), sizes, "row_id", WORDS).select("row_id", F.round("bm25", 6).alias("score"))
+    n, average = rows.agg(F.count("*").cast("double"), F.avg(bm25.length(w))).first()
+    index = bm25.postings(rows, "row_id", w)
+    return bm25.score_postings(index, n, average or 0.0, "row_id", WORDS).select("row_id", F.round("bm25", 6).alias("score"))
 
 
 LEX_SQL = f"WITH {S.SESSION_ROWS}, {S.lexical(WORDS, S.SESSION_WEIGHTS, ('t_content', 't_name', 't_cwd'), 'true', 'raw', True)}"
@@ -225,6 +226,17 @@ def fuzzy_prefilter(spark, d):
     return top.select("row_id", F.round("by", 6).alias("score"), long(F.col("n_shared")).alias("n_shared"))
 
 
+@query(SQL["fuzzy_prefilter"])
+def gram_postings(spark, d):
+    """The same from inverted indexes."""
+    rows = corpora.session_rows(spark, d)
+    w = dict(channels.SESSIONS.weights)
+    n, words, grams = rows.agg(F.count("*").cast("double"), F.avg(bm25.length(w)), F.avg(F.size("grams"))).first()
+    index = bm25.Postings(bm25.postings(rows, "row_id", w), bm25.gram_postings(rows, "row_id", "grams"), n, words or 0.0, grams or 0.0)
+    top = channels.fuzzy_prefilter(rows, GRAMS, F.lit(True), index)
+    return top.select("row_id", F.round("by", 6).alias("score"), long(F.col("n_shared")).alias("n_shared"))
+
+
 @query(f"{FUZ_SQL} SELECT row_id, round(raw, 9) AS similarity, pos FROM fuzzy")
 def fuzzy_channel(spark, d):
     return channels.fuzzy(corpora.session_rows(spark, d), channels.SESSIONS, GRAMS, F.lit(True)).select("row_id", F.round("raw", 9).alias("similarity"), "pos")
@@ -522,74 +534,16 @@ def memory_stats(spark, d):
 def parser_errors_sorted(spark, d):
     e = corpora.read(spark, d, "events").where("event_type = 'error' or event_id % 97 = 0")
     e = e.select(F.col("event_type").alias("harness"), F.concat(F.lit("k"), F.col("event_id").cast("string")).alias("path"))
-    return number_rows(e, "harness", "path").select(long(F.col("nth") + 1).alias("nth"), "harness", "path").orderBy("nth")
-
-
-# --- session parsing semantics -------------------------------------------------------
-
-
-@query("SELECT user_id, min(epoch_us(ts)) // 1000 AS started_at, max(epoch_us(ts)) // 1000 AS updated_at, count(*) AS n FROM events GROUP BY user_id")
-def session_bounds(spark, d):
-    e = corpora.read(spark, d, "events").withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp")))
-    return e.groupBy("user_id").agg(F.min("ms").alias("started_at"), F.max("ms").alias("updated_at"), F.count("*").alias("n"))
-
-
-@query("SELECT conv_id, arg_min(text, turn) FILTER (WHERE role = 'user') AS first_user FROM conversations GROUP BY conv_id")
-def session_first_user(spark, d):
-    c = corpora.read(spark, d, "conversations")
-    return c.groupBy("conv_id").agg(F.min_by("text", F.when(F.col("role") == "user", F.col("turn"))).alias("first_user"))
-
-
-@query("SELECT conv_id, coalesce(arg_max(text, turn) FILTER (WHERE text <> '' AND role = 'system'), '') AS last_note FROM conversations GROUP BY conv_id")
-def session_last_nonempty(spark, d):
-    c = corpora.read(spark, d, "conversations")
-    return c.groupBy("conv_id").agg(F.coalesce(F.max_by("text", F.when((F.col("text") != "") & (F.col("role") == "system"), F.col("turn"))), F.lit("")).alias("last_note"))
-
-
-@query("SELECT conv_id, turn, sum(CASE WHEN role <> 'system' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS ordinal FROM conversations")
-def codex_ordinal(spark, d):
-    c = corpora.read(spark, d, "conversations")
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return c.select("conv_id", "turn", long(F.sum(F.when(F.col("role") != "system", 1).otherwise(0)).over(w)).alias("ordinal"))
-
-
-@query("SELECT o_custkey, o_orderkey, l_linenumber::BIGINT AS part, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey, l_shipdate, l_linenumber) AS nth FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag <> 'R'")
-def message_part_join(spark, d):
-    """Messages and their parts in order, per session."""
-    m = corpora.read(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
-    p = corpora.read(spark, d, "lineitem").where("l_returnflag <> 'R'").select("l_orderkey", "l_linenumber", "l_shipdate")
-    j = m.join(p, m["o_orderkey"] == p["l_orderkey"])
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey", "l_shipdate", "l_linenumber")
-    return j.select("o_custkey", "o_orderkey", long(F.col("l_linenumber")).alias("part"), long(F.row_number().over(w)).alias("nth"))
-
-
-@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events WHERE json_valid(props) AND json_exists(props, '$.k')")
-def json_type_filter(spark, d):
-    e = corpora.read(spark, d, "events").withColumn("v", F.try_parse_json("props"))
-    k = F.try_variant_get("v", "$.k", "string")
-    return e.where(k.isNotNull()).select("event_id", k.alias("k"))
-
-
-@query("SELECT n_name AS harness FROM nation UNION SELECT r_name FROM region UNION SELECT event_type FROM events")
-def harness_union(spark, d):
-    parts = [corpora.read(spark, d, t).select(F.col(c).alias("harness")) for t, c in (("nation", "n_name"), ("region", "r_name"), ("events", "event_type"))]
-    return parts[0].union(parts[1]).union(parts[2]).distinct()
-
-
-@query("SELECT o_custkey FROM orders EXCEPT SELECT user_id FROM events")
-def set_difference(spark, d):
-    a = corpora.read(spark, d, "orders").select("o_custkey").distinct()
-    b = corpora.read(spark, d, "events").select(F.col("user_id").alias("o_custkey")).distinct()
-    return a.join(b, "o_custkey", "left_anti")
+    return maintenance.sorted_errors(number_rows(e, "harness", "path")).select(long(F.col("nth") + 1).alias("nth"), "harness", "path")
 
 
 def queries() -> dict[str, Query]:
-    from . import catalogue_records
+    from . import catalogue_logs, catalogue_records
 
-    return QUERIES | catalogue_records.QUERIES
+    return QUERIES | catalogue_records.QUERIES | catalogue_logs.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import catalogue_records
+    from . import catalogue_logs, catalogue_records
 
-    return SQL | catalogue_records.SQL
+    return SQL | catalogue_records.SQL | catalogue_logs.SQL

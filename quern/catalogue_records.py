@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from . import corpora
 from . import corpora_sql as S
-from .functions import vectors
+from .functions import identity, vectors
 from .operators import maintenance
-from .sources import jsonl, records
+from .sources import jsonl
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -77,83 +77,10 @@ def json_stream(spark, d):
 
 # --- records --------------------------------------------------------------------------
 
-MADE = "timestamp '2026-01-01 00:00:00'"
 
-
-def made_records(spark, d) -> DataFrame:
-    """(doc_id, r): a record per document; some break a rule by their number."""
-    docs = corpora.read(spark, d, "documents")
-    i = F.col("doc_id")
-    at = lambda n: F.timestamp_seconds(F.lit(1767225600) + n)
-    rev = lambda n, body: F.struct(n.cast("int").alias("revision"), body.alias("content"), at(n).alias("createdAt"))
-    second = F.when(i % 13 == 3, 3).otherwise(2)
-    r = F.struct(
-        F.when(i % 13 == 1, 2).otherwise(1).alias("schemaVersion"),
-        F.when(i % 13 == 2, F.lit("bad id")).otherwise(F.concat(F.lit("m_"), F.lpad(i.cast("string"), 8, "0"))).alias("id"),
-        F.when(i % 5 == 0, "global").otherwise("project").alias("scope"),
-        F.when(i % 5 == 0, F.when(i % 13 == 4, "odd").otherwise("")).otherwise(F.col("source")).alias("projectKey"), F.when(i % 5 == 0, "").otherwise("name").alias("projectName"),
-        at(F.lit(0)).alias("createdAt"), at(F.when(i % 13 == 5, -1).otherwise(10)).alias("updatedAt"), F.when(i % 7 == 0, at(F.when(i % 13 == 6, -5).otherwise(5))).alias("archivedAt"),
-        F.when(i % 13 == 7, 1).otherwise(2).alias("currentRevision"), F.array(rev(F.lit(1), F.when(i % 13 == 8, " ").otherwise("first")), rev(second, F.col("text"))).alias("revisions"),
-    )
-    return docs.select("doc_id", r.alias("r"))
-
-
-RULES_SQL = """CASE
-  WHEN doc_id % 13 = 1 THEN 'unsupported schemaVersion' WHEN doc_id % 13 = 2 THEN 'invalid memory ID'
-  WHEN doc_id % 5 = 0 AND doc_id % 13 = 4 THEN 'global memory must not contain project metadata'
-  WHEN doc_id % 13 = 5 THEN 'updatedAt precedes createdAt' WHEN doc_id % 7 = 0 AND doc_id % 13 = 6 THEN 'archivedAt precedes createdAt'
-  WHEN doc_id % 13 = 7 THEN 'currentRevision must identify the last revision' WHEN doc_id % 13 = 3 THEN 'revision numbers must be contiguous'
-  WHEN doc_id % 13 = 8 OR trim(text) = '' THEN 'revision content is empty' END"""
-
-
-@query(f"SELECT doc_id, {RULES_SQL} AS error FROM documents")
-def record_validate(spark, d):
-    return made_records(spark, d).select("doc_id", records.validation_error(F.col("r")).alias("error"))
-
-
-@query(
-    f"""SELECT doc_id, 1 AS revision, 'first' AS content FROM documents WHERE {RULES_SQL} IS NULL
-UNION ALL SELECT doc_id, 2, text FROM documents WHERE {RULES_SQL} IS NULL"""
-)
-def revision_history(spark, d):
-    good = made_records(spark, d).where(records.validation_error(F.col("r")).isNull())
-    return good.select("doc_id", F.inline("r.revisions")).select("doc_id", "revision", "content")
-
-
-@query("SELECT id, count(*) OVER () AS n_matches FROM (SELECT 'm_' || lpad(doc_id::VARCHAR, 8, '0') AS id FROM documents) WHERE starts_with(id, 'm_0000001')")
-def id_prefix(spark, d):
-    m = corpora.memories(spark, d).where(F.startswith("id", F.lit("m_0000001"))).select("id")
-    return m.crossJoin(F.broadcast(m.agg(F.count("*").alias("n_matches"))))
-
-
-CONFLICT_SQL = r"'(?i)^(.+)\.sync-conflict-\d{8}-\d{6}-[a-z0-9]+(\.[^.]+)$'"
-
-
-@query(
-    f"""WITH names AS (SELECT 'm_' || (doc_id // 4) || CASE doc_id % 4 WHEN 0 THEN '.json' WHEN 1 THEN '.sync-conflict-20260101-000000-ABC' || doc_id || '.json'
-    WHEN 2 THEN '.SYNC-conflict-20260101-000000-x1.json' ELSE '.sync-conflict-2026-x.json' END AS name FROM documents)
-SELECT regexp_extract(name, {CONFLICT_SQL}, 1) || regexp_extract(name, {CONFLICT_SQL}, 2) AS canonical, string_agg(name, ',' ORDER BY name) AS copies
-FROM names WHERE regexp_matches(name, {CONFLICT_SQL}) GROUP BY 1"""
-)
-def conflict_scan(spark, d):
-    """Conflict copies by the record they belong to."""
-    i = F.col("doc_id")
-    end = (
-        F.when(i % 4 == 0, ".json")
-        .when(i % 4 == 1, F.concat(F.lit(".sync-conflict-20260101-000000-ABC"), i.cast("string"), F.lit(".json")))
-        .when(i % 4 == 2, ".SYNC-conflict-20260101-000000-x1.json")
-        .otherwise(".sync-conflict-2026-x.json")
-    )
-    pattern = rf"(?i)^{records.CONFLICT.pattern.removeprefix('(?i)')}$"
-    n = corpora.read(spark, d, "documents").select(F.concat(F.lit("m_"), F.floor(i / 4).cast("string"), end).alias("name")).where(F.rlike("name", F.lit(pattern)))
-    canonical = F.concat(F.regexp_extract("name", pattern, 1), F.regexp_extract("name", pattern, 2))
-    return n.groupBy(canonical.alias("canonical")).agg(F.array_join(F.sort_array(F.collect_list("name")), ",").alias("copies"))
-
-
-@query("SELECT doc_id, sha256('{\"id\": ' || doc_id || '}') AS content_hash FROM documents")
+@query("SELECT doc_id, sha256(coalesce(text, '')) AS content_hash FROM documents")
 def content_hash(spark, d):
-    raw = F.concat(F.lit('{"id": '), F.col("doc_id").cast("string"), F.lit("}"))
-    return corpora.read(spark, d, "documents").select("doc_id", F.sha2(raw, 256).alias("content_hash"))
+    return corpora.read(spark, d, "documents").select("doc_id", identity.text_hash(F.coalesce("text", F.lit(""))).alias("content_hash"))
 
 
 
@@ -161,6 +88,11 @@ def content_hash(spark, d):
 # --- more maintenance and record queries ---------------------------------------------
 
 
+def weighted_sum(vector):
+    """One number that every element of a vector takes part in."""
+    return F.aggregate(F.transform(vector, lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x, lambda a: a)
+
+
 @query("SELECT 'k' || user_id AS source_key, event_type AS harness, 'p' || user_id AS path, 'e' || event_id AS error, event_id AS created_at FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
 def record_source_errors(spark, d):
     """Newest error per source."""
@@ -170,7 +102,7 @@ def record_source_errors(spark, d):
 
 
 @query(
-    """SELECT doc_id, round(coalesce(e.embedding[1], CASE WHEN doc_id % 2 = 0 THEN 7.0 END), 6) AS first_value,
+    """SELECT doc_id, round(coalesce(list_sum(list_transform(e.embedding, lambda x, i: x::DOUBLE * i)), CASE WHEN doc_id % 2 = 0 THEN 7.0 END), 5) AS all_values,
   CASE WHEN e.embedding IS NOT NULL THEN 'new' WHEN doc_id % 2 = 0 THEN 'old' ELSE '' END AS embedding_fingerprint
 FROM documents LEFT JOIN (SELECT * FROM embeddings WHERE vec_id % 3 = 0) e ON e.vec_id = doc_id"""
 )
@@ -179,7 +111,7 @@ def update_embeddings(spark, d):
     table = corpora.read(spark, d, "documents").select("doc_id", F.when(old, F.array(F.lit(7.0)).cast("array<float>")).alias("embedding"), F.when(old, "old").otherwise("").alias("embedding_fingerprint"))
     made = corpora.read(spark, d, "embeddings").where("vec_id % 3 = 0").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
     out = maintenance.update_embeddings(table, made, "doc_id", "new")
-    return out.select("doc_id", F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first_value"), "embedding_fingerprint")
+    return out.select("doc_id", F.round(weighted_sum("embedding"), 5).alias("all_values"), "embedding_fingerprint")
 
 
 @query("SELECT vec_id, '' AS embedding_fingerprint, true AS cleared FROM embeddings")
@@ -188,10 +120,14 @@ def clear_embeddings(spark, d):
     return maintenance.clear_embeddings(t).select("vec_id", "embedding_fingerprint", F.col("embedding").isNull().alias("cleared"))
 
 
-@query("SELECT vec_id, round(embedding[2] * 3 / sqrt(list_sum(list_transform(embedding, lambda x: (3 * x)::DOUBLE * (3 * x)::DOUBLE))), 5) AS second_value FROM embeddings")
+@query(
+    """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: (3 * x)::FLOAT::DOUBLE) AS v FROM embeddings),
+n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM v)
+SELECT vec_id, round(list_sum(list_transform(v, lambda x, i: (x / norm)::FLOAT::DOUBLE * i)), 4) AS all_values FROM n"""
+)
 def l2_normalize(spark, d):
     v = F.transform("embedding", lambda x: (x * 3).cast("float"))
-    return corpora.read(spark, d, "embeddings").select("vec_id", F.round(F.get(vectors.normalized(v), F.lit(1)).cast("double"), 5).alias("second_value"))
+    return corpora.read(spark, d, "embeddings").select("vec_id", F.round(weighted_sum(vectors.normalized(v)), 4).alias("all_values"))
 
 
 @query(f"WITH {S.MEMORIES} SELECT row_number() OVER (ORDER BY updated_at DESC, id) AS nth, id, updated_at FROM memories WHERE archived_at IS NULL")
@@ -200,54 +136,4 @@ def list_memories(spark, d):
     from .catalogue import number_rows
 
     m = corpora.memories(spark, d).where("archived_at is null").select("id", "updated_at", (-F.col("updated_at")).alias("age"))
-    return number_rows(m, "age", "id").select((F.col("nth") + 1).cast("bigint").alias("nth"), "id", "updated_at").orderBy("nth")
-
-
-@query(f"SELECT error AS type, count(*) AS n FROM (SELECT {RULES_SQL} AS error FROM documents) WHERE error IS NOT NULL GROUP BY 1")
-def warning_counts(spark, d):
-    return made_records(spark, d).select(records.validation_error(F.col("r")).alias("type")).where("type is not null").groupBy("type").agg(F.count("*").alias("n"))
-
-
-@query(
-    """SELECT doc_id FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '  <skill> ' WHEN 1 THEN '<user_action>' WHEN 2 THEN 'see <skill>' ELSE '' END || text AS t FROM documents)
-WHERE NOT (starts_with(ltrim(t, ' '), '<skill>') OR starts_with(ltrim(t, ' '), '<user_action>') OR starts_with(ltrim(t, ' '), '# AGENTS.md instructions') OR starts_with(ltrim(t, ' '), '<environment_context>'))"""
-)
-def injected_texts(spark, d):
-    """What is left once texts that a tool put in are gone."""
-    i = F.col("doc_id") % 5
-    t = F.concat(F.when(i == 0, "  <skill> ").when(i == 1, "<user_action>").when(i == 2, "see <skill>").otherwise(""), F.col("text"))
-    any_prefix = F.lit(False)
-    for p in jsonl.INJECTED:
-        any_prefix = any_prefix | F.startswith(F.ltrim(t), F.lit(p))
-    return corpora.read(spark, d, "documents").where(~any_prefix).select("doc_id")
-
-
-@query(
-    """SELECT event_id, CASE event_id % 4 WHEN 0 THEN (epoch_us(ts) // 1000) END AS ms FROM events"""
-)
-def rfc3339_millis(spark, d):
-    """Times in RFC 3339 only: dates, other forms and nonsense are unknown."""
-    t = F.col("ts").cast("timestamp")
-    day, second, fraction = F.date_format(t, "yyyy-MM-dd"), F.date_format(t, "HH:mm:ss"), F.date_format(t, "SSSSSS")
-    i = F.col("event_id") % 4
-    text = F.when(i == 0, F.concat(day, F.lit("T"), second, F.lit("."), fraction, F.lit("Z"))).when(i == 1, day).when(i == 2, F.concat(day, F.lit(" "), second)).otherwise("soon")
-    known = F.when(F.rlike(text, F.lit(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:\d\d)$")), F.try_to_timestamp(text))
-    return corpora.read(spark, d, "events").select("event_id", F.unix_millis(known).alias("ms"))
-
-
-@query(
-    """SELECT conv_id, turn, trim(text, ' ' || chr(10) || chr(9)) || CASE WHEN turn % 2 = 0 THEN chr(10) || chr(10) || 'more' ELSE '' END AS body FROM conversations"""
-)
-def content_blocks(spark, d):
-    """Text of a message's content: a string, or the text blocks of a list."""
-    c = corpora.read(spark, d, "conversations")
-    block = lambda kind, t: F.struct(F.lit(kind).alias("type"), t.alias("text"))
-    blocks = F.to_json(F.struct(F.array(block("text", F.col("text")), block("image", F.lit("no")), block("text", F.lit("  ")), block("text", F.lit(" more "))).alias("content")))
-    plain = F.to_json(F.struct(F.concat(F.lit(" "), F.col("text"), F.lit("\n")).alias("content")))
-    v = F.try_parse_json(F.when(F.col("turn") % 2 == 0, blocks).otherwise(plain))
-    c = c.withColumn("v", v).withColumn("kind", F.schema_of_variant(F.try_variant_get("v", "$.content", "variant")))
-    trim = lambda t: F.regexp_replace(t, r"^\s+|\s+$", "")
-    items = F.try_variant_get("v", "$.content", "array<struct<type:string,text:string>>")
-    texts = F.filter(F.transform(F.filter(items, lambda b: b["type"] == "text"), lambda b: trim(b["text"])), lambda t: t != "")
-    body = F.when(F.col("kind") == "STRING", trim(F.try_variant_get("v", "$.content", "string"))).otherwise(F.coalesce(F.array_join(texts, "\n\n"), F.lit("")))
-    return c.select("conv_id", "turn", body.alias("body"))
+    return maintenance.newest_first(number_rows(m, "age", "id")).select((F.col("nth") + 1).cast("bigint").alias("nth"), "id", "updated_at")

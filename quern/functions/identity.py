@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import re
+import urllib.parse
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def stable_key(*parts: Column | str) -> Column:
@@ -31,15 +35,33 @@ def text_hash(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
+#: Schemes under which a Git remote names a host (fixed values).
+REMOTE_SCHEMES = frozenset(("http", "https", "ssh", "git"))
+_LONG = re.compile(r"(?P<scheme>[A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@]*@)?(?P<host>\[[^\]]*\]|[^/?#:]*)(?::[0-9]*)?(?P<path>[^?#]*)")
+_SHORT = re.compile(r"(?:[^@/]+@)?(?P<host>[^:/]+):/?(?P<path>.+)")
+
+
+def remote_name(raw: str | None) -> str:
+    """``host/path`` of a Git remote, written as an address or as ``user@host:path``; '' for anything else."""
+    text = (raw or "").strip()
+    m = _LONG.match(text) if "://" in text else _SHORT.fullmatch(text)
+    if m is None:
+        return ""
+    found = m.groupdict()
+    path = found["path"]
+    if "scheme" in found:
+        if found["scheme"].lower() not in REMOTE_SCHEMES:
+            return ""
+        path = urllib.parse.unquote(path)
+    both = found["host"].strip().lower(), path.strip().strip("/").removesuffix(".git")
+    return "/".join(both) if all(both) else ""
+
+
 def normalize_remote(raw: Column) -> Column:
-    """``host/path`` of a Git remote in scp or URL form, else ''."""
-    r = F.trim(raw)
-    scp = r"^(?:[^@/]+@)?([^:/]+):/?(.+)$"
-    url = r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)(?::[0-9]*)?([^?#]*)"
-    is_url = F.contains(r, F.lit("://"))
-    host = F.when(is_url, F.regexp_extract(r, url, 2)).otherwise(F.regexp_extract(r, scp, 1))
-    path = F.when(is_url, F.regexp_extract(r, url, 3)).otherwise(F.regexp_extract(r, scp, 2))
-    known = ~is_url | F.lower(F.regexp_extract(r, url, 1)).isin("http", "https", "ssh", "git")
-    host = F.lower(F.trim(host))
-    path = F.regexp_replace(F.trim(F.trim(path), F.lit("/")), r"\.git$", "")
-    return F.when(known & (host != "") & (path != ""), F.concat(host, F.lit("/"), path)).otherwise(F.lit(""))
+    """:func:`remote_name` of a column."""
+
+    @F.pandas_udf(StringType())
+    def names(values: pd.Series) -> pd.Series:
+        return values.map(remote_name)
+
+    return names(raw)

@@ -14,7 +14,9 @@ query's terms are touched.
 from __future__ import annotations
 
 from collections import Counter
+from dataclasses import dataclass
 
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -108,26 +110,70 @@ def score_gram_sets(docs: DataFrame, grams_col: str, query: list[str], name: str
     return rows.withColumn(name, -(added * factor)).withColumn("n_shared", F.size("_shared")).drop("_shared", "_idf", "_avg")
 
 
+@dataclass(frozen=True)
+class Postings:
+    """Inverted indexes of words and of trigrams, and the sizes of what they index."""
+
+    words: DataFrame
+    grams: DataFrame
+    n_docs: float
+    avg_len: float
+    avg_grams: float
+
+
+def bucket_number(term: str, buckets: int = BUCKETS) -> int:
+    """The bucket of a term, as :func:`bucket_column` gives it."""
+    h = xxhash.xxh64_intdigest(term.encode(), 42)
+    return (h - 2**64 if h >= 2**63 else h) % buckets
+
+
+def bucket_column(term: str, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
 def postings(docs: DataFrame, key: str, weights: dict[str, float], buckets: int = BUCKETS) -> DataFrame:
-    """(bucket, term, key, f, doc_len): the inverted index, to be stored by bucket."""
+    """(bucket, term, key, f, n, doc_len): the inverted index, to be stored by bucket; ``f`` is
+    the weighted and ``n`` the plain frequency."""
     both = F.concat(*[F.transform(F.col(c), _weighted(w)) for c, w in weights.items()])
     rows = docs.select(F.col(key), length(weights).alias("doc_len"), F.explode(both).alias("p"))
-    out = rows.groupBy(key, "doc_len", F.col("p.term").alias("term")).agg(F.sum("p.w").alias("f"))
-    return out.select(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket"), "term", key, "f", "doc_len")
+    out = rows.groupBy(key, "doc_len", F.col("p.term").alias("term")).agg(F.sum("p.w").alias("f"), F.count("*").cast("double").alias("n"))
+    return out.select(bucket_column("term", buckets).alias("bucket"), "term", key, "f", "n", "doc_len")
+
+
+def gram_postings(docs: DataFrame, key: str, grams_col: str, buckets: int = BUCKETS) -> DataFrame:
+    """(bucket, term, key, n_grams) of the rows' trigrams."""
+    rows = docs.select(F.col(key), F.size(grams_col).alias("n_grams"), F.explode(grams_col).alias("term"))
+    return rows.select(bucket_column("term", buckets).alias("bucket"), "term", key, "n_grams")
 
 
 def _weighted(w: float):
     return lambda t: F.struct(t.alias("term"), F.lit(float(w)).alias("w"))
 
 
-def score_postings(index: DataFrame, sizes: DataFrame, key: str, query: list[str], name: str = "bm25", buckets: int = BUCKETS) -> DataFrame:
-    """(key, score) from an inverted index; ``sizes`` is one row (n_docs, avg_len)."""
+def _found(index: DataFrame, query: list[str], n_docs: float, buckets: int) -> DataFrame:
+    """Postings of the query's terms, with ``times`` and ``idf``."""
     times = Counter(query)
     spark = index.sparkSession
     terms = spark.createDataFrame([(t, float(n)) for t, n in times.items()], "term string, times double")
-    numbers = [r[0] for r in terms.select(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).distinct().collect()]
+    numbers = sorted({bucket_number(t, buckets) for t in times})
     found = index.where(F.col("bucket").isin(numbers) & F.col("term").isin(list(times))).join(F.broadcast(terms), "term")
     df = found.groupBy("term").agg(F.count("*").cast("double").alias("df"))  # one row a query term
-    scored = found.join(F.broadcast(df), "term").crossJoin(F.broadcast(sizes))
-    part = F.col("times") * term_score(F.col("f"), F.col("doc_len"), F.col("avg_len"), idf(F.col("n_docs"), F.col("df")))
-    return scored.groupBy(key).agg((-F.sum(part)).alias(name))
+    return found.join(F.broadcast(df), "term").withColumn("idf", idf(F.lit(n_docs), F.col("df")))
+
+
+def score_postings(index: DataFrame, n_docs: float, avg_len: float, key: str, query: list[str], name: str = "bm25", unweighted: str | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """(key, score) from an inverted index, and with ``unweighted`` the score with all weights one."""
+    found = _found(index, query, n_docs, buckets)
+    total = lambda f: -F.sum(F.col("times") * term_score(F.col(f), F.col("doc_len"), F.lit(avg_len), F.col("idf")))
+    return found.groupBy(key).agg(total("f").alias(name), *([total("n").alias(unweighted)] if unweighted else []))
+
+
+def score_gram_postings(index: DataFrame, n_docs: float, avg_grams: float, key: str, query: list[str], name: str = "gram_bm25", buckets: int = BUCKETS) -> DataFrame:
+    """(key, score, n_shared) of the rows that share a gram with the query, as :func:`score_gram_sets`."""
+    found = _found(index, list(dict.fromkeys(query)), n_docs, buckets)
+    factor = (K1 + 1) / (1 + K1 * (1 - B + B * F.col("n_grams") / F.lit(avg_grams)))
+    # the grams of a row are added up in their order, so that both ways round alike
+    idfs = F.transform(F.array_sort(F.collect_list(F.struct("term", "idf"))), lambda x: x["idf"])
+    rows = found.groupBy(key, "n_grams").agg(idfs.alias("idfs"))
+    added = F.aggregate("idfs", F.lit(0.0), lambda a, x: a + x)
+    return rows.select(key, (-(added * factor)).alias(name), F.size("idfs").alias("n_shared"))

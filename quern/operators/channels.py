@@ -80,7 +80,7 @@ def least_coverage(query: list[str]) -> int:
     return 1 if n < 3 else -(-n // 3)
 
 
-Postings = tuple[DataFrame, DataFrame]
+Postings = bm25.Postings
 
 
 def lexical_rows(rows: DataFrame, spec: CorpusSpec, query: list[str], where: Column, postings: Postings | None = None) -> DataFrame:
@@ -88,8 +88,8 @@ def lexical_rows(rows: DataFrame, spec: CorpusSpec, query: list[str], where: Col
 
     With ``postings`` (an inverted index and its sizes) only the buckets of the
     query's words are scored, and rows are looked up for what scored."""
-    if postings is not None and not spec.unweighted_order:
-        scored = rows.where(where).join(bm25.score_postings(*postings, "row_id", query, "raw"), "row_id")
+    if postings is not None:
+        scored = rows.where(where).join(bm25.score_postings(postings.words, postings.n_docs, postings.avg_len, "row_id", query, "raw", "plain"), "row_id")
     else:
         scored = bm25.score_scan(rows, dict(spec.weights), query, "raw", where, unweighted="plain")
     by = F.round("plain" if spec.unweighted_order else "raw", DIGITS)
@@ -105,14 +105,18 @@ def lexical(rows: DataFrame, spec: CorpusSpec, query: list[str], where: Column,
     return _ranked(top, F.col("by"), F.desc("updated_at"), F.col("row_id"))
 
 
-def fuzzy_prefilter(rows: DataFrame, grams: list[str], where: Column) -> DataFrame:
-    scored = bm25.score_gram_sets(rows, "grams", grams, "gram_score", where)
+def fuzzy_prefilter(rows: DataFrame, grams: list[str], where: Column, postings: Postings | None = None) -> DataFrame:
+    """The top rows by BM25 over trigrams, from the inverted index where there is one."""
+    if postings is not None:
+        scored = rows.where(where).join(bm25.score_gram_postings(postings.grams, postings.n_docs, postings.avg_grams, "row_id", grams, "gram_score"), "row_id")
+    else:
+        scored = bm25.score_gram_sets(rows, "grams", grams, "gram_score", where)
     return scored.withColumn("by", F.round("gram_score", DIGITS)).orderBy("by", F.desc("updated_at"), "row_id").limit(PREFILTER)
 
 
-def fuzzy(rows: DataFrame, spec: CorpusSpec, grams: list[str], where: Column) -> DataFrame:
+def fuzzy(rows: DataFrame, spec: CorpusSpec, grams: list[str], where: Column, postings: Postings | None = None) -> DataFrame:
     """Trigram containment of the query in the rows that BM25 over trigrams prefers."""
-    top = fuzzy_prefilter(rows, grams, where).withColumn("raw", F.col("n_shared") / F.lit(float(len(grams)))).where(F.col("raw") >= LEAST_SIMILARITY)
+    top = fuzzy_prefilter(rows, grams, where, postings).withColumn("raw", F.col("n_shared") / F.lit(float(len(grams)))).where(F.col("raw") >= LEAST_SIMILARITY)
     order = (F.desc("raw"), F.desc("updated_at"), F.col("by"), F.col("row_id"))
     return _ranked(top.orderBy(*order).limit(TOP), *order)
 

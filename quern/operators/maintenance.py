@@ -58,9 +58,31 @@ def delete_stale(table: DataFrame, sources: DataFrame, key: str = "source_key",
     return kept.select(*table.columns)
 
 
+def named_harnesses(*tables: DataFrame) -> DataFrame:
+    """The harnesses that any of the tables names, once each."""
+    found = tables[0].select("harness")
+    for t in tables[1:]:
+        found = found.union(t.select("harness"))
+    return found.distinct()
+
+
 def removed_harnesses(sources: DataFrame, errors: DataFrame, supported: tuple[str, ...]) -> DataFrame:
-    found = sources.select("harness").union(errors.select("harness")).distinct()
-    return found.where(~F.col("harness").isin(*supported))
+    return named_harnesses(sources, errors).where(~F.col("harness").isin(*supported))
+
+
+def vanished(known: DataFrame, found: DataFrame, key: str = "source_key") -> DataFrame:
+    """Keys that are known but no more found, once each."""
+    return known.select(key).distinct().join(found.select(key).distinct(), key, "left_anti")
+
+
+def sorted_errors(errors: DataFrame) -> DataFrame:
+    """All errors by harness and path."""
+    return errors.orderBy("harness", "path")
+
+
+def newest_first(memories: DataFrame) -> DataFrame:
+    """All records, the newest first, then by id."""
+    return memories.orderBy(F.desc("updated_at"), "id")
 
 
 def record_errors(errors: DataFrame, new: DataFrame) -> DataFrame:

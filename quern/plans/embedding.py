@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import maintenance
+from ..operators.lineage import cut
 
 BATCH = 32
 QUERY_PREFIX = "task: search result | query: "
@@ -120,7 +121,7 @@ def embed_pending(table: DataFrame, provider: Provider, key: str, body: str, bat
 def backfill(table: DataFrame, provider: Provider, key: str, body: str) -> tuple[DataFrame, int, str]:
     """The table with new vectors, how many, and the first error ('' if none)."""
     made = embed_pending(table, provider, key, body)
-    made = made.checkpoint() if table.sparkSession.sparkContext.getCheckpointDir() else made.cache()
+    made = cut(made)  # the model is asked once
     sizes = made.where("vector is not null").agg(F.count("*").alias("n"), F.countDistinct(F.size("vector")).alias("d")).first()
     error = made.where("error is not null").orderBy(key).select("error").first()
     if sizes["d"] > 1:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import shutil
+import subprocess
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,15 +17,20 @@ from ..operators import channels, filters, maintenance
 from ..operators.filters import MemoryFilters, SessionFilters
 from ..sources.records import RecordStore
 from . import embedding, indexer, search
-from .snapshot import Snapshot, writer_lock
+from .snapshot import Snapshot
+
+#: The tables that search rows are made of.
+SESSION_TABLES, MEMORY_TABLES = ("chunks", "sessions"), ("memories",)
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, config: cfg.Config | None = None, provider: embedding.Provider | None = None):
+    def __init__(self, spark: SparkSession, config: cfg.Config | None = None, provider: embedding.Provider | None = None, installed: Callable[[str], bool] | None = None):
         self.spark = spark
         self.config = config or cfg.load()
         cfg.check_index_outside(self.config.memory_directory, self.config.memory_index)
         self.provider = provider
+        #: Whether a harness's program is there; the sessions of others are left alone.
+        self.installed = installed or (lambda harness: shutil.which(harness) is not None)
         self.sessions_store = Snapshot(spark, self.config.index)
         self.memories_store = Snapshot(spark, self.config.memory_index)
         self.records = RecordStore(self.config.memory_directory)
@@ -32,24 +39,68 @@ class Engine:
 
     def index(self, rebuild: bool = False, reembed: bool = False, harnesses: tuple[str, ...] = ()) -> tuple[indexer.Result, indexer.Result]:
         """Sessions, then memories."""
-        with writer_lock(self.config.index + ".lock.d"):
-            if rebuild:
-                self.sessions_store.clear()
-                self.memories_store.clear()
-            if reembed and not rebuild:
-                self.sessions_store.commit({"chunks": maintenance.clear_embeddings(self.sessions_store.read("chunks"))})
-                self.memories_store.commit({"memories": maintenance.clear_embeddings(self.memories_store.read("memories"))})
+        with self.sessions_store.writer():
+            with self.memories_store.writer():
+                if rebuild:
+                    self.sessions_store.clear()
+                    self.memories_store.clear()
+                if reembed and not rebuild:
+                    self.sessions_store.commit({"chunks": maintenance.clear_embeddings(self.sessions_store.read("chunks"))})
+                    self.memories_store.commit({"memories": maintenance.clear_embeddings(self.memories_store.read("memories"))})
             wanted = [h for h in filters.HARNESSES if self.config.harnesses.get(h) and (not harnesses or h in harnesses)]
-            roots = {h: self.config.sources.get(h, "") for h in wanted}
+            available = {h: self.installed(h) for h in wanted}
+            skipped = [{"type": "skipped", "message": f"{h} is not installed; its sessions stay as they are"} for h in wanted if not available[h]]
+            roots: dict[str, str] = {}
+            for h in wanted:
+                if available[h]:
+                    try:
+                        roots[h] = self.place(h)
+                    except OSError as e:
+                        skipped.append({"type": "discovery", "message": str(e)})
             s = indexer.index_sessions(self.spark, self.sessions_store, roots, self.provider)
+            s.warnings = skipped + s.warnings
+            self.update_postings(memories=False)
             return s, self.refresh()
 
+    def place(self, harness: str) -> str:
+        """Where a harness keeps its sessions; the database's place is asked of its program if it isn't set."""
+        named = self.config.sources.get(harness, "")
+        if named or harness != "opencode":
+            return named
+        try:
+            said = subprocess.run(["opencode", "db", "path"], capture_output=True, text=True, timeout=60, check=True).stdout.strip()
+        except (OSError, subprocess.SubprocessError) as e:
+            raise OSError(f"locate the session database with `opencode db path`: {e}") from None
+        if not said:
+            raise OSError("locate the session database: `opencode db path` said nothing")
+        return said
+
     def write_postings(self) -> None:
-        """Store the inverted index of the sessions; searches use it until the tables change."""
-        self.sessions_store.write_postings(self.session_rows(), "row_id", dict(channels.SESSIONS.weights))
+        """Store the inverted indexes of both corpora; from then on indexing keeps them up to date."""
+        self.sessions_store.write_postings(self.session_rows(), "row_id", dict(channels.SESSIONS.weights), SESSION_TABLES)
+        self.memories_store.write_postings(self.memory_rows(), "row_id", dict(channels.MEMORIES.weights), MEMORY_TABLES)
+
+    def update_postings(self, sessions: bool = True, memories: bool = True) -> None:
+        """Write stored inverted indexes anew if their tables have changed since."""
+        for on, store, rows, spec, of in (
+            (sessions, self.sessions_store, self.session_rows, channels.SESSIONS, SESSION_TABLES), (memories, self.memories_store, self.memory_rows, channels.MEMORIES, MEMORY_TABLES),
+        ):
+            if on and "postings" in store.manifest()["tables"] and store.postings(of) is None:
+                store.write_postings(rows(), "row_id", dict(spec.weights), of)
 
     def refresh(self) -> indexer.Result:
-        return indexer.refresh_memories(self.spark, self.memories_store, self.records, self.provider)
+        """Mirror the records in their index."""
+        with self.memories_store.writer():
+            done = indexer.refresh_memories(self.spark, self.memories_store, self.records, self.provider)
+            self.update_postings(sessions=False)
+        return done
+
+    def _refresh_for_search(self) -> list[dict]:
+        """As :meth:`refresh`; while another process writes, the index is searched as it is."""
+        try:
+            return self.refresh().warnings
+        except RuntimeError as e:
+            return [{"type": "memory_index", "message": f"searched without a refresh: {e}"}]
 
     # search
 
@@ -76,21 +127,21 @@ class Engine:
     def search_sessions(self, query: str, f: SessionFilters | None = None, threshold: float | None = None) -> tuple[DataFrame, str]:
         vector, error = self._vector(query, threshold)
         s = self.sessions_store.read("sessions")
-        fused = search.hybrid(s.withColumn("group_key", F.col("session_key")), self.session_rows(), channels.SESSIONS, query, f or SessionFilters(), vector, self.sessions_store.postings())
+        fused = search.hybrid(s.withColumn("group_key", F.col("session_key")), self.session_rows(), channels.SESSIONS, query, f or SessionFilters(), vector, self.sessions_store.postings(SESSION_TABLES))
         return search.session_results(fused, s), error
 
     def search_memories(self, query: str, f: MemoryFilters | None = None, threshold: float | None = None, refresh: bool = True) -> tuple[DataFrame, str]:
         if refresh:
-            self.refresh()
+            self._refresh_for_search()
         vector, error = self._vector(query, threshold)
         m = self.memories_store.read("memories").withColumn("text", F.col("content")).withColumn("group_key", F.col("id"))
-        fused = search.hybrid(m, self.memory_rows(), channels.MEMORIES, query, f or MemoryFilters(all_projects=True), vector)
+        fused = search.hybrid(m, self.memory_rows(), channels.MEMORIES, query, f or MemoryFilters(all_projects=True), vector, self.memories_store.postings(MEMORY_TABLES))
         keep = m.select("id", "scope", "project_key", "project_remote", "project_name", "source", "current_revision", "content", "created_at", F.col("updated_at").alias("changed_at"), "archived_at")
         return keep.join(F.broadcast(fused), keep["id"] == fused["group_key"]).drop("group_key", "row_id", "text"), error
 
     def search(self, query: str, sessions: SessionFilters | None = None, memories: MemoryFilters | None = None, threshold: float | None = None) -> dict:
         """Both corpora, ranked apart, as plain values."""
-        warnings = self.refresh().warnings
+        warnings = self._refresh_for_search()
         out: dict = {"query": query}
         for name, (df, error) in (("memories", self.search_memories(query, memories, threshold, refresh=False)), ("sessions", self.search_sessions(query, sessions, threshold))):
             out[name] = {"results": [r.asDict() for r in df.orderBy("rank").collect()]} | ({"semanticError": error} if error else {})
@@ -98,6 +149,25 @@ class Engine:
                 warnings.append({"type": "semantic_search", "message": error})
         return out | {"warnings": warnings}
 
+    # scope
+
+    @staticmethod
+    def memory_scope(path: str = "", global_only: bool = False, all_projects: bool = False, include_archived: bool = False, limit: int = 3) -> MemoryFilters:
+        """The project around ``path`` or, by default, the working directory; outside of any, global records only."""
+        if global_only or all_projects:
+            return MemoryFilters("", all_projects, global_only, include_archived, limit)
+        found = project.around(path or os.getcwd())
+        if found is None and path:
+            raise ValueError(f"{path} is not inside a Git repository")
+        return MemoryFilters(found.key if found else "", False, found is None, include_archived, limit)
+
+    @staticmethod
+    def session_scope(path: str = "", all_projects: bool = False) -> str:
+        """The folder that sessions must be of: ``path``, else the work tree around the working directory."""
+        if not path and not all_projects and (found := project.around(os.getcwd())):
+            path = found.root
+        return os.path.abspath(path) if path else ""
+
     # records
 
     def remember(self, content: str, path: str | None = None, global_scope: bool = False, source: str = "") -> dict:
@@ -105,7 +175,7 @@ class Engine:
         if global_scope:
             made = self.records.create("global", content, source)
         else:
-            who = project.resolve(path or os.getcwd())
+            who = project.around(path or os.getcwd())
             if who is None:
                 raise ValueError("not inside a Git repository; use a global memory")
             made = self.records.create("project", content, source, who.key, who.remote, who.name)
@@ -133,9 +203,10 @@ class Engine:
         return self.spark.createDataFrame([(x["revision"], x["content"], x["createdAt"]) for x in r["revisions"]], "revision int, content string, created_at string")
 
     def list(self, f: MemoryFilters | None = None) -> DataFrame:
+        """All matching records, the newest first."""
         self.refresh()
         f = f or MemoryFilters(all_projects=True)
-        return self.memories_store.read("memories").where(f.predicate()).orderBy(F.desc("updated_at"), "id")
+        return maintenance.newest_first(self.memories_store.read("memories").where(f.predicate()))
 
     # reports
 
@@ -149,12 +220,12 @@ class Engine:
 
     def doctor(self) -> DataFrame:
         """(check, ok, detail)."""
-        rows = [(f"harness {h}", bool(shutil.which(h)) or os.path.exists(self.config.sources.get(h) or "/nonexistent"), self.config.sources.get(h, "")) for h, on in self.config.harnesses.items() if on]
+        rows = [(f"harness {h}", self.installed(h) or os.path.exists(self.config.sources.get(h) or "/nonexistent"), self.config.sources.get(h, "")) for h, on in self.config.harnesses.items() if on]
         for name, store in (("session index", self.sessions_store), ("memory index", self.memories_store)):
             try:
                 rows.append((name, True, f"snapshot {store.manifest()['number']}"))
             except RuntimeError as e:
                 rows.append((name, False, str(e)))
-        rows += [(f"parser error {r['path']}", False, r["error"]) for r in self.sessions_store.read("parser_errors").orderBy("harness", "path").collect()]
+        rows += [(f"parser error {r['path']}", False, r["error"]) for r in maintenance.sorted_errors(self.sessions_store.read("parser_errors")).collect()]
         rows += [(f"conflict {w['path']}", False, w["message"]) for w in self.records.listing()[1]]
         return self.spark.createDataFrame(rows, "check string, ok boolean, detail string")

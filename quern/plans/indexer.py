@@ -15,7 +15,7 @@ from ..operators.filters import HARNESSES
 from ..sources import adapters
 from ..sources.records import RecordStore
 from . import embedding
-from .snapshot import Snapshot
+from .snapshot import Snapshot, bucket_of
 
 
 @dataclass
@@ -38,22 +38,28 @@ def _empty(spark: SparkSession, table: str) -> DataFrame:
     return spark.createDataFrame([], schemas.TABLES[table])
 
 
-def index_sessions(spark: SparkSession, store: Snapshot, roots: dict[str, str], provider: embedding.Provider | None = None, available: dict[str, bool] | None = None) -> Result:
+def index_sessions(spark: SparkSession, store: Snapshot, roots: dict[str, str], provider: embedding.Provider | None = None) -> Result:
     """Bring the index up to date with the logs below ``roots`` (harness -> place).
 
     New and changed sources are parsed; rows of vanished sources and of harnesses
     that are no more supported go; a source that fails keeps its old rows and
-    version, so it is tried again.  Harnesses that are unavailable are left alone.
+    version, so it is tried again.  Harnesses that aren't in ``roots`` are left alone.
+
+    Nothing is written if nothing changed; of the chunks only the buckets of sources
+    that were read anew or are gone.
     """
     result = Result()
+    touched = False
+    buckets: set[int] = set()
     stamp = now_ms()
     old = {t: store.read(t) for t in ("sources", "sessions", "chunks", "parser_errors")}
     sources, sessions, chunks, errors = old.values()
     supported = F.col("harness").isin(*HARNESSES)
+    if not maintenance.removed_harnesses(sources, errors, HARNESSES).isEmpty():
+        touched = True
+        buckets |= buckets_of(sources.where(~supported))
     sources, sessions, errors = (df.where(supported) for df in (sources, sessions, errors))
     for harness, root in roots.items():
-        if available is not None and not available.get(harness, True):
-            continue
         try:
             found = adapters.discover(harness, root)
         except Exception as e:  # one harness doesn't stop the others
@@ -68,6 +74,11 @@ def index_sessions(spark: SparkSession, store: Snapshot, roots: dict[str, str],
         result.unchanged += counts.get("unchanged", 0)
         result.deleted += counts.get("missing", 0)
         gone = status.where("status = 'missing'").select("source_key")
+        if counts.get("missing"):
+            touched = True
+            buckets |= buckets_of(gone)
+        theirs = errors.where(F.col("harness") == harness)
+        touched = touched or not maintenance.vanished(theirs, table).isEmpty()
         sources = sources.join(gone, "source_key", "left_anti")
         errors = errors.join(table.select("source_key"), "source_key", "left_semi").unionByName(errors.where(F.col("harness") != harness)) if found else errors.where(F.col("harness") != harness)
         if not counts.get("new") and not counts.get("changed"):
@@ -81,6 +92,10 @@ def index_sessions(spark: SparkSession, store: Snapshot, roots: dict[str, str],
         result.updated += len(todo) - n_failed
         warned = parsed.warnings.select("source_key", F.lit(harness).alias("harness"), "path", F.col("message").alias("error"), F.lit(stamp).alias("created_at"))
         result.errors += warned.count()
+        said = failed.unionByName(warned).select("source_key", "error")
+        if result.updated or not said.join(theirs.select("source_key", "error"), ["source_key", "error"], "left_anti").isEmpty():
+            touched = True
+        buckets |= buckets_of(good)
         errors = errors.join(good.select("source_key"), "source_key", "left_anti")
         errors = maintenance.record_errors(errors, failed.unionByName(warned))
         sources = maintenance.upsert(sources, good.withColumn("indexed_at", F.lit(stamp)), "source_key")
@@ -93,17 +108,27 @@ def index_sessions(spark: SparkSession, store: Snapshot, roots: dict[str, str],
         made = chunking.last_writer(made.select(*schemas.names(schemas.CHUNKS), "ord"), "ord").drop("ord")
         chunks = maintenance.upsert(chunks, made, "chunk_key", keep=("embedding", "embedding_fingerprint"), same="text_hash")
         chunks = maintenance.delete_stale(chunks, good.select("source_key", F.lit(stamp).alias("generation")), "source_key")
-    sessions = maintenance.cascade(sessions, sources, "source_key")
-    # of a re-read source only the sessions it still has
-    chunks = chunks.join(sessions.select("session_key", "source_key"), ["session_key", "source_key"], "left_semi")
-    store.commit({"sources": sources, "sessions": sessions, "chunks": chunks, "parser_errors": errors}, {"last_indexed_at": str(stamp)})
+    if touched:
+        sessions = maintenance.cascade(sessions, sources, "source_key")
+        # of a re-read source only the sessions it still has; a session may have moved to another source
+        moved = old["sessions"].join(sessions.select("session_key", F.col("source_key").alias("_now")), "session_key").where("source_key <> _now")
+        buckets |= buckets_of(moved)
+        chunks = chunks.join(sessions.select("session_key", "source_key"), ["session_key", "source_key"], "left_semi")
+        store.commit({"sources": sources, "sessions": sessions, "chunks": chunks, "parser_errors": errors}, {"last_indexed_at": str(stamp)}, {"chunks": buckets})
     if provider is not None:
-        table, result.embedded, result.embedding_error = embedding.backfill(store.read("chunks"), provider, "chunk_key", "text")
+        chunks = store.read("chunks")
+        waiting = buckets_of(maintenance.pending(chunks, provider.fingerprint))
+        table, result.embedded, result.embedding_error = embedding.backfill(chunks, provider, "chunk_key", "text")
         if result.embedded:
-            store.commit({"chunks": table}, {"embedding_fingerprint": provider.fingerprint})
+            store.commit({"chunks": table}, {"embedding_fingerprint": provider.fingerprint}, {"chunks": waiting})
     return result
 
 
+def buckets_of(rows: DataFrame) -> set[int]:
+    """The buckets of the chunks of these sources; at most ``BUCKETS`` numbers."""
+    return {r[0] for r in rows.select(bucket_of("source_key")).distinct().collect()}
+
+
 def refresh_memories(spark: SparkSession, store: Snapshot, records: RecordStore, provider: embedding.Provider | None = None) -> Result:
     """Mirror the record files in the index: changed files by hash, vanished ones
     deleted; an invalid file keeps its last good row."""

@@ -32,7 +32,7 @@ def run_channels(groups: DataFrame, rows: DataFrame, spec: C.CorpusSpec, query:
     if words:
         found["lexical"] = C.lexical(rows, spec, words, filters.predicate(), postings)
     if grams:
-        found["fuzzy"] = C.fuzzy(rows, spec, grams, filters.predicate())
+        found["fuzzy"] = C.fuzzy(rows, spec, grams, filters.predicate(), postings)
     if vector is not None:
         found["semantic"] = C.semantic(rows, vector.values, vector.fingerprint, vector.threshold, filters.predicate())
     return found

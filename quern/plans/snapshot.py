@@ -5,27 +5,43 @@ next manifest, exclusively; a reader takes the latest manifest once.  Nothing
 that is read is ever overwritten, an interrupted commit leaves no trace but
 unused folders, and two writers can't create the same manifest.  All file
 operations go through Hadoop's file system API, so the root may be in any store.
+
+Large tables lie in buckets of a key (:data:`PARTED`), each a folder of its own, so a
+commit writes the buckets that changed and the manifest names the others again.
+What newer commits don't name stays for ``KEEP_MS``, for readers that still use it.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import socket
+import time
 import uuid
+from collections.abc import Iterable
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..operators import bm25
 
-KEEP = 2
+#: Commits whose folders stay in any case, and how long all others stay.
+KEEP, KEEP_MS = 2, 24 * 3600 * 1000
+#: Tables in buckets, by key, and the number of buckets.
+PARTED, BUCKETS = {"chunks": "source_key"}, 64
+#: After so long the lock of a writer that can't be asked counts as left behind.
+LEASE_MS = 6 * 3600 * 1000
+
+
+def bucket_of(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
 
 
 class Snapshot:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, keep_ms: int = KEEP_MS):
+        self.spark, self.root, self.keep_ms = spark, root.rstrip("/"), keep_ms
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self.fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -56,17 +72,24 @@ class Snapshot:
     # tables
 
     def read(self, table: str) -> DataFrame:
-        path = self.manifest()["tables"].get(table)
-        if path is None:
+        found = self.manifest()["tables"].get(table)
+        paths = list(found.values()) if isinstance(found, dict) else [found] if found else []
+        if not paths:
             return self.spark.createDataFrame([], schemas.TABLES[table])
-        return self.spark.read.parquet(f"{self.root}/{path}")
+        return self.spark.read.parquet(*[f"{self.root}/{p}" for p in paths])
 
-    def commit(self, tables: dict[str, DataFrame], meta: dict[str, str] | None = None) -> int:
-        """Write the tables given and the next manifest; the others stay as they are."""
+    def commit(self, tables: dict[str, DataFrame], meta: dict[str, str] | None = None, buckets: dict[str, Iterable[int]] | None = None) -> int:
+        """Write the tables given and the next manifest; the others stay as they are.
+
+        ``buckets`` names the buckets of a table in buckets that may have changed; without
+        it all are written."""
         now = self.manifest()
-        written = {}
+        written: dict = {}
         for name, df in tables.items():
             path = f"data/{name}-{now['number'] + 1:06d}-{uuid.uuid4().hex[:8]}"
+            if name in PARTED:
+                written[name] = self._write_buckets(name, df, path, now["tables"].get(name), (buckets or {}).get(name))
+                continue
             writer = df.select(*schemas.names(schemas.TABLES[name])).write if name in schemas.TABLES else df.write.partitionBy("bucket")
             writer.parquet(f"{self.root}/{path}")
             written[name] = path
@@ -79,60 +102,114 @@ class Snapshot:
         self._vacuum()
         return new["number"]
 
+    def _write_buckets(self, name: str, df: DataFrame, path: str, old, changed: Iterable[int] | None) -> dict[str, str]:
+        """Folder by bucket: new ones of the changed buckets, the old ones of the rest."""
+        df = df.select(*schemas.names(schemas.TABLES[name]), bucket_of(PARTED[name]).alias("bucket"))
+        kept: dict[str, str] = {}
+        if isinstance(old, dict) and changed is not None:
+            changed = sorted(set(changed))
+            kept = {b: p for b, p in old.items() if int(b) not in changed}
+            df = df.where(F.col("bucket").isin(changed))
+        # rows of a bucket come together, so a bucket is few files
+        df.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.root}/{path}")
+        there = [s.getPath().getName() for s in self.fs.listStatus(self._path(f"{self.root}/{path}"))]
+        return kept | {n.removeprefix("bucket="): f"{path}/{n}" for n in there if n.startswith("bucket=")}
+
     def _vacuum(self) -> None:
-        """Drop manifests but the last two, and folders that neither of them names."""
-        names = self._manifests()
-        kept = set()
-        for n in names[-KEEP:]:
-            stream = self.fs.open(self._path(f"{self.root}/{n}"))
-            kept |= set(json.loads(bytes(stream.readAllBytes()))["tables"].values())
+        """Drop what is older than ``keep_ms`` and named by neither of the last two manifests."""
+        limit = time.time() * 1000 - self.keep_ms
+        names, kept = self._manifests(), set()
+        for n in names:
+            path = self._path(f"{self.root}/{n}")
+            if n not in names[-KEEP:] and self.fs.getFileStatus(path).getModificationTime() < limit:
+                self.fs.delete(path, False)
+                continue
+            stream = self.fs.open(path)
+            for found in json.loads(bytes(stream.readAllBytes()))["tables"].values():
+                kept |= {p.split("/")[1] for p in (found.values() if isinstance(found, dict) else [found])}
             stream.close()
-        for n in names[:-KEEP]:
-            self.fs.delete(self._path(f"{self.root}/{n}"), False)
         data = self._path(f"{self.root}/data")
         for s in self.fs.listStatus(data) if self.fs.exists(data) else ():
-            if f"data/{s.getPath().getName()}" not in kept:
+            if s.getPath().getName() not in kept and s.getModificationTime() < limit:
                 self.fs.delete(s.getPath(), True)
 
     def clear(self) -> None:
         """Start from nothing: a rebuild."""
-        self.fs.delete(self._path(self.root), True)
+        at = self._path(self.root)
+        for s in self.fs.listStatus(at) if self.fs.exists(at) else ():
+            if s.getPath().getName() != LOCK:
+                self.fs.delete(s.getPath(), True)
+
+    # lock
+
+    @contextmanager
+    def writer(self):
+        """One writer of this index: a lock file, created exclusively, that doesn't wait.
+
+        A lock whose process is known to be gone, or that is older than ``LEASE_MS``, is taken over."""
+        at = self._path(f"{self.root}/{LOCK}")
+        mine = json.dumps({"host": socket.gethostname(), "pid": os.getpid(), "id": uuid.uuid4().hex})
+        for last in (False, True):
+            try:
+                out = self.fs.create(at, False)
+                break
+            except Exception:  # of the JVM: it exists
+                if last or not self._left_behind(at):
+                    raise RuntimeError("another indexing process is already running") from None
+                self.fs.delete(at, False)
+        try:
+            out.write(bytearray(mine.encode()))
+        finally:
+            out.close()
+        try:
+            yield
+        finally:
+            self.fs.delete(at, False)
+
+    def _left_behind(self, at) -> bool:
+        try:
+            age = time.time() * 1000 - self.fs.getFileStatus(at).getModificationTime()
+            stream = self.fs.open(at)
+            try:
+                owner = json.loads(bytes(stream.readAllBytes()) or b"{}")
+            finally:
+                stream.close()
+        except Exception:  # gone meanwhile, or just being written
+            return False
+        if owner.get("host") == socket.gethostname() and owner.get("pid") != os.getpid():
+            try:
+                os.kill(owner["pid"], 0)
+            except ProcessLookupError:
+                return True
+            except OSError:
+                pass
+        return age > LEASE_MS
 
     # key-value
 
     def meta(self, key: str) -> str:
         return self.manifest()["meta"].get(key, "")
 
-    # inverted index
+    # inverted indexes
+
+    def _mark(self, of: Iterable[str]) -> str:
+        tables = self.manifest()["tables"]
+        return json.dumps([tables.get(t) for t in of], sort_keys=True)
 
-    def write_postings(self, rows: DataFrame, key: str, weights: dict[str, float]) -> None:
-        """Store the inverted index of the search rows by bucket of terms, and its sizes."""
-        of = self.manifest()["tables"]
-        sizes = rows.agg(F.count("*").alias("n"), F.avg(bm25.length(weights)).alias("a")).first()
-        mark = f"{of.get('chunks')} {of.get('sessions')}"
-        self.commit({"postings": bm25.postings(rows, key, weights)}, {"postings_of": mark, "n_docs": str(sizes["n"]), "avg_len": repr(sizes["a"] or 0.0)})
+    def write_postings(self, rows: DataFrame, key: str, weights: dict[str, float], of: Iterable[str]) -> None:
+        """Store the inverted indexes of the search rows' words and trigrams by bucket, and
+        their sizes; ``of`` names the tables that the rows are made of."""
+        sizes = rows.agg(F.count("*").alias("n"), F.avg(bm25.length(weights)).alias("a"), F.avg(F.size("grams")).alias("g")).first()
+        meta = {"postings_of": self._mark(of), "n_docs": str(sizes["n"]), "avg_len": repr(sizes["a"] or 0.0), "avg_grams": repr(sizes["g"] or 0.0)}
+        self.commit({"postings": bm25.postings(rows, key, weights), "gram_postings": bm25.gram_postings(rows, key, "grams")}, meta)
 
-    def postings(self) -> tuple[DataFrame, DataFrame] | None:
-        """(inverted index, one row n_docs and avg_len) if they are those of the tables as they are now."""
+    def postings(self, of: Iterable[str]) -> bm25.Postings | None:
+        """The inverted indexes if they are those of the tables as they are now."""
         m = self.manifest()
-        if "postings" not in m["tables"] or m["meta"].get("postings_of") != f"{m['tables'].get('chunks')} {m['tables'].get('sessions')}":
+        if "gram_postings" not in m["tables"] or m["meta"].get("postings_of") != self._mark(of):
             return None
-        sizes = self.spark.range(1).select(F.lit(float(m["meta"]["n_docs"])).alias("n_docs"), F.lit(float(m["meta"]["avg_len"])).alias("avg_len"))
-        return self.spark.read.parquet(f"{self.root}/{m['tables']['postings']}"), sizes
+        index, grams = (self.spark.read.parquet(f"{self.root}/{m['tables'][t]}") for t in ("postings", "gram_postings"))
+        return bm25.Postings(index, grams, float(m["meta"]["n_docs"]), float(m["meta"]["avg_len"]), float(m["meta"]["avg_grams"]))
 
 
-@contextmanager
-def writer_lock(folder: str):
-    """One writer a machine: an exclusive lock that doesn't wait."""
-    import fcntl
-
-    os.makedirs(folder, exist_ok=True)
-    with open(os.path.join(folder, ".lock"), "a+") as f:
-        try:
-            fcntl.flock(f, fcntl.LOCK_EX | fcntl.LOCK_NB)
-        except BlockingIOError:
-            raise RuntimeError("another indexing process is already running") from None
-        try:
-            yield
-        finally:
-            fcntl.flock(f, fcntl.LOCK_UN)
+LOCK = "writer.lock"

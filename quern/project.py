@@ -1,49 +1,57 @@
-"""Project identity from a Git working tree."""
+"""What project a folder belongs to, read from the Git files around it.
+
+No program is started: the work tree is the nearest folder upwards that has a ``.git``,
+and the remote is the address of ``origin`` in its configuration.
+"""
 
 from __future__ import annotations
 
 import os
 import re
-import subprocess
-import urllib.parse
-from dataclasses import dataclass
+from pathlib import Path
+from typing import NamedTuple
+
+from .functions.identity import remote_name
 
-_SCP = re.compile(r"(?:[^@/]+@)?([^:/]+):/?(.+)")
 
+class Project(NamedTuple):
+    """``key`` is the same for all clones of one remote."""
 
-@dataclass(frozen=True)
-class Identity:
     root: str
     key: str
     remote: str
     name: str
 
 
-def _host_path(host: str, path: str) -> str:
-    path = path.strip().strip("/").removesuffix(".git")
-    host = host.strip().lower()
-    return f"{host}/{path}" if host and path else ""
+_SECTION = re.compile(r"\s*\[\s*([^\s\]\"]+)\s*(?:\"([^\"]*)\")?\s*\]")
+_SETTING = re.compile(r"\s*([A-Za-z][\w-]*)\s*=\s*(.*?)\s*$")
 
 
-def normalize_remote(raw: str) -> str:
-    raw = raw.strip()
-    if "://" not in raw:
-        return _host_path(m[1], m[2]) if (m := _SCP.fullmatch(raw)) else ""
-    parts = urllib.parse.urlsplit(raw)
-    return _host_path(parts.hostname or "", urllib.parse.unquote(parts.path)) if parts.scheme in ("http", "https", "ssh", "git") else ""
+def _settings(folder: Path) -> Path:
+    """The folder of the configuration; a work tree added to a clone points to the clone's."""
+    if folder.is_file():
+        said = folder.read_text(encoding="utf-8", errors="replace").partition("gitdir:")[2].strip()
+        folder = (folder.parent / said).resolve()
+    shared = folder / "commondir"
+    return (folder / shared.read_text(encoding="utf-8").strip()).resolve() if shared.is_file() else folder
 
 
-def _git(path: str, *args: str) -> str:
-    done = subprocess.run(["git", "-C", path, *args], capture_output=True, text=True, timeout=20)
-    return done.stdout.strip() if done.returncode == 0 else ""
+def _origin(config: Path) -> str:
+    section, url = ("", ""), ""
+    for line in config.read_text(encoding="utf-8", errors="replace").splitlines() if config.is_file() else ():
+        if m := _SECTION.match(line):
+            section = m[1].lower(), m[2] or ""
+        elif section == ("remote", "origin") and (m := _SETTING.match(line)) and m[1].lower() == "url" and not url:
+            url = m[2].strip('"')
+    return url
 
 
-def resolve(path: str) -> Identity | None:
-    """Of the repository around a path; None outside of one."""
-    root = _git(path, "rev-parse", "--show-toplevel")
-    if not root:
-        return None
-    remote = _git(root, "remote", "get-url", "origin")
-    key = normalize_remote(remote)
-    name = os.path.basename(key or root)
-    return Identity(root, key or f"local/{os.path.basename(root)}", remote, name)
+def around(path: str) -> Project | None:
+    """The project around a path; None outside of any."""
+    here = Path(path).resolve()
+    for folder in (here, *here.parents):
+        if (folder / ".git").exists():
+            remote = _origin(_settings(folder / ".git") / "config")
+            key = remote_name(remote) or f"local/{folder.name}"
+            return Project(str(folder), key, remote, os.path.basename(key))
+    return None

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import identity
 from ..functions import text as T
+from ..operators.lineage import cut
 from . import jsonl, sqlite
 
 #: What a session without an identifier is reported as (fixed values).
@@ -31,14 +32,19 @@ def discover(harness: str, root: str) -> list[dict]:
     return jsonl.discover(harness, root, skip)
 
 
+#: What :func:`assemble` wants to know of the sources; the last three of a database's only.
+KNOWN = "source_key string, path string, parent_id string, started_at bigint, updated_at bigint"
+
+
 def parse(spark: SparkSession, harness: str, sources: list[dict]) -> Parsed:
+    """Files are read once: the events are cut from the files before several tables are made of them."""
     events = sqlite.read_events(spark, sources) if harness == "opencode" else jsonl.read_events(spark, sources, harness)
-    return assemble(events.checkpoint() if spark.sparkContext.getCheckpointDir() else events, harness, sources)
+    known = spark.createDataFrame([(s["source_key"], s["path"], s.get("parent_id"), s.get("started_at"), s.get("updated_at")) for s in sources], KNOWN)
+    return assemble(cut(events), harness, known)
 
 
-def assemble(events: DataFrame, harness: str, sources: list[dict]) -> Parsed:
+def assemble(events: DataFrame, harness: str, known: DataFrame) -> Parsed:
     """All of it per source, in the order of its records."""
-    spark = events.sparkSession
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("ord")))
     is_entry = F.col("entry_kind").isNotNull()
     per = events.groupBy("source_key", "path").agg(
@@ -46,12 +52,11 @@ def assemble(events: DataFrame, harness: str, sources: list[dict]) -> Parsed:
         F.min("ts").alias("started_at"), F.max("ts").alias("updated_at"), F.min_by("text", F.when(is_entry & (F.col("role") == "user"), F.col("ord"))).alias("first_user"),
         F.min(F.when(F.col("kind") == "error", F.col("message"))).alias("error"),
     )
-    if harness == "opencode":
-        bounds = spark.createDataFrame([(s["source_key"], s["parent_id"], s["started_at"], s["updated_at"]) for s in sources], "source_key string, parent_id string, s bigint, u bigint")
-        per = per.join(bounds, "source_key", "left").withColumn("started_at", F.col("s")).withColumn("updated_at", F.col("u")).drop("s", "u")
+    if harness == "opencode":  # the database says it itself
+        per = per.drop("started_at", "updated_at")
+        known = known.select("source_key", "path", "parent_id", "started_at", "updated_at")
     else:
-        per = per.withColumn("parent_id", F.lit(""))
-    known = spark.createDataFrame([(s["source_key"], s["path"]) for s in sources], "source_key string, path string")
+        known = known.select("source_key", "path", F.lit("").alias("parent_id"))
     per = known.join(per.drop("path"), "source_key", "left")  # an empty file has no event
     no_id = F.coalesce(F.col("native_id"), F.lit("")) == ""
     per = per.withColumn("error", F.coalesce("error", F.when(no_id, F.lit(MISSING[harness]))))

@@ -157,13 +157,11 @@ def claude_record(v: dict) -> dict:
 RECORDS = {"pi": pi_record, "codex": codex_record, "claude": claude_record}
 
 
-def events_of(harness: str, source_key: str, path: str) -> Iterator[dict]:
-    """Event rows of one file; a failure is one row of the kind ``error`` after those before it."""
+def events_in(harness: str, source_key: str, path: str, text: str) -> Iterator[dict]:
+    """Event rows of one file's text; a failure is one row of the kind ``error`` after those before it."""
     row = {"source_key": source_key, "path": path}
     n = 0
     try:
-        with open(path, encoding="utf-8", errors="replace", newline="") as f:
-            text = f.read()
         values = decode_lines(text) if harness == "codex" else ((i, v, "") for i, v in enumerate(decode_stream(text), 1))
         for n, value, warning in values:
             if warning:
@@ -174,29 +172,36 @@ def events_of(harness: str, source_key: str, path: str) -> Iterator[dict]:
             if not isinstance(value, dict):
                 raise ValueError(f"record {n} is no object")
             yield row | {"ord": n, "kind": "event", "ts": millis(string(value, "timestamp"))} | RECORDS[harness](value)
-    except (OSError, ValueError) as e:
+    except ValueError as e:
         yield row | {"ord": n + 1, "kind": "error", "message": str(e)}
 
 
+def events_of(harness: str, source_key: str, path: str) -> Iterator[dict]:
+    """Event rows of one file."""
+    try:
+        with open(path, encoding="utf-8", errors="replace", newline="") as f:
+            text = f.read()
+    except OSError as e:
+        yield {"source_key": source_key, "path": path, "ord": 1, "kind": "error", "message": str(e)}
+        return
+    yield from events_in(harness, source_key, path, text)
+
+
 def read_events(spark: SparkSession, sources: list[dict], harness: str) -> DataFrame:
     """Event rows of all files, one task for several files."""
-    columns = schemas.names(schemas.EVENTS)
     if not sources:
         return spark.createDataFrame([], schemas.EVENTS)
     table = spark.createDataFrame([(s["source_key"], s["path"]) for s in sources], "source_key string, path string")
-    table = table.repartition(min(len(sources), 2000))
+    return _events(table.repartition(min(len(sources), 2000)), lambda row: events_of(harness, row.source_key, row.path))
+
+
+def read_texts(texts: DataFrame, harness: str) -> DataFrame:
+    """Event rows of logs that are rows of a table: (source_key, path, text)."""
+    return _events(texts.select("source_key", "path", "text"), lambda row: events_in(harness, row.source_key, row.path, row.text or ""))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for key, path in zip(batch["source_key"], batch["path"], strict=True):
-                held: list[dict] = []
-                for e in events_of(harness, key, path):
-                    held.append(e)
-                    if len(held) >= 5000:
-                        yield frame(held)
-                        held = []
-                if held:
-                    yield frame(held)
+
+def _events(table: DataFrame, read: Callable[..., Iterator[dict]]) -> DataFrame:
+    columns = schemas.names(schemas.EVENTS)
 
     def frame(rows: list[dict]) -> pd.DataFrame:
         out = pd.DataFrame(rows, columns=columns).astype(object)
@@ -205,4 +210,16 @@ def read_events(spark: SparkSession, sources: list[dict], harness: str) -> DataF
         out["ord"] = out["ord"].astype("int64")
         return out
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            held: list[dict] = []
+            for row in batch.itertuples(index=False):
+                for e in read(row):
+                    held.append(e)
+                    if len(held) >= 5000:
+                        yield frame(held)
+                        held = []
+            if held:
+                yield frame(held)
+
     return table.mapInPandas(run, schemas.EVENTS)

@@ -56,6 +56,8 @@ def discover(path: str) -> list[dict]:
     ]
 
 
+#: What a session says of itself.
+ABOUT = "source_key string, path string, session_id string, cwd string, name string"
 _ROWS = "source_key string, native_id string, kind string, id string, message_id string, time_created bigint, data string"
 
 
@@ -82,7 +84,13 @@ def read_events(spark: SparkSession, sources: list[dict]) -> DataFrame:
     """Event rows as those of the logs: text parts in the order of messages and parts."""
     if not sources:
         return spark.createDataFrame([], schemas.EVENTS)
-    rows = read_rows(spark, sources)
+    about = spark.createDataFrame([(s["source_key"], s["path"], s["native_id"], s["cwd"], s["name"]) for s in sources], ABOUT)
+    return events(read_rows(spark, sources), about)
+
+
+def events(rows: DataFrame, about: DataFrame) -> DataFrame:
+    """Event rows from messages and parts (as :func:`read_rows` gives them) and the sessions' own data."""
+    spark = rows.sparkSession
 
     @F.udf("boolean")
     def is_object(text):
@@ -99,7 +107,6 @@ def read_events(spark: SparkSession, sources: list[dict]) -> DataFrame:
     p = p.select("source_key", "message_id", F.col("id").alias("part_id"), F.col("time_created").alias("p_time"), F.trim(F.regexp_replace(get("data", "$.text"), r"^\s+|\s+$", "")).alias("text"))
     both = m.join(p, ["source_key", "message_id"]).where(F.col("role").isin("user", "assistant") & (F.col("text") != ""))
     numbered = both.withColumn("ord", F.expr("row_number() over (partition by source_key order by m_time, message_id, p_time, part_id)").cast("bigint"))
-    about = spark.createDataFrame([(s["source_key"], s["path"], s["native_id"], s["cwd"], s["name"]) for s in sources], "source_key string, path string, session_id string, cwd string, name string")
     entry = numbered.join(about.select("source_key", "path"), "source_key").select(
         "source_key", "path", F.col("ord"), F.lit("event").alias("kind"), F.when(F.col("p_time") > 0, F.col("p_time")).otherwise(F.when(F.col("m_time") > 0, F.col("m_time"))).alias("ts"),
         F.col("part_id").alias("entry_id"), F.coalesce("parent", F.lit("")).alias("entry_parent"), "role", F.lit("message").alias("entry_kind"), "text",
