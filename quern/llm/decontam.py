@@ -1,24 +1,25 @@
 """Benchmark decontamination, in DataFrame functions only.
 
 A *window* is 13 consecutive words of a benchmark item (an item of fewer words,
-but not none, is one window).  The set of window strings is broadcast with the
-plan as the constant of an ``IN`` and probed by every training document:
+but not none, is one window).  The set of windows is a hash relation that is
+broadcast to the scan of the training documents:
 
 1. *Anchors.*  A window of w words holds exactly one run of k words that starts
    at a multiple of w - k + 1.  So a document hashes only its runs at those
-   places (every ninth word for w = 13, k = 5) and looks them up in the set of
-   all k-word runs of the items.  Documents without a known run can hold no
+   places (every ninth word for w = 13, k = 5) and looks them up in the broadcast
+   set of all k-word runs of the items.  Documents without a known run can hold no
    window.  This step folds case with ``lower``, which is fast and folds more
    than A-Z, so it lets through at least what it must.
-2. *Windows.*  The documents that remain are normalised exactly (A-Z only) and
-   every window string is looked up in the set: whole strings are compared, so
+2. *Windows.*  The texts that remain, each once, are normalised exactly (A-Z only)
+   and every window string is looked up in the set: whole strings are compared, so
    a hit is verified.  Hit windows give the covered words.
-3. *Items.*  Hit window strings, which only contaminated documents have, are
-   exploded and joined with the windows' items.
+3. *Items.*  Windows with the same items share the number of an item set, so what is
+   joined with items are the combinations of sets that texts have, not every text
+   with every item.
 
-The set is driver data only up to ``most_constant`` entries (a documented size
-bound); a larger benchmark is probed with shuffled joins instead, over the same
-anchors, so the results don't depend on its size.
+Both relations are broadcast up to ``most_bytes``, measured before; a larger benchmark
+is joined by shuffles, over the same steps.  Equal texts are one text throughout,
+named by their MD5, so copies cost no more than one hash.
 
 Defined results: a null or wordless text has no words, no hits, no items and is
 not contaminated; a null item or one without words has no window; items with
@@ -35,8 +36,10 @@ from pyspark.sql import functions as F
 from .common import cut
 
 WINDOW = 13
-#: Windows of the set that travel as a constant of the plan.
-MOST_CONSTANT = 200_000
+#: Bytes of the windows, with what a hash relation adds, up to which they are broadcast.
+MOST_BYTES, ROW_BYTES = 64 << 20, 64
+#: Keys of texts that are broadcast, some 100 bytes each.
+MOST_KEYS = 500_000
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What separates words once A-Z are lower-cased.
@@ -63,11 +66,6 @@ def runs(ws: str, k: int, step: int = 1) -> Column:
     return F.when(F.size(ws) >= k, found).otherwise(F.array().cast("array<bigint>"))
 
 
-def constants(values: list) -> str:
-    """A SQL list; words hold neither quotes nor backslashes.  Catalyst makes a hash set of it."""
-    return ", ".join(f"'{v}'" if isinstance(v, str) else f"{v}L" if v > -(2**63) else "cast('-9223372036854775808' as bigint)" for v in values)
-
-
 def run_length(w: int) -> int:
     """Words of an anchor of windows of w words."""
     return 5 if w == WINDOW else (w + 1) // 2
@@ -99,63 +97,51 @@ def window_positions(ws: str, m: int) -> Column:
     return F.when(F.size(ws) >= m, made).otherwise(F.array().cast("array<struct<pos:int,m:int,win:string>>"))
 
 
-def _scan(docs: DataFrame, by_length: dict[int, list[str]], anchors: dict[int, list[int]]) -> DataFrame:
-    """doc columns + n_words, hits array<(pos, m, win)>, with the set as a constant."""
-    d = docs.withColumn("folded", folded_words(F.coalesce(F.col("text"), F.lit(""))))
-    places = [runs("folded", run_length(m), m - run_length(m) + 1).alias(f"runs_{m}") for m in anchors]
-    d = d.select("*", F.size("folded").cast("bigint").alias("n_words"), *places).drop("folded")
-    suspect = " or ".join(f"exists(runs_{m}, x -> x in ({constants(known)}))" for m, known in anchors.items())
-    d = d.withColumn("exact", F.when(F.expr(suspect or "false"), words(F.col("text"))).otherwise(F.array().cast("array<string>")))
-    d = d.drop(*[f"runs_{m}" for m in anchors])
-    d = d.select("*", *[window_positions("exact", m).alias(f"at_{m}") for m in by_length])
-    found = [F.expr(f"filter(at_{m}, x -> x.win in ({constants(known)}))") for m, known in by_length.items()]
-    none = F.array().cast("array<struct<pos:int,m:int,win:string>>")
-    d = d.withColumn("hits", F.array_sort(F.concat(none, *found)))
-    return d.drop("exact", *[f"at_{m}" for m in by_length])
-
-
-def _scan_joined(docs: DataFrame, wins: DataFrame, lengths: list[int], anchor_table: DataFrame) -> DataFrame:
-    """As :func:`_scan` for a benchmark of any size: anchors and windows are joined."""
-    d = docs.withColumn("folded", folded_words(F.coalesce(F.col("text"), F.lit("")))).withColumn("n_words", F.size("folded").cast("bigint"))
-    probes = None
+def small(df: DataFrame, most: int = MOST_KEYS) -> DataFrame:
+    """Broadcast a checkpointed table if it has few rows; else joins shuffle it."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def text_key(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")))
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", w: int = WINDOW, most_bytes: int = MOST_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, key, n_words) of every document; (key, hits) of the texts with hits, hits being
+    an array of (pos, m, set); and (set, items) of the benchmark."""
+    wins = windows_of(benchmark, item_id, item_text, w)
+    by_win = cut(wins.groupBy("m", "win").agg(F.sort_array(F.collect_set("item")).alias("items")).withColumn("set", F.md5(F.array_join("items", ","))))
+    sizes = by_win.groupBy("m").agg(F.sum(F.octet_length("win") + F.lit(ROW_BYTES)).alias("bytes")).collect()  # at most w rows
+    hint = F.broadcast if sum(r["bytes"] for r in sizes) <= most_bytes else lambda df: df
+    lengths = sorted(r["m"] for r in sizes)
+
+    folded = folded_words(F.coalesce(F.col(text_col), F.lit("")))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("key"), folded.alias("ws"))
+    places = [runs("ws", run_length(m), m - run_length(m) + 1) for m in lengths]
+    none = F.array().cast("array<bigint>")
+    rows = cut(rows.select("doc_id", "key", F.size("ws").cast("bigint").alias("n_words"), F.concat(none, *places).alias("runs")))
+
+    known = None
+    of = windows_folded(benchmark, item_text, w)
     for m in lengths:
-        k = run_length(m)
-        p = d.select("key", F.explode(runs("folded", k, m - k + 1)).alias("run"), F.lit(k).alias("k"))
-        probes = p if probes is None else probes.unionByName(p)
-    suspects = probes.join(anchor_table, ["k", "run"], "left_semi").select("key").distinct()
-    texts = docs.join(suspects, "key", "left_semi").select("key", "text").dropDuplicates(["key"]).withColumn("exact", words(F.col("text")))
+        t = of.where(F.col("m") == m).select(F.explode(runs("ws", run_length(m))).alias("run"))
+        known = t if known is None else known.unionByName(t)
+    none = F.array().cast("array<struct<pos:int,m:int,set:string>>")
+    if known is None:
+        return rows.drop("runs"), rows.select("key", none.alias("hits")).where("false"), by_win.select("set", "items")
+    suspects = rows.select("key", F.explode("runs").alias("run")).join(hint(known.distinct()), "run", "left_semi").select("key").distinct()
+    suspects = small(cut(suspects))
+
+    texts = docs.select(text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text")).join(suspects, "key", "left_semi")
+    # one text a key; cut off here, so that the words are made once and not inside every lambda that reads them
+    exact = cut(texts.groupBy("key").agg(F.min("text").alias("text")).select("key", words(F.col("text")).alias("ws")))
     spots = None
     for m in lengths:
-        s = texts.select("key", F.inline(window_positions("exact", m)))
+        s = exact.select("key", F.inline(window_positions("ws", m)))
         spots = s if spots is None else spots.unionByName(s)
-    hits = spots.join(wins.select("m", "win").distinct(), ["m", "win"], "left_semi")
-    hits = hits.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "m", "win"))).alias("hits"))
-    d = d.drop("folded").join(hits, "key", "left")
-    return d.withColumn("hits", F.coalesce("hits", F.array().cast("array<struct<pos:int,m:int,win:string>>")))
-
-
-def scan(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", w: int = WINDOW, most_constant: int = MOST_CONSTANT, carry: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Hits of every document, and the windows of the benchmark."""
-    wins = cut(windows_of(benchmark, item_id, item_text, w))
-    per_length = {r["m"]: r["n"] for r in wins.groupBy("m").agg(F.countDistinct("win").alias("n")).collect()}  # at most w rows
-    base = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key"), *([F.struct("*").alias("row")] if carry else [])
-    )
-    folded = windows_folded(benchmark, item_text, w)
-    tables = None
-    for m in sorted(per_length):
-        k = run_length(m)
-        t = folded.where(F.col("m") == m).select(F.lit(m).alias("m"), F.lit(k).alias("k"), F.explode(runs("ws", k)).alias("run")).distinct()
-        tables = t if tables is None else tables.unionByName(t)
-    if sum(per_length.values()) <= most_constant:
-        by_length: dict[int, list[str]] = {}
-        anchors: dict[int, list[int]] = {}
-        for r in wins.select("m", "win").distinct().collect():
-            by_length.setdefault(r["m"], []).append(r["win"])
-        for r in tables.collect() if tables is not None else []:
-            anchors.setdefault(r["m"], []).append(r["run"])
-        return _scan(base, by_length, anchors), wins
-    return _scan_joined(base, wins, sorted(per_length), tables.select("k", "run").distinct()), wins
+    hits = spots.join(hint(by_win.select("m", "win", "set")), ["m", "win"])
+    hits = hits.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "m", "set"))).alias("hits"))
+    return rows.drop("runs"), cut(hits), by_win.select("set", "items")
 
 
 def windows_folded(benchmark: DataFrame, text_col: str, w: int) -> DataFrame:
@@ -169,32 +155,34 @@ def contaminated(n_hit: str = "n_hit", n_words: str = "n_words") -> Column:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items (ids sorted as strings), contaminated."""
-    hits, wins = scan(docs, benchmark, **options)
-    rows = cut(hits.select("doc_id", "key", "n_words", covered("hits").alias("n_hit"), F.transform("hits", lambda x: F.struct(x["m"], x["win"])).alias("hits")))
-    # documents of equal text hit the same windows: one of them is enough
-    spots = rows.where(F.size("hits") > 0).groupBy("key").agg(F.any_value("hits").alias("hits"))
-    spots = spots.select("key", F.explode(F.array_distinct("hits")).alias("h")).select("key", "h.m", "h.win")
-    items = cut(spots.join(wins, ["m", "win"]).groupBy("key").agg(F.sort_array(F.collect_set("item")).alias("items")))
-    out = rows.drop("hits").join(items, "key", "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+    rows, hits, sets = scan(docs, benchmark, **options)
+    hits = hits.select("key", covered("hits").alias("n_hit"), F.array_sort(F.array_distinct(F.transform("hits", lambda x: x["set"]))).alias("combo"))
+    combos = hits.select("combo").distinct()
+    of = combos.select("combo", F.explode("combo").alias("set")).join(sets.distinct(), "set").select("combo", F.explode("items").alias("item"))
+    of = of.groupBy("combo").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    found = small(cut(hits.join(of, "combo").select("key", "n_hit", "items")))
+    out = rows.join(found, "key", "left").withColumn("n_hit", F.coalesce("n_hit", F.lit(0).cast("bigint"))).withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), "items", contaminated().alias("contaminated"))
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, how: str = "documents", **options) -> DataFrame:
     """``docs`` without contaminated documents, or (``how="spans"``) with the hit
     words of contaminated documents cut out of their texts."""
-    hits, _ = scan(docs, benchmark, carry=True, **options)
-    names = docs.columns
-    if how == "documents":
-        # a predicate over this column isn't pushed into the projections below, which
-        # would put the word arrays' expressions inside the lambdas that read them
-        hits = hits.select("row", "n_words", covered("hits").alias("n_hit"), F.monotonically_increasing_id().alias("at"))
-        return hits.where((F.col("at") >= 0) & ~contaminated()).select(*[F.col(f"row.`{c}`") for c in names])
+    rows, hits, _ = scan(docs, benchmark, **options)
     text = options.get("text_col", "text")
-    flagged = hits.select("row", "hits", "n_words", covered("hits").alias("n_hit"))
+    key = text_key(F.col(text))
+    flagged = rows.select("key", "n_words").join(small(hits), "key").withColumn("n_hit", covered("hits")).where(contaminated())
+    # a row a text: its words and hits don't depend on the document
+    flagged = cut(flagged.groupBy("key").agg(F.any_value(F.transform("hits", lambda x: F.struct(x["pos"], x["m"]))).alias("hits")).select(F.col("key").alias("bad_key"), "hits"))
+    whole = docs.select(F.struct("*").alias("row"), key.alias("row_key"))
+    names = [F.col(f"row.`{c}`") for c in docs.columns]
+    if how == "documents":
+        return whole.join(small(flagged.select("bad_key")), F.col("row_key") == F.col("bad_key"), "left_anti").select(*names)
+    both = whole.join(small(flagged), F.col("row_key") == F.col("bad_key"), "left")
     gap, word = GAP_ANY_CASE[:-1], r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
     # a piece is a word with what stands before it; the last piece may have no word
     pieces = F.regexp_extract_all(F.col(f"row.`{text}`"), F.lit(f"{gap}*{word}|{gap}+"), F.lit(0))
-    flagged = flagged.withColumn("pieces", F.when(contaminated(), pieces))
+    both = both.withColumn("pieces", F.when(F.col("bad_key").isNotNull(), pieces))
     kept = F.filter("pieces", lambda _, i: ~F.exists("hits", lambda x: (x["pos"] <= i + 1) & (i + 1 < x["pos"] + x["m"])))
-    flagged = flagged.withColumn("new", F.when(contaminated(), F.array_join(kept, "")).otherwise(F.col(f"row.`{text}`")))
-    return flagged.select(*[F.col("new").alias(c) if c == text else F.col(f"row.`{c}`") for c in names])
+    both = both.withColumn("new", F.when(F.col("bad_key").isNotNull(), F.array_join(kept, "")).otherwise(F.col(f"row.`{text}`")))
+    return both.select(*[F.col("new").alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns])

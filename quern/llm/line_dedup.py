@@ -44,6 +44,8 @@ from .perfect_hash import PerfectHash
 MIN_CHARS = 40
 MIN_DOCS = 5
 SHARD_LINES = 50_000
+#: Shards that small tables have all the same, of LEAST_LINES lines, and the most that there are: then they are larger.
+LEAST_SHARDS, LEAST_LINES, MOST_SHARDS = 64, 1000, 20_000
 MOST_BYTES = 96 << 20
 #: Tasks that the documents of one line are dealt to for counting, at most.
 SALTS = 512
@@ -120,6 +122,10 @@ def count_shard(h: np.ndarray, f: np.ndarray, n: np.ndarray, keep: np.ndarray, m
     return pickle.dumps((ph.dump(), *arrays, more), 5), len(keys) + len(side)
 
 
+def shards_for(lines: int, shard_lines: int = SHARD_LINES) -> int:
+    return max(1, min(LEAST_SHARDS, lines // LEAST_LINES), min(MOST_SHARDS, -(-lines // shard_lines)))
+
+
 def build_shards(lines: DataFrame, shards: int, min_docs: int) -> DataFrame:
     """(shard, index, size, lines): a perfect hash and its arrays per shard."""
 
@@ -238,7 +244,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """doc_id, n_lines (before), n_dropped, most_docs (documents of its most common repeated line, 0 without one), kept_text."""
     spark = docs.sparkSession
     hashes = cut(line_hashes(docs, id_col, text_col, min_chars))
-    shards = max(1, -(-hashes.count() // shard_lines))  # a line has a row a document, so shards are no larger
+    shards = shards_for(hashes.count(), shard_lines)  # a line has a row a document, so shards are no larger
     built = cut(build_shards(partial_counts(hashes), shards, min_docs))
     rounds: list[list[int]] = [[]]
     room = most_bytes

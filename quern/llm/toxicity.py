@@ -7,9 +7,12 @@ labelled: the likelihood of the document labels trains the sentence weights, and
 the trained sentence scores locate the offending sentences.
 
 Training takes a bounded sample: of the labelled documents outside the held-out
-fold the ``per_class`` of each label with the smallest id hashes.  Features are
-counted on the executors and kept if they go with the label; the sample's
-sentences then come to the driver as lists of feature numbers.
+fold the ``per_class`` of each label with the smallest id hashes, one row an id and
+texts of at most ``TRAIN_BYTES`` bytes.  Features are counted on the executors; those
+that go with the label are kept, the ``FEATURES`` that do most.  What is beyond that
+bound has weight zero, so rarer toxic words are found by their beginnings only.  The
+sample's sentences then come to the driver as lists of feature numbers, which the
+three bounds limit.
 
 Defined results: a null or empty text has no sentence and scores ``leak``;
 labels other than 0 and 1, null ids and labels without a document are not used
@@ -33,6 +36,8 @@ from .common import cut, map_batches
 
 #: Bound of the training sample: documents of each label.
 PER_CLASS = 2000
+#: Bound of a training text; longer ones aren't learned from (but scored whole).
+TRAIN_BYTES = 1 << 16
 #: Bound of the features, by their log-likelihood ratio with the label.
 FEATURES = 4000
 LEAST_RATIO = 10.0
@@ -110,35 +115,43 @@ class Model:
         return -math.expm1(miss), n, worst, top, bad
 
 
-def train_weights(doc: np.ndarray, sent: np.ndarray, feat: np.ndarray, label: np.ndarray, weight: np.ndarray, n_sent: np.ndarray, n_feat: int, start: np.ndarray, rounds: int = 300) -> tuple[np.ndarray, float, float]:
-    """Fit by full-batch Adam.  ``sent`` and ``feat`` are the pairs of sentences with features;
-    ``doc`` is the document of each sentence that has any; ``n_sent`` counts all sentences."""
-    n_docs = len(label)
+def loss_and_gradient(w: np.ndarray, doc: np.ndarray, sent: np.ndarray, feat: np.ndarray, label: np.ndarray, weight: np.ndarray, n_sent: np.ndarray, penalty: float = 2e-5) -> tuple[float, np.ndarray]:
+    """Negative mean log-likelihood of the documents' labels under the noisy-or of their sentences,
+    and its gradient.  ``w``: weights of the features, bias, logit of the leak.  ``sent`` and
+    ``feat`` are the pairs of sentences with features; ``doc`` is the document of each sentence
+    that has any; ``n_sent`` counts all sentences."""
+    n_docs, n_feat, total = len(label), len(w) - 2, weight.sum()
     plain_count = n_sent - np.bincount(doc, minlength=n_docs)
+    z = np.bincount(sent, w[feat], len(doc)) + w[-2]
+    p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    p0 = 1 / (1 + np.exp(-np.clip(w[-2], -30, 30)))
+    leak = 1 / (1 + np.exp(-np.clip(w[-1], -30, 30)))
+    miss = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-9)), n_docs) + plain_count * np.log1p(-p0) + np.log1p(-leak)
+    hit = np.maximum(-np.expm1(miss), 1e-9)
+    loss = -(weight * np.where(label == 1, np.log(hit), miss)).sum() / total + penalty / 2 * (w[:n_feat] ** 2).sum()
+    # d loss / d miss, times -1: weight for label 0, -weight * (1 - P) / P for label 1
+    g = weight * np.where(label == 1, -np.exp(miss) / hit, 1.0) / total
+    gz = p * g[doc]
+    grad = np.zeros_like(w)
+    grad[:n_feat] = np.bincount(feat, gz[sent], n_feat)[:n_feat] + penalty * w[:n_feat]
+    grad[-2] = gz.sum() + (g * plain_count).sum() * p0
+    grad[-1] = g.sum() * leak
+    return float(loss), grad
+
+
+def train_weights(doc: np.ndarray, sent: np.ndarray, feat: np.ndarray, label: np.ndarray, weight: np.ndarray, n_sent: np.ndarray, start: np.ndarray, rounds: int = 300) -> tuple[np.ndarray, float, float]:
+    """Fit by full-batch Adam."""
     w = np.concatenate([start, [-6.0, -6.0]])  # features, bias, logit of the leak
     m, v = np.zeros_like(w), np.zeros_like(w)
-    total = weight.sum()
     for t in range(1, rounds + 1):
-        z = np.bincount(sent, w[feat], len(doc)) + w[-2]
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        p0 = 1 / (1 + np.exp(-np.clip(w[-2], -30, 30)))
-        leak = 1 / (1 + np.exp(-np.clip(w[-1], -30, 30)))
-        miss = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-9)), n_docs) + plain_count * np.log1p(-p0) + np.log1p(-leak)
-        hit = -np.expm1(miss)
-        # d loss / d miss, times -1: weight for label 0, -weight * (1 - P) / P for label 1
-        g = weight * np.where(label == 1, -np.exp(miss) / np.maximum(hit, 1e-9), 1.0) / total
-        gz = p * g[doc]
-        grad = np.zeros_like(w)
-        grad[:n_feat] = np.bincount(feat, gz[sent], n_feat)[:n_feat] + 2e-5 * w[:n_feat]
-        grad[-2] = gz.sum() + (g * plain_count).sum() * p0
-        grad[-1] = g.sum() * leak
+        _, grad = loss_and_gradient(w, doc, sent, feat, label, weight, n_sent)
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad**2
         w = w - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return w[:n_feat], float(w[-2]), float(1 / (1 + np.exp(-w[-1])))
+    return w[:-2], float(w[-2]), float(1 / (1 + np.exp(-w[-1])))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS, most_features: int = FEATURES, least_ratio: float = LEAST_RATIO) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS, most_features: int = FEATURES, least_ratio: float = LEAST_RATIO, train_bytes: int = TRAIN_BYTES) -> Model:
     """Train on labelled documents outside the held-out fold."""
     known = labels.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     known = known.where(~held_out("doc_id")).groupBy("doc_id").agg(F.max("label").alias("label"))
@@ -148,7 +161,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         return Model({}, -30.0, min(max(share, 1e-6), 1 - 1e-6))
     picked = [known.where(F.col("label") == y).orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     sample = F.broadcast(cut(picked[0].unionByName(picked[1])))  # at most 2 * per_class ids
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).join(sample, "doc_id")
+    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where(F.octet_length("text") <= train_bytes).join(sample, "doc_id")
+    # a row an id, however often it stands in the documents
+    texts = cut(texts.groupBy("doc_id", "label").agg(F.min("text").alias("text")))
 
     def make_sets():
         def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -161,7 +176,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
         return fn
 
-    size = {y: min(per_class, counts[y]) for y in (0, 1)}
+    size = {0: 0, 1: 0} | {r["label"]: r["count"] for r in texts.groupBy("label").count().collect()}
+    if not size[0] or not size[1]:
+        return Model({}, -30.0, 1e-6)
     counted = map_batches(texts.select("text", "label"), make_sets, "feature string, label int").groupBy("feature").agg(F.sum("label").cast("double").alias("a"), F.count("*").cast("double").alias("n")).where("n >= 3")
     share = size[1] / (size[0] + size[1])
     ratio = f"2 * (if(a > 0, a * ln(a / (n * {share})), 0) + if(n > a, (n - a) * ln((n - a) / (n * {1 - share})), 0))"
@@ -197,7 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     n_sent = np.array([r["n"] for r in got], dtype=np.float64)
     weight = np.where(label == 1, counts[1] / size[1], counts[0] / size[0])  # back to the labels' own shares
     start = np.array([0.5 * math.log(((r["a"] + 0.5) / (size[1] + 1)) / ((r["n"] - r["a"] + 0.5) / (size[0] + 1))) for r in best])
-    w, bias, leak = train_weights(np.array(doc, dtype=np.int64), np.array(sent, dtype=np.int64), np.array(feat, dtype=np.int64), label, weight, n_sent, len(names), start)
+    w, bias, leak = train_weights(np.array(doc, dtype=np.int64), np.array(sent, dtype=np.int64), np.array(feat, dtype=np.int64), label, weight, n_sent, start)
     return Model({f: float(x) for f, x in zip(names, w, strict=True) if abs(x) > 1e-3}, bias, leak)
 
 

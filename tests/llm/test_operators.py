@@ -165,6 +165,57 @@ def test_toxicity_learns(spark):
     assert got[0]["offending"] == where and got[0]["worst_sentence"] == where[0]
 
 
+def test_toxicity_gradient():
+    """Noisy-or and gradient against plain loops and finite differences."""
+    rng = np.random.default_rng(3)
+    n_docs, n_feat = 12, 6
+    doc = np.sort(rng.integers(0, n_docs, 30))
+    sent = np.repeat(np.arange(30), 2)
+    feat = rng.integers(0, n_feat, 60)
+    label, weight = rng.integers(0, 2, n_docs), rng.random(n_docs) + 0.5
+    n_sent = np.bincount(doc, minlength=n_docs) + rng.integers(0, 3, n_docs).astype(float)
+    w = np.r_[rng.normal(0, 1, n_feat), -1.5, -2.0]
+    loss, grad = toxicity.loss_and_gradient(w, doc, sent, feat, label, weight, n_sent)
+    logistic = lambda z: 1 / (1 + np.exp(-z))
+    plain = 0.0
+    for d in range(n_docs):
+        clean = 1 - logistic(w[-1])
+        for s in np.flatnonzero(doc == d):
+            clean *= 1 - logistic(w[-2] + sum(w[f] for f, x in zip(feat, sent, strict=True) if x == s))
+        clean *= (1 - logistic(w[-2])) ** (n_sent[d] - (doc == d).sum())
+        plain -= weight[d] * np.log(1 - clean if label[d] else clean)
+    assert abs(loss - plain / weight.sum() - 1e-5 * (w[:n_feat] ** 2).sum()) < 1e-9
+    for i in range(len(w)):
+        step = np.zeros(len(w))
+        step[i] = 1e-6
+        a, b = (toxicity.loss_and_gradient(w + x, doc, sent, feat, label, weight, n_sent)[0] for x in (step, -step))
+        assert abs((a - b) / 2e-6 - grad[i]) < 1e-6
+
+
+def test_toxicity_score_by_brute_force():
+    import math
+
+    m = toxicity.Model({"w:bad": 6.0, "p:wor": 2.0, "w:good": -3.0}, -4.0, 0.01)
+    text = "A good day. Bad words!\nWorse, worst? \n\n  nothing. BAD bad bad."
+    found = m.score(text)
+    weights = {s: sum(m.word_weight(w) for w in set(re.findall(r"[^\W\d_]+", s.lower()))) for s in ("A good day.", " Bad words!", "Worse, worst?", "  nothing.", " BAD bad bad.")}
+    p = [1 / (1 + math.exp(-(m.bias + z))) for z in weights.values()]
+    clean = (1 - m.leak) * math.prod(1 - x for x in p)
+    assert abs(found[0] - (1 - clean)) < 1e-9 and found[1] == 5
+    assert found[2] == max(range(5), key=p.__getitem__) and found[4] == [i for i, x in enumerate(p) if x >= 0.5]
+    assert m.score("")[:2] == (pytest.approx(m.leak), 0)
+
+
+def test_toxicity_training_is_bounded(spark):
+    """Repeated ids are one training row, texts beyond the bound none; null texts teach nothing."""
+    rows = [(i, "good words here." if i % 2 else "zorg words here.") for i in range(60)] + [(0, "zorg again.")] * 50 + [(61, "zorg " * 2000), (62, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(63)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, train_bytes=1000)
+    assert model.score("zorg")[0] > 0.5 > model.score("good")[0]
+    assert toxicity.fit(docs.where("doc_id = 61"), labels).weights == {}
+
+
 def test_toxicity_query(spark, sf):
     rows = queries.queries()["op2_toxicity"](spark, sf).collect()
     assert len(rows) == len(tables.documents()[0])
@@ -645,9 +696,9 @@ def test_mix_deals_each_shard_its_quota(spark, sf):
 
 
 def test_decontamination_by_joins(spark, sf):
-    """A benchmark too large for a constant gives the same."""
+    """A benchmark too large to be broadcast gives the same."""
     docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
-    a, b = (sorted(map(tuple, decontam.decontaminate(docs, items, most_constant=n).collect()), key=repr) for n in (decontam.MOST_CONSTANT, 0))
+    a, b = (sorted(map(tuple, decontam.decontaminate(docs, items, most_bytes=n).collect()), key=repr) for n in (decontam.MOST_BYTES, 0))
     assert a == b and sum(r[5] for r in a) > 5
 
 
