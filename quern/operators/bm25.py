@@ -121,6 +121,11 @@ class Postings:
     avg_grams: float
 
 
+#: Stored forms of the inverted indexes.
+POSTINGS = "term string, row_id string, f double, n double, doc_len int, bucket int"
+GRAM_POSTINGS = "term string, row_id string, n_grams int, bucket int"
+
+
 def bucket_number(term: str, buckets: int = BUCKETS) -> int:
     """The bucket of a term, as :func:`bucket_column` gives it."""
     h = xxhash.xxh64_intdigest(term.encode(), 42)

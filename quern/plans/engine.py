@@ -195,6 +195,10 @@ class Engine:
         self.refresh()
         return record
 
+    def records_warnings(self) -> list[dict]:
+        """What is wrong with the record files as they are now."""
+        return self.records.warnings()
+
     def show(self, prefix: str) -> dict:
         return self.records.load(prefix)
 

@@ -12,6 +12,7 @@ from .. import schemas
 from ..functions import text as T
 from ..operators import chunking, maintenance
 from ..operators.filters import HARNESSES
+from ..operators.lineage import cut
 from ..sources import adapters
 from ..sources.records import RecordStore
 from . import embedding
@@ -59,45 +60,47 @@ def index_sessions(spark: SparkSession, store: Snapshot, roots: dict[str, str],
         touched = True
         buckets |= buckets_of(sources.where(~supported))
     sources, sessions, errors = (df.where(supported) for df in (sources, sessions, errors))
+    found: dict[str, list[dict]] = {}
     for harness, root in roots.items():
         try:
-            found = adapters.discover(harness, root)
+            found[harness] = adapters.discover(harness, root)
         except Exception as e:  # one harness doesn't stop the others
             result.errors += 1
             result.warnings.append({"type": "discovery", "message": f"{harness}: {e}"})
-            continue
-        result.discovered += len(found)
-        table = spark.createDataFrame([(s["source_key"], harness, s["path"], s["version"]) for s in found], "source_key string, harness string, path string, version string")
-        ours = sources.where(F.col("harness") == harness)
-        status = maintenance.version_diff(ours, table).cache()
-        counts = {r["status"]: r["count"] for r in status.groupBy("status").count().collect()}
-        result.unchanged += counts.get("unchanged", 0)
-        result.deleted += counts.get("missing", 0)
-        gone = status.where("status = 'missing'").select("source_key")
-        if counts.get("missing"):
-            touched = True
-            buckets |= buckets_of(gone)
-        theirs = errors.where(F.col("harness") == harness)
-        touched = touched or not maintenance.vanished(theirs, table).isEmpty()
+    result.discovered = sum(map(len, found.values()))
+    listed = [(s["source_key"], h, s["path"], s["version"]) for h, those in found.items() for s in those]
+    table = spark.createDataFrame(listed, "source_key string, harness string, path string, version string")
+    seen = F.col("harness").isin(*found) if found else F.lit(False)
+    theirs = errors.where(seen)
+    status = maintenance.version_diff(sources.where(seen), table).cache()
+    counts = {r["status"]: r["count"] for r in status.groupBy("status").count().collect()}
+    result.unchanged, result.deleted = counts.get("unchanged", 0), counts.get("missing", 0)
+    gone = status.where("status = 'missing'").select("source_key")
+    if result.deleted:
+        touched = True
+        buckets |= buckets_of(gone)
         sources = sources.join(gone, "source_key", "left_anti")
-        errors = errors.join(table.select("source_key"), "source_key", "left_semi").unionByName(errors.where(F.col("harness") != harness)) if found else errors.where(F.col("harness") != harness)
-        if not counts.get("new") and not counts.get("changed"):
+    if not maintenance.vanished(theirs, table).isEmpty():
+        touched = True
+        errors = errors.where(~seen).unionByName(theirs.join(table.select("source_key"), "source_key", "left_semi").select(*errors.columns))
+    todo = {r["source_key"] for r in status.where("status in ('new', 'changed')").select("source_key").collect()} if counts.get("new") or counts.get("changed") else set()
+    status.unpersist()
+    for harness, those in found.items():
+        those = [s for s in those if s["source_key"] in todo]
+        if not those:
             continue
-        todo = {r["source_key"] for r in status.where("status in ('new', 'changed')").select("source_key").collect()}
-        parsed = adapters.parse(spark, harness, [s for s in found if s["source_key"] in todo])
-        failed = parsed.errors.withColumn("created_at", F.lit(stamp))
-        good = table.join(parsed.sessions.select("source_key").distinct(), "source_key", "left_semi")
-        n_failed = failed.count()
-        result.errors += n_failed
-        result.updated += len(todo) - n_failed
+        parsed = adapters.parse(spark, harness, those)
         warned = parsed.warnings.select("source_key", F.lit(harness).alias("harness"), "path", F.col("message").alias("error"), F.lit(stamp).alias("created_at"))
-        result.errors += warned.count()
-        said = failed.unionByName(warned).select("source_key", "error")
-        if result.updated or not said.join(theirs.select("source_key", "error"), ["source_key", "error"], "left_anti").isEmpty():
+        said = cut(parsed.errors.select("*", F.lit(stamp).alias("created_at"), F.lit(True).alias("failed")).unionByName(warned.withColumn("failed", F.lit(False))))
+        n_failed, n_said = said.agg(F.coalesce(F.sum(F.col("failed").cast("int")), F.lit(0)), F.count("*")).first()
+        good = table.join(parsed.sessions.select("source_key").distinct(), "source_key", "left_semi")
+        result.errors += n_said
+        result.updated += len(those) - n_failed
+        if len(those) > n_failed or not said.join(theirs.select("source_key", "error"), ["source_key", "error"], "left_anti").isEmpty():
             touched = True
         buckets |= buckets_of(good)
         errors = errors.join(good.select("source_key"), "source_key", "left_anti")
-        errors = maintenance.record_errors(errors, failed.unionByName(warned))
+        errors = maintenance.record_errors(errors, said.drop("failed"))
         sources = maintenance.upsert(sources, good.withColumn("indexed_at", F.lit(stamp)), "source_key")
         # two sources with one session: the later path owns it
         new_sessions = parsed.sessions.withColumn("generation", F.lit(stamp))

@@ -208,7 +208,7 @@ class Snapshot:
         m = self.manifest()
         if "gram_postings" not in m["tables"] or m["meta"].get("postings_of") != self._mark(of):
             return None
-        index, grams = (self.spark.read.parquet(f"{self.root}/{m['tables'][t]}") for t in ("postings", "gram_postings"))
+        index, grams = (self.spark.read.schema(ddl).parquet(f"{self.root}/{m['tables'][t]}") for t, ddl in (("postings", bm25.POSTINGS), ("gram_postings", bm25.GRAM_POSTINGS)))
         return bm25.Postings(index, grams, float(m["meta"]["n_docs"]), float(m["meta"]["avg_len"]), float(m["meta"]["avg_grams"]))
 
 

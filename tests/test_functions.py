@@ -1,10 +1,10 @@
 import random
 import sqlite3
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from quern import project
 from quern.functions import identity, vectors
 from quern.functions import text as T
 from quern.operators import bm25, channels, chunking, filters, fusion
@@ -15,11 +15,43 @@ def one(spark, rows, schema, *cols):
 
 
 def test_normalize(spark):
-    assert T.normalize_text("  Generowanie\nKODÓW  QR! ") == "generowanie kodow qr"
-    texts = ["  Generowanie\nKODÓW  QR! ", "", "a_b-c", "Ünïcode ß x1", "…", "ΟΔΟΣ Ñandú"]
-    got = one(spark, [(t,) for t in texts], "t string", T.normalize(F.col("t")), T.normalize_exact(F.col("t")))
-    assert [g[1] for g in got] == [T.normalize_text(t) for t in texts]
-    assert got[0] == ("generowanie kodow qr", "generowanie kodow qr") and got[3][0] == got[3][1]
+    """Rows and queries alike, in every script."""
+    assert T.normalize_text("  Zażółć\tGĘŚLĄ  jaźń! ") == "zazołc gesla jazn"
+    texts = ["", "a_b-c", "Ünïcode ß x1", "…", "ΟΔΟΣ Ñandú", "がぎ カﾞ", "한국어", "ﬁnance ① x² ½", "İstanbul I", "ÀÉÎ\u0301õü", "Ⅻ ㎏ ﷺ", "नमस्ते", "שָׁלוֹם", "𝔘𝔫𝔦 𝟙𝟚"]
+    got = one(spark, [(t,) for t in texts], "t string", T.normalize(F.col("t")))
+    assert [g for (g,) in got] == [T.normalize_text(t) for t in texts]
+    assert dict(zip(texts, (g for (g,) in got), strict=True))["ﬁnance ① x² ½"] == "finance 1 x2 1 2"
+
+
+def test_normalize_all_of_unicode(spark):
+    """Every character, against Python's tables; those assigned later than the JVM's tables know count as gaps."""
+    import unicodedata
+
+    points = [c for c in range(1, 0x20000) if not 0xD800 <= c < 0xE000]
+    df = spark.createDataFrame([(c, f"a{chr(c)}B {chr(c)}") for c in points], "c int, t string")
+    ours = {r["c"]: r["n"] for r in df.select("c", T.normalize(F.col("t")).alias("n")).collect()}
+
+    def plain(t):
+        kinds = [(x, unicodedata.category(x)) for x in unicodedata.normalize("NFKD", "".join(x.lower() for x in t))]
+        return " ".join("".join(x if k[0] == "L" or k == "Nd" else " " for x, k in kinds if k != "Mn").split())
+
+    other = [c for c in points if ours[c] != plain(f"a{chr(c)}B {chr(c)}")]
+    assert len(other) < 1500 and all(c > 0x800 for c in other) and sum(c < 0x10000 for c in other) < 120
+
+
+def test_chunking_is_linear(spark):
+    def seconds(n):
+        df = spark.createDataFrame([(" ".join(f"w{i}" for i in range(n)),)], "t string").cache()
+        df.count()
+        took = []
+        for _ in range(3):
+            began = time.perf_counter()
+            assert df.select(F.explode(chunking.windows(F.col("t")))).count() == -(-(n - 250) // 210) + 1
+            took.append(time.perf_counter() - began)
+        return min(took)
+
+    seconds(5_000)
+    assert seconds(160_000) < 4.5 * max(seconds(40_000), 0.25)
 
 
 def test_grams(spark):
@@ -50,13 +82,13 @@ def test_titles(spark):
 
 @pytest.mark.parametrize("raw", ["git@Example.com:owner/repository.git", "https://example.com/owner/repository", "ssh://git@example.com:22/owner/repository.git"])
 def test_remotes(spark, raw):
-    assert project.normalize_remote(raw) == "example.com/owner/repository"
+    assert identity.remote_name(raw) == "example.com/owner/repository"
     assert one(spark, [(raw,)], "t string", identity.normalize_remote(F.col("t"))) == [("example.com/owner/repository",)]
 
 
 def test_no_remote(spark):
     bad = ["", "file:///x/y", "ftp://h/p", "nothing", "https:///x"]
-    assert [project.normalize_remote(b) for b in bad] == [""] * 5
+    assert [identity.remote_name(b) for b in bad] == [""] * 5
     assert one(spark, [(b,) for b in bad], "t string", identity.normalize_remote(F.col("t"))) == [("",)] * 5
 
 

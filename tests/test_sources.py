@@ -72,26 +72,52 @@ def test_claude(spark, tmp_path):
     assert {s["native_id"]: s["name"] for s in sessions} == {"k1": "ask", "k2": "Untitled session"}
 
 
-def test_opencode(spark, tmp_path):
-    path = str(tmp_path / "db.sqlite")
+#: The tables of the format (fixed values).
+TABLES = {
+    "session": "id text primary key, parent_id text, directory text, title text, time_created int, time_updated int",
+    "message": "id text primary key, session_id text, time_created int, data text",
+    "part": "id text primary key, message_id text, session_id text, time_created int, data text",
+}
+
+
+def database(path, **rows):
     con = sqlite3.connect(path)
-    con.executescript(
-        "create table session(id text primary key, parent_id text, directory text, title text, time_created int, time_updated int);"
-        "create table message(id text primary key, session_id text, time_created int, data text);"
-        "create table part(id text primary key, message_id text, session_id text, time_created int, data text);"
-    )
-    con.execute("insert into session values ('o1', null, '/d', 'Title', 1000, 9000)")
-    con.executemany("insert into message values (?, 'o1', ?, ?)", [("m1", 1, '{"role": "user"}'), ("m2", 2, '{"role": "assistant", "parentID": "m1"}')])
-    con.executemany("insert into part values (?, ?, 'o1', ?, ?)", [
-        ("p1", "m1", 1, '{"type": "text", "text": " ask "}'), ("p2", "m1", 2, '{"type": "text", "text": "x", "synthetic": true}'),
-        ("p3", "m2", 3, '{"type": "tool", "state": {}}'), ("p4", "m2", 4, '{"type": "text", "text": "answer"}'),
-    ])
+    for name, columns in TABLES.items():
+        con.execute(f"create table {name}({columns})")
+        for r in rows.get(name, ()):
+            con.execute(f"insert into {name} values ({', '.join('?' * len(r))})", r)
     con.commit()
-    _, (s,), entries, _, _ = run(spark, "opencode", path)
-    assert (s["name"], s["cwd"], s["updated_at"]) == ("Title", "/d", 9000) and [(e["role"], e["text"]) for e in entries] == [("user", "ask"), ("assistant", "answer")]
-    con.execute("drop table part")
+    con.close()
+    return str(path)
+
+
+def test_database_of_sessions(spark, tmp_path):
+    """A talk told out of order, its branch, one that is broken and one without a word."""
+    part = lambda **data: json.dumps(data)
+    path = database(
+        tmp_path / "talks.db",
+        session=[("talk", "", "/garden", "Roses", 50, 900), ("twig", "talk", "/garden", "", 60, 800), ("torn", None, None, "Torn", 70, 700), ("mute", None, "/m", "Mute", 80, 600)],
+        message=[("late", "talk", 300, part(role="assistant", parentID="mid")), ("mid", "talk", 200, part(role="user")), ("early", "talk", 100, part(role="system")), ("one", "twig", 10, part(role="user")), ("bad", "torn", 10, "{not json"), ("ok", "torn", 11, part(role="user"))],
+        part=[("z", "late", "talk", 301, part(type="text", text="second answer")), ("y", "late", "talk", 299, part(type="text", text="\n first answer ")), ("x", "mid", "talk", 0, part(type="text", text="which roses")), ("w", "early", "talk", 1, part(type="text", text="be brief")),
+              ("v", "mid", "talk", 2, part(type="text", text="pasted", synthetic=True)), ("u", "mid", "talk", 3, part(type="tool", text="run")), ("t", "one", "twig", 5, part(type="text", text="and thorns")), ("s", "one", "twig", 6, part(type="text", text="   ")), ("r", "ok", "torn", 1, part(type="text", text="unread"))],
+    )
+    found, sessions, entries, _, errors = run(spark, "opencode", path)
+    assert [f["native_id"] for f in found] == ["mute", "talk", "torn", "twig"]
+    about = {s["native_id"]: (s["name"], s["parent_id"], s["cwd"], s["started_at"], s["updated_at"]) for s in sessions}
+    assert about == {"talk": ("Roses", "", "/garden", 50, 900), "twig": ("and thorns", "talk", "/garden", 60, 800), "mute": ("Mute", "", "/m", 80, 600)}
+    said = sorted((e["entry_native_id"], e["entry_parent_id"], e["role"], e["timestamp"], e["text"]) for e in entries)
+    assert said == [("t", "", "user", 5, "and thorns"), ("x", "", "user", 200, "which roses"), ("y", "mid", "assistant", 299, "first answer"), ("z", "mid", "assistant", 301, "second answer")]
+    assert [e["entry_native_id"] for e in sorted((e for e in entries if e["entry_native_id"] != "t"), key=lambda e: e["ord"])] == ["x", "y", "z"]
+    assert len(errors) == 1 and "decode data of bad" in errors[0]["error"]
+
+
+def test_database_without_columns(tmp_path):
+    path = database(tmp_path / "old.db")
+    con = sqlite3.connect(path)
+    con.execute("alter table part rename column data to body")
+    con.execute("alter table part drop column time_created")
     con.commit()
-    with pytest.raises(ValueError, match="lacks columns: data, id"):
+    with pytest.raises(ValueError, match="part lacks columns: data, time_created"):
         sqlite.discover(path)
 
 
@@ -147,6 +173,23 @@ def test_conflicts_and_invalid(spark, tmp_path):
         s.edit("m_aaaa01", "y")
 
 
+def test_rules():
+    from quern.sources import records
+
+    good = {"schemaVersion": 1, "id": "m_aaaa01", "scope": "project", "projectKey": "k", "projectName": "n", "createdAt": "2026-01-01T00:00:00Z", "updatedAt": "2026-01-03T00:00:00Z", "archivedAt": "2026-01-02T00:00:00Z",
+            "currentRevision": 2, "revisions": [{"revision": 1, "content": "a", "createdAt": "2026-01-01T00:00:00Z"}, {"revision": 2, "content": "b", "createdAt": "2026-01-02T00:00:00+01:00"}]}
+    assert records.problem(good) == ""
+    breaks = [
+        {"schemaVersion": 2}, {"schemaVersion": True}, {"id": "m_A"}, {"id": None}, {"scope": "team"}, {"projectKey": " "}, {"projectName": None}, {"scope": "global"}, {"createdAt": "2026-01-01"}, {"updatedAt": None},
+        {"updatedAt": "2025-01-01T00:00:00Z"}, {"archivedAt": "2025-12-31T00:00:00Z"}, {"archivedAt": "soon"}, {"currentRevision": 1}, {"revisions": []}, {"revisions": [{"revision": 1, "content": "a", "createdAt": "2026-01-01T00:00:00Z"}] * 2},
+        {"revisions": [good["revisions"][0], good["revisions"][1] | {"content": " "}]}, {"revisions": [good["revisions"][0], good["revisions"][1] | {"createdAt": "2026-01-04T00:00:00Z"}]}, {"revisions": [good["revisions"][0], {"revision": 2, "content": "b"}]},
+    ]
+    said = [records.problem(good | b) for b in breaks]
+    assert all(said) and len(set(said)) == len(records.RULES) - 1 + ("a global record names a project" not in said)
+    assert records.problem(good | {"scope": "global"}) == records.problem({**good, "scope": "global", "projectKey": "", "projectName": "", "projectRemote": "r"})
+    assert records.id_of("m_aaaa01.json") == "m_aaaa01" and records.id_of("m_aaaa01.txt") is None and records.canonical("m_a.sync-conflict-20260101-000000-x.json") == "m_a.json"
+
+
 def test_parse_is_strict(tmp_path):
     r = store(tmp_path).create("global", "x")
     raw = json.dumps(r).encode()
