@@ -8,8 +8,9 @@ backslashes there gets one more, so :func:`unescape` restores every text.
 A conversation is rendered, encoded once with offsets, and the spans of the
 assistant's texts are intersected with the sorted token spans by binary search;
 that gives the loss mask.  Control strings are special tokens of the encoder,
-so token spans never straddle a turn, and a long conversation can be rendered
-and encoded in segments of whole turns: the ids are the same.
+so token spans never straddle a turn, and a conversation beyond ``SEGMENT_CHARS``
+or ``SEGMENT_TURNS`` is rendered and encoded in segments of whole turns, in bounded
+memory: put together, text, ids and mask are those of the whole conversation.
 
 Rows are dealt by ranges of (conversation, turn), so a conversation with a third
 of all rows is rendered and encoded by many tasks.  A conversation that lies in
@@ -25,6 +26,7 @@ not looked at.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -33,7 +35,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+#: The vocabulary file where neither the caller nor the session's ``spark.quern.tokenizer`` names one;
+#: only the driver reads it.
+TOKENIZER, TOKENIZER_SETTING = "/opt/tokenizers/byte_bpe_50k.json", "spark.quern.tokenizer"
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "<|endoftext|>")
 #: Turns and characters at which a segment ends.
 SEGMENT_TURNS, SEGMENT_CHARS = 512, 1 << 20
@@ -90,7 +94,8 @@ def make_encoder(tokenizer_json: str):
 
 def mask(encoding, spans: list[tuple[int, int]]) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Loss mask over the tokens, and the character spans that masked tokens cover within ``spans``."""
-    offsets = np.array(encoding.offsets, dtype=np.int64).reshape(-1, 2)
+    found = encoding.offsets
+    offsets = np.fromiter(itertools.chain.from_iterable(found), dtype=np.int64, count=2 * len(found)).reshape(-1, 2)
     start, end = offsets[:, 0], offsets[:, 1]
     if len(end):  # white space that offsets leave out belongs to the token after it
         start = np.minimum(start, np.r_[0, np.maximum.accumulate(end)[:-1]])
@@ -130,12 +135,13 @@ def _sorted_rows(rows: DataFrame, conv: str, turn: str, role: str, text: str) ->
     return rows.repartitionByRange("conv_id", "turn").sortWithinPartitions("conv_id", "turn", "role", "text")
 
 
-def _tokenizer(rows: DataFrame, path: str):
-    with open(path, encoding="utf-8") as f:
-        return rows.sparkSession.sparkContext.broadcast(f.read())
+def _tokenizer(rows: DataFrame, path: str | None):
+    spark = rows.sparkSession
+    with open(path or spark.conf.get(TOKENIZER_SETTING, TOKENIZER), encoding="utf-8") as f:
+        return spark.sparkContext.broadcast(f.read())  # a file of a few MB, whatever the data
 
 
-def format_chats(rows: DataFrame, *, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
+def format_chats(rows: DataFrame, *, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", tokenizer: str | None = None) -> DataFrame:
     """Segments in order: conv_id, task, seq, formatted, input_ids, loss_mask."""
     vocabulary = _tokenizer(rows, tokenizer)
 
@@ -159,7 +165,7 @@ def _sha(text: str) -> str:
     return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
 
-def digest_chats(rows: DataFrame, *, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
+def digest_chats(rows: DataFrame, *, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", tokenizer: str | None = None) -> DataFrame:
     """Per conversation what is read back from its formatted text and its loss mask."""
     vocabulary = _tokenizer(rows, tokenizer)
 

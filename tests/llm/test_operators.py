@@ -5,6 +5,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 import zstandard
@@ -380,6 +381,28 @@ def test_chat_round_trip():
         assert tok.decode([i for i, f in zip(enc.ids, flags, strict=True) if f], skip_special_tokens=False) == "".join(text[a:b] for a, b in covered)
 
 
+def test_segments_are_the_whole_conversation(monkeypatch):
+    """Text, ids and mask of a conversation cut into segments equal one encoding of it."""
+    import random
+
+    rng = random.Random(4)
+    parts = [*chat_format.CONTROLS, " ", "  ", "\n", "\n\n", "word", " word", "Ünï", "漢字", "'s", "12", "\t", "<s", ">"]
+    tok = chat_format.make_encoder(open(chat_format.TOKENIZER, encoding="utf-8").read())
+    for _ in range(60):
+        turns = [(rng.choice(["user", "assistant", "system"]), "".join(rng.choices(parts, k=rng.randint(0, 15)))) for _ in range(rng.randint(1, 40))]
+        whole, spans = chat_format.render(turns)
+        enc = tok.encode(whole, add_special_tokens=False)
+        flags, _ = chat_format.mask(enc, spans)
+        monkeypatch.setattr(chat_format, "SEGMENT_TURNS", rng.randint(1, 9))
+        batch = pa.RecordBatch.from_pydict({"conv": [1] * len(turns), "turn": list(range(len(turns))), "role": [r for r, _ in turns], "text": [t for _, t in turns]})
+        text, ids, mask = "", [], []
+        for _, _, _, some in chat_format._segments(iter([batch])):
+            formatted, own = chat_format.render(some)
+            e = tok.encode(formatted, add_special_tokens=False)
+            text, ids, mask = text + formatted, ids + e.ids, mask + chat_format.mask(e, own)[0].tolist()
+        assert (text, ids, mask) == (whole, enc.ids, flags.tolist())
+
+
 def test_format_chats(spark, sf):
     rows = chat_format.format_chats(spark.read.parquet(f"{sf}/conversations.parquet").where("conv_id = 9")).orderBy("task", "seq").collect()
     assert len(rows) >= 3 and sum(len(chat_format.read_back(r["formatted"])) for r in rows) == 1500
