@@ -58,7 +58,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; intermediates go to the shared checkpoint folder."""
+    """All stages over ``documents``; intermediates go to the shared checkpoint folder, and
+    each is removed once its successor is written."""
     checkpoint_dir(spark)
     at = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -66,4 +67,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{at}/{n}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if n:
+            remove(spark, f"{at}/{n - 1}")
     return docs
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
