@@ -11,7 +11,7 @@ from . import corpora
 from . import corpora_sql as S
 from .functions import identity, vectors
 from .functions import text as T
-from .operators import bm25, channels, chunking, filters, fusion, maintenance
+from .operators import blocks, bm25, channels, chunking, filters, fusion, maintenance
 from .plans import search
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -263,6 +263,31 @@ def semantic_topk(spark, d):
     return s.orderBy(F.desc("s"), "vec_id").limit(channels.TOP).select("vec_id", F.round("s", 6).alias("similarity"))
 
 
+@query(
+    f"""SELECT q.vec_id AS query, e.vec_id AS key, round({S.dot('e.embedding', 'q.embedding')}, 6) AS similarity
+FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0
+QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round({S.dot('e.embedding', 'q.embedding')}, 9) DESC, e.vec_id) <= 100"""
+)
+def semantic_nearest(spark, d):
+    """The stated queries, every vector whose number is divisible by 20, against all vectors."""
+    e = corpora.read(spark, d, "embeddings")
+    found = blocks.nearest(e, e.where("vec_id % 20 = 0"), key="vec_id", vector="embedding")
+    return found.select("query", "key", F.round("similarity", 6).alias("similarity"))
+
+
+@query(
+    f"""WITH g AS (SELECT doc_id, {S.grams(S.toks("coalesce(text, '')"))} AS g FROM documents),
+q AS (SELECT item_id AS query, {S.grams(S.toks("coalesce(text, '')"))} AS q FROM benchmark WHERE item_id % 20 = 0)
+SELECT query, doc_id AS key, round(len(list_intersect(q, g)) / len(q)::DOUBLE, 9) AS similarity FROM g, q WHERE len(q) > 0 AND round(len(list_intersect(q, g)) / len(q)::DOUBLE, 9) >= 0.25
+QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(len(list_intersect(q, g)) / len(q)::DOUBLE, 9) DESC, doc_id) <= 100"""
+)
+def fuzzy_nearest(spark, d):
+    """The stated queries, every benchmark item whose number is divisible by 20, against all documents."""
+    docs = corpora.read(spark, d, "documents").select(F.col("doc_id").alias("key"), T.gram_set(F.coalesce("text", F.lit(""))).alias("grams"))
+    asked = corpora.read(spark, d, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("key"), T.gram_set(F.coalesce("text", F.lit(""))).alias("grams"))
+    return blocks.similar_texts(docs, asked, key="key").drop("place")
+
+
 @query(SQL["dot_product"] + f" WHERE round({S.dot('e.embedding', 'v.embedding')}, 9) >= {THRESHOLD}")
 def semantic_threshold(spark, d):
     v = query_vector(spark, d)
