@@ -11,7 +11,7 @@ from . import corpora
 from . import corpora_sql as S
 from .functions import identity, vectors
 from .functions import text as T
-from .operators import blocks, bm25, channels, chunking, filters, fusion, maintenance
+from .operators import blocks, bm25, channels, chunking, filters, maintenance
 from .plans import search
 
 Query = Callable[[SparkSession, str], DataFrame]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,6 +13,7 @@ from . import corpora
 from . import corpora_sql as S
 from .functions import identity, vectors
 from .operators import maintenance
+from .plans import embedding
 from .sources import jsonl
 
 QUERIES: dict = {}
@@ -114,6 +116,30 @@ def update_embeddings(spark, d):
     return out.select("doc_id", F.round(weighted_sum("embedding"), 5).alias("all_values"), "embedding_fingerprint")
 
 
+class LengthProvider:
+    """A model for tests of the engine's own steps: a unit vector by the length of the text."""
+
+    fingerprint = corpora.FINGERPRINT
+
+    def embed_query(self, text: str) -> list[float]:
+        turn = math.radians(len(text) % 90)
+        return [math.cos(turn), math.sin(turn)]
+
+    def embed_documents(self, texts: list[str]) -> list[list[float]]:
+        return [self.embed_query(t) for t in texts]
+
+
+@query(
+    f"""WITH {S.MEMORIES} SELECT id, embedding IS NULL AS made, len(embedding) IS NULL OR len(embedding) = 64 AS fits,
+  round(CASE WHEN embedding IS NULL THEN cos(radians(length(text) % 90))::FLOAT::DOUBLE + 2 * sin(radians(length(text) % 90))::FLOAT::DOUBLE END, 5) AS all_values FROM memories"""
+)
+def embedding_backfill(spark, d):
+    """Rows without a vector get one, the others keep theirs."""
+    out, _, _ = embedding.backfill(corpora.memories(spark, d).select("id", "text", "embedding", "embedding_fingerprint"), LengthProvider(), "id", "text")
+    made = F.size("embedding") == 2
+    return out.select("id", made.alias("made"), (made | (F.size("embedding") == 64)).alias("fits"), F.round(F.when(made, weighted_sum("embedding")), 5).alias("all_values"))
+
+
 @query("SELECT vec_id, '' AS embedding_fingerprint, true AS cleared FROM embeddings")
 def clear_embeddings(spark, d):
     t = corpora.read(spark, d, "embeddings").withColumn("embedding_fingerprint", F.lit("f"))

@@ -35,10 +35,6 @@ def now_ms() -> int:
     return int(time.time() * 1000)
 
 
-def _empty(spark: SparkSession, table: str) -> DataFrame:
-    return spark.createDataFrame([], schemas.TABLES[table])
-
-
 def index_sessions(spark: SparkSession, store: Snapshot, roots: dict[str, str], provider: embedding.Provider | None = None) -> Result:
     """Bring the index up to date with the logs below ``roots`` (harness -> place).
 
