@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lineage import checkpoint_dir, cut
+
+__all__ = ["WORD", "WS", "as_bytes", "checkpoint_dir", "cut", "map_batches", "read", "text_or_empty"]
+
 #: The six ASCII white-space bytes: space and \t \n \v \f \r.
 WS = b" \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,27 +21,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> None:
-    """Make sure that ``checkpoint()`` has a folder.
-
-    ``spark.checkpoint.dir`` names the folder that driver and executors share.
-    Where it is unset, a temporary folder is set if the master is local; on a
-    cluster no folder of one machine would do, so that is an error.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir")
-        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quern-ckpt-"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a narrow intermediate with a reliable checkpoint."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of an Arrow string column; null counts as empty."""
     return [b or b"" for b in column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()]
