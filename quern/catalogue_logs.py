@@ -365,9 +365,9 @@ BROKEN_SQL = """CASE
   WHEN doc_id % 13 = 8 OR trim(coalesce(text, '')) = '' THEN 'a revision is empty' END"""
 
 
-@query(f"SELECT doc_id, coalesce({BROKEN_SQL}, '') AS error FROM documents")
+@query(f"SELECT doc_id, {BROKEN_SQL} AS error FROM documents")
 def record_validate(spark, d):
-    return record_files(spark, d).select("doc_id", mapped(lambda raw: records.problem(json.loads(raw)), "string", F.col("raw")).alias("error"))
+    return record_files(spark, d).select("doc_id", mapped(lambda raw: records.problem(json.loads(raw)) or None, "string", F.col("raw")).alias("error"))
 
 
 @query(f"SELECT error AS type, count(*) AS n FROM (SELECT {BROKEN_SQL} AS error FROM documents) WHERE error IS NOT NULL GROUP BY 1")

@@ -135,9 +135,10 @@ def test_bm25_like_fts5(spark):
     query = ["alpha", "omega", "alpha"]
     got = {r["id"]: r["bm25"] for r in bm25.score_scan(df, w, query).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
-    sizes = df.agg(F.count("*").cast("double").alias("n_docs"), F.avg(bm25.length(w)).alias("avg_len"))
-    also = {r["id"]: r["bm25"] for r in bm25.score_postings(bm25.postings(df, "id", w), sizes, "id", query).collect()}
-    assert all(abs(also[k] - want[k]) < 1e-9 for k in want)
+    n_docs, avg_len = df.agg(F.count("*").cast("double"), F.avg(bm25.length(w))).first()
+    also = {r["id"]: r["bm25"] for r in bm25.score_postings(bm25.postings(df, "id", w), n_docs, avg_len, "id", query).collect()}
+    assert also.keys() == want.keys() and all(abs(also[k] - want[k]) < 1e-9 for k in want)
+    assert {bm25.bucket_number(t) for t in ("alpha", "ü", "漢")} == {r[0] for r in df.sparkSession.createDataFrame([("alpha",), ("ü",), ("漢",)], "t string").select(bm25.bucket_column("t")).collect()}
 
 
 def channel(spark, keys):

@@ -1,4 +1,4 @@
-"""Queries give every row and whole texts, whatever their SQL twins are cut to."""
+"""Queries give every row and whole texts, and so do their SQL twins."""
 
 import pytest
 
@@ -54,8 +54,8 @@ def test_whole_texts(spark, con, tmp_path):
     cols = {"doc_id": pa.array(list(texts)), "text": list(texts.values()), "lang": ["en"] * 3, "source": ["s"] * 3, "n_chars": pa.array([len(t) for t in texts.values()])}
     pq.write_table(pa.table(cols), tmp_path / "documents.parquet")
     rows = lambda name: catalogue.queries()[name](spark, str(tmp_path)).collect()
-    assert {r["doc_id"]: r["error"] for r in rows("record_validate")} == {13: None, 26: None, 39: "revision content is empty"}
-    assert {r["type"]: r["n"] for r in rows("warning_counts")} == {"revision content is empty": 1}
+    assert {r["doc_id"]: r["error"] for r in rows("record_validate")} == {13: None, 26: None, 39: "a revision is empty"}
+    assert {r["type"]: r["n"] for r in rows("warning_counts")} == {"a revision is empty": 1}
     assert {r["doc_id"]: r["content"] for r in rows("revision_history") if r["revision"] == 2} == {13: texts[13], 26: texts[26]}
     mark = "'\"'\"'"
     assert {r["doc_id"]: r["quoted"] for r in rows("shell_quote")}[26] == "'" + "x" * 70 + mark + "it" + mark + "s'"
