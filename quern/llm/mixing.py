@@ -131,17 +131,15 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     """doc_id, source, size, source_size, target, taken, mix_shard, and with ``carry``
     ``row``, a struct of all columns, and ``place``, what :func:`deal` needs."""
     spark = docs.sparkSession
-    rows = docs.select(
+    columns = (
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
         count_words(F.col(text_col)).alias("size"),
         F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("-")))).alias("key"),
         F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("tie"),
-        *([F.struct("*").alias("row")] if carry else []),
     )
-    if not carry:
-        rows = cut(rows)
-    found = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
+    narrow = cut(docs.select(*columns))  # all totals come from these: with ``carry`` the text is read twice, else once
+    found = narrow.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     found.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-8", "surrogatepass")))
     planned = plan([r["size"] for r in found], weights, block, most, shards)
     # hex digits of the seeded key that name a bucket: 16**d buckets of about bucket_rows
@@ -152,15 +150,16 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
         "s string, source_size bigint, target double, blocks bigint, quota bigint, upto array<bigint>, digits int",
     )
     small = len(found) <= 100_000  # a row of about 300 bytes a source
-    keyed = rows.join(F.broadcast(table) if small else table, F.col("source").eqNullSafe(F.col("s"))).withColumn("bucket", F.expr("substring(key, 1, digits)"))
+    keyed = lambda rows: rows.join(F.broadcast(table) if small else table, F.col("source").eqNullSafe(F.col("s"))).withColumn("bucket", F.expr("substring(key, 1, digits)"))
     upto = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    first = keyed.groupBy("s", "bucket").agg(F.sum("size").alias("b_size")).withColumn("b_before", F.sum("b_size").over(upto) - F.col("b_size"))
+    first = keyed(narrow).groupBy("s", "bucket").agg(F.sum("size").alias("b_size")).withColumn("b_before", F.sum("b_size").over(upto) - F.col("b_size"))
     first = first.select(F.col("s").alias("f_s"), F.col("bucket").alias("f_bucket"), "b_before")
     # offsets of at most so many buckets are broadcast, then rows are shuffled once, for the window
     if sum(16**d for d in digits) <= MOST_BUCKETS:
         first = F.broadcast(first)
     in_bucket = Window.partitionBy("s", "bucket").orderBy("key", "tie", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = keyed.withColumn("own", F.sum("size").over(in_bucket) - F.col("size"))
+    rows = docs.select(*columns, F.struct("*").alias("row")) if carry else narrow
+    out = keyed(rows).withColumn("own", F.sum("size").over(in_bucket) - F.col("size"))
     out = out.join(first, F.col("s").eqNullSafe(F.col("f_s")) & (F.col("bucket") == F.col("f_bucket")))
     begin = F.col("b_before") + F.col("own")
     lead = (F.col("quota") % F.greatest(F.col("blocks"), F.lit(1))) * F.lit(block)  # words of the blocks taken once more

@@ -24,6 +24,8 @@ other than id and text are not looked at.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,22 +52,26 @@ def bits_for(rows: int, per_bucket: int = BUCKET_ROWS, limits: tuple[int, int] =
     return max(1, (min(most, max(least, rows // per_bucket)) - 1).bit_length())
 
 
-def prefix_sums(rows: DataFrame, bits: int, total: int) -> DataFrame:
-    """Adds ``before`` (bytes), ``rank`` (rows), and of the row's group of equal
-    texts ``g_before`` and ``g_bytes``, to rows (doc_id, size, h, k, ...)."""
-    spark = rows.sparkSession
+def placer(narrow: DataFrame, bits: int, total: int) -> Callable[[DataFrame], DataFrame]:
+    """Puts rows in the global order of ``narrow`` (doc_id, size, h, k), which the bucket totals are made of.
+
+    The function returned adds ``before`` (bytes), ``rank`` (rows), and of the row's group of
+    equal texts ``g_before`` and ``g_bytes``, to the same rows, narrow or with more columns."""
+    spark = narrow.sparkSession
     share = max(64, total >> bits)
     # at most 2**bits texts can have more rows than a bucket should, which bounds both collects
-    large = {r["h"]: max(1, (r["count"] // share).bit_length()) for r in rows.groupBy("h").count().where(F.col("count") > share).collect()}
+    large = {r["h"]: max(1, (r["count"] // share).bit_length()) for r in narrow.groupBy("h").count().where(F.col("count") > share).collect()}
     cuts = spark.createDataFrame([(h, n) for h, n in large.items()], "h bigint, part_bits int")
-    keyed = rows.join(F.broadcast(cuts), "h", "left").withColumn("b", F.shiftright("h", HASH_BITS - bits))
-    keyed = keyed.withColumn("big", F.when(F.col("part_bits").isNotNull(), F.col("h"))).withColumn("p", F.expr(f"if(part_bits is null, 0L, shiftright(k, {HASH_BITS} - part_bits))"))
     # where a large text splits its bucket, the rows after it are a bucket of their own
-    after = F.broadcast(cuts.select(F.col("h").alias("big_h"), F.shiftright("h", HASH_BITS - bits).alias("b")).groupBy("b").agg(F.sort_array(F.collect_list("big_h")).alias("bigs")))
-    keyed = keyed.join(after, "b", "left").withColumn("q", F.expr("if(bigs is null, 0, size(filter(bigs, x -> x < h)))")).drop("bigs")
+    after = cuts.select(F.col("h").alias("big_h"), F.shiftright("h", HASH_BITS - bits).alias("b")).groupBy("b").agg(F.sort_array(F.collect_list("big_h")).alias("bigs"))
     key = ["b", "q", "is_big", "p"]
-    keyed = keyed.withColumn("is_big", F.col("big").isNotNull())
-    found = sorted(keyed.groupBy(*key).agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect(), key=lambda r: tuple(r[c] for c in key))
+
+    def keyed(rows: DataFrame) -> DataFrame:
+        out = rows.join(F.broadcast(cuts), "h", "left").withColumn("b", F.shiftright("h", HASH_BITS - bits))
+        out = out.withColumn("is_big", F.col("part_bits").isNotNull()).withColumn("p", F.expr(f"if(part_bits is null, 0L, shiftright(k, {HASH_BITS} - part_bits))"))
+        return out.join(F.broadcast(after), "b", "left").withColumn("q", F.expr("if(bigs is null, 0, size(filter(bigs, x -> x < h)))")).drop("bigs")
+
+    found = sorted(keyed(narrow).groupBy(*key).agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect(), key=lambda r: tuple(r[c] for c in key))
     table, at_bytes, at_rows = [], 0, 0
     start: dict[tuple, int] = {}
     size: dict[tuple, int] = {}
@@ -79,40 +85,45 @@ def prefix_sums(rows: DataFrame, bits: int, total: int) -> DataFrame:
         at_rows += r["n"]
     table = [(*x, start.get(x[:2]) if x[2] else None, size.get(x[:2]) if x[2] else None) for x in table]
     offsets = spark.createDataFrame(table, "b bigint, q int, is_big boolean, p bigint, b_bytes bigint, b_rows bigint, l_before bigint, l_bytes bigint")
-    in_bucket = Window.partitionBy(*key).orderBy("h", "k", "doc_id", "size")
-    of_text = Window.partitionBy(*key, "h")
-    upto = in_bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = keyed.withColumn("own", F.sum("size").over(upto) - F.col("size")).withColumn("nth", F.row_number().over(in_bucket) - 1)
-    out = out.withColumn("t_before", F.min("own").over(of_text)).withColumn("t_bytes", F.sum("size").over(of_text))
-    out = out.join(F.broadcast(offsets), key)
-    return out.select(
-        *rows.columns,
-        (F.col("b_bytes") + F.col("own")).alias("before"),
-        (F.col("b_rows") + F.col("nth")).alias("rank"),
-        F.coalesce(F.col("l_before"), F.col("b_bytes") + F.col("t_before")).alias("g_before"),
-        F.coalesce(F.col("l_bytes"), F.col("t_bytes")).alias("g_bytes"),
-    )
+
+    def place(rows: DataFrame) -> DataFrame:
+        in_bucket = Window.partitionBy(*key).orderBy("h", "k", "doc_id", "size")
+        of_text = Window.partitionBy(*key, "h")
+        upto = in_bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        out = keyed(rows).withColumn("own", F.sum("size").over(upto) - F.col("size")).withColumn("nth", F.row_number().over(in_bucket) - 1)
+        out = out.withColumn("t_before", F.min("own").over(of_text)).withColumn("t_bytes", F.sum("size").over(of_text))
+        out = out.join(F.broadcast(offsets), key)
+        return out.select(
+            *rows.columns,
+            (F.col("b_bytes") + F.col("own")).alias("before"),
+            (F.col("b_rows") + F.col("nth")).alias("rank"),
+            F.coalesce(F.col("l_before"), F.col("b_bytes") + F.col("t_before")).alias("g_before"),
+            F.coalesce(F.col("l_bytes"), F.col("t_bytes")).alias("g_bytes"),
+        )
+
+    return place
 
 
 def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, *, id_col: str = "doc_id", text_col: str = "text", carry: bool = False, bucket_rows: int = BUCKET_ROWS, buckets: tuple[int, int] = BUCKETS, whole: int = WHOLE) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot; with ``carry`` also ``row``, a struct of all columns of ``docs``."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(
+    columns = (
         F.col(id_col).cast("bigint").alias("doc_id"),
         (F.octet_length(text) + F.lit(8)).cast("bigint").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
         order_hash(text).alias("h"),
         order_hash(F.coalesce(F.col(id_col).cast("string"), F.lit("-"))).alias("k"),
-        *([F.struct("*").alias("row")] if carry else []),
     )
-    if not carry:  # narrow rows: the text is read once
-        rows = cut(rows)
-    sums = rows.agg(F.sum("size").alias("bytes"), F.max("size").alias("top"), F.count("*").alias("n")).first()
+    narrow = cut(docs.select(*columns))  # all totals come from these: with ``carry`` the text is read twice, else once
+    sums = narrow.agg(F.sum("size").alias("bytes"), F.max("size").alias("top"), F.count("*").alias("n")).first()
     target = max(1.0, (sums["bytes"] or 0) / shards)
     unit = max(sums["top"] or 0, int(target / whole))
-    placed = prefix_sums(rows, bits_for(sums["n"], bucket_rows, buckets), sums["n"])
+    place = placer(narrow, bits_for(sums["n"], bucket_rows, buckets), sums["n"])
     # the middle of the unit decides, so a cut is never further away than half a unit
     middle = F.when(F.col("g_bytes") <= unit, F.col("g_before") + F.col("g_bytes") / 2).otherwise(F.col("before") + F.col("size") / 2)
-    placed = placed.withColumn("shard", F.least(F.lit(shards - 1), F.floor(middle / F.lit(target))).cast("int"))
+    shard = F.least(F.lit(shards - 1), F.floor(middle / F.lit(target))).cast("int").alias("shard")
+    placed = place(narrow).select("*", shard)
     first = placed.groupBy("shard").agg(F.min("rank").alias("first"))  # a row a shard
+    if carry:
+        placed = place(docs.select(*columns, F.struct("*").alias("row"))).select("*", shard)
     return placed.join(F.broadcast(first), "shard").select("doc_id", "size", "text_crc32", "shard", (F.col("rank") - F.col("first")).cast("bigint").alias("slot"), *(["row"] if carry else []))

@@ -1,7 +1,85 @@
+import collections
+import hashlib
+import re
+
+import zstandard
+
 import corpus_pipeline
-from quern.llm import decontam, quality, simhash
+from quern.llm import decontam, mixing, quality, simhash
 
 from . import tables
+from .test_operators import WORD, fingerprint, groups, lower, plain_shards
+
+ITEM_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def plain_kept(docs):
+    packer = zstandard.ZstdCompressor(level=quality.LEVEL)
+    return [d for d in docs if quality.judge((d[1] or "").encode(), len(d[1] or ""), packer)[6]]
+
+
+def plain_contaminated(text, items):
+    words = ITEM_WORD.findall(lower(text))
+    hit = set()
+    for item in items:
+        own = ITEM_WORD.findall(lower(item))
+        m = min(13, len(own))
+        windows = {tuple(own[i : i + m]) for i in range(len(own) - m + 1)} if m else set()
+        hit |= {p for i in range(len(words) - m + 1) if tuple(words[i : i + m]) in windows for p in range(i, i + m)}
+    return bool(hit) and 20 * len(hit) >= len(words)
+
+
+def plain_mix(docs):
+    """The documents of the mix, whole and in part."""
+    size = lambda d: len(WORD.findall(d[1] or ""))
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    sources = sorted({d[2] for d in docs}, key=lambda s: (s is None, s or ""))
+    plan = mixing.plan([sum(size(d) for d in docs if d[2] == s) for s in sources])
+    out = []
+    for source, p in zip(sources, plan, strict=True):
+        at = 0
+        for d in sorted((d for d in docs if d[2] == source), key=lambda d: (md5(f"{mixing.SEED}:{'-' if d[0] is None else d[0]}"), md5(d[1] or ""))):
+            n = size(d)
+            rounds, lead = divmod(p["quota"], max(1, p["blocks"]))
+            taken = rounds * n + max(0, min(at + n, lead * mixing.BLOCK_TOKENS) - at)
+            at += n
+            if n:
+                pieces = re.findall(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+", d[1])
+                out += [(d[0], d[1])] * (taken // n) + ([(d[0], "".join(pieces[: taken % n]))] if taken % n else [])
+    return out
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    """Every stage against plain Python."""
+    sf = tables.write(tmp_path / "sf")
+    docs = tables.documents()[0]
+    docs = [d for i, d in enumerate(docs) if d not in docs[:i]]  # repeated rows have tests of their own
+    spark.read.parquet(f"{sf}/documents.parquet").dropDuplicates(["doc_id", "text", "source"]).write.parquet(f"{tmp_path}/in")
+    now = spark.read.parquet(f"{tmp_path}/in")
+    items = [t for t in tables.documents()[1] if t]
+    rows = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=repr)
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, now, sf).write.parquet(f"{tmp_path}/{n}")
+        now = spark.read.parquet(f"{tmp_path}/{n}")
+        if n == 0:
+            docs = plain_kept(docs)
+        elif n == 1:
+            label = groups([fingerprint(t) for _, t, _ in docs])
+            best = {}
+            for g, d in zip(label, docs, strict=True):
+                best[g] = min(best.get(g, d), d, key=lambda d: (d[0] is None, d[0] or 0))
+            docs = list(best.values())
+        elif n == 2:
+            docs = [d for d in docs if not plain_contaminated(d[1], items)]
+        elif n == 3:
+            mixed = plain_mix(docs)
+            assert rows(now) == sorted(mixed, key=repr) and len({r[0] for r in mixed}) < len(mixed)
+            continue
+        else:
+            want = collections.Counter((i, size, s, t) for i, size, _, s, _, t in plain_shards(mixed))
+            assert collections.Counter((r["doc_id"], r["size"], r["shard"], r["text"]) for r in now.collect()) == want
+            continue
+        assert rows(now) == sorted((d[:2] for d in docs), key=repr), n
 
 
 def test_pipeline(spark, tmp_path):
