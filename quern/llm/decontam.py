@@ -171,14 +171,15 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, how: str = "documents
     rows, hits, _ = scan(docs, benchmark, **options)
     text = options.get("text_col", "text")
     key = text_key(F.col(text))
-    flagged = rows.select("key", "n_words").join(small(hits), "key").withColumn("n_hit", covered("hits")).where(contaminated())
-    # a row a text: its words and hits don't depend on the document
-    flagged = cut(flagged.groupBy("key").agg(F.any_value(F.transform("hits", lambda x: F.struct(x["pos"], x["m"]))).alias("hits")).select(F.col("key").alias("bad_key"), "hits"))
+    # keys and counts only are broadcast, not the hits; a row a text, whose words and hits don't depend on the document
+    counts = small(cut(hits.select("key", covered("hits").alias("n_hit"))))
+    flagged = cut(rows.select("key", "n_words").join(counts, "key").where(contaminated()).select(F.col("key").alias("bad_key")).distinct())
     whole = docs.select(F.struct("*").alias("row"), key.alias("row_key"))
     names = [F.col(f"row.`{c}`") for c in docs.columns]
     if how == "documents":
-        return whole.join(small(flagged.select("bad_key")), F.col("row_key") == F.col("bad_key"), "left_anti").select(*names)
-    both = whole.join(small(flagged), F.col("row_key") == F.col("bad_key"), "left")
+        return whole.join(small(flagged), F.col("row_key") == F.col("bad_key"), "left_anti").select(*names)
+    spots = hits.select("key", F.transform("hits", lambda x: F.struct(x["pos"], x["m"])).alias("hits"))
+    both = whole.join(flagged.join(spots, F.col("key") == F.col("bad_key")).drop("key"), F.col("row_key") == F.col("bad_key"), "left")
     gap, word = GAP_ANY_CASE[:-1], r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
     # a piece is a word with what stands before it; the last piece may have no word
     pieces = F.regexp_extract_all(F.col(f"row.`{text}`"), F.lit(f"{gap}*{word}|{gap}+"), F.lit(0))
