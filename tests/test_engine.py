@@ -10,10 +10,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern import cli, config, project
+from quern.functions.identity import stable_key_of
 from quern.operators.filters import MemoryFilters, SessionFilters
 from quern.plans import embedding
 from quern.plans.engine import MEMORY_TABLES, SESSION_TABLES, Engine
-from quern.plans.snapshot import Snapshot
+from quern.plans.snapshot import Snapshot, bucket_of
 
 
 class Compass:
@@ -50,10 +51,19 @@ def engine(spark, tmp_path, provider=None, installed=ALL_THERE, **sources):
     return Engine(spark, settings(tmp_path, **sources), provider, installed)
 
 
+def apart(spark, folder):
+    """Two paths whose sources lie in different buckets, wherever the folder is."""
+    paths = [folder / f"log{i}.jsonl" for i in range(30)]
+    keyed = spark.createDataFrame([(i, stable_key_of("pi", str(p))) for i, p in enumerate(paths)], "i int, source_key string")
+    of = {r["i"]: r["b"] for r in keyed.select("i", bucket_of("source_key").alias("b")).collect()}
+    return paths[0], next(p for i, p in enumerate(paths) if of[i] != of[0])
+
+
 def test_index_and_search(spark, tmp_path):
     logs = tmp_path / "logs"
-    log(logs / "a.jsonl", "boat", "where does the ferry cross the estuary at night", "at the old harbour beside the river")
-    log(logs / "b.jsonl", "bread", "how long should dough rest", "until it has doubled in size")
+    a, b = apart(spark, logs)
+    log(a, "boat", "where does the ferry cross the estuary at night", "at the old harbour beside the river")
+    log(b, "bread", "how long should dough rest", "until it has doubled in size")
     e = engine(spark, tmp_path, Compass(), pi=str(logs))
     first, _ = e.index()
     assert (first.discovered, first.updated, first.embedded, first.errors) == (2, 2, 4, 0)
@@ -75,13 +85,13 @@ def test_index_and_search(spark, tmp_path):
     assert (again.updated, again.unchanged, again.embedded) == (0, 2, 0) and e.sessions_store.manifest()["number"] == number
     # one file with one more turn: its bucket is written, the other's folder stays, the inverted index follows
     before = e.sessions_store.manifest()["tables"]["chunks"]
-    log(logs / "b.jsonl", "bread", "how long should dough rest", "until it has doubled in size", "and where is the river mill")
+    log(b, "bread", "how long should dough rest", "until it has doubled in size", "and where is the river mill")
     more, _ = e.index()
     after = e.sessions_store.manifest()["tables"]["chunks"]
     assert (more.updated, more.unchanged, more.embedded) == (1, 1, 1) and len(before) == 2 and len(set(before.values()) & set(after.values())) == 1
     assert e.sessions_store.postings(SESSION_TABLES) is not None
     assert {r["session_id"] for r in e.search_sessions("mill")[0].where("lexical_rank is not null").collect()} == {"bread"}
-    os.unlink(logs / "a.jsonl")
+    os.unlink(a)
     (logs / "c.jsonl").write_text("{bad}")
     less, _ = e.index()
     assert (less.deleted, less.errors) == (1, 1) and e.status()["sessions"] == 1 and e.status()["parser_errors"] == 1
