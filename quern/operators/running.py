@@ -42,15 +42,16 @@ def dealt(df: DataFrame, keys: list[str], order: list[str], partitions: int | No
     return cut((df.repartitionByRange(partitions, *by) if partitions else df.repartitionByRange(*by)).sortWithinPartitions(*by))
 
 
-def running_totals(df: DataFrame, keys: list[str], order: list[str], totals: dict[str, str], partitions: int | None = None) -> DataFrame:
+def running_totals(df: DataFrame, keys: list[str], order: list[str], totals: dict[str, str], partitions: int | None = None, before: dict[str, str] | None = None) -> DataFrame:
     """``df`` with running totals of long columns within each combination of ``keys``, in ``order``.
 
     ``totals`` maps new columns to the columns added up; a row's total has the row itself in
-    it.  Sums wrap around at 64 bits; a null counts as 0.  A null key is a key of its own;
+    it, a total of ``before`` hasn't.  Sums wrap around at 64 bits; a null counts as 0.  A null key is a key of its own;
     rows equal in keys and order come in any order; an empty table gives no rows.
     """
     rows = dealt(df, keys, order, partitions)
-    values = list(dict.fromkeys(totals.values()))
+    before = before or {}
+    values = list(dict.fromkeys([*totals.values(), *before.values()]))
 
     def numbers(batch: pa.RecordBatch) -> np.ndarray:
         return np.stack([pc.fill_null(batch.column(v).cast(pa.int64()), 0).to_numpy(zero_copy_only=False) for v in values])
@@ -89,7 +90,7 @@ def running_totals(df: DataFrame, keys: list[str], order: list[str], totals: dic
         sums = sums + total if r["whole"] and r["first"] == key else total
         key = r["last"]
     known = rows.sparkSession.sparkContext.broadcast(offsets)
-    names, at = list(totals), [values.index(v) for v in totals.values()]
+    names, at, less = [*totals, *before], [values.index(v) for v in totals.values()], [values.index(v) for v in before.values()]
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -106,16 +107,12 @@ def running_totals(df: DataFrame, keys: list[str], order: list[str], totals: dic
             begun = True
             found, cuts = numbers(batch), _starts(by, n)
             upto = np.cumsum(found, axis=1, dtype=np.int64)
-            before = np.zeros((len(values), n), dtype=np.int64)
+            earlier = np.repeat(-sums[:, None], n, axis=1)
             if len(cuts):  # what the earlier keys of the batch have added up goes
-                lengths = np.diff(np.append(cuts, n))
-                before[:, cuts[0] :] = np.repeat(upto[:, cuts - 1], lengths, axis=1)
-                before[:, : cuts[0]] = -sums[:, None]
-            else:
-                before[:] = -sums[:, None]
-            upto = upto - before
+                earlier[:, cuts[0] :] = np.repeat(upto[:, cuts - 1], np.diff(np.append(cuts, n)), axis=1)
+            upto = upto - earlier
             last, sums = _key_at(by, n - 1), upto[:, -1].copy()
-            columns = [batch.column(c) for c in batch.schema.names] + [pa.array(upto[i]) for i in at]
+            columns = [batch.column(c) for c in batch.schema.names] + [pa.array(upto[i]) for i in at] + [pa.array(upto[i] - found[i]) for i in less]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *names])
 
     schema = StructType([*rows.schema.fields, *(StructField(c, LongType()) for c in names)])

@@ -26,8 +26,9 @@ def test_running_totals(spark):
     df = spark.createDataFrame(rows, "k string, o bigint, n bigint").withColumn("one", F.lit(1).cast("bigint"))
     want = brute(rows)
     for parts in (1, 7, 40):
-        got = running_totals(df, ["k"], ["o"], {"sum": "n", "nth": "one"}, parts)
+        got = running_totals(df, ["k"], ["o"], {"sum": "n", "nth": "one"}, parts, before={"ahead": "n"})
         found = got.collect()
+        assert all(r["ahead"] == r["sum"] - (r["n"] or 0) for r in found)
         assert {(r["k"], r["o"]): (r["sum"], r["nth"]) for r in found} == want and len(found) == len(rows)
     # no task has the third of the rows that are the hot key's
     sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
