@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The vocabulary file where neither the caller nor the session's ``spark.quern.tokenizer`` names one;
@@ -135,9 +135,13 @@ def _sorted_rows(rows: DataFrame, conv: str, turn: str, role: str, text: str) ->
     return rows.repartitionByRange("conv_id", "turn").sortWithinPartitions("conv_id", "turn", "role", "text")
 
 
+def vocabulary_path(spark: SparkSession) -> str:
+    return spark.conf.get(TOKENIZER_SETTING, TOKENIZER)
+
+
 def _tokenizer(rows: DataFrame, path: str | None):
     spark = rows.sparkSession
-    with open(path or spark.conf.get(TOKENIZER_SETTING, TOKENIZER), encoding="utf-8") as f:
+    with open(path or vocabulary_path(spark), encoding="utf-8") as f:
         return spark.sparkContext.broadcast(f.read())  # a file of a few MB, whatever the data
 
 

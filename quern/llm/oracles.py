@@ -151,3 +151,44 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
 FROM d LEFT JOIN cover USING (rid) LEFT JOIN items USING (rid)
 """
+
+_TURN_MARK = "md5(strlen(role) || ':' || role || text)"
+#: Nodes are named by the md5s of all their turns; every node is told to all its ancestors on its smallest member's path.
+OP12 = f"""
+WITH tab AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i] || list_transform(range(8), lambda x: 0::BIGINT),
+      lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i))),
+said AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+turns AS (
+  SELECT conv_id, {_TURN_MARK} AS mark, length(text)::BIGINT AS chars,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, substr({_TURN_MARK}, 1, 30)) - 1 AS idx FROM said),
+convs AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base,
+    xor(list_reduce([4294967295] || list_transform(regexp_extract_all(hex(encode(conv_id::VARCHAR)), '..'), lambda x: ('0x' || x)::BIGINT),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns), tab),
+rebuilt AS (
+  SELECT c.conv_id, 0 AS seg, idx, mark, chars FROM convs c JOIN turns b ON b.conv_id = c.base AND b.idx < c.h
+  UNION ALL SELECT c.conv_id, 1, idx, mark, chars FROM convs c JOIN turns o ON o.conv_id = c.conv_id AND o.idx >= c.h),
+paths AS (
+  SELECT conv_id, chars, row_number() OVER w AS depth, string_agg(mark, '') OVER w AS node
+  FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY seg, idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+  UNION ALL SELECT conv_id, 0, 0, '' FROM convs),
+lens AS (SELECT conv_id, max(depth) AS len FROM paths GROUP BY conv_id),
+nodes AS (
+  SELECT depth, node, min(p.conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+    string_agg(p.conv_id::VARCHAR, ',' ORDER BY p.conv_id) FILTER (WHERE len = depth) AS ends
+  FROM paths p JOIN lens USING (conv_id) GROUP BY depth, node),
+kids AS (SELECT depth - 1 AS depth, left(node, -32) AS node, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1, 2),
+family AS (
+  SELECT n.*, coalesce(k.n, 0) AS n_children, p.conv_id AS parent_conv_id FROM nodes n
+  LEFT JOIN kids k ON k.depth = n.depth AND k.node = n.node
+  LEFT JOIN nodes p ON n.depth > 0 AND p.depth = n.depth - 1 AND p.node = left(n.node, -32)),
+told AS (
+  SELECT a.depth, a.node, count(*) FILTER (WHERE f.n_children = 0) AS n_leaves, sum((f.n_convs - 1) * f.chars) AS saved_tokens
+  FROM family f JOIN paths a ON a.conv_id = f.conv_id AND a.depth <= f.depth GROUP BY a.depth, a.node)
+SELECT conv_id, f.depth::BIGINT AS depth, parent_conv_id, n_convs::BIGINT AS n_convs, n_children::BIGINT AS n_children,
+  n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM family f JOIN told t ON t.depth = f.depth AND t.node = f.node
+"""

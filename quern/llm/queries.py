@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontam, html_extract, line_dedup, mixing, oracles, quality, shard, simhash, toxicity, url_filter
+from . import chat_format, decontam, html_extract, line_dedup, mixing, oracles, periodic_runs, prefix_trie, quality, shard, simhash, token_counts, toxicity, url_filter
 from .common import read
 
 
@@ -59,10 +59,24 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = token_counts.count_tokens(read(spark, sf_dir, "documents"), chat_format.vocabulary_path(spark))
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.ordered_turns(read(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_trie(*prefix_trie.share_prefixes(turns))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest_runs(read(spark, sf_dir, "documents"), repeat=True)
+
+
 def queries() -> dict:
-    found = (op1_html_extraction, op2_toxicity, op3_simhash_near_dedup, op4_url_filters, op5_chat_formatting, op6_quality_rules, op7_sharding, op8_line_dedup, op9_mixing, op10_decontamination)
+    found = (op1_html_extraction, op2_toxicity, op3_simhash_near_dedup, op4_url_filters, op5_chat_formatting, op6_quality_rules, op7_sharding, op8_line_dedup, op9_mixing, op10_decontamination, op11_token_counts, op12_prefix_trie, op13_periodic_runs)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filters": oracles.OP4, "op5_chat_formatting": oracles.OP5, "op7_sharding": oracles.OP7, "op8_line_dedup": oracles.OP8, "op9_mixing": oracles.OP9, "op10_decontamination": oracles.OP10}
+    return {"op4_url_filters": oracles.OP4, "op5_chat_formatting": oracles.OP5, "op7_sharding": oracles.OP7, "op8_line_dedup": oracles.OP8, "op9_mixing": oracles.OP9, "op10_decontamination": oracles.OP10, "op12_prefix_trie": oracles.OP12}
