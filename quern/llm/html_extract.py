@@ -5,22 +5,23 @@ words like it are main text, a tag by how often it stands outside of main text,
 words of text score positive and tags negative.  The weights come from labelled
 pages: two logistic regressions and a count of tags (:class:`Weights`).
 
-1. *Region.*  A word's score is ``2 p - 1`` of a regression over what stands near it:
-   the block it is in, its length, whether it is a sentence, how much of it are links,
-   and the elements around it with their names.  One linear scan finds the contiguous
-   region with the highest sum (:func:`best_region`).
-2. *Container.*  The region is widened to the element that holds it: its ``article`` or
-   ``main``, else the innermost division; where that is the page itself, only over
-   text next to it that is likely main text.  So first and last short paragraphs stay.
-   A page of a few words without a positive region is scanned once more with the
-   log-odds of the words' places.
-3. *Cuts.*  Text in the container that a second regression, over the place alone, takes
-   for a menu, an advert, a notice, a comment and so on is left out.
-
-Neither regression sees ``article``, ``main`` or divisions around a word: what they
-part is found by the scan.  Names of classes count as learned: the whole name, its
-last part and, less telling, its first; those of the elements around a block count
-against it only, its own also for it.
+1. *Scores.*  A word's score is ``2 p - 1`` of the mean log-odds of two regressions: one
+   over what stands near it (the block it is in, its length, whether it is a sentence, how
+   much of it are links), one over its place alone (the elements around it with their names,
+   and their shape: rows of like elements as replies and teasers are, small divisions between
+   paragraphs).  Neither sees ``article``, ``main`` or divisions around a word.
+2. *Tags.*  A tag costs by how often elements of it that hold main text begin or end outside of
+   it; ``article``, ``main`` and others that always do can't be crossed.  A division that holds
+   most of the page's likely text costs ``EDGE`` words to enter or leave.
+3. *Region.*  One linear scan finds the contiguous region with the highest sum
+   (:func:`best_region`); where it begins and ends, the main text does.  A page of a few words
+   without a positive region is scanned once more with the log-odds of the words' places.
+4. *Holes.*  Texts in the region whose place has log-odds below ``CUT`` (menus, adverts, notices,
+   replies) are left out.  An element with nothing but such texts costs the region that goes
+   across it ``HOLE`` words at most, so what follows an advert isn't lost.
+
+Names of classes count as learned: the whole name, its last part and, less telling, its
+first; those of the elements around a block count against it only, its own also for it.
 
 Labelled pages are those of :mod:`.html_pages` and, with :func:`fit`, a bounded sample
 of the table itself: ``SAMPLE_PAGES`` pages of at most ``SAMPLE_CHARS`` characters with
@@ -70,13 +71,15 @@ SCOPE = frozenset("ul ol dl table article section div main aside nav footer head
 PLACES = frozenset("a label".split())
 #: Elements around a word that no regression sees.
 NEUTRAL = frozenset("html body div section main article span center".split())
-#: Elements that a region is widened to.
-ARTICLES, DIVISIONS = frozenset(["article", "main"]), frozenset("article main section div td blockquote form aside nav footer header".split())
+#: From how many on like elements are a row, whatever they hold (two are, if they hold less than half of the page); divisions that are a box among paragraphs while they have fewer words.
+IN_A_ROW, BOXES, BOX_WORDS = 3, frozenset("div section aside".split()), 60
 
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*)|<!\[CDATA\[(?:.*?\]\]>|.*)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?>=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)>?", re.S
 )
 _ATTR = re.compile(r"(?<![\w-])(class|id|role|style|aria-hidden|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_CLASS = re.compile(r"(?<![\w-])class\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_DIGITS = re.compile(r"\d+")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 #: End tags of elements without tags inside; start and end tags of the other skipped ones.
@@ -88,6 +91,10 @@ _NESTED = {t: re.compile(rf"<(/?){t}(?=[\s/>])[^>]*>?", re.I) for t in SKIPPED -
 TAG_SCALE, TAG_LEAST, TAG_NEVER, TAG_SEEN = 3.0, 0.02, 10_000.0, 4
 #: Log-odds of a place below which its text is cut.
 CUT = -0.7
+#: What a hole, an element all of whose texts are cut, costs the region that goes across it at most.
+HOLE = 0.5
+#: What it costs to enter or leave a division that holds most of the page's likely text.
+EDGE, DIVISIONS = 30.0, frozenset("div section td table center blockquote".split())
 #: A short text straight in a division, where most text stands in paragraphs, is odd.
 ODD_WORDS, ODD_BLOCKS = 40, frozenset("div td section center".split())
 #: Bound of the table's labelled sample, and what it weighs beside the other labelled pages.
@@ -146,13 +153,44 @@ class Page:
     """The tokens of a page.
 
     ``texts`` holds (text, words, features around it, (own block's tag, its names), in a
-    link, block, element); ``tokens`` the texts' numbers and, as strings, the tags between."""
+    link, block, element); ``tokens`` the texts' numbers and, between them, the tags as
+    (tag, element), the element being -1 where it isn't kept."""
 
     def __init__(self, page: str, known):
         self.texts: list[tuple] = []
         self.tokens: list = []
-        self.parent, self.name = [0], [""]
+        self.parent, self.name, self.kind = [0], [""], [""]
         self._read(page, known)
+        self.shape = self._shape()
+
+    def _shape(self) -> list[tuple[str, ...]]:
+        """What an element's surroundings say of it, names apart: it or one around it is one of a
+        row of like elements (replies, teasers), or a small division between paragraphs (a box)."""
+        size = len(self.name)
+        words, paragraphs, before = [0] * size, [0] * size, [0] * size
+        for _, n, _, _, _, _, node in self.texts:
+            words[node] += n
+        for i in range(size - 1, 0, -1):  # elements are numbered in page order, so inner ones come first here
+            words[self.parent[i]] += words[i]
+        for i in range(1, size):
+            before[i] = paragraphs[self.parent[i]]
+            if self.name[i] == "p":
+                paragraphs[self.parent[i]] += words[i]
+        alike, of_row = Counter(), Counter()
+        for i in range(1, size):
+            if self.kind[i] and words[i]:
+                alike[self.parent[i], self.kind[i]] += 1
+                of_row[self.parent[i], self.kind[i]] += words[i]
+        rows = {k for k, n in alike.items() if n >= IN_A_ROW or n == 2 and 2 * of_row[k] < words[0]}
+        out: list[tuple[str, ...]] = [()]
+        for i in range(1, size):
+            found = out[self.parent[i]]
+            if words[i] and (self.parent[i], self.kind[i]) in rows and "s:row" not in found:
+                found = (*found, "s:row")
+            if self.name[i] in BOXES and "s:box" not in found and 0 < words[i] < BOX_WORDS and before[i] > 0 and paragraphs[self.parent[i]] - before[i] > 0 and paragraphs[self.parent[i]] >= 2 * words[i] + BOX_WORDS:
+                found = (*found, "s:box")
+            out.append(found)
+        return out
 
     def _read(self, page: str, known) -> None:
         texts, tokens = self.texts, self.tokens
@@ -199,12 +237,12 @@ class Page:
             if m[1]:
                 if tag in SKIPPED:
                     continue
-                if tag in SCOPE:
-                    if scopes[tag]:
-                        drop(last_of((tag,)))
-                elif inline[-1][tag]:
-                    drop(last_of((tag,)))
-                tokens.append("/" + tag)
+                node = -1
+                if scopes[tag] if tag in SCOPE else inline[-1][tag]:
+                    i = last_of((tag,))
+                    node = stack[i][4]
+                    drop(i)
+                tokens.append(("/" + tag, node))
             elif tag in SKIPPED:
                 if not m[3].endswith("/"):
                     at = skip(page, tag, at)
@@ -225,20 +263,24 @@ class Page:
                         seen = seen | new
                     self.parent.append(stack[-1][4])
                     self.name.append(tag)
+                    named = _CLASS.search(m[3]) if m[3] else None
+                    self.kind.append(f"{tag} {_DIGITS.sub('', named[1] or named[2] or named[3] or '')}" if named else "")
                     stack.append((tag, seen, (tag, names) if tag in BLOCKS else own, link or tag == "a", len(self.name) - 1))
                     if tag in SCOPE:
                         scopes[tag] += 1
                         inline.append(Counter())
                     else:
                         inline[-1][tag] += 1
-                tokens.append(tag)
+                    tokens.append((tag, len(self.name) - 1))
+                else:
+                    tokens.append((tag, -1))
             else:
-                tokens.append(tag)
+                tokens.append((tag, -1))
             if tag in BLOCKS:
                 block += 1
 
     def near(self) -> list[tuple[str, ...]]:
-        """Features of each text's block: length, sentence end, links, oddness."""
+        """Features of each text's block: shape of what is around, length, sentence end, links, oddness."""
         words, links, last = Counter(), Counter(), {}
         kinds: Counter = Counter()
         for text, n, _, own, link, block, _ in self.texts:
@@ -251,14 +293,14 @@ class Page:
         mostly_p = 2 * kinds["p"] > sum(kinds.values())
         made: dict[tuple, tuple[str, ...]] = {}
         out = []
-        for _, n, _, own, _, block, _ in self.texts:
+        for _, n, _, own, _, block, node in self.texts:
             if not n:
                 out.append(())
                 continue
-            key = (block, own)
+            key = (block, own, self.shape[node])
             if key not in made:
                 w = words[block]
-                f = [f"b:{own[0]}", *own[1], f"l:{sum(w > x for x in _LENGTHS)}"]
+                f = [f"b:{own[0]}", *own[1], *self.shape[node], f"l:{sum(w > x for x in _LENGTHS)}"]
                 if last[block].rstrip().endswith(_ENDS):
                     f.append("e:1")
                 if 2 * links[block] > w:
@@ -271,7 +313,7 @@ class Page:
 
 
 #: Features of :meth:`Page.near` that tell a place.
-PLACE_KINDS = ("b:", "o:", "odd:")
+PLACE_KINDS = ("b:", "o:", "odd:", "s:")
 
 
 def skip(page: str, tag: str, at: int) -> int:
@@ -300,23 +342,30 @@ def around(tag: str, attrs: str, seen: frozenset) -> tuple[frozenset, tuple[str,
 
 def labelled_rows(page: str) -> tuple[Counter, Counter]:
     """Words by (features near, features of the place, label), and tags by (tag, label), of a page
-    whose main text stands between ``[[`` and ``]]``."""
+    whose main text stands between ``[[`` and ``]]``; the label None is that of tags of elements
+    that hold no main text."""
     read = Page(page, around)
     near = read.near()
     rows: Counter = Counter()
     tags: Counter = Counter()
-    label = 0
+    label, at = 0, []
+    good = [False] * len(read.name)
     for token in read.tokens:
-        if isinstance(token, str):
-            tags[token, label] += 1
+        if isinstance(token, tuple):
+            at.append((token, label))
             continue
         text, _, seen, own, *_ = read.texts[token]
         for piece in re.split(r"(\[\[|\]\])", text):
             if piece in ("[[", "]]"):
                 label = int(piece == "[[")
             elif n := len(piece.split()):
+                good[read.texts[token][6]] |= label == 1
                 place = {f for f in near[token] if f.startswith(PLACE_KINDS)}
                 rows[frozenset(seen | {*near[token]}), frozenset(seen | place), label] += n
+    for i in range(len(good) - 1, 0, -1):
+        good[read.parent[i]] |= good[i]
+    for (tag, node), label in at:
+        tags[tag, label if node < 0 or good[node] else None] += 1
     return rows, tags
 
 
@@ -377,6 +426,8 @@ def train(sample: tuple[str, ...] = ()) -> Weights:
     costs = {}
     for t in {t for t, _ in tags}:
         outside, inside = tags[t, 0], tags[t, 1]
+        if not outside and not inside:  # only of elements without main text
+            outside = tags[t, None]
         never = not inside and outside >= TAG_SEEN
         costs[t] = TAG_NEVER if never else TAG_LEAST + TAG_SCALE * max(0.0, float(np.log((outside + 0.5) / (inside + 0.5))))
     models = [regress([(fs, label, n) for (fs, label), n in sorted(rows.items(), key=lambda r: (sorted(r[0][0]), r[0][1]))]) for rows in (near, place)]
@@ -425,58 +476,49 @@ class Extractor:
                 a, b = sums[seen]
                 a += sum(near.get(f, 0.0) for f in extra)
                 b += sum(place.get(f, 0.0) for f in extra if f.startswith(PLACE_KINDS))
-                found = made[seen, extra] = (2 / (1 + np.exp(-a)) - 1, b)
+                found = made[seen, extra] = (2 / (1 + np.exp(-(a + b) / 2)) - 1, b)
             score_of.append(n * float(found[0]))
             place_of.append(float(found[1]))
-        return [-tags.get(t, TAG_LEAST) if isinstance(t, str) else score_of[t] for t in read.tokens], place_of
+        holes, edges = self.holes(read, place_of)
+        out = []
+        for t in read.tokens:
+            if isinstance(t, tuple):
+                out.append(-TAG_LEAST if t[1] > 0 and holes[t[1]] else -EDGE if t[1] in edges else -tags.get(t[0], TAG_LEAST))
+            elif place_of[t] < CUT and (n := holes[read.texts[t][6]]):
+                out.append(-read.texts[t][1] * min(1.0, HOLE / n))
+            else:
+                out.append(score_of[t])
+        return out, place_of
 
     @staticmethod
-    def container(read: Page, a: int, b: int) -> int:
-        """The article or main element around two elements, else the innermost division; 0 is the page."""
-        path = set()
-        while a:
-            path.add(a)
-            a = read.parent[a]
-        while b and b not in path:
-            b = read.parent[b]
-        up = b
-        while up and read.name[up] not in ARTICLES:
-            up = read.parent[up]
-        if up:
-            return up
-        while b and read.name[b] not in DIVISIONS:
-            b = read.parent[b]
-        return b
+    def holes(read: Page, place: list[float]) -> tuple[list[int], set[int]]:
+        """Of elements all of whose texts are cut, the words of the outermost such element (at least 1), 0 of
+        others; and the divisions that hold more than half of the words that aren't cut."""
+        size = len(read.name)
+        words, good = [0] * size, [0] * size
+        for (_, n, *_, node), p in zip(read.texts, place, strict=True):
+            words[node] += n
+            if p >= CUT:
+                good[node] += n
+        for i in range(size - 1, 0, -1):
+            words[read.parent[i]] += words[i]
+            good[read.parent[i]] += good[i]
+        out, edges = [0] * size, set()
+        for i in range(1, size):
+            if not good[i]:
+                out[i] = out[read.parent[i]] or max(1, words[i])
+            elif 2 * good[i] > good[0] and read.name[i] in DIVISIONS:
+                edges.add(i)
+        return out, edges
 
     def chosen(self, read: Page) -> list[int]:
-        """Numbers of the texts that are the main text."""
+        """Numbers of the texts that are the main text: those of the best region but for what is cut."""
         scores, place = self.judged(read)
         first, last = best_region(scores)
         if not last:  # nothing but a few words: their places alone decide
             tags = self.weights.tags
-            first, last = best_region([-tags.get(t, TAG_LEAST) / TAG_SCALE if isinstance(t, str) else read.texts[t][1] * place[t] for t in read.tokens])
-        inside = [t for t in read.tokens[first:last] if not isinstance(t, str)]
-        words = [t for t in inside if read.texts[t][1]]
-        if not words:
-            return []
-        a, b = words[0], words[-1]
-        top = read.texts[a][6]
-        for t in words[1:]:
-            if read.texts[t][6] != top:
-                top = self.container(read, top, read.texts[t][6])
-        top = self.container(read, top, top)
-        if top:
-            within = [False] * len(read.name)
-            within[top] = True
-            for i in range(top + 1, len(read.name)):  # elements are numbered in page order
-                within[i] = within[read.parent[i]]
-            found = range(len(read.texts))
-            return [t for t in found if within[read.texts[t][6]] and place[t] >= CUT]
-        while a and place[a - 1] >= 0.0:
-            a -= 1
-        while b + 1 < len(place) and place[b + 1] >= 0.0:
-            b += 1
-        return [t for t in range(a, b + 1) if place[t] >= CUT]
+            first, last = best_region([-tags.get(t[0], TAG_LEAST) / TAG_SCALE if isinstance(t, tuple) else read.texts[t][1] * place[t] for t in read.tokens])
+        return [t for t in read.tokens[first:last] if not isinstance(t, tuple) and place[t] >= CUT]
 
     def text(self, page: str | None) -> str:
         if not page:

@@ -68,6 +68,12 @@ PAGES = (
     # documentation: a menu of many entries beside a long text
     """<html><body><aside class="menu"><nav><ul><li><a>{1-}</a><ul><li><a>{2-}</a></li><li><a>{2-}</a></li></ul></li><li><a>{3-}</a></li></ul></nav></aside><main role="main"><div class="docs">[[<h1>{3-}</h1><div class="summary">{16}</div><div class="lead">{12}</div><p>{31}</p><pre>{24-}</pre><p>{27} <a href="x">{2-}</a> {4}</p><h2>{3-}</h2><ul><li>{8} <a href="y">{1-}</a></li><li>{6-}</li></ul>
     <table><tr><td>{2-}</td><td>{9}</td></tr><tr><td>{1-}</td><td>{12}</td></tr></table><p>{46}</p>]]</div><div class="pager"><a>{2-}</a><a>{2-}</a></div></main><footer class="footer"><p>{9-}</p></footer></body></html>""",
+    # boxes between paragraphs, and replies below, that only their shape tells
+    """<html><body><div class="qa"><a>{2-}</a></div><main>[[<h1>{6-}</h1><p>{48}</p><p>{31}</p>]]<div class="qb"><p>{11}</p></div>[[<p>{52}</p><p>{20}</p><p>{17}</p>]]<div class="qc"><div><p>{14}</p></div></div>[[<p>{44}</p><blockquote><p>{15}</p></blockquote><p>{6}</p>]]
+    <div id="qd"><div class="qe"><p>{12}</p></div><div class="qe"><p>{25}</p><p>{9}</p></div><div class="qe"><p>{7}</p></div><div class="qe"><p>{18}</p></div></div></main><div class="qf">{9-}</div></body></html>""",
+    """<html><body><article>[[<h1>{8-}</h1><div class="ra">{21}</div><p>{39}</p><p>{42}</p>]]<section class="rb"><h4>{3-}</h4><p>{19}</p></section>[[<p>{61}</p><p>{12}</p>]]<div class="rc"><p>{16}</p></div>[[<p>{33}</p><ul><li>{8}</li><li>{5}</li><li>{11}</li></ul><p>{27}</p>]]</article>
+    <div class="rd"><section class="re"><p>{22}</p></section><section class="re"><p>{13}</p></section><section class="re"><p>{31}</p></section></div></body></html>""",
+    """<html><body><div class="sa">[[<h2>{5-}</h2><p>{40}</p>]]<div class="sb">{12}</div>[[<p>{57}</p><p>{24}</p><p>{30}</p><p>{9}</p>]]</div><ol class="sc"><li class="sd"><p>{20}</p></li><li class="sd"><p>{11}</p></li><li class="sd"><p>{29}</p></li></ol></body></html>""",
     # nothing but a menu, nothing but a form
     """<html><body><nav><a>{2-}</a><ul><li><a>{1-}</a></li></ul></nav></body></html>""",
     """<html><body><form><label>{2-}</label><p>{4-}</p></form><div hidden>{30}</div><div style="display:none"><p>{30}</p></div><p hidden>{20}</p></body></html>""",

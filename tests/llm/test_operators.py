@@ -118,15 +118,57 @@ def test_html_pages_of_all_kinds():
         assert e.text(page).split("\n\n") == want, page[:200]
 
 
-def test_html_scan_decides():
-    """Without the scan, by the words' own scores alone, the pages give other texts."""
-    e, other = html_extract.Extractor(), 0
-    for page, want in html_pages_of_all_kinds():
-        read = html_extract.Page(page, e.around)
-        scores, _ = e.judged(read)
-        alone = [read.texts[t][0] for t, s in zip(read.tokens, scores, strict=True) if not isinstance(t, str) and s > 0]
-        other += alone != want
-    assert other >= 8
+def best_text(scores):
+    """In place of the scan: the one token that scores highest."""
+    i = max(range(len(scores)), key=scores.__getitem__, default=0)
+    return (i, i + 1) if scores and scores[i] > 0 else (0, 0)
+
+
+def all_positive(scores):
+    """In place of the scan: from the first to the last token that scores positive."""
+    found = [i for i, s in enumerate(scores) if s > 0]
+    return (found[0], found[-1] + 1) if found else (0, 0)
+
+
+def test_html_scan_decides(monkeypatch):
+    """Other regions than the scan's give other texts, of pages with and without an article."""
+    e, pages = html_extract.Extractor(), [p for p, _ in html_pages_of_all_kinds()]
+    texts = [e.text(p) for p in pages]
+    for other, least, without in ((best_text, 34, 9), (all_positive, 20, 6)):
+        monkeypatch.setattr(html_extract, "best_region", other)
+        changed = [p for p, text in zip(pages, texts, strict=True) if e.text(p) != text]
+        assert len(changed) >= least and sum("<article" not in p for p in changed) >= without, (other.__name__, len(changed))
+
+
+def test_html_scan_decides_on_the_tables_pages(monkeypatch):
+    import pyarrow.parquet as pq
+
+    e, pages = html_extract.Extractor(), pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist()
+    texts = [e.text(p) for p in pages]
+    monkeypatch.setattr(html_extract, "best_region", best_text)
+    assert sum(e.text(p) != t for p, t in zip(pages, texts, strict=True)) == len(pages)
+
+
+SAID = "The council met on Monday to talk about the new bridge over the river and its cost for all. " * 3
+HEAD = f"<h1>Bridge</h1><p>{SAID}</p><p>{SAID}</p>"
+POSTS = ("I really think that is wrong of them to do.", "So do I my friend.", "Nobody asked you about that at all.")
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<main>{HEAD}<p>Short end.</p><div id='disqus_thread'>" + "".join(f"<div class='post-{i}'><p>{x}</p></div>" for i, x in enumerate(POSTS)) + "</div></main>",
+        f"<main>{HEAD}<p>Short end.</p><div class='discussion'>" + "".join(f"<div class='msg'><p>{x}</p></div>" for x in POSTS[:2]) + "</div></main>",
+        f"<div class='q1'>{HEAD}<p>Short end.</p></div><ul class='q2'>" + "".join(f"<li class='q3'><p>{x}</p></li>" for x in POSTS) + "</ul>",
+        f"<article>{HEAD}<div class='gdpr'><p>We value your privacy and store data on your device.</p></div><p>Short end.</p></article>",
+        f"<div class='q4'>{HEAD}<section class='q5'><p>Order today and save on every shoe that you like.</p></section><p>Short end.</p></div>",
+        f"<div><a href=/>x</a></div><div>{HEAD}<p>Short end.</p></div><div class='q6'><p>Other things that we wrote about bridges in the past.</p></div>",
+    ],
+)
+def test_html_unknown_names(page):
+    """Replies, notices and adverts whose names were never seen: their shape tells."""
+    said = SAID.strip()
+    assert html_extract.Extractor().text(page).split("\n\n") == ["Bridge", said, said, "Short end."]
 
 
 def test_html_learns_from_a_sample(spark):
