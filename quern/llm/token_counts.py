@@ -37,9 +37,9 @@ from pyspark.sql import functions as F
 from .common import cut
 
 #: Pre-tokens that go to all tasks, and the length up to which one may be among them.
-MOST, SHORT = 500_000, 64
+MOST, SHORT = 250_000, 64
 #: Different words of a task after which what was counted is sent on.
-HELD = 400_000
+HELD = 120_000
 #: Steps of the histogram of frequencies for each doubling.
 STEPS = 8
 
@@ -94,9 +94,11 @@ class Cutter:
         return [len(e.ids) for e in self.tokenizer.encode_batch(pre_tokens, add_special_tokens=False)]
 
 
-def _texts(column: pa.Array) -> Iterator[str]:
-    for text in column.to_pylist():
-        yield text or ""
+def _texts(column: pa.Array, some: int = 500) -> Iterator[str]:
+    """The texts of a batch, some at a time."""
+    for at in range(0, len(column), some):
+        for text in column.slice(at, some).to_pylist():
+            yield text or ""
 
 
 def distinct_pre_tokens(docs: DataFrame, vocabulary, text_col: str = "text", held: int = HELD) -> DataFrame:
