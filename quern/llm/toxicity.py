@@ -9,10 +9,9 @@ the trained sentence scores locate the offending sentences.
 Training takes a bounded sample: of the labelled documents outside the held-out
 fold the ``per_class`` of each label with the smallest id hashes, one row an id and
 texts of at most ``TRAIN_BYTES`` bytes.  Features are counted on the executors; those
-that go with the label are kept, the ``FEATURES`` that do most.  What is beyond that
-bound has weight zero, so rarer toxic words are found by their beginnings only.  The
-sample's sentences then come to the driver as lists of feature numbers, which the
-three bounds limit.
+that go with either label beyond chance are kept, by their log-likelihood ratio, however
+many they are.  The sample's sentences then come to the driver as lists of feature
+numbers, which the two bounds of the sample limit.
 
 Defined results: a null or empty text has no sentence and scores ``leak``;
 labels other than 0 and 1, null ids and labels without a document are not used
@@ -37,9 +36,8 @@ from .common import cut, map_batches
 #: Bound of the training sample: documents of each label.
 PER_CLASS = 2000
 #: Bound of a training text; longer ones aren't learned from (but scored whole).
-TRAIN_BYTES = 1 << 16
-#: Bound of the features, by their log-likelihood ratio with the label.
-FEATURES = 4000
+TRAIN_BYTES = 1 << 20
+#: Least log-likelihood ratio of a feature with a label.
 LEAST_RATIO = 10.0
 PREFIXES = (3, 4, 5, 6, 7)
 SEED = 42
@@ -151,7 +149,7 @@ def train_weights(doc: np.ndarray, sent: np.ndarray, feat: np.ndarray, label: np
     return w[:-2], float(w[-2]), float(1 / (1 + np.exp(-w[-1])))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS, most_features: int = FEATURES, least_ratio: float = LEAST_RATIO, train_bytes: int = TRAIN_BYTES) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS, least_ratio: float = LEAST_RATIO, train_bytes: int = TRAIN_BYTES) -> Model:
     """Train on labelled documents outside the held-out fold."""
     known = labels.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     known = known.where(~held_out("doc_id")).groupBy("doc_id").agg(F.max("label").alias("label"))
@@ -179,10 +177,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     size = {0: 0, 1: 0} | {r["label"]: r["count"] for r in texts.groupBy("label").count().collect()}
     if not size[0] or not size[1]:
         return Model({}, -30.0, 1e-6)
-    counted = map_batches(texts.select("text", "label"), make_sets, "feature string, label int").groupBy("feature").agg(F.sum("label").cast("double").alias("a"), F.count("*").cast("double").alias("n")).where("n >= 3")
+    counted = map_batches(texts.select("text", "label"), make_sets, "feature string, label int").groupBy("feature").agg(F.sum("label").cast("double").alias("a"), F.count("*").cast("double").alias("n"))
     share = size[1] / (size[0] + size[1])
     ratio = f"2 * (if(a > 0, a * ln(a / (n * {share})), 0) + if(n > a, (n - a) * ln((n - a) / (n * {1 - share})), 0))"
-    best = counted.withColumn("ratio", F.expr(ratio)).where(f"a > n * {share} and ratio >= {least_ratio}").orderBy(F.desc("ratio"), "feature").limit(most_features).collect()
+    best = counted.withColumn("ratio", F.expr(ratio)).where(f"ratio >= {least_ratio}").orderBy(F.desc("ratio"), "feature").collect()
     names = [r["feature"] for r in best]
     number = {f: i for i, f in enumerate(names)}
 

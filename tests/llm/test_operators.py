@@ -134,7 +134,7 @@ def test_html_scan_decides(monkeypatch):
     """Other regions than the scan's give other texts, of pages with and without an article."""
     e, pages = html_extract.Extractor(), [p for p, _ in html_pages_of_all_kinds()]
     texts = [e.text(p) for p in pages]
-    for other, least, without in ((best_text, 34, 9), (all_positive, 20, 6)):
+    for other, least, without in ((best_text, 34, 9), (all_positive, 20, 4)):
         monkeypatch.setattr(html_extract, "best_region", other)
         changed = [p for p, text in zip(pages, texts, strict=True) if e.text(p) != text]
         assert len(changed) >= least and sum("<article" not in p for p in changed) >= without, (other.__name__, len(changed))
@@ -208,6 +208,14 @@ def test_toxicity_learns(spark):
     assert got[0]["offending"] == where and got[0]["worst_sentence"] == where[0]
 
 
+def test_toxicity_features_of_both_labels(spark):
+    """A word that only clean documents have speaks against the label; the number of features has no bound."""
+    rows = [(i, f"common words here {'zorkish' if i % 3 == 0 else 'calmly'} w{i}a.") for i in range(600)]
+    labels = [(i, int(i % 3 == 0)) for i in range(600)]
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert model.weights["w:zorkish"] > 0 > model.weights["w:calmly"]
+
+
 def test_toxicity_gradient():
     """Noisy-or and gradient against plain loops and finite differences."""
     rng = np.random.default_rng(3)
