@@ -14,8 +14,9 @@ quality 0 from those of quality 1 best, where a good one lost counts
 ``LOSS`` times as much as a bad one found.
 
 Learning takes a bounded sample: of each label the ``PER_CLASS`` documents with the
-smallest id hashes.  Without labels of both kinds, or with fewer than
-``FEWEST`` good ones, the lower limits are those of the table.
+smallest id hashes.  A limit is a mean of the learned one and the table's, in which the
+learned one weighs (n - ``FEWEST``) / (n - ``FEWEST`` + ``PRIOR``) with n good documents:
+few labels move the table's limits little, and without labels of both kinds those hold.
 
 Defined results:
 
@@ -87,8 +88,8 @@ BAD_CHUNKS = 0.2
 
 #: Bound of the labelled sample: documents of each label.
 PER_CLASS = 2000
-#: Good documents without which nothing is learned.
-FEWEST = 50
+#: Good documents that a curve needs, and how many more weigh as much as the table.
+FEWEST, PRIOR = 8, 20
 #: A good document lost weighs as many bad ones found.
 LOSS = 25
 #: Spreads below the curve that a limit may lie.
@@ -162,6 +163,7 @@ class Usual:
     shortest: float
     longest: float
     reach: float
+    trust: float = 1.0
 
     def curves(self, size: float) -> tuple[float, float]:
         """The usual ratio and its spread."""
@@ -175,10 +177,15 @@ class Usual:
         mean, spread = self.curves(size)
         return mean - self.reach * spread
 
+    def limit(self, size: int, low: float) -> float:
+        """The lower limit, drawn to the table's ``low`` as far as few labels can't be trusted."""
+        return low + self.trust * max(0.0, self.lowest(size) - low)
+
 
 def learn(sizes: np.ndarray, ratios: np.ndarray, good: np.ndarray) -> Usual | None:
     """Curves of the good units by robust least squares, and the reach that tells bad from good."""
-    if good.sum() < FEWEST or good.all():
+    n = int(good.sum())
+    if n <= FEWEST or good.all():  # the learned limits would have no weight, or nothing to tell from
         return None
     logs = np.log(sizes)
     ends = np.quantile(logs[good], [0.01, 0.99])
@@ -191,11 +198,13 @@ def learn(sizes: np.ndarray, ratios: np.ndarray, good: np.ndarray) -> Usual | No
         weight = 1 / np.sqrt(np.maximum(1, off / max(1e-9, 2 * 1.4826 * np.median(off))))
         mean = np.linalg.lstsq(design * weight[:, None], own * weight, rcond=None)[0]
     off = np.abs(own - design @ mean)
-    parts = np.array_split(np.argsort(x[good], kind="stable"), max(2, min(20, int(good.sum()) // 40)))
-    spread = np.polyfit([x[good][p].mean() for p in parts], [math.log(max(1e-4, 1.4826 * np.median(off[p]))) for p in parts], 1)
+    parts = np.array_split(np.argsort(x[good], kind="stable"), max(2, min(20, n // 40)))
+    middle = [x[good][p].mean() for p in parts]
+    level = [math.log(max(1e-4, 1.4826 * np.median(off[p]))) for p in parts]
+    spread = np.polyfit(middle, level, 1) if np.ptp(middle) > 1e-9 else np.array([0.0, max(level)])
     below = (np.polyval(mean, x) - ratios) / np.exp(np.polyval(spread, x))
     reach = max(REACHES, key=lambda r: ((below[~good] > r).sum() - LOSS * (below[good] > r).sum(), r))
-    return Usual(tuple(map(float, mean)), tuple(map(float, spread)), *map(float, ends), reach)
+    return Usual(tuple(map(float, mean)), tuple(map(float, spread)), *map(float, ends), reach, (n - FEWEST) / (n - FEWEST + PRIOR))
 
 
 def entropy(raw: bytes) -> float:
@@ -230,7 +239,7 @@ def lowest(raw: bytes, low: float, usual: Usual | None) -> float:
     """The lower limit of a unit: the table's or, for long enough text of few bytes outside ASCII, the learned one."""
     if usual is None or len(raw) < LEAST or len(raw.translate(None, ASCII)) > MULTIBYTE * len(raw):
         return low
-    return max(low, usual.lowest(len(raw)))
+    return usual.limit(len(raw), low)
 
 
 def fits(raw: bytes, ratio: float, packer, bands=BANDS, usual: Usual | None = None) -> bool:

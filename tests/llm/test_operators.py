@@ -553,7 +553,9 @@ def test_quality_learns_its_limits(spark):
     bands = sum(not quality.judge(t.encode(), len(t), packer)[6] for i, t in rows if i % 4 == 0)
     assert bands < 10  # the table alone doesn't find them
     assert quality.fit(docs, good.where("quality = 1 and doc_id <> 1")) is None
-    assert quality.fit(docs, good.limit(20)) is None
+    few = [quality.fit(docs, good.where(f"doc_id < {n}")) for n in (8, 16, 24, 64)]
+    assert few[0] is None and 0 < few[1].trust < few[2].trust < few[3].trust < usual.trust < 1
+    assert few[1].limit(3000, 0.2) - 0.2 <= few[1].trust * max(0.0, few[1].lowest(3000) - 0.2) + 1e-12 and usual.limit(10**7, 0.2) == 0.2
 
 
 def test_quality_finds_a_third_of_junk():
