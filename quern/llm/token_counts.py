@@ -39,7 +39,9 @@ from .common import cut
 #: Pre-tokens that go to all tasks, and the length up to which one may be among them.
 MOST, SHORT = 250_000, 64
 #: Different words of a task after which what was counted is sent on.
-HELD = 120_000
+HELD = 200_000
+#: More than the known pieces of any text: what a word with other pre-tokens counts beside its known ones.
+OTHERS = 1 << 48
 #: Steps of the histogram of frequencies for each doubling.
 STEPS = 8
 
@@ -59,18 +61,24 @@ class Cutter:
     """Cuts texts into words, and words into the pre-tokens of a byte-level tokenizer."""
 
     def __init__(self, tokenizer_json: str):
-        from tokenizers import Tokenizer
-
         about = json.loads(tokenizer_json)
         pre, model = about.get("pre_tokenizer") or {}, about.get("model") or {}
         if about.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or model.get("type") != "BPE" or model.get("dropout"):
             raise ValueError("token counts need a byte-level BPE without normalizer, prefix space and dropout")
         if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in about.get("added_tokens", [])):
             raise ValueError("token counts need added tokens that take no white space and stand anywhere")
-        self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self._json, self._tokenizer = tokenizer_json, None
         added = sorted((t["content"] for t in about.get("added_tokens", [])), key=len, reverse=True)
         self.added = regex.compile("|".join(map(regex.escape, added))) if added else None
-        self._pre = self.tokenizer.pre_tokenizer
+
+    @property
+    def tokenizer(self):
+        """The library's own, which tasks need for encoding and for characters beyond ``PLAIN`` only."""
+        if self._tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self._tokenizer = Tokenizer.from_str(self._json)
+        return self._tokenizer
 
     def parts(self, text: str) -> list[str]:
         """The text between added tokens; there is one of them between any two parts."""
@@ -82,19 +90,21 @@ class Cutter:
         found = _LONE.split(part) if _BESIDE.search(part) else part.split(" ")
         return found[0], found[1:]
 
-    def pre_tokens(self, word: str) -> list[str]:
-        if not word:
-            return []
-        if max(word) < PLAIN:
-            return _CUT.findall(word)
-        return [word[a:b] for _, (a, b) in self._pre.pre_tokenize_str(word)]
+    def pre_tokens(self, word: str, lead: str = "") -> list[str]:
+        """Of a word, and the space before it if there is one."""
+        if word.isascii() or max(word) < PLAIN:
+            if word.isalpha():  # nothing but letters
+                return [lead + word]
+            return _CUT.findall(lead + word)
+        word = lead + word
+        return [word[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(word)]
 
     def pieces(self, pre_tokens: list[str]) -> list[int]:
         """Pieces of each; none of them holds the string of an added token."""
         return [len(e.ids) for e in self.tokenizer.encode_batch(pre_tokens, add_special_tokens=False)]
 
 
-def _texts(column: pa.Array, some: int = 500) -> Iterator[str]:
+def _texts(column: pa.Array, some: int = 200) -> Iterator[str]:
     """The texts of a batch, some at a time."""
     for at in range(0, len(column), some):
         for text in column.slice(at, some).to_pylist():
@@ -112,7 +122,7 @@ def distinct_pre_tokens(docs: DataFrame, vocabulary, text_col: str = "text", hel
             out: Counter = Counter()
             for words, lead in ((first, ""), (later, " ")):
                 for word, n in words.items():
-                    for t in cutter.pre_tokens(lead + word):
+                    for t in cutter.pre_tokens(word, lead):
                         out[t] += n
                 words.clear()
             return pa.RecordBatch.from_pydict({"pre_token": pa.array(out.keys(), pa.string()), "n": pa.array(out.values(), pa.int64())})
@@ -176,37 +186,38 @@ def count_tokens(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", tex
         cutter = Cutter(vocabulary.value)
         read = pa.ipc.open_stream(shared.value).read_all()
         pieces = dict(zip(read.column(0).to_pylist(), read.column(1).to_pylist(), strict=True))
-        memo: dict[str, tuple[int, tuple]] = {}
-
-        def look(word: str) -> int | None:
-            """Pieces of a word whose pre-tokens are all known."""
-            total = 0
-            for t in cutter.pre_tokens(word):
+        def look(word: str, lead: str) -> int:
+            """Pieces of a word's known pre-tokens; ``OTHERS`` more if there are others."""
+            total, more = 0, 0
+            for t in cutter.pre_tokens(word, lead):
                 n = pieces.get(t)
                 if n is None:
-                    return None
-                total += n
-            return total
+                    more = OTHERS
+                else:
+                    total += n
+            return total + more
+
+        class Memo(dict):
+            def __missing__(self, word: str) -> int:
+                found = self[word] = look(word, " ")
+                return found
+
+        memo = Memo()
 
         def of(text: str) -> tuple[int, Counter]:
             parts = cutter.parts(text)
             total, others = len(parts) - 1, Counter()
             for part in parts:
                 head, rest = cutter.words(part)
-                for words, lead in (([head], ""), (rest, " ")):
-                    own = memo if lead else {}
-                    for word, n in Counter(words).items():
-                        at = own.get(word, -1)
-                        if at == -1:
-                            at = own[word] = look(lead + word)
-                        if at is not None:
-                            total += at * n
-                            continue
-                        for t in cutter.pre_tokens(lead + word):
-                            if t in pieces:
-                                total += pieces[t] * n
-                            else:
-                                others[t] += n
+                own = look(head, "")
+                if own >= OTHERS:
+                    others.update(t for t in cutter.pre_tokens(head) if t not in pieces)
+                found = sum(map(memo.__getitem__, rest))
+                if found >= OTHERS:
+                    for word in rest:
+                        if memo[word] >= OTHERS:
+                            others.update(t for t in cutter.pre_tokens(word, " ") if t not in pieces)
+                total += own % OTHERS + found % OTHERS
             return total, others
 
         for batch in batches:

@@ -58,6 +58,7 @@ def test_pattern_and_library_agree_on_plain_characters(library):
         c = chr(i)
         s = f"a{c}b1{c}2 {c} {c}"
         assert [s[a:b] for _, (a, b) in library.pre_tokenizer.pre_tokenize_str(s)] == token_counts._CUT.findall(s), hex(i)
+        assert not c.isalpha() or token_counts._CUT.findall(f" {c}{c}") == [f" {c}{c}"], hex(i)
 
 
 def test_frequent_pre_tokens_are_bounded(spark):
