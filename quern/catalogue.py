@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,8 +12,9 @@ from . import corpora
 from . import corpora_sql as S
 from .functions import identity, vectors
 from .functions import text as T
-from .operators import blocks, bm25, channels, chunking, filters, maintenance
-from .plans import search
+from .operators import blocks, bm25, channels, chunking, filters, maintenance, segments
+from .operators.lineage import cut, spread
+from .plans import batch, search
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -135,7 +137,7 @@ CHUNKS_SQL = f"""parts AS (
 
 
 def document_chunks(spark, d):
-    docs = corpora.read(spark, d, "documents").select("doc_id", T.text_or_empty(F.col("text")).alias("text"))
+    docs = spread(corpora.read(spark, d, "documents").select("doc_id", T.text_or_empty(F.col("text")).alias("text")))
     return docs.select("doc_id", F.posexplode(chunking.windows(F.col("text"))).alias("part", "text"))
 
 
@@ -186,13 +188,53 @@ def bm25_weighted_columns(spark, d):
     return out.select("row_id", F.round("bm25", 6).alias("score"), F.round("plain", 6).alias("plain"))
 
 
+WEIGHTS = dict(channels.SESSIONS.weights)
+
+
+def stored_index(rows: DataFrame) -> segments.Index:
+    """The inverted index of search rows as it is stored: one segment."""
+    return segments.Index([kept(segments.segment(rows, None, WEIGHTS))])
+
+
+def kept(s: segments.Segment) -> segments.Segment:
+    return replace(s, blocks=cut(s.blocks), terms=cut(s.terms), gone=cut(s.gone))
+
+
+def earlier_rows(rows: DataFrame) -> DataFrame:
+    """Search rows as they were before a change: a third has another text, a seventh wasn't there, and some more were."""
+    n = F.pmod(F.xxhash64("row_id"), F.lit(21))
+    other = F.when(n % 3 == 0, F.slice("t_content", 1, 5)).otherwise(F.col("t_content"))
+    before = rows.where(n % 7 != 3).withColumn("t_content", other).withColumn("grams", F.when(n % 3 == 0, T.grams_of(other)).otherwise(F.col("grams")))
+    return before.unionByName(rows.where(n == 5).withColumn("row_id", F.concat(F.lit("old-"), "row_id")))
+
+
 @query(SQL["bm25_weighted_columns"].replace(", round(plain, 6) AS plain", ""))
 def bm25_postings(spark, d):
+    index = stored_index(corpora.session_rows(spark, d))
+    return segments.scores(index, segments.WORD, WORDS).select("row_id", F.round("raw", 6).alias("score"))
+
+
+@query(SQL["bm25_weighted_columns"])
+def postings_incremental(spark, d):
+    """The scores after a change that is stored as a second segment: those of an index made anew."""
     rows = corpora.session_rows(spark, d)
-    w = dict(channels.SESSIONS.weights)
-    n, average = rows.agg(F.count("*").cast("double"), F.avg(bm25.length(w))).first()
-    index = bm25.postings(rows, "row_id", w)
-    return bm25.score_postings(index, n, average or 0.0, "row_id", WORDS).select("row_id", F.round("bm25", 6).alias("score"))
+    before = earlier_rows(rows)
+    wanted = ["row_id", *WEIGHTS, "grams"]
+    added, removed = (cut(x) for x in segments.difference(before.select(*wanted), rows.select(*wanted), WEIGHTS))
+    index = segments.Index([kept(segments.segment(before, None, WEIGHTS, 1)), kept(segments.segment(added, removed, WEIGHTS, 2))])
+    return segments.scores(index, segments.WORD, WORDS).select("row_id", F.round("raw", 6).alias("score"), F.round("plain", 6).alias("plain"))
+
+
+@query(SQL["bm25_weighted_columns"])
+def postings_merged(spark, d):
+    """The same after both segments are merged."""
+    rows = corpora.session_rows(spark, d)
+    before = earlier_rows(rows)
+    wanted = ["row_id", *WEIGHTS, "grams"]
+    added, removed = (cut(x) for x in segments.difference(before.select(*wanted), rows.select(*wanted), WEIGHTS))
+    both = segments.Index([kept(segments.segment(before, None, WEIGHTS, 1)), kept(segments.segment(added, removed, WEIGHTS, 2))])
+    one = segments.Index([kept(segments.merged(both, 0))])
+    return segments.scores(one, segments.WORD, WORDS).select("row_id", F.round("raw", 6).alias("score"), F.round("plain", 6).alias("plain"))
 
 
 LEX_SQL = f"WITH {S.SESSION_ROWS}, {S.lexical(WORDS, S.SESSION_WEIGHTS, ('t_content', 't_name', 't_cwd'), 'true', 'raw', True)}"
@@ -228,15 +270,28 @@ def fuzzy_prefilter(spark, d):
 
 @query(SQL["fuzzy_prefilter"])
 def gram_postings(spark, d):
-    """The same from inverted indexes."""
+    """The same from the inverted index, of which only slots that can hold one of the best are read."""
     rows = corpora.session_rows(spark, d)
-    w = dict(channels.SESSIONS.weights)
-    n, words, grams = rows.agg(F.count("*").cast("double"), F.avg(bm25.length(w)), F.avg(F.size("grams"))).first()
-    index = bm25.Postings(bm25.postings(rows, "row_id", w), bm25.gram_postings(rows, "row_id", "grams"), n, words or 0.0, grams or 0.0)
-    top = channels.fuzzy_prefilter(rows, GRAMS, F.lit(True), index)
+    top, _ = segments.top(stored_index(rows), segments.GRAM, GRAMS, channels.keys_of(rows, F.lit(True)), channels.PREFILTER, first=4)
     return top.select("row_id", F.round("by", 6).alias("score"), long(F.col("n_shared")).alias("n_shared"))
 
 
+@query(SQL["lexical_top100"])
+def lexical_top100_blocks(spark, d):
+    """The best by BM25 from the inverted index, of which only slots that can hold one of them are read."""
+    rows = corpora.session_rows(spark, d)
+    top, _ = segments.top(stored_index(rows), segments.WORD, WORDS, channels.keys_of(rows, F.lit(True)), channels.TOP, first=4)
+    return top.select("row_id", F.round("raw", 6).alias("score"))
+
+
+@query()
+def blocks_read(spark, d):
+    """Of a search for the ten best: blocks of its terms, and those read."""
+    rows = corpora.session_rows(spark, d)
+    top, read = segments.top(stored_index(rows), segments.WORD, WORDS, channels.keys_of(rows, F.lit(True)), 10, first=4)
+    return top.select("row_id", F.round("raw", 6).alias("score"), F.lit(read.blocks).cast("bigint").alias("blocks"), F.lit(read.read).cast("bigint").alias("blocks_read"))
+
+
 @query(f"{FUZ_SQL} SELECT row_id, round(raw, 9) AS similarity, pos FROM fuzzy")
 def fuzzy_channel(spark, d):
     return channels.fuzzy(corpora.session_rows(spark, d), channels.SESSIONS, GRAMS, F.lit(True)).select("row_id", F.round("raw", 9).alias("similarity"), "pos")
@@ -283,7 +338,7 @@ QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(len(list_intersect(
 )
 def fuzzy_nearest(spark, d):
     """The stated queries, every benchmark item whose number is divisible by 20, against all documents."""
-    docs = corpora.read(spark, d, "documents").select(F.col("doc_id").alias("key"), T.gram_set(F.coalesce("text", F.lit(""))).alias("grams"))
+    docs = spread(corpora.read(spark, d, "documents")).select(F.col("doc_id").alias("key"), T.gram_set(F.coalesce("text", F.lit(""))).alias("grams"))
     asked = corpora.read(spark, d, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("key"), T.gram_set(F.coalesce("text", F.lit(""))).alias("grams"))
     return blocks.similar_texts(docs, asked, key="key").drop("place")
 
@@ -349,6 +404,45 @@ def hybrid_search_filtered(spark, d):
     return fused_columns(session_hybrid(spark, d, filters.SessionFilters(harnesses=("pi", "Claude"), roles=("user",), since=2000, limit=10)))
 
 
+#: Every benchmark item whose number is divisible by 20, with the vector of its number.
+ASKED_SQL = "SELECT b.item_id AS query, coalesce(b.text, '') AS text, e.embedding AS vector FROM benchmark b LEFT JOIN embeddings e ON e.vec_id = b.item_id WHERE b.item_id % 20 = 0"
+MANY_COLS = f"query, {FUSED_COLS}"
+
+
+def asked_items(spark, d) -> DataFrame:
+    vectors_ = corpora.read(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
+    items = corpora.read(spark, d, "benchmark").where("item_id % 20 = 0").join(vectors_, "item_id", "left")
+    return items.select(F.col("item_id").alias("query"), F.coalesce("text", F.lit("")).alias("text"), "vector")
+
+
+def many_columns(df: DataFrame) -> DataFrame:
+    return df.select("query", "rank", "group_key", F.round("score", 9).alias("score"), "exact_rank", "lexical_rank", "fuzzy_rank", "semantic_rank", F.round("similarity", 6).alias("similarity"), "row_id")
+
+
+@query(
+    f"""WITH {S.SESSION_ROWS}, {S.many(ASKED_SQL, S.SESSION_WEIGHTS, ('t_content', 't_name', 't_cwd'), 'sessions', 'session_key', 'native_id', True, 'true', 'true', 'raw', True, True, THRESHOLD, 10)}
+SELECT {MANY_COLS} FROM fused"""
+)
+def hybrid_many_sessions(spark, d):
+    """The stated queries against all sessions, in one plan."""
+    rows = corpora.session_rows(spark, d)
+    out = batch.hybrid_many(corpora.session_groups(spark, d), rows, stored_index(rows), channels.SESSIONS, asked_items(spark, d), filters.SessionFilters(limit=10), corpora.FINGERPRINT, THRESHOLD)
+    return many_columns(out)
+
+
+@query(
+    f"""WITH {S.MEMORY_ROWS}, {S.many(ASKED_SQL, S.MEMORY_WEIGHTS, ('t_content', 't_source', 't_project'), 'memories', 'id', 'id', False, 'archived_at IS NULL', 'archived_at IS NULL', 'plain', False, False, THRESHOLD, 10)}
+SELECT {MANY_COLS} FROM fused"""
+)
+def hybrid_many_memories(spark, d):
+    """The stated queries against all notes that aren't archived."""
+    rows = corpora.memory_rows(spark, d)
+    index = segments.Index([kept(segments.segment(rows, None, dict(channels.MEMORIES.weights)))])
+    groups = corpora.memories(spark, d).withColumn("group_key", F.col("id"))
+    out = batch.hybrid_many(groups, rows, index, channels.MEMORIES, asked_items(spark, d), filters.MemoryFilters(all_projects=True, limit=10), corpora.FINGERPRINT, THRESHOLD)
+    return many_columns(out)
+
+
 MEMORY_WORDS, MEMORY_GRAMS = T.query_tokens(MEMORY_QUERY), T.query_grams(MEMORY_QUERY)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .operators import chunking
+from .operators.lineage import spread
 
 FINGERPRINT = "table:v1"
 
@@ -23,6 +24,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of users and assistants."""
     rows = read(spark, sf_dir, "conversations").where(F.col("role").isin("user", "assistant"))
+    return said(rows)
+
+
+def said(rows: DataFrame) -> DataFrame:
     return rows.select(
         F.concat(F.lit("e"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("entry_key"),
         F.concat(F.lit("s"), F.col("conv_id").cast("string")).alias("session_key"), "conv_id", "turn", "role", T.text_or_empty(F.col("text")).alias("text"),
@@ -46,7 +51,8 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of the entries; the first window of an entry may have a vector."""
     # the entries' vectors are joined before the windows are cut: keys have no nulls and no long text is doubled
     vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id"), "embedding")
-    with_vector = entries(spark, sf_dir).withColumn("vec_id", F.col("conv_id") * 8 + F.col("turn")).join(vectors, "vec_id", "left")
+    turns = spread(read(spark, sf_dir, "conversations")).where(F.col("role").isin("user", "assistant"))
+    with_vector = said(turns).withColumn("vec_id", F.col("conv_id") * 8 + F.col("turn")).join(vectors, "vec_id", "left")
     out = chunking.chunk_entries(with_vector).withColumn("embedding", F.when(F.col("part") == 0, F.col("embedding")))
     row = F.concat(F.col("entry_key"), F.lit("-"), F.col("part").cast("string"))
     return out.select(row.alias("row_id"), "session_key", "entry_key", "part", "role", "text", "text_hash", "tokens", "grams", "embedding", F.when(F.col("embedding").isNotNull(), F.lit(FINGERPRINT)).otherwise("").alias("embedding_fingerprint"))
@@ -71,8 +77,8 @@ def session_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(chunks(spark, sf_dir).withColumnRenamed("tokens", "t_content").join(s, "session_key").withColumn("group_key", F.col("session_key")))
 
 
-def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents")
+def memories(spark: SparkSession, sf_dir: str, documents: DataFrame | None = None) -> DataFrame:
+    d = read(spark, sf_dir, "documents") if documents is None else documents
     v = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     d = d.join(v, "doc_id", "left")
     is_global = F.col("doc_id") % 5 == 0
@@ -85,7 +91,7 @@ def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def memory_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = memories(spark, sf_dir).withColumn("t_content", T.tokens(T.normalize(F.col("text"))))
+    m = memories(spark, sf_dir, spread(read(spark, sf_dir, "documents"))).withColumn("t_content", T.tokens(T.normalize(F.col("text"))))
     return stored(m.select(
         F.col("id").alias("row_id"), F.col("id").alias("group_key"), "*", T.grams_of(F.col("t_content")).alias("grams"),
         *[T.tokens(T.normalize(F.col(c))).alias(t) for t, c in (("t_source", "source"), ("t_project", "project_key"), ("t_id", "id"))],

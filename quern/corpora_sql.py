@@ -181,3 +181,69 @@ sums AS (
 fused AS (
   SELECT row_number() OVER (ORDER BY score DESC, updated_at DESC, group_key) AS rank, s.*, b.row_id, b.text
   FROM sums s JOIN best b USING (group_key) ORDER BY score DESC, updated_at DESC, group_key LIMIT {limit})"""
+
+
+def many(queries: str, weights: dict[str, float], cover: tuple[str, ...], groups: str, group_key: str, id_col: str, bare: bool, where: str, group_where: str, order: str, gate: bool, dedupe: bool, threshold: float, limit: int) -> str:
+    """CTEs ending in ``fused`` for a table of queries (query, text, vector), over ``search_rows``."""
+    occurrences = " UNION ALL ".join(f"SELECT row_id, unnest({c}) AS term, {w}::DOUBLE AS w FROM search_rows" for c, w in weights.items())
+    dl = " + ".join(f"len({c})" for c in weights)
+    gated = "WHERE n < 3 OR best * 2 >= n" if gate else ""
+    first = "QUALIFY row_number() OVER (PARTITION BY query, channel, group_key ORDER BY pos) = 1" if dedupe else ""
+    bm = "sum(times * idf * {f} * 2.2 / ({f} + 1.2 * (0.25 + 0.75 * dl / avg_len)))"
+    idf = "CASE WHEN ln((n_docs - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n_docs - df + 0.5) / (df + 0.5)) END"
+    return f"""
+asked AS (SELECT query, trim(text) AS text, {toks("trim(text)")} AS tokens, {grams(toks("trim(text)"))} AS grams, vector FROM ({queries}) WHERE trim(text) <> ''),
+keyed AS (SELECT row_id, updated_at FROM search_rows WHERE {where}),
+q_words AS (SELECT query, term, count(*) AS times FROM (SELECT query, unnest(tokens) AS term FROM asked) GROUP BY query, term),
+sizes AS (SELECT count(*)::DOUBLE AS n_docs, avg({dl}) AS avg_len, avg(len(grams)) AS avg_grams FROM search_rows),
+lens AS (SELECT row_id, ({dl})::DOUBLE AS dl, len(grams)::DOUBLE AS gl FROM search_rows),
+tf AS (SELECT row_id, term, sum(w) AS f, count(*)::DOUBLE AS f1 FROM ({occurrences}) WHERE term IN (SELECT term FROM q_words) GROUP BY row_id, term),
+word_idf AS (SELECT term, {idf} AS idf FROM (SELECT term, count(*)::DOUBLE AS df FROM tf GROUP BY term), sizes),
+bm AS (
+  SELECT query, row_id, -{bm.format(f="f")} AS raw, -{bm.format(f="f1")} AS plain
+  FROM tf JOIN word_idf USING (term) JOIN q_words USING (term) JOIN lens USING (row_id), sizes GROUP BY query, row_id),
+lex_top AS (
+  SELECT b.query, b.row_id, b.raw, round(b.{order}, 9) AS by_, k.updated_at FROM bm b JOIN keyed k USING (row_id)
+  QUALIFY row_number() OVER (PARTITION BY b.query ORDER BY round(b.{order}, 9), k.updated_at DESC, b.row_id) <= 100),
+lex_cov AS (
+  SELECT t.*, len(list_distinct(a.tokens)) AS n, len(list_intersect(list_distinct(a.tokens), flatten([{", ".join(f"r.{c}" for c in cover)}]))) AS coverage
+  FROM lex_top t JOIN asked a USING (query) JOIN search_rows r USING (row_id)),
+lex_best AS (SELECT *, max(coverage) OVER (PARTITION BY query) AS best FROM lex_cov WHERE coverage >= CASE WHEN n < 3 THEN 1 ELSE ceil(n / 3.0) END),
+lexical AS (SELECT query, row_id, raw, row_number() OVER (PARTITION BY query ORDER BY by_, updated_at DESC, row_id) AS pos FROM lex_best {gated}),
+q_grams AS (SELECT query, unnest(grams) AS gram, len(grams)::DOUBLE AS n FROM asked),
+g_hits AS (SELECT row_id, gram FROM (SELECT row_id, unnest(grams) AS gram FROM search_rows) WHERE gram IN (SELECT gram FROM q_grams)),
+gram_idf AS (SELECT gram, {idf} AS idf FROM (SELECT gram, count(*)::DOUBLE AS df FROM g_hits GROUP BY gram), sizes),
+g_scores AS (
+  SELECT query, row_id, -sum(idf) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * any_value(gl) / any_value(avg_grams))) AS g_score, count(*) / any_value(n) AS raw
+  FROM g_hits JOIN q_grams USING (gram) JOIN gram_idf USING (gram) JOIN lens USING (row_id), sizes GROUP BY query, row_id),
+fuz_pre AS (
+  SELECT g.query, g.row_id, g.raw, round(g_score, 9) AS by_, k.updated_at FROM g_scores g JOIN keyed k USING (row_id)
+  QUALIFY row_number() OVER (PARTITION BY g.query ORDER BY round(g_score, 9), k.updated_at DESC, g.row_id) <= 200),
+fuzzy AS (
+  SELECT query, row_id, raw, row_number() OVER (PARTITION BY query ORDER BY raw DESC, updated_at DESC, by_, row_id) AS pos
+  FROM fuz_pre WHERE raw >= 0.25 QUALIFY pos <= 100),
+sem_all AS (
+  SELECT a.query, r.row_id, round({dot("r.embedding", "a.vector")}, 9) AS raw FROM search_rows r, asked a
+  WHERE r.embedding IS NOT NULL AND a.vector IS NOT NULL AND {where}),
+semantic AS (SELECT query, row_id, raw, row_number() OVER (PARTITION BY query ORDER BY raw DESC, row_id) AS pos FROM sem_all WHERE raw >= {threshold} QUALIFY pos <= 100),
+exact AS (
+  SELECT a.query, g.{group_key} AS row_id, 1.0 AS raw, row_number() OVER (PARTITION BY a.query ORDER BY g.updated_at DESC, g.{group_key}) AS pos,
+    g.{group_key} AS group_key, {"''" if bare else "g.text"} AS text, g.updated_at
+  FROM {groups} g JOIN asked a ON g.{id_col} = a.text WHERE {group_where} QUALIFY pos <= 100),
+bag AS (
+  SELECT query, 'exact' AS channel, 0 AS ord, 4.0 AS weight, row_id, raw, pos, group_key, text, updated_at FROM exact
+  UNION ALL SELECT c.query, c.channel, c.ord, 1.0, c.row_id, c.raw, c.pos, r.group_key, r.text, r.updated_at
+  FROM (SELECT 'lexical' AS channel, 1 AS ord, * FROM lexical UNION ALL SELECT 'fuzzy', 2, * FROM fuzzy UNION ALL SELECT 'semantic', 3, * FROM semantic) c
+  JOIN search_rows r USING (row_id)),
+firsts AS (SELECT * FROM bag {first}),
+ranks AS (SELECT *, row_number() OVER (PARTITION BY query, channel ORDER BY pos) AS rank_ FROM firsts),
+contrib AS (SELECT *, weight / (60 + rank_) AS c FROM ranks),
+best AS (SELECT query, group_key, row_id, text FROM contrib QUALIFY row_number() OVER (PARTITION BY query, group_key ORDER BY (text = ''), c DESC, ord) = 1),
+sums AS (
+  SELECT query, group_key, round(sum(c), 12) AS score, max(updated_at) AS updated_at, min(rank_) FILTER (WHERE channel = 'exact') AS exact_rank,
+    min(rank_) FILTER (WHERE channel = 'lexical') AS lexical_rank, min(rank_) FILTER (WHERE channel = 'fuzzy') AS fuzzy_rank,
+    min(rank_) FILTER (WHERE channel = 'semantic') AS semantic_rank, arg_min(raw, rank_) FILTER (WHERE channel = 'semantic') AS similarity
+  FROM contrib GROUP BY query, group_key),
+fused AS (
+  SELECT row_number() OVER (PARTITION BY s.query ORDER BY score DESC, updated_at DESC, s.group_key) AS rank, s.*, b.row_id, b.text
+  FROM sums s JOIN best b ON b.query = s.query AND b.group_key = s.group_key QUALIFY rank <= {limit})"""

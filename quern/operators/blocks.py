@@ -18,49 +18,75 @@ from pyspark.sql import functions as F
 BLOCK, SLICE = 2048, 4096
 
 
+#: How far a sum of products in another precision may be off; what is so near to the k-th is compared exactly.
+NEAR = 1e-5
+
+
 def _best(scores: np.ndarray, keys: np.ndarray, k: int, digits: int) -> np.ndarray:
     """Places of the k best by descending rounded score, then key."""
     return np.lexsort((keys, -np.round(scores, digits)))[:k]
 
 
-def nearest(rows: DataFrame, queries: DataFrame, *, key: str, vector: str, k: int = 100, digits: int = 9, block: int = BLOCK) -> DataFrame:
-    """(query, key, similarity): for each query the ``k`` rows with the highest dot product,
-    ties by key.  Keys are longs; vectors of another length than the query's are no match."""
+def _matrix(column: pa.Array, size: int) -> np.ndarray:
+    return np.asarray(column.flatten(), dtype=np.float32).reshape(-1, size)
+
+
+def nearest(rows: DataFrame, queries: DataFrame, *, key: str, vector: str, query: str | None = None, k: int = 100, digits: int = 9, least: float | None = None, block: int = BLOCK) -> DataFrame:
+    """(query, key, similarity, place): for each query the ``k`` rows with the highest dot product
+    (of ``least`` at least), ties by key.  Vectors of another length than the query's are no match.
+
+    A task makes one matrix product of a slice of rows and a block of queries, and picks of each
+    query those that can be among its best; only these are multiplied as single rows are."""
     spark = rows.sparkSession
+    name = query or key
+    kinds = [dict(queries.select(name).dtypes)[name], dict(rows.select(key).dtypes)[key]]
     count = queries.count()
     parts = max(1, -(-count // block))
-    asked = queries.select(F.col(key).cast("bigint").alias("query"), F.col(vector).alias("v")).where("v is not null").withColumn("part", F.pmod(F.xxhash64("query"), F.lit(parts)))
-    source = rows.select(F.col(key).cast("bigint").alias("key"), F.col(vector).alias("v")).where("v is not null")
-    schema = "query bigint, key bigint, similarity double"
+    asked = queries.select(F.col(name).alias("query"), F.col(vector).alias("v")).where("v is not null").withColumn("part", F.pmod(F.xxhash64("query"), F.lit(parts)))
+    source = rows.select(F.col(key).alias("key"), F.col(vector).alias("v"), F.size(vector).alias("size")).where("v is not null")
+    schema = f"query {kinds[0]}, key {kinds[1]}, similarity double"
     out = None
     for part in range(parts):
         # about ``block`` queries, dealt by hash
         sent = spark.sparkContext.broadcast([(r["query"], r["v"]) for r in asked.where(F.col("part") == part).collect()])
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            by_size: dict[int, tuple[list, np.ndarray]] = {}
             for n in {len(v) for _, v in sent.value}:
                 own = [(q, v) for q, v in sent.value if len(v) == n]
-                by_size[n] = np.array([q for q, _ in own]), np.array([v for _, v in own], dtype=np.float32)
-            best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+                by_size[n] = [q for q, _ in own], np.array([v for _, v in own], dtype=np.float32)
+            best: dict[object, tuple[np.ndarray, np.ndarray]] = {}
+            arrow = None
             for batch in batches:
-                keys, vectors = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+                arrow = batch.schema.field("key").type
+                sizes = batch.column("size").to_numpy(zero_copy_only=False)
                 for n, (names, matrix) in by_size.items():
-                    at = [i for i, v in enumerate(vectors) if len(v) == n]
-                    for lo in range(0, len(at), SLICE):
-                        some = at[lo : lo + SLICE]
-                        x = np.array([vectors[i] for i in some], dtype=np.float32)
-                        for q, v in zip(names.tolist(), matrix, strict=True):
-                            scores = (x * v).astype(np.float64).sum(axis=1)
+                    own = batch.take(pa.array(np.flatnonzero(sizes == n)))
+                    for at in range(0, own.num_rows, SLICE):
+                        some = own.slice(at, SLICE)
+                        x, keys = _matrix(some.column("v"), n), some.column("key").to_numpy(zero_copy_only=False)
+                        about = matrix.astype(np.float64) @ x.T.astype(np.float64)
+                        for i, q in enumerate(names):
                             old = best.get(q)
-                            s, c = (scores, keys[some]) if old is None else (np.r_[old[0], scores], np.r_[old[1], keys[some]])
-                            top = _best(s, c, k, digits)
-                            best[q] = s[top], c[top]
+                            floor = -np.inf if least is None else least - NEAR
+                            if len(keys) > k:
+                                floor = max(floor, np.partition(about[i], len(keys) - k)[len(keys) - k] - NEAR)
+                            if old is not None and len(old[0]) == k:
+                                floor = max(floor, old[0][-1] - NEAR)
+                            few = np.flatnonzero(about[i] >= floor)
+                            if not len(few):
+                                continue
+                            exact = (x[few] * matrix[i]).astype(np.float64).sum(axis=1)
+                            s, c = (exact, keys[few]) if old is None else (np.r_[old[0], exact], np.r_[old[1], keys[few]])
+                            chosen = _best(s, c, k, digits)
+                            best[q] = s[chosen], c[chosen]
             for q, (s, c) in best.items():
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), q)), pa.array(c), pa.array(s)], names=["query", "key", "similarity"])
+                yield pa.RecordBatch.from_arrays([pa.array([q] * len(s)), pa.array(c, arrow), pa.array(s)], names=["query", "key", "similarity"])
 
         found = source.mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
+    if least is not None:
+        out = out.where(F.round("similarity", digits) >= least)
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("similarity", digits)), "key"))
     return out.withColumn("place", place).where(F.col("place") <= k)
 

@@ -5,25 +5,20 @@ f = sum of weight * occurrences over the columns, |D| the tokens of all columns,
 IDF = ln((N - n + 0.5) / (n + 0.5)), at least 1e-6.  Statistics cover all rows,
 whatever is filtered.  Lower scores are better.
 
-Two ways to the same result: :func:`score_scan` reads the token arrays twice
-(statistics, scores) and shuffles nothing but one row of statistics a task;
-:func:`score_postings` reads an inverted index, of which only the parts of the
-query's terms are touched.
+:func:`score_scan` picks the query's words from the token arrays (for statistics and for
+scores) and shuffles nothing but one row of statistics a task; :mod:`.segments` has an inverted index for the same
+scores.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from dataclasses import dataclass
 
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
-#: Partitions of an inverted index.
-BUCKETS = 64
 
 
 def _count(col: str, term: str) -> Column:
@@ -70,24 +65,31 @@ def term_stats(docs: DataFrame, columns, terms: list[str]) -> DataFrame:
 
 def score_scan(docs: DataFrame, weights: dict[str, float], query: list[str], name: str = "bm25", where: Column | None = None, unweighted: str | None = None) -> DataFrame:
     """Rows of ``docs`` with any query term (and ``where``), with their score; a repeated
-    query word counts as often.  ``unweighted``: also the score with all weights one."""
+    query word counts as often.  ``unweighted``: also the score with all weights one.
+
+    Of each token array only the query's words are kept, in one pass over it; statistics and
+    scores are made of these few."""
     times = Counter(query)
     terms = list(times)
-    stats = statistics(docs, list(weights), terms)
-    hit = F.greatest(F.lit(False), *[F.array_contains(c, t) for t in terms for c in weights])
-    rows = docs.where(hit if where is None else where & hit).crossJoin(F.broadcast(stats))
+    asked = F.array(*[F.lit(t) for t in terms])
+    own = {c: f"_has_{i}" for i, c in enumerate(weights)}
+    kept = docs.withColumns({h: F.filter(c, lambda t: F.array_contains(asked, t)) for c, h in own.items()}).withColumn("_len", length(weights))
+    has = [F.count_if(F.greatest(F.lit(False), *[F.array_contains(h, t) for h in own.values()])).cast("double").alias(f"df_{i}") for i, t in enumerate(terms)]
+    stats = kept.agg(F.count("*").cast("double").alias("n_docs"), F.avg("_len").alias("avg_len"), *has)
+    hit = F.greatest(F.lit(False), *[F.size(h) > 0 for h in own.values()])
+    rows = kept.where(hit if where is None else where & hit).crossJoin(F.broadcast(stats))
 
     def total(w: dict[str, float]) -> Column:
         s = F.lit(0.0)
         for i, t in enumerate(terms):
-            part = term_score(frequency(w, t), length(weights), F.col("avg_len"), idf(F.col("n_docs"), F.col(f"df_{i}")))
-            s = s + F.lit(float(times[t])) * part
+            f = frequency({own[c]: x for c, x in w.items()}, t)
+            s = s + F.lit(float(times[t])) * term_score(f, F.col("_len"), F.col("avg_len"), idf(F.col("n_docs"), F.col(f"df_{i}")))
         return -s
 
     rows = rows.withColumn(name, total(weights))
     if unweighted:
         rows = rows.withColumn(unweighted, total(dict.fromkeys(weights, 1.0)))
-    return rows.drop("n_docs", "avg_len", *[f"df_{i}" for i in range(len(terms))])
+    return rows.drop("n_docs", "avg_len", "_len", *own.values(), *[f"df_{i}" for i in range(len(terms))])
 
 
 def score_gram_sets(docs: DataFrame, grams_col: str, query: list[str], name: str = "gram_bm25", where: Column | None = None) -> DataFrame:
@@ -108,77 +110,3 @@ def score_gram_sets(docs: DataFrame, grams_col: str, query: list[str], name: str
     factor = (K1 + 1) / (1 + K1 * (1 - B + B * F.size(grams_col) / F.col("_avg")))
     added = F.aggregate(F.array_sort("_shared"), F.lit(0.0), lambda s, g: s + F.element_at(F.col("_idf"), g))
     return rows.withColumn(name, -(added * factor)).withColumn("n_shared", F.size("_shared")).drop("_shared", "_idf", "_avg")
-
-
-@dataclass(frozen=True)
-class Postings:
-    """Inverted indexes of words and of trigrams, and the sizes of what they index."""
-
-    words: DataFrame
-    grams: DataFrame
-    n_docs: float
-    avg_len: float
-    avg_grams: float
-
-
-#: Stored forms of the inverted indexes.
-POSTINGS = "term string, row_id string, f double, n double, doc_len int, bucket int"
-GRAM_POSTINGS = "term string, row_id string, n_grams int, bucket int"
-
-
-def bucket_number(term: str, buckets: int = BUCKETS) -> int:
-    """The bucket of a term, as :func:`bucket_column` gives it."""
-    h = xxhash.xxh64_intdigest(term.encode(), 42)
-    return (h - 2**64 if h >= 2**63 else h) % buckets
-
-
-def bucket_column(term: str, buckets: int = BUCKETS) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
-
-
-def postings(docs: DataFrame, key: str, weights: dict[str, float], buckets: int = BUCKETS) -> DataFrame:
-    """(bucket, term, key, f, n, doc_len): the inverted index, to be stored by bucket; ``f`` is
-    the weighted and ``n`` the plain frequency."""
-    both = F.concat(*[F.transform(F.col(c), _weighted(w)) for c, w in weights.items()])
-    rows = docs.select(F.col(key), length(weights).alias("doc_len"), F.explode(both).alias("p"))
-    out = rows.groupBy(key, "doc_len", F.col("p.term").alias("term")).agg(F.sum("p.w").alias("f"), F.count("*").cast("double").alias("n"))
-    return out.select(bucket_column("term", buckets).alias("bucket"), "term", key, "f", "n", "doc_len")
-
-
-def gram_postings(docs: DataFrame, key: str, grams_col: str, buckets: int = BUCKETS) -> DataFrame:
-    """(bucket, term, key, n_grams) of the rows' trigrams."""
-    rows = docs.select(F.col(key), F.size(grams_col).alias("n_grams"), F.explode(grams_col).alias("term"))
-    return rows.select(bucket_column("term", buckets).alias("bucket"), "term", key, "n_grams")
-
-
-def _weighted(w: float):
-    return lambda t: F.struct(t.alias("term"), F.lit(float(w)).alias("w"))
-
-
-def _found(index: DataFrame, query: list[str], n_docs: float, buckets: int) -> DataFrame:
-    """Postings of the query's terms, with ``times`` and ``idf``."""
-    times = Counter(query)
-    spark = index.sparkSession
-    terms = spark.createDataFrame([(t, float(n)) for t, n in times.items()], "term string, times double")
-    numbers = sorted({bucket_number(t, buckets) for t in times})
-    found = index.where(F.col("bucket").isin(numbers) & F.col("term").isin(list(times))).join(F.broadcast(terms), "term")
-    df = found.groupBy("term").agg(F.count("*").cast("double").alias("df"))  # one row a query term
-    return found.join(F.broadcast(df), "term").withColumn("idf", idf(F.lit(n_docs), F.col("df")))
-
-
-def score_postings(index: DataFrame, n_docs: float, avg_len: float, key: str, query: list[str], name: str = "bm25", unweighted: str | None = None, buckets: int = BUCKETS) -> DataFrame:
-    """(key, score) from an inverted index, and with ``unweighted`` the score with all weights one."""
-    found = _found(index, query, n_docs, buckets)
-    total = lambda f: -F.sum(F.col("times") * term_score(F.col(f), F.col("doc_len"), F.lit(avg_len), F.col("idf")))
-    return found.groupBy(key).agg(total("f").alias(name), *([total("n").alias(unweighted)] if unweighted else []))
-
-
-def score_gram_postings(index: DataFrame, n_docs: float, avg_grams: float, key: str, query: list[str], name: str = "gram_bm25", buckets: int = BUCKETS) -> DataFrame:
-    """(key, score, n_shared) of the rows that share a gram with the query, as :func:`score_gram_sets`."""
-    found = _found(index, list(dict.fromkeys(query)), n_docs, buckets)
-    factor = (K1 + 1) / (1 + K1 * (1 - B + B * F.col("n_grams") / F.lit(avg_grams)))
-    # the grams of a row are added up in their order, so that both ways round alike
-    idfs = F.transform(F.array_sort(F.collect_list(F.struct("term", "idf"))), lambda x: x["idf"])
-    rows = found.groupBy(key, "n_grams").agg(idfs.alias("idfs"))
-    added = F.aggregate("idfs", F.lit(0.0), lambda a, x: a + x)
-    return rows.select(key, (-(added * factor)).alias(name), F.size("idfs").alias("n_shared"))

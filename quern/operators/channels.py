@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from . import bm25
+from . import bm25, segments
 
 TOP = 100
 PREFILTER = 200
@@ -79,43 +79,48 @@ def least_coverage(query: list[str]) -> int:
     return 1 if n < 3 else -(-n // 3)
 
 
-Postings = bm25.Postings
+def looked_up(rows: DataFrame, top: DataFrame) -> DataFrame:
+    """The search rows of at most some hundred keys, with what ``top`` says of them; only those are widened."""
+    return rows.drop("updated_at").join(F.broadcast(top), "row_id")
 
 
-def lexical_rows(rows: DataFrame, spec: CorpusSpec, query: list[str], where: Column, postings: Postings | None = None) -> DataFrame:
+def keys_of(rows: DataFrame, where: Column) -> DataFrame:
+    return rows.where(where).select("row_id", "updated_at")
+
+
+def lexical_rows(rows: DataFrame, spec: CorpusSpec, query: list[str], where: Column, index: segments.Index | None = None) -> DataFrame:
     """The top rows by BM25, then those that cover enough of the query, with ``coverage``.
 
-    With ``postings`` (an inverted index and its sizes) only the buckets of the
-    query's words are scored, and rows are looked up for what scored."""
-    if postings is not None:
-        scored = rows.where(where).join(bm25.score_postings(postings.words, postings.n_docs, postings.avg_len, "row_id", query, "raw", "plain"), "row_id")
+    With an inverted index keys are scored and filtered first, and rows are looked up for
+    what is among the best."""
+    order = "plain" if spec.unweighted_order else "raw"
+    if index is not None:
+        top = looked_up(rows, segments.top(index, segments.WORD, query, keys_of(rows, where), TOP, order, DIGITS)[0])
     else:
-        scored = bm25.score_scan(rows, dict(spec.weights), query, "raw", where, unweighted="plain")
-    by = F.round("plain" if spec.unweighted_order else "raw", DIGITS)
-    top = scored.withColumn("by", by).orderBy("by", F.desc("updated_at"), "row_id").limit(TOP)
+        scored = bm25.score_scan(rows, dict(spec.weights), query, "raw", where, unweighted="plain").withColumn("by", F.round(order, DIGITS))
+        top = scored.orderBy("by", F.desc("updated_at"), "row_id").limit(TOP)
     return top.withColumn("coverage", covered(spec, query)).where(F.col("coverage") >= least_coverage(query))
 
 
-def lexical(rows: DataFrame, spec: CorpusSpec, query: list[str], where: Column, postings: Postings | None = None) -> DataFrame:
-    top = lexical_rows(rows, spec, query, where, postings)
+def lexical(rows: DataFrame, spec: CorpusSpec, query: list[str], where: Column, index: segments.Index | None = None) -> DataFrame:
+    top = lexical_rows(rows, spec, query, where, index)
     n = len(set(query))
     if spec.gate and n >= 3:
         top = top.withColumn("best", F.max("coverage").over(Window.partitionBy(F.lit(0)))).where(F.col("best") * 2 >= n)
     return _ranked(top, F.col("by"), F.desc("updated_at"), F.col("row_id"))
 
 
-def fuzzy_prefilter(rows: DataFrame, grams: list[str], where: Column, postings: Postings | None = None) -> DataFrame:
+def fuzzy_prefilter(rows: DataFrame, grams: list[str], where: Column, index: segments.Index | None = None) -> DataFrame:
     """The top rows by BM25 over trigrams, from the inverted index where there is one."""
-    if postings is not None:
-        scored = rows.where(where).join(bm25.score_gram_postings(postings.grams, postings.n_docs, postings.avg_grams, "row_id", grams, "gram_score"), "row_id")
-    else:
-        scored = bm25.score_gram_sets(rows, "grams", grams, "gram_score", where)
+    if index is not None:
+        return looked_up(rows, segments.top(index, segments.GRAM, list(dict.fromkeys(grams)), keys_of(rows, where), PREFILTER, "raw", DIGITS)[0])
+    scored = bm25.score_gram_sets(rows, "grams", grams, "gram_score", where)
     return scored.withColumn("by", F.round("gram_score", DIGITS)).orderBy("by", F.desc("updated_at"), "row_id").limit(PREFILTER)
 
 
-def fuzzy(rows: DataFrame, spec: CorpusSpec, grams: list[str], where: Column, postings: Postings | None = None) -> DataFrame:
+def fuzzy(rows: DataFrame, spec: CorpusSpec, grams: list[str], where: Column, index: segments.Index | None = None) -> DataFrame:
     """Trigram containment of the query in the rows that BM25 over trigrams prefers."""
-    top = fuzzy_prefilter(rows, grams, where, postings).withColumn("raw", F.col("n_shared") / F.lit(float(len(grams)))).where(F.col("raw") >= LEAST_SIMILARITY)
+    top = fuzzy_prefilter(rows, grams, where, index).withColumn("raw", F.col("n_shared") / F.lit(float(len(grams)))).where(F.col("raw") >= LEAST_SIMILARITY)
     order = (F.desc("raw"), F.desc("updated_at"), F.col("by"), F.col("row_id"))
     return _ranked(top.orderBy(*order).limit(TOP), *order)
 

@@ -23,6 +23,13 @@ from .snapshot import Snapshot
 SESSION_TABLES, MEMORY_TABLES = ("chunks", "sessions"), ("memories",)
 
 
+def _unshared(old, now) -> tuple:
+    """Of a table's folders before and now, those that not both have; a table without buckets is one."""
+    if isinstance(old, dict) and isinstance(now, dict):
+        return {b: p for b, p in old.items() if now.get(b) != p}, {b: p for b, p in now.items() if old.get(b) != p}
+    return old, now
+
+
 class Engine:
     def __init__(self, spark: SparkSession, config: cfg.Config | None = None, provider: embedding.Provider | None = None, installed: Callable[[str], bool] | None = None):
         self.spark = spark
@@ -77,16 +84,23 @@ class Engine:
 
     def write_postings(self) -> None:
         """Store the inverted indexes of both corpora; from then on indexing keeps them up to date."""
-        self.sessions_store.write_postings(self.session_rows(), "row_id", dict(channels.SESSIONS.weights), SESSION_TABLES)
-        self.memories_store.write_postings(self.memory_rows(), "row_id", dict(channels.MEMORIES.weights), MEMORY_TABLES)
+        self.sessions_store.write_postings(self.session_rows(), dict(channels.SESSIONS.weights), SESSION_TABLES)
+        self.memories_store.write_postings(self.memory_rows(), dict(channels.MEMORIES.weights), MEMORY_TABLES)
 
     def update_postings(self, sessions: bool = True, memories: bool = True) -> None:
-        """Write stored inverted indexes anew if their tables have changed since."""
+        """Add to stored inverted indexes what has changed in their tables since.
+
+        Only folders that both states don't share are read, and only rows that differ are written."""
         for on, store, rows, spec, of in (
-            (sessions, self.sessions_store, self.session_rows, channels.SESSIONS, SESSION_TABLES), (memories, self.memories_store, self.memory_rows, channels.MEMORIES, MEMORY_TABLES),
+            (sessions, self.sessions_store, self._rows_of_sessions, channels.SESSIONS, SESSION_TABLES), (memories, self.memories_store, self._rows_of_memories, channels.MEMORIES, MEMORY_TABLES),
         ):
-            if on and "postings" in store.manifest()["tables"] and store.postings(of) is None:
-                store.write_postings(rows(), "row_id", dict(spec.weights), of)
+            old = store.indexed() if on else None
+            now = store.named(of)
+            if old is None or old == now:
+                continue
+            a, b = zip(*(_unshared(x, y) for x, y in zip(old, now, strict=True)), strict=True)
+            read = lambda found: [store.read_folders(t, f) for t, f in zip(of, found, strict=True)]  # noqa: B023, E731
+            store.add_postings(rows(*read(a)), rows(*read(b)), dict(spec.weights), of)
 
     def refresh(self) -> indexer.Result:
         """Mirror the records in their index."""
@@ -105,13 +119,20 @@ class Engine:
     # search
 
     def session_rows(self) -> DataFrame:
-        s = self.sessions_store.read("sessions")
+        return self._rows_of_sessions(*(self.sessions_store.read(t) for t in SESSION_TABLES))
+
+    def memory_rows(self) -> DataFrame:
+        return self._rows_of_memories(*(self.memories_store.read(t) for t in MEMORY_TABLES))
+
+    @staticmethod
+    def _rows_of_sessions(chunks: DataFrame, s: DataFrame) -> DataFrame:
         s = s.select("session_key", "native_id", "harness", "cwd", "updated_at", *[T.tokens(T.normalize(F.col(c))).alias(t) for t, c in (("t_name", "name"), ("t_cwd", "cwd"), ("t_native", "native_id"), ("t_branch", "git_branch"))])
-        rows = self.sessions_store.read("chunks").withColumnRenamed("tokens", "t_content").withColumn("row_id", F.col("chunk_key"))
+        rows = chunks.withColumnRenamed("tokens", "t_content").withColumn("row_id", F.col("chunk_key"))
         return rows.join(s, "session_key").withColumn("group_key", F.col("session_key"))
 
-    def memory_rows(self) -> DataFrame:
-        m = self.memories_store.read("memories").withColumn("text", F.col("content")).withColumnRenamed("tokens", "t_content")
+    @staticmethod
+    def _rows_of_memories(m: DataFrame) -> DataFrame:
+        m = m.withColumn("text", F.col("content")).withColumnRenamed("tokens", "t_content")
         return m.select(F.col("id").alias("row_id"), F.col("id").alias("group_key"), "*", *[T.tokens(T.normalize(F.col(c))).alias(t) for t, c in (("t_source", "source"), ("t_project", "project_name"), ("t_id", "id"))])
 
     def _vector(self, query: str, threshold: float | None) -> tuple[search.QueryVector | None, str]:

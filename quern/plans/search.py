@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import channels as C
-from ..operators import fusion
+from ..operators import fusion, segments
 from ..operators.filters import MemoryFilters, SessionFilters
 
 
@@ -22,7 +22,7 @@ class QueryVector:
     threshold: float = 0.8
 
 
-def run_channels(groups: DataFrame, rows: DataFrame, spec: C.CorpusSpec, query: str, filters: SessionFilters | MemoryFilters, vector: QueryVector | None, postings: C.Postings | None = None) -> dict[str, DataFrame]:
+def run_channels(groups: DataFrame, rows: DataFrame, spec: C.CorpusSpec, query: str, filters: SessionFilters | MemoryFilters, vector: QueryVector | None, index: segments.Index | None = None) -> dict[str, DataFrame]:
     """The channels that the query has something for."""
     query = query.strip()
     if not query:
@@ -30,17 +30,17 @@ def run_channels(groups: DataFrame, rows: DataFrame, spec: C.CorpusSpec, query:
     words, grams = T.query_tokens(query), T.query_grams(query)
     found = {"exact": C.exact(groups, spec, query, filters.predicate(with_chunk=False))}
     if words:
-        found["lexical"] = C.lexical(rows, spec, words, filters.predicate(), postings)
+        found["lexical"] = C.lexical(rows, spec, words, filters.predicate(), index)
     if grams:
-        found["fuzzy"] = C.fuzzy(rows, spec, grams, filters.predicate(), postings)
+        found["fuzzy"] = C.fuzzy(rows, spec, grams, filters.predicate(), index)
     if vector is not None:
         found["semantic"] = C.semantic(rows, vector.values, vector.fingerprint, vector.threshold, filters.predicate())
     return found
 
 
-def hybrid(groups: DataFrame, rows: DataFrame, spec: C.CorpusSpec, query: str, filters: SessionFilters | MemoryFilters, vector: QueryVector | None = None, postings: C.Postings | None = None) -> DataFrame:
+def hybrid(groups: DataFrame, rows: DataFrame, spec: C.CorpusSpec, query: str, filters: SessionFilters | MemoryFilters, vector: QueryVector | None = None, index: segments.Index | None = None) -> DataFrame:
     """Fused result rows, best first."""
-    return fusion.fuse(run_channels(groups, rows, spec, query, filters, vector, postings), filters.limit, spec.dedupe)
+    return fusion.fuse(run_channels(groups, rows, spec, query, filters, vector, index), filters.limit, spec.dedupe)
 
 
 def session_results(fused: DataFrame, sessions: DataFrame) -> DataFrame:

@@ -25,7 +25,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..operators import bm25
+from ..operators import segments as S
+from ..operators.lineage import cut
 
 #: Commits whose folders stay in any case, and how long all others stay.
 KEEP, KEEP_MS = 2, 24 * 3600 * 1000
@@ -72,16 +73,19 @@ class Snapshot:
     # tables
 
     def read(self, table: str) -> DataFrame:
-        found = self.manifest()["tables"].get(table)
+        return self.read_folders(table, self.manifest()["tables"].get(table))
+
+    def read_folders(self, table: str, found: dict[str, str] | str | None) -> DataFrame:
+        """A table as a manifest names it: its folder, or its folders by bucket."""
         paths = list(found.values()) if isinstance(found, dict) else [found] if found else []
         if not paths:
             return self.spark.createDataFrame([], schemas.TABLES[table])
         return self.spark.read.parquet(*[f"{self.root}/{p}" for p in paths])
 
-    def commit(self, tables: dict[str, DataFrame], meta: dict[str, str] | None = None, buckets: dict[str, Iterable[int]] | None = None) -> int:
+    def commit(self, tables: dict[str, DataFrame], meta: dict[str, str] | None = None, buckets: dict[str, Iterable[int]] | None = None, folders: dict[str, dict[str, str]] | None = None) -> int:
         """Write the tables given and the next manifest; the others stay as they are.
 
-        ``buckets`` names the buckets of a table in buckets that may have changed; without
+        ``folders`` are tables whose folders are written already.  ``buckets`` names the buckets of a table in buckets that may have changed; without
         it all are written."""
         now = self.manifest()
         written: dict = {}
@@ -90,10 +94,9 @@ class Snapshot:
             if name in PARTED:
                 written[name] = self._write_buckets(name, df, path, now["tables"].get(name), (buckets or {}).get(name))
                 continue
-            writer = df.select(*schemas.names(schemas.TABLES[name])).write if name in schemas.TABLES else df.write.partitionBy("bucket")
-            writer.parquet(f"{self.root}/{path}")
+            df.select(*schemas.names(schemas.TABLES[name])).write.parquet(f"{self.root}/{path}")
             written[name] = path
-        new = {"schema_version": schemas.VERSION, "number": now["number"] + 1, "tables": now["tables"] | written, "meta": now["meta"] | (meta or {})}
+        new = {"schema_version": schemas.VERSION, "number": now["number"] + 1, "tables": now["tables"] | written | (folders or {}), "meta": now["meta"] | (meta or {})}
         out = self.fs.create(self._path(f"{self.root}/manifest-{new['number']:06d}.json"), False)
         try:
             out.write(bytearray(json.dumps(new, indent=2).encode()))
@@ -125,8 +128,10 @@ class Snapshot:
                 self.fs.delete(path, False)
                 continue
             stream = self.fs.open(path)
-            for found in json.loads(bytes(stream.readAllBytes()))["tables"].values():
-                kept |= {p.split("/")[1] for p in (found.values() if isinstance(found, dict) else [found])}
+            said = json.loads(bytes(stream.readAllBytes()))
+            # what an inverted index was made of is wanted for the difference to what is there now
+            for found in [*said["tables"].values(), *json.loads(said["meta"].get(INDEXED, "[]"))]:
+                kept |= {p.split("/")[1] for p in (found.values() if isinstance(found, dict) else [found] if found else [])}
             stream.close()
         data = self._path(f"{self.root}/data")
         for s in self.fs.listStatus(data) if self.fs.exists(data) else ():
@@ -192,24 +197,66 @@ class Snapshot:
 
     # inverted indexes
 
-    def _mark(self, of: Iterable[str]) -> str:
+    def named(self, of: Iterable[str]) -> list:
+        """The folders of tables, as the manifest names them."""
         tables = self.manifest()["tables"]
-        return json.dumps([tables.get(t) for t in of], sort_keys=True)
-
-    def write_postings(self, rows: DataFrame, key: str, weights: dict[str, float], of: Iterable[str]) -> None:
-        """Store the inverted indexes of the search rows' words and trigrams by bucket, and
-        their sizes; ``of`` names the tables that the rows are made of."""
-        sizes = rows.agg(F.count("*").alias("n"), F.avg(bm25.length(weights)).alias("a"), F.avg(F.size("grams")).alias("g")).first()
-        meta = {"postings_of": self._mark(of), "n_docs": str(sizes["n"]), "avg_len": repr(sizes["a"] or 0.0), "avg_grams": repr(sizes["g"] or 0.0)}
-        self.commit({"postings": bm25.postings(rows, key, weights), "gram_postings": bm25.gram_postings(rows, key, "grams")}, meta)
+        return [tables.get(t) for t in of]
 
-    def postings(self, of: Iterable[str]) -> bm25.Postings | None:
-        """The inverted indexes if they are those of the tables as they are now."""
+    def indexed(self) -> list | None:
+        """The folders that the inverted index was made of; None without an index."""
         m = self.manifest()
-        if "gram_postings" not in m["tables"] or m["meta"].get("postings_of") != self._mark(of):
-            return None
-        index, grams = (self.spark.read.schema(ddl).parquet(f"{self.root}/{m['tables'][t]}") for t, ddl in (("postings", bm25.POSTINGS), ("gram_postings", bm25.GRAM_POSTINGS)))
-        return bm25.Postings(index, grams, float(m["meta"]["n_docs"]), float(m["meta"]["avg_len"]), float(m["meta"]["avg_grams"]))
-
+        return json.loads(m["meta"][INDEXED]) if "segments" in m["tables"] else None
 
+    def segments(self) -> list[S.Segment]:
+        """The segments that are stored, oldest first."""
+        m = self.manifest()
+        paths = m["tables"].get("segments", {})
+        read = lambda path, part, ddl: self.spark.read.schema(ddl).parquet(f"{self.root}/{path}/{part}")
+        out = []
+        for sums in json.loads(m["meta"].get("segments", "[]")):
+            path = paths[str(sums["number"])]
+            out.append(S.Segment(**sums, blocks=read(path, "blocks", S.BLOCKS), terms=read(path, "terms", S.TERMS), gone=read(path, "gone", S.GONE)))
+        return out
+
+    def _commit_segments(self, kept: list[S.Segment], new: S.Segment | None, of: Iterable[str]) -> None:
+        """The next manifest names the kept segments and a new one, which is written sorted by term."""
+        m = self.manifest()
+        folders = {str(s.number): m["tables"]["segments"][str(s.number)] for s in kept}
+        sums = [s.sums() for s in kept]
+        if new is not None:
+            path = f"data/segments-{m['number'] + 1:06d}-{uuid.uuid4().hex[:8]}"
+            at = f"{self.root}/{path}"
+            new.blocks.repartitionByRange("kind", "term", "slot").sortWithinPartitions("kind", "term", "slot").write.parquet(f"{at}/blocks")
+            new.terms.repartitionByRange("kind", "term").sortWithinPartitions("kind", "term").write.parquet(f"{at}/terms")
+            new.gone.write.parquet(f"{at}/gone")
+            folders[str(new.number)] = path
+            sums.append(new.sums())
+        self.commit({}, {"segments": json.dumps(sums), INDEXED: json.dumps(self.named(of), sort_keys=True)}, folders={"segments": folders})
+
+    def write_postings(self, rows: DataFrame, weights: dict[str, float], of: Iterable[str]) -> None:
+        """Store the inverted index of search rows as one segment; ``of`` names the tables that the rows are made of."""
+        last = max((s.number for s in self.segments()), default=0)
+        self._commit_segments([], S.segment(rows, None, weights, last + 1), of)
+
+    def add_postings(self, old: DataFrame, new: DataFrame, weights: dict[str, float], of: Iterable[str]) -> None:
+        """Store the difference of search rows, as they were indexed and as they are, as one more segment."""
+        wanted = ["row_id", *weights, "grams"]
+        added, removed = (cut(rows.select(*wanted)) for rows in S.difference(old.select(*wanted), new.select(*wanted), weights))
+        there = self.segments()
+        if added.isEmpty() and removed.isEmpty():
+            self._commit_segments(there, None, of)
+            return
+        self._commit_segments(there, S.segment(added, removed, weights, there[-1].number + 1), of)
+        there = self.segments()
+        if len(there) > S.MOST_SEGMENTS:
+            start = S.to_merge([s.rows + s.n_gone for s in there])
+            self._commit_segments(there[:start], S.merged(S.Index(there), start), of)
+
+    def postings(self, of: Iterable[str]) -> S.Index | None:
+        """The inverted index if it is that of the tables as they are now."""
+        return S.Index(self.segments()) if self.indexed() == self.named(of) and self.segments() else None
+
+
+#: The key under which a manifest keeps what the inverted index was made of.
+INDEXED = "postings_of"
 LOCK = "writer.lock"

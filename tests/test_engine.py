@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quern import cli, config, project
 from quern.functions.identity import stable_key_of
+from quern.operators import segments
 from quern.operators.filters import MemoryFilters, SessionFilters
 from quern.plans import embedding
 from quern.plans.engine import MEMORY_TABLES, SESSION_TABLES, Engine
@@ -109,6 +110,49 @@ def test_index_and_search(spark, tmp_path):
     assert out["sessions"]["semanticError"] and out["sessions"]["results"] and any(w["type"] == "semantic_search" for w in out["warnings"])
 
 
+def postings_written(e, number):
+    """Postings of a stored segment."""
+    return next(s for s in e.sessions_store.segments() if s.number == number).blocks.agg(F.coalesce(F.sum("n_posts"), F.lit(0))).first()[0]
+
+
+def test_postings_follow_by_segments(spark, tmp_path, monkeypatch):
+    """A run with one changed source writes postings in its size; searches equal those of an index made anew."""
+    logs = tmp_path / "logs"
+    said = ["the ferry crosses the estuary", "dough rests until it has doubled", "tar for the hull of the boat", "a harbour beside the river mill"]
+    for i in range(12):
+        log(logs / f"{i}.jsonl", f"s{i}", *(f"{t} number {i}" for t in said))
+    e = engine(spark, tmp_path, pi=str(logs))
+    e.index()
+    e.write_postings()
+    assert [s.number for s in e.sessions_store.segments()] == [1]
+    whole = postings_written(e, 1)
+    found = lambda: sorted((r["session_id"], r["lexical_rank"] or 0, r["fuzzy_rank"] or 0) for q in ("estuary mill", "hul of boatt") for r in e.search_sessions(q, SessionFilters(limit=50))[0].collect())
+    log(logs / "3.jsonl", "s3", "the ferry crosses the estuary number 3", "an owl on the mill")
+    os.unlink(logs / "7.jsonl")
+    e.index()
+    first, second = e.sessions_store.segments()
+    assert (second.rows, second.n_gone, second.n_docs) == (1, 7, -6) and 0 < postings_written(e, 2) < whole / 20
+    by_segments = found()
+    assert any(r[0] == "s3" for r in by_segments) and not any(r[0] == "s7" for r in by_segments)
+    number = e.sessions_store.manifest()["number"]
+    e.index()
+    assert e.sessions_store.manifest()["number"] == number
+    monkeypatch.setattr(segments, "MOST_SEGMENTS", 1)
+    log(logs / "4.jsonl", "s4", "nothing but an owl")
+    e.index()  # a third segment, merged with the second: the first outweighs them
+    assert [s.rows for s in e.sessions_store.segments()] == [48, 2]
+    merged = found()
+    e.write_postings()
+    assert [s.rows for s in e.sessions_store.segments()] == [39] and found() == merged
+    stats = lambda: sorted(map(tuple, segments.Index(e.sessions_store.segments()).terms().collect()))
+    anew = stats()
+    log(logs / "4.jsonl", "s4", *(f"{t} number 4" for t in said))
+    e.index()
+    log(logs / "4.jsonl", "s4", "nothing but an owl")
+    e.index()
+    assert stats() == anew
+
+
 def test_search_in_every_script(spark, tmp_path):
     logs = tmp_path / "logs"
     log(logs / "a.jsonl", "s1", "がぎぐ について", "한국어 문장", "ﬁnance chapter ①", "x² and ΑΣ")

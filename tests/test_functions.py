@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import identity, vectors
 from quern.functions import text as T
-from quern.operators import bm25, channels, chunking, filters, fusion
+from quern.operators import bm25, channels, chunking, filters, fusion, segments
 
 
 def one(spark, rows, schema, *cols):
@@ -135,10 +135,10 @@ def test_bm25_like_fts5(spark):
     query = ["alpha", "omega", "alpha"]
     got = {r["id"]: r["bm25"] for r in bm25.score_scan(df, w, query).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
-    n_docs, avg_len = df.agg(F.count("*").cast("double"), F.avg(bm25.length(w))).first()
-    also = {r["id"]: r["bm25"] for r in bm25.score_postings(bm25.postings(df, "id", w), n_docs, avg_len, "id", query).collect()}
+    rows = df.select(F.col("id").cast("string").alias("row_id"), "ta", "tb", F.array().cast("array<string>").alias("grams"))
+    index = segments.Index([segments.segment(rows, None, w)])
+    also = {int(r["row_id"]): r["raw"] for r in segments.scores(index, segments.WORD, query).collect()}
     assert also.keys() == want.keys() and all(abs(also[k] - want[k]) < 1e-9 for k in want)
-    assert {bm25.bucket_number(t) for t in ("alpha", "ü", "漢")} == {r[0] for r in df.sparkSession.createDataFrame([("alpha",), ("ü",), ("漢",)], "t string").select(bm25.bucket_column("t")).collect()}
 
 
 def channel(spark, keys):
