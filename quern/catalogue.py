@@ -12,7 +12,7 @@ from . import corpora
 from . import corpora_sql as S
 from .functions import identity, vectors
 from .functions import text as T
-from .operators import blocks, bm25, channels, chunking, filters, maintenance, segments
+from .operators import blocks, bm25, cells, channels, chunking, filters, maintenance, segments
 from .operators.lineage import cut, spread
 from .plans import batch, search
 
@@ -330,6 +330,22 @@ def semantic_nearest(spark, d):
     return found.select("query", "key", F.round("similarity", 6).alias("similarity"))
 
 
+@query(SQL["semantic_nearest"])
+def semantic_cells(spark, d):
+    """The same from cells of vectors, of which only those that can hold one of the best are read."""
+    e = corpora.read(spark, d, "embeddings")
+    found, _ = cells.search(cells.build(e, "vec_id", "embedding"), e.where("vec_id % 20 = 0"), query="vec_id", vector="embedding")
+    return found.select("query", "key", F.round("similarity", 6).alias("similarity"))
+
+
+@query()
+def cells_read(spark, d):
+    """Of the searches for the ten nearest: pairs of a query and a cell, and those compared."""
+    e = corpora.read(spark, d, "embeddings")
+    found, read = cells.search(cells.build(e, "vec_id", "embedding"), e.where("vec_id % 20 = 0"), query="vec_id", vector="embedding", k=10)
+    return found.select("query", "key", F.round("similarity", 6).alias("similarity"), F.lit(read.pairs).cast("bigint").alias("pairs"), F.lit(read.read).cast("bigint").alias("pairs_read"))
+
+
 @query(
     f"""WITH g AS (SELECT doc_id, {S.grams(S.toks("coalesce(text, '')"))} AS g FROM documents),
 q AS (SELECT item_id AS query, {S.grams(S.toks("coalesce(text, '')"))} AS q FROM benchmark WHERE item_id % 20 = 0)

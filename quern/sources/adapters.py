@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import identity
 from ..functions import text as T
 from ..operators.lineage import cut
+from ..operators.running import running_totals
 from . import jsonl, sqlite
 
 #: What a session without an identifier is reported as (fixed values).
@@ -70,10 +71,11 @@ def assemble(events: DataFrame, harness: str, known: DataFrame) -> Parsed:
         F.coalesce("started_at", F.lit(0)).cast("bigint").alias("started_at"), F.coalesce("updated_at", F.lit(0)).cast("bigint").alias("updated_at"), blank("git_branch"), blank("git_remote"),
     )
     rows = events.where(is_entry & (F.col("kind") == "event"))
-    upto = Window.partitionBy("source_key").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("nth", F.sum(F.coalesce("counts", F.lit(False)).cast("int")).over(upto))
-    if harness == "codex":
-        rows = rows.withColumn("entry_id", F.when(F.col("entry_id") == "", F.concat("entry_kind", F.lit("-"), F.col("nth").cast("string"))).otherwise(F.col("entry_id")))
+    if harness == "codex":  # an entry without an identifier has its number among those that count
+        narrow = rows.select("source_key", "ord", F.coalesce(F.col("counts"), F.lit(False)).cast("bigint").alias("counted"))
+        nth = running_totals(narrow, ["source_key"], ["ord"], {"nth": "counted"}).drop("counted")
+        rows = rows.join(nth, ["source_key", "ord"])
+        rows = rows.withColumn("entry_id", F.when(F.col("entry_id") == "", F.concat("entry_kind", F.lit("-"), F.col("nth").cast("string"))).otherwise(F.col("entry_id"))).drop("nth")
     rows = rows.join(sessions.select("source_key", "session_key", F.col("native_id").alias("sid")), "source_key")
     parts = [F.col("sid"), F.col("entry_id"), *([] if harness == "opencode" else [F.col("entry_kind")])]
     entries = rows.select(

@@ -6,7 +6,6 @@ sessions; joins, filters and aggregates are DataFrame operations.
 
 from __future__ import annotations
 
-import json
 import os
 import sqlite3
 from collections.abc import Iterator
@@ -18,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.identity import stable_key_of
+from ..operators.running import running_totals
 
 #: Columns that must be there (fixed values).
 REQUIRED = {
@@ -92,21 +92,20 @@ def events(rows: DataFrame, about: DataFrame) -> DataFrame:
     """Event rows from messages and parts (as :func:`read_rows` gives them) and the sessions' own data."""
     spark = rows.sparkSession
 
-    @F.udf("boolean")
-    def is_object(text):
-        try:
-            return isinstance(json.loads(text), dict)
-        except (TypeError, ValueError):
-            return False
-
-    rows = rows.withColumn("ok", is_object("data"))
+    # an object and nothing else; parsed and judged in the JVM
+    trimmed = F.regexp_replace("data", r"^\s+|\s+$", "")
+    is_object = F.startswith(trimmed, F.lit("{")) & F.endswith(trimmed, F.lit("}")) & F.from_json("data", "map<string,string>").isNotNull()
+    rows = rows.withColumn("ok", F.coalesce(is_object, F.lit(False)))
     bad = rows.where(~F.col("ok")).groupBy("source_key").agg(F.min("id").alias("id"))
     get = lambda c, p: F.get_json_object(c, p)
     m = rows.where("kind = 'message' and ok").select("source_key", F.col("id").alias("message_id"), F.col("time_created").alias("m_time"), get("data", "$.role").alias("role"), get("data", "$.parentID").alias("parent"))
     p = rows.where("kind = 'part' and ok").where((get("data", "$.type") == "text") & (F.coalesce(get("data", "$.synthetic"), F.lit("false")) != "true"))
     p = p.select("source_key", "message_id", F.col("id").alias("part_id"), F.col("time_created").alias("p_time"), F.trim(F.regexp_replace(get("data", "$.text"), r"^\s+|\s+$", "")).alias("text"))
     both = m.join(p, ["source_key", "message_id"]).where(F.col("role").isin("user", "assistant") & (F.col("text") != ""))
-    numbered = both.withColumn("ord", F.expr("row_number() over (partition by source_key order by m_time, message_id, p_time, part_id)").cast("bigint"))
+    # numbers by ranges, not by a window of a session, which may be a third of all rows
+    order = ["m_time", "message_id", "p_time", "part_id"]
+    ords = running_totals(both.select("source_key", *order, F.lit(1).cast("bigint").alias("one")), ["source_key"], order, {"ord": "one"})
+    numbered = both.join(ords.drop("one", "m_time", "p_time"), ["source_key", "message_id", "part_id"])
     entry = numbered.join(about.select("source_key", "path"), "source_key").select(
         "source_key", "path", F.col("ord"), F.lit("event").alias("kind"), F.when(F.col("p_time") > 0, F.col("p_time")).otherwise(F.when(F.col("m_time") > 0, F.col("m_time"))).alias("ts"),
         F.col("part_id").alias("entry_id"), F.coalesce("parent", F.lit("")).alias("entry_parent"), "role", F.lit("message").alias("entry_kind"), "text",

@@ -170,3 +170,44 @@ def test_fusion_random(spark):
 def test_coverage():
     assert [channels.least_coverage(["a"] * n) for n in (1, 3)] == [1, 1]
     assert [channels.least_coverage(list("abcdefg")[:n]) for n in (2, 3, 4, 7)] == [1, 1, 2, 3]
+
+
+def test_similar_texts_with_a_common_trigram(spark, monkeypatch):
+    """Trigrams that most rows have are not asked for; rows, shares and ties are those of brute force."""
+    from quern.operators import blocks
+
+    rng = random.Random(9)
+    rare = [f"g{i}" for i in range(400)]
+    rows = [(i, ["the", "ion", *(["sel"] if i % 2 else []), *rng.sample(rare, rng.randint(0, 30))]) for i in range(3000)]
+    asked = [(q, ["the", "ion", *rng.sample(rare, 12)]) for q in range(6)] + [(6, []), (7, ["none"]), (8, ["the"])]
+    want = []
+    for q, grams in asked:
+        found = sorted((-round(len(set(grams) & set(g)) / len(grams), 9), i) for i, g in rows) if grams else []
+        want += [(q, i, -s) for s, i in [f for f in found if -f[0] >= 0.25][:20]]
+    df = spark.createDataFrame(rows, "key bigint, grams array<string>")
+    ask = spark.createDataFrame(asked, "key bigint, grams array<string>")
+    for size in (100, 10**6):
+        got = blocks.similar_texts(df, ask, key="key", k=20, sample_rows=size)
+        assert sorted((r["query"], r["key"], r["similarity"]) for r in got.collect()) == sorted(want)
+        monkeypatch.setattr(blocks, "MOST_GRAMS", 0)
+
+
+def test_nearest_keeps_order_of_single_rows(spark):
+    """Matrix products choose, single products decide; keys may be strings, a least similarity bounds."""
+    import numpy as np
+
+    from quern.operators import blocks
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(700, 16)).astype(np.float32)
+    x[500:600] = x[100]  # ties
+    q = rng.normal(size=(5, 16)).astype(np.float32)
+    q[0] = x[100]
+    df = spark.createDataFrame([(f"r{i:04d}", v.tolist()) for i, v in enumerate(x)] + [("short", [1.0]), ("none", None)], "name string, v array<float>").repartition(3)
+    ask = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "no int, v array<float>")
+    want = []
+    for i, v in enumerate(q):
+        sums = [(-round(float((r * v).astype(np.float64).sum()), 9), f"r{n:04d}") for n, r in enumerate(x)]
+        want += [(i, name) for s, name in sorted(sums)[:30] if -s >= 1.0]
+    got = blocks.nearest(df, ask, key="name", query="no", vector="v", k=30, least=1.0)
+    assert sorted((r["query"], r["key"]) for r in got.collect()) == sorted(want)
