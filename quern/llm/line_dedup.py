@@ -13,9 +13,11 @@
    the documents grows with the repeated lines only.
 4. Documents look their lines up in the arrays: fingerprint, count and keeper.
 
-The arrays are broadcast while they are within ``most_bytes``.  A larger index is
-broadcast in rounds of so many bytes: each round scans the documents and returns
-the drops of its shards only, and the rounds' drops are put together by document.
+The arrays are broadcast while they are within ``most_bytes``.  A larger index stays
+where its shards are: the hashes of step 1, which are narrow, are dealt to the shards
+(a shard with very many of them to several tasks, each with a copy of its arrays) and
+probe there; what was found comes back by document.  The text is read once for the
+hashes and once for the result, whatever the index's size.
 
 A line's key is the line without ASCII white space at both ends, A-Z
 lower-cased.  Keys of at least ``min_chars`` code points found in at least
@@ -31,11 +33,12 @@ rows; other columns are not looked at.
 from __future__ import annotations
 
 import pickle
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, cut, map_batches
@@ -47,6 +50,8 @@ SHARD_LINES = 50_000
 #: Shards that small tables have all the same, of LEAST_LINES lines, and the most that there are: then they are larger.
 LEAST_SHARDS, LEAST_LINES, MOST_SHARDS = 64, 1000, 20_000
 MOST_BYTES = 96 << 20
+#: Hashes that a task probes, beyond ``MOST_BYTES`` of arrays; more of a shard's are dealt to several.
+TASK_ROWS = 2_000_000
 #: Tasks that the documents of one line are dealt to for counting, at most.
 SALTS = 512
 #: Stands for a null id; no real id is smaller.
@@ -64,7 +69,7 @@ def line_key(line: bytes, min_chars: int) -> bytes | None:
 
 
 def line_hashes(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """(h, f, doc): halves of the hash of every long key of every document, once a row."""
+    """(h, f, doc, mark): halves of the hash of every long key of every document, once a row; ``mark`` is a hash of the text."""
 
     def make():
         def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -76,11 +81,17 @@ def line_hashes(docs: DataFrame, id_col: str, text_col: str, min_chars: int) ->
                 owner += [i] * len(keys)
             halves = np.frombuffer(b"".join(found), dtype="<i8").reshape(-1, 2)
             ids = batch.column(0).take(pa.array(owner, pa.int64())).cast(pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), ids], names=["h", "f", "doc"])
+            marks = batch.column(2).take(pa.array(owner, pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), ids, marks], names=["h", "f", "doc", "mark"])
 
         return fn
 
-    return map_batches(docs.select(id_col, text_col), make, "h bigint, f bigint, doc bigint")
+    return map_batches(docs.select(id_col, text_col, mark_of(text_col)), make, "h bigint, f bigint, doc bigint, mark bigint")
+
+
+def mark_of(text_col: str) -> Column:
+    """Tells the rows of one id apart."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark")
 
 
 def partial_counts(hashes: DataFrame, salts: int = SALTS) -> DataFrame:
@@ -180,93 +191,130 @@ def _shard_of(h: np.ndarray, shards: int) -> np.ndarray:
     return signed % shards
 
 
-def _probe(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int, index, shards: int, drops_only: bool) -> DataFrame:
-    schema = "doc_id bigint, t string, dropped array<int>, most_docs bigint" if drops_only else "doc_id bigint, n_lines bigint, n_dropped bigint, most_docs bigint, kept_text string"
+def _some(texts: list[bytes], most: int = 8 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of some 8 MB."""
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and size < most:
+            size += len(texts[end])
+            end += 1
+        yield at, end
+        at = end
 
-    def make():
-        table = Index(index.value, shards)
 
-        def part(ids: list, texts: list[bytes], marks: list) -> tuple[list, ...]:
-            hashes, place = [], []
-            split = [t.split(b"\n") for t in texts]
-            for i, lines in enumerate(split):
-                for j, line in enumerate(lines):
-                    if (k := line_key(line, min_chars)) is not None:
-                        hashes.append(xxhash.xxh3_128_digest(k))
-                        place.append((i, j))
-            halves = np.frombuffer(b"".join(hashes), dtype="<i8").reshape(-1, 2)
-            h, f = halves[:, 0].copy(), halves[:, 1].copy()
-            count, keep = table.keeper(h, f, _shard_of(h, shards))
-            own = np.array([NO_ID if ids[i] is None else ids[i] for i, _ in place], dtype=np.int64)
-            gone: dict[int, list[int]] = {}
-            most: dict[int, int] = {}
-            for k in np.flatnonzero(count >= min_docs):
-                i, j = place[k]
-                most[i] = max(most.get(i, 0), int(count[k]))
-                if keep[k] != own[k]:
-                    gone.setdefault(i, []).append(j)
-            if drops_only:
-                return [ids[i] for i in most], [marks[i] for i in most], [gone.get(i, []) for i in most], list(most.values())
-            kept = []
-            for i, lines in enumerate(split):
-                if i in gone:
-                    out = set(gone[i])
-                    kept.append(b"\n".join(x for j, x in enumerate(lines) if j not in out))
-                else:
-                    kept.append(texts[i])
-            return ids, [len(x) for x in split], [len(gone.get(i, ())) for i in range(len(ids))], [most.get(i, 0) for i in range(len(ids))], kept
+RESULT = "doc_id bigint, n_lines bigint, n_dropped bigint, most_docs bigint, kept_text string"
 
-        def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids, texts, marks = batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist()
-            cols: list[list] = []
-            at = 0
-            while at < len(ids):  # some 8 MB of text at a time
-                end, size = at, 0
-                while end < len(ids) and size < 8 << 20:
-                    size += len(texts[end])
-                    end += 1
-                got = part(ids[at:end], texts[at:end], marks[at:end])
-                cols = [[*a, *b] for a, b in zip(cols, got, strict=True)] if cols else [list(x) for x in got]
-                at = end
-            if drops_only:
-                kinds = [pa.int64(), pa.string(), pa.list_(pa.int32()), pa.int64()]
-                return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "t", "dropped", "most_docs"])
-            counts = [pa.array(c, pa.int64()) for c in cols[:4]]
-            return pa.RecordBatch.from_arrays([*counts, pa.array(cols[4], pa.binary()).cast(pa.string())], names=["doc_id", "n_lines", "n_dropped", "most_docs", "kept_text"])
 
-        return fn
+def _result(ids: list, texts: list[bytes], split: list[list[bytes]], gone: dict[int, set[int]], most: dict[int, int]) -> pa.RecordBatch:
+    kept = [b"\n".join(x for j, x in enumerate(lines) if j not in gone[i]) if i in gone else texts[i] for i, lines in enumerate(split)]
+    counts = ids, [len(x) for x in split], [len(gone.get(i, ())) for i in range(len(ids))], [most.get(i, 0) for i in range(len(ids))]
+    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in counts), pa.array(kept, pa.binary()).cast(pa.string())], names=[f.split()[0] for f in RESULT.split(", ")])
+
 
-    mark = F.md5(F.coalesce(F.col(text_col), F.lit(""))) if drops_only else F.lit(None).cast("string")
-    return map_batches(docs.select(F.col(id_col).cast("bigint"), text_col, mark.alias("mark")), make, schema)
+def _long_lines(split: list[list[bytes]], min_chars: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Text and line number of the lines with a long key, and both halves of its hash."""
+    hashes, place = [], []
+    for i, lines in enumerate(split):
+        for j, line in enumerate(lines):
+            if (k := line_key(line, min_chars)) is not None:
+                hashes.append(xxhash.xxh3_128_digest(k))
+                place.append((i, j))
+    return place, np.frombuffer(b"".join(hashes), dtype="<i8").reshape(-1, 2)
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shard_lines: int = SHARD_LINES, most_bytes: int = MOST_BYTES) -> DataFrame:
+def probe_broadcast(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int, index, shards: int) -> DataFrame:
+    """The documents without the lines that the arrays, which every task has, tell to drop."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = Index(index.value, shards)
+        for batch in batches:
+            ids, texts = batch.column(0).to_pylist(), as_bytes(batch.column(1))
+            for at, end in _some(texts):
+                split = [t.split(b"\n") for t in texts[at:end]]
+                place, halves = _long_lines(split, min_chars)
+                h, f = halves[:, 0].copy(), halves[:, 1].copy()
+                count, keep = table.keeper(h, f, _shard_of(h, shards))
+                own = np.array([NO_ID if ids[at + i] is None else ids[at + i] for i, _ in place], dtype=np.int64)
+                gone: dict[int, set[int]] = {}
+                most: dict[int, int] = {}
+                for k in np.flatnonzero(count >= min_docs):
+                    i, j = place[k]
+                    most[i] = max(most.get(i, 0), int(count[k]))
+                    if keep[k] != own[k]:
+                        gone.setdefault(i, set()).add(j)
+                yield _result(ids[at:end], texts[at:end], split, gone, most)
+
+    return docs.select(F.col(id_col).cast("bigint"), text_col).mapInArrow(run, RESULT)
+
+
+def probe_shards(hashes: DataFrame, built: DataFrame, shards: int, min_docs: int, task_rows: int = TASK_ROWS) -> DataFrame:
+    """(doc, mark, drops, most_docs) of documents with repeated lines; ``drops`` are the hashes of those that go.
+
+    Hashes meet the arrays of their shard in a task: the arrays come first, then the hashes in batches."""
+    keyed = hashes.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int"))
+    parts = keyed.groupBy("shard").agg(F.ceil(F.count("*") / task_rows).cast("int").alias("parts"))  # a row a shard
+    rows = keyed.join(F.broadcast(parts), "shard").withColumn("part", F.pmod(F.xxhash64("doc", "mark"), F.col("parts")).cast("int"))
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = rows.select("shard", "part", F.lit(1).alias("turn"), "h", "f", "doc", "mark", none("binary").alias("index"))
+    arrays = built.join(F.broadcast(parts), "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("turn"), *(none("bigint").alias(c) for c in ("h", "f", "doc", "mark")), "index")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, has = None, None
+        for batch in batches:
+            turn, shard = batch.column("turn").to_numpy(), batch.column("shard").to_numpy()
+            cuts = np.flatnonzero(turn == 0).tolist()
+            for begin, end in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                at = begin
+                if begin in cuts:
+                    has = int(shard[begin])
+                    table = Index({has: batch.column("index")[begin].as_py()}, shards)
+                    at += 1
+                if at >= end:
+                    continue
+                h, f, doc = (batch.column(c).slice(at, end - at).fill_null(NO_ID).to_numpy() for c in ("h", "f", "doc"))
+                count, keep = table.keeper(h, f, np.full(len(h), has))
+                found = np.flatnonzero(count >= min_docs)
+                if len(found):
+                    pick = batch.slice(at, end - at).take(pa.array(found))
+                    yield pa.RecordBatch.from_arrays([pick.column("doc"), pick.column("mark"), pick.column("h"), pick.column("f"), pa.array(count[found].astype(np.int64)), pa.array(keep[found] != doc[found])], names=["doc", "mark", "h", "f", "n", "gone"])
+
+    both = rows.unionByName(arrays).repartition("shard", "part").sortWithinPartitions("shard", "part", "turn")
+    found = both.mapInArrow(run, "doc bigint, mark bigint, h bigint, f bigint, n bigint, gone boolean")
+    drops = F.collect_set(F.when(F.col("gone"), F.struct("h", "f")))  # of one document's lines
+    return found.groupBy("doc", "mark").agg(drops.alias("drops"), F.max("n").alias("most_docs"))
+
+
+def without_drops(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
+    """The documents without the lines found in the shards."""
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), mark_of(text_col))
+    found = found.withColumnRenamed("mark", "m")
+    rows = rows.join(found, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("mark") == F.col("m")), "left").select("doc_id", "text", "drops", "most_docs")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.column(0).to_pylist(), as_bytes(batch.column(1))
+            drops, most = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            for at, end in _some(texts):
+                split = [t.split(b"\n") for t in texts[at:end]]
+                those = {i: {(d["h"], d["f"]) for d in drops[at + i]} for i in range(end - at) if drops[at + i]}
+                place, halves = _long_lines([x if i in those else [] for i, x in enumerate(split)], min_chars)
+                gone: dict[int, set[int]] = {}
+                for (i, j), (h, f) in zip(place, halves.tolist(), strict=True):
+                    if (h, f) in those[i]:
+                        gone.setdefault(i, set()).add(j)
+                yield _result(ids[at:end], texts[at:end], split, gone, {i: most[at + i] or 0 for i in range(end - at)})
+
+    return rows.mapInArrow(run, RESULT)
+
+
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shard_lines: int = SHARD_LINES, most_bytes: int = MOST_BYTES, task_rows: int = TASK_ROWS) -> DataFrame:
     """doc_id, n_lines (before), n_dropped, most_docs (documents of its most common repeated line, 0 without one), kept_text."""
     spark = docs.sparkSession
     hashes = cut(line_hashes(docs, id_col, text_col, min_chars))
     shards = shards_for(hashes.count(), shard_lines)  # a line has a row a document, so shards are no larger
     built = cut(build_shards(partial_counts(hashes), shards, min_docs))
-    rounds: list[list[int]] = [[]]
-    room = most_bytes
-    for r in built.select("shard", "size").orderBy("shard").collect():  # two numbers a shard
-        if r["size"] > room and rounds[-1]:
-            rounds.append([])
-            room = most_bytes
-        rounds[-1].append(r["shard"])
-        room -= r["size"]
-    send = lambda part: spark.sparkContext.broadcast({r["shard"]: bytes(r["index"]) for r in built.where(F.col("shard").isin(part)).collect()})
-    if len(rounds) == 1:
-        return _probe(docs, id_col, text_col, min_chars, min_docs, send(rounds[0]), shards, False)
-    drops = None
-    for part in rounds:
-        sent = send(part)
-        got = cut(_probe(docs, id_col, text_col, min_chars, min_docs, sent, shards, True))
-        sent.destroy()
-        drops = got if drops is None else drops.unionByName(got)
-    drops = drops.groupBy("doc_id", "t").agg(F.array_distinct(F.flatten(F.collect_list("dropped"))).alias("dropped"), F.max("most_docs").alias("most_docs"))
-    drops = drops.select(F.col("doc_id").alias("d"), "t", "dropped", "most_docs")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.split(text, "\n").alias("lines"), F.md5(text).alias("mark"))
-    rows = rows.join(drops, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("t")), "left").withColumn("dropped", F.coalesce("dropped", F.array().cast("array<int>")))
-    kept = F.filter("lines", lambda _, i: ~F.array_contains("dropped", i))
-    return rows.select("doc_id", F.size("lines").cast("bigint").alias("n_lines"), F.size("dropped").cast("bigint").alias("n_dropped"), F.coalesce("most_docs", F.lit(0).cast("bigint")).alias("most_docs"), F.array_join(kept, "\n").alias("kept_text"))
+    if (built.agg(F.sum("size").alias("n")).first()["n"] or 0) <= most_bytes:
+        index = spark.sparkContext.broadcast({r["shard"]: bytes(r["index"]) for r in built.select("shard", "index").collect()})
+        return probe_broadcast(docs, id_col, text_col, min_chars, min_docs, index, shards)
+    return without_drops(docs, probe_shards(hashes, built, shards, min_docs, task_rows), id_col, text_col, min_chars)

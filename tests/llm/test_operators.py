@@ -700,8 +700,8 @@ def test_counts_in_the_arrays():
         assert (c, d) == ((total, most) if total >= limit else (0, 0))
 
 
-@pytest.mark.parametrize("options", [{"shard_lines": 1}, {"shard_lines": 1, "most_bytes": 1}])
-def test_line_dedup_in_rounds(spark, sf, options):
+@pytest.mark.parametrize("options", [{"shard_lines": 1}, {"shard_lines": 1, "most_bytes": 1}, {"most_bytes": 1, "task_rows": 7}, {"shard_lines": 40, "most_bytes": 1, "task_rows": 1}])
+def test_line_dedup_in_shards(spark, sf, options):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     extra = [(i, "\n".join(f"common line number {n} of some length for all" for n in range(i % 7 + 1)) + f"\nown {i}") for i in range(200, 240)]
     docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
