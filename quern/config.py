@@ -18,6 +18,8 @@ class Config:
     index: str
     memory_directory: str
     memory_index: str
+    #: Where vectors are kept by their texts; '' is beside the index.
+    vectors: str = ""
     embedding_url: str = "http://localhost:11434"
     embedding_model: str = "embeddinggemma"
     threshold: float = THRESHOLD
@@ -46,13 +48,13 @@ def load(file: str | None = None) -> Config:
     if os.path.exists(file):
         with open(file, "rb") as f:
             found = tomllib.load(f)
-        flat = {k: v for k, v in found.items() if k in ("index", "memory_directory", "memory_index")}
+        flat = {k: v for k, v in found.items() if k in ("index", "memory_directory", "memory_index", "vectors")}
         e = found.get("embedding", {})
         flat |= {a: e[b] for a, b in (("embedding_url", "url"), ("embedding_model", "model"), ("threshold", "threshold")) if b in e}
         cfg = replace(cfg, **flat, harnesses=cfg.harnesses | found.get("harnesses", {}), sources=cfg.sources | found.get("sources", {}))
     if not 0 <= cfg.threshold <= 1:
         raise ValueError("embedding threshold must be between 0 and 1")
-    return replace(cfg, index=_expand(cfg.index), memory_directory=_expand(cfg.memory_directory), memory_index=_expand(cfg.memory_index), sources={k: _expand(v) for k, v in cfg.sources.items()})
+    return replace(cfg, index=_expand(cfg.index), memory_directory=_expand(cfg.memory_directory), memory_index=_expand(cfg.memory_index), vectors=_expand(cfg.vectors), sources={k: _expand(v) for k, v in cfg.sources.items()})
 
 
 def check_index_outside(records: str, index: str) -> None:

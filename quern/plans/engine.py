@@ -41,6 +41,8 @@ class Engine:
         self.sessions_store = Snapshot(spark, self.config.index)
         self.memories_store = Snapshot(spark, self.config.memory_index)
         self.records = RecordStore(self.config.memory_directory)
+        #: Vectors by their text, of both corpora; a rebuild leaves them.
+        self.vectors = embedding.VectorStore(spark, self.config.vectors or f"{self.config.index}-vectors")
 
     # indexing
 
@@ -51,6 +53,8 @@ class Engine:
                 if rebuild:
                     self.sessions_store.clear()
                     self.memories_store.clear()
+                if reembed and self.provider is not None:
+                    self.vectors.forget(self.provider.fingerprint)
                 if reembed and not rebuild:
                     self.sessions_store.commit({"chunks": maintenance.clear_embeddings(self.sessions_store.read("chunks"))})
                     self.memories_store.commit({"memories": maintenance.clear_embeddings(self.memories_store.read("memories"))})
@@ -64,7 +68,7 @@ class Engine:
                         roots[h] = self.place(h)
                     except OSError as e:
                         skipped.append({"type": "discovery", "message": str(e)})
-            s = indexer.index_sessions(self.spark, self.sessions_store, roots, self.provider)
+            s = indexer.index_sessions(self.spark, self.sessions_store, roots, self.provider, self.vectors)
             s.warnings = skipped + s.warnings
             self.update_postings(memories=False)
             return s, self.refresh()
@@ -105,7 +109,7 @@ class Engine:
     def refresh(self) -> indexer.Result:
         """Mirror the records in their index."""
         with self.memories_store.writer():
-            done = indexer.refresh_memories(self.spark, self.memories_store, self.records, self.provider)
+            done = indexer.refresh_memories(self.spark, self.memories_store, self.records, self.provider, self.vectors)
             self.update_postings(sessions=False)
         return done
 

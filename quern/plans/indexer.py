@@ -35,7 +35,7 @@ def now_ms() -> int:
     return int(time.time() * 1000)
 
 
-def index_sessions(spark: SparkSession, store: Snapshot, roots: dict[str, str], provider: embedding.Provider | None = None) -> Result:
+def index_sessions(spark: SparkSession, store: Snapshot, roots: dict[str, str], provider: embedding.Provider | None = None, vectors: embedding.VectorStore | None = None) -> Result:
     """Bring the index up to date with the logs below ``roots`` (harness -> place).
 
     New and changed sources are parsed; rows of vanished sources and of harnesses
@@ -117,7 +117,7 @@ def index_sessions(spark: SparkSession, store: Snapshot, roots: dict[str, str],
     if provider is not None:
         chunks = store.read("chunks")
         waiting = buckets_of(maintenance.pending(chunks, provider.fingerprint))
-        table, result.embedded, result.embedding_error = embedding.backfill(chunks, provider, "chunk_key", "text")
+        table, result.embedded, result.embedding_error = embedding.backfill(chunks, provider, "chunk_key", "text", vectors)
         if result.embedded:
             store.commit({"chunks": table}, {"embedding_fingerprint": provider.fingerprint}, {"chunks": waiting})
     return result
@@ -128,7 +128,7 @@ def buckets_of(rows: DataFrame) -> set[int]:
     return {r[0] for r in rows.select(bucket_of("source_key")).distinct().collect()}
 
 
-def refresh_memories(spark: SparkSession, store: Snapshot, records: RecordStore, provider: embedding.Provider | None = None) -> Result:
+def refresh_memories(spark: SparkSession, store: Snapshot, records: RecordStore, provider: embedding.Provider | None = None, vectors: embedding.VectorStore | None = None) -> Result:
     """Mirror the record files in the index: changed files by hash, vanished ones
     deleted; an invalid file keeps its last good row."""
     scanned, warnings = records.scan(spark)
@@ -153,7 +153,7 @@ def refresh_memories(spark: SparkSession, store: Snapshot, records: RecordStore,
         table = maintenance.upsert(table, new, "id", keep=("embedding", "embedding_fingerprint"), same="content")
         store.commit({"memories": table}, {"memories_indexed_at": str(now_ms())})
     if provider is not None:
-        table, result.embedded, result.embedding_error = embedding.backfill(store.read("memories"), provider, "id", "content")
+        table, result.embedded, result.embedding_error = embedding.backfill(store.read("memories"), provider, "id", "content", vectors)
         if result.embedded:
             store.commit({"memories": table})
     return result

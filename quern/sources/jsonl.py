@@ -1,8 +1,14 @@
 """Reading of JSON logs: discovery, tolerant decoding, and the records of each harness.
 
-A file is read by one task; what it gives are flat event rows, and everything
-about a session (bounds, names, numbering, keys) is computed from those with
-DataFrame operations in :mod:`.adapters`.
+A file is read by one task, a large one in ranges by many; what it gives are flat event
+rows, and everything about a session (bounds, names, numbering, keys) is computed from
+those with DataFrame operations in :mod:`.adapters`.
+
+A range begins behind the first line feed at or before it, so every line is read by one
+task.  Records are numbered within the range, and ranges report how many they had; sums of
+those in the order of ranges give the numbers that one read of the file gives.  A file
+that lines don't part into whole records (values over several lines, or one that can't be
+decoded) is read again in one piece, so its events and errors are the same, too.
 """
 
 from __future__ import annotations
@@ -14,12 +20,18 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.identity import stable_key_of
+from ..operators.lineage import cut
 
 _RFC3339 = re.compile(r"(\d{4})-(\d\d)-(\d\d)T(\d\d):(\d\d):(\d\d)(\.\d+)?(Z|[+-]\d\d:\d\d)$")
+#: What a malformed line is reported as (fixed value).
+MALFORMED = "ignored malformed JSONL line"
+#: Bytes of a range; smaller files are read in one piece.
+RANGE = 64 << 20
 #: Prefixes of user texts that a tool injected (fixed values).
 INJECTED = ("# AGENTS.md instructions", "<environment_context>", "<skill>", "<user_action>")
 WRAPPERS = ("<local-command-", "<command-name>", "<command-message>")
@@ -80,7 +92,7 @@ def decode_lines(text: str) -> Iterator[tuple[int, object, str]]:
             yield n, json.loads(body, parse_constant=_no_constant), ""
         except ValueError:
             if n < len(lines):
-                yield n, None, f"ignored malformed JSONL line {n}"
+                yield n, None, f"{MALFORMED} {n}"
 
 
 def string(value, key: str) -> str:
@@ -187,12 +199,97 @@ def events_of(harness: str, source_key: str, path: str) -> Iterator[dict]:
     yield from events_in(harness, source_key, path, text)
 
 
-def read_events(spark: SparkSession, sources: list[dict], harness: str) -> DataFrame:
-    """Event rows of all files, one task for several files."""
-    if not sources:
-        return spark.createDataFrame([], schemas.EVENTS)
-    table = spark.createDataFrame([(s["source_key"], s["path"]) for s in sources], "source_key string, path string")
-    return _events(table.repartition(min(len(sources), 2000)), lambda row: events_of(harness, row.source_key, row.path))
+def lines_in(path: str, begin: int, end: int | None) -> Iterator[tuple[bytes, bool]]:
+    """Lines that begin in a range of a file, and whether a line feed ends them; without an end, up to the file's."""
+    with open(path, "rb") as f:
+        if begin:
+            f.seek(begin - 1)
+            f.readline()
+        at = f.tell()
+        while end is None or at < end:
+            line = f.readline()
+            if not line:
+                return
+            at += len(line)
+            yield line.removesuffix(b"\n"), line.endswith(b"\n")
+
+
+def events_in_range(harness: str, source_key: str, path: str, begin: int, end: int | None) -> Iterator[dict]:
+    """Event rows of a range, numbered from 1, and one of the kind ``count``; one of the kind ``whole`` if the
+    file must be read in one piece."""
+    row = {"source_key": source_key, "path": path, "begin": begin}
+    n = 0
+    try:
+        lines = lines_in(path, begin, end)
+        for raw, ended in lines:
+            text = raw.decode("utf-8", "replace")
+            values: list = []
+            if harness == "codex":
+                n += 1
+                if body := text.strip():
+                    try:
+                        values = [json.loads(body, parse_constant=_no_constant)]
+                    except ValueError:
+                        if ended:
+                            yield row | {"ord": n, "kind": "warning"}
+            else:
+                values, complete = _whole_values(text)
+                if not complete:  # only blank lines may follow what the end of the file cuts off
+                    tail = "\n".join([text, *(x.decode("utf-8", "replace") for x, _ in lines)]) if end is None else None
+                    if tail is None or tail[len(text) :].strip():
+                        raise ValueError(path)
+                    values = list(decode_stream(tail))
+            for value in values:
+                n += harness != "codex"
+                if not isinstance(value, dict):
+                    raise ValueError(path)
+                yield row | {"ord": n, "kind": "event", "ts": millis(string(value, "timestamp"))} | RECORDS[harness](value)
+        yield row | {"ord": n, "kind": "count"}
+    except (OSError, ValueError):
+        yield row | {"ord": 0, "kind": "whole"}
+
+
+def _whole_values(text: str) -> tuple[list, bool]:
+    """The values of a line, and whether nothing else is in it."""
+    decoder, at, out = json.JSONDecoder(parse_constant=_no_constant), 0, []
+    while True:
+        while at < len(text) and text[at] in " \t\r\n":
+            at += 1
+        if at >= len(text):
+            return out, True
+        try:
+            value, at = decoder.raw_decode(text, at)
+        except ValueError:
+            return out, False
+        out.append(value)
+
+
+def read_events(spark: SparkSession, sources: list[dict], harness: str, range_bytes: int = RANGE) -> DataFrame:
+    """Event rows of all files: one task for several small ones, several tasks for a large one."""
+    size = {s["source_key"]: int(s["version"].split(":")[1]) for s in sources}
+    small = [s for s in sources if size[s["source_key"]] <= range_bytes]
+    large = [s for s in sources if size[s["source_key"]] > range_bytes]
+    out = spark.createDataFrame([], schemas.EVENTS)
+    if small:
+        table = spark.createDataFrame([(s["source_key"], s["path"]) for s in small], "source_key string, path string")
+        out = _events(table.repartition(min(len(small), 2000)), lambda row: events_of(harness, row.source_key, row.path))
+    if not large:
+        return out
+    # a range a row, made by the tasks from sizes; the last one has no end, as a file may have grown
+    files = spark.createDataFrame([(s["source_key"], s["path"], size[s["source_key"]]) for s in large], "source_key string, path string, size bigint")
+    begins = files.select("source_key", "path", "size", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1, F.lit(range_bytes).cast("bigint"))).alias("begin"))
+    ranges = begins.select("source_key", "path", "begin", F.when(F.col("begin") + range_bytes < F.col("size"), F.col("begin") + range_bytes).alias("end"))
+    parts = sum(-(-size[s["source_key"]] // range_bytes) for s in large)
+    whole = lambda v: None if v is None or v != v else int(v)
+    rows = cut(_events(ranges.repartition(min(parts, 20_000)), lambda row: events_in_range(harness, row.source_key, row.path, row.begin, whole(row.end)), f"{schemas.EVENTS}, begin bigint"))
+    odd = rows.where("kind = 'whole'").select("source_key", "path").distinct()
+    before = F.sum("n").over(Window.partitionBy("source_key").orderBy("begin").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = rows.where("kind = 'count'").select("source_key", "begin", F.col("ord").alias("n")).withColumn("before", F.coalesce(before, F.lit(0))).drop("n")  # a row a range
+    good = rows.where("kind not in ('count', 'whole')").join(odd.select("source_key"), "source_key", "left_anti").join(offsets, ["source_key", "begin"])
+    good = good.withColumn("ord", F.col("ord") + F.col("before"))
+    good = good.withColumn("message", F.when(F.col("kind") == "warning", F.concat_ws(" ", F.lit(MALFORMED), F.col("ord").cast("string"))).otherwise(F.col("message")))
+    again = _events(odd.repartition("source_key"), lambda row: events_of(harness, row.source_key, row.path))
+    return out.unionByName(good.select(out.columns)).unionByName(again)
 
 
 def read_texts(texts: DataFrame, harness: str) -> DataFrame:
@@ -200,8 +297,8 @@ def read_texts(texts: DataFrame, harness: str) -> DataFrame:
     return _events(texts.select("source_key", "path", "text"), lambda row: events_in(harness, row.source_key, row.path, row.text or ""))
 
 
-def _events(table: DataFrame, read: Callable[..., Iterator[dict]]) -> DataFrame:
-    columns = schemas.names(schemas.EVENTS)
+def _events(table: DataFrame, read: Callable[..., Iterator[dict]], schema: str = schemas.EVENTS) -> DataFrame:
+    columns = schemas.names(schema)
 
     def frame(rows: list[dict]) -> pd.DataFrame:
         out = pd.DataFrame(rows, columns=columns).astype(object)
@@ -222,4 +319,4 @@ def _events(table: DataFrame, read: Callable[..., Iterator[dict]]) -> DataFrame:
             if held:
                 yield frame(held)
 
-    return table.mapInPandas(run, schemas.EVENTS)
+    return table.mapInPandas(run, schema)
