@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from . import corpora
 from . import corpora_sql as S
-from .operators import filters, maintenance
+from .functions import times
+from .operators import maintenance
 from .sources import adapters, jsonl, records, sqlite
 
 QUERIES: dict = {}
@@ -265,7 +266,7 @@ def rfc3339_millis(spark, d):
     day, second, fraction = F.date_format(t, "yyyy-MM-dd"), F.date_format(t, "HH:mm:ss"), F.date_format(t, "SSSSSS")
     i = F.col("event_id") % 4
     text = F.when(i == 0, F.concat(day, F.lit("T"), second, F.lit("."), fraction, F.lit("Z"))).when(i == 1, day).when(i == 2, F.concat(day, F.lit(" "), second)).otherwise("soon")
-    return corpora.read(spark, d, "events").select("event_id", mapped(jsonl.millis, "bigint", text).alias("ms"))
+    return corpora.read(spark, d, "events").select("event_id", times.rfc3339_millis(text).alias("ms"))
 
 
 @query(
@@ -277,7 +278,7 @@ def parse_dates(spark, d):
     t = F.col("ts").cast("timestamp")
     text = F.when(F.col("event_id") % 2 == 0, F.date_format(t, "yyyy-MM-dd")).otherwise(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
     e = corpora.read(spark, d, "events").select("event_id", text.alias("t"))
-    return e.select("event_id", mapped(filters.parse_date, "bigint", F.col("t")).alias("since"), mapped(lambda x: filters.parse_date(x, True), "bigint", F.col("t")).alias("before"))
+    return e.select("event_id", times.bound_millis(F.col("t")).alias("since"), times.bound_millis(F.col("t"), True).alias("before"))
 
 
 @query("SELECT conv_id, turn, trim(text, ' ' || chr(10) || chr(9)) || CASE WHEN turn % 2 = 0 THEN chr(10) || chr(10) || 'more' ELSE '' END AS body FROM conversations")
@@ -312,7 +313,7 @@ def set_difference(spark, d):
 def id_prefix(spark, d):
     """Records whose identifier begins so, by the names of their files; others are no records."""
     name = F.concat(F.lit("m_"), F.lpad(F.col("doc_id").cast("string"), 8, "0"), F.when(F.col("doc_id") % 3 == 1, ".json.bak").otherwise(".json"))
-    m = corpora.read(spark, d, "documents").select(mapped(records.id_of, "string", name).alias("id")).where(F.startswith("id", F.lit("m_0000001")))
+    m = corpora.read(spark, d, "documents").select(records.id_column(name).alias("id")).where(F.startswith("id", F.lit("m_0000001")))
     return m.crossJoin(F.broadcast(m.agg(F.count("*").alias("n_matches"))))
 
 
@@ -335,7 +336,7 @@ def conflict_scan(spark, d):
         .otherwise(".sync-conflict-2026-x.json")
     )
     n = corpora.read(spark, d, "documents").select(F.concat(F.lit("m_"), F.floor(i / 4).cast("string"), end).alias("name"))
-    n = n.withColumn("canonical", mapped(records.canonical, "string", F.col("name"))).where("canonical is not null")
+    n = n.withColumn("canonical", records.canonical_column(F.col("name"))).where("canonical is not null")
     return n.groupBy("canonical").agg(F.array_join(F.sort_array(F.collect_list("name")), ",").alias("copies"))
 
 

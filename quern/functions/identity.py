@@ -6,10 +6,8 @@ import hashlib
 import re
 import urllib.parse
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 
 def stable_key(*parts: Column | str) -> Column:
@@ -58,10 +56,22 @@ def remote_name(raw: str | None) -> str:
 
 
 def normalize_remote(raw: Column) -> Column:
-    """:func:`remote_name` of a column."""
-
-    @F.pandas_udf(StringType())
-    def names(values: pd.Series) -> pd.Series:
-        return values.map(remote_name)
-
-    return names(raw)
+    """:func:`remote_name` of a column, by the same patterns in the JVM.
+
+    An address with a percent sign that begins no escape keeps all of its escapes."""
+    blank = r"^[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{1C}-\x{1F}]+"
+    strip = lambda c: F.regexp_replace(F.regexp_replace(c, blank, ""), blank[1:] + r"\z", "")
+    text = strip(F.coalesce(raw, F.lit("")))
+    long, short = _java(_LONG), rf"^(?:{_java(_SHORT)})\z"
+    is_long = F.contains(text, F.lit("://"))
+    part = lambda name: F.when(is_long, F.regexp_extract(text, f"^{long}", _LONG.groupindex[name])).otherwise(F.regexp_extract(text, short, _SHORT.groupindex[name]))
+    known = ~is_long | F.lower(F.regexp_extract(text, f"^{long}", _LONG.groupindex["scheme"])).isin(*sorted(REMOTE_SCHEMES))
+    path = part("path")
+    path = F.when(is_long, F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)).otherwise(path)
+    host, path = F.lower(strip(part("host"))), F.regexp_replace(F.regexp_replace(strip(path), r"^/+|/+\z", ""), r"\.git\z", "")
+    return F.when(known & (host != "") & (path != ""), F.concat(host, F.lit("/"), path)).otherwise(F.lit(""))
+
+
+def _java(pattern: re.Pattern) -> str:
+    """The pattern for Java, whose named groups are written another way."""
+    return pattern.pattern.replace("(?P<", "(?<")

@@ -13,10 +13,8 @@ decoded) is read again in one piece, so its events and errors are the same, too.
 
 from __future__ import annotations
 
-import datetime as dt
 import json
 import os
-import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -25,9 +23,9 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.identity import stable_key_of
+from ..functions.times import rfc3339_millis
 from ..operators.lineage import cut
 
-_RFC3339 = re.compile(r"(\d{4})-(\d\d)-(\d\d)T(\d\d):(\d\d):(\d\d)(\.\d+)?(Z|[+-]\d\d:\d\d)$")
 #: What a malformed line is reported as (fixed value).
 MALFORMED = "ignored malformed JSONL line"
 #: Bytes of a range; smaller files are read in one piece.
@@ -110,18 +108,6 @@ def content_text(content, types: tuple[str, ...]) -> str:
     return "\n\n".join(texts)
 
 
-def millis(value: str) -> int | None:
-    m = _RFC3339.match(value)
-    if not m:
-        return None
-    try:
-        zone = dt.UTC if m[8] == "Z" else dt.timezone((1 if m[8][0] == "+" else -1) * dt.timedelta(hours=int(m[8][1:3]), minutes=int(m[8][4:])))
-        when = dt.datetime(*(int(m[i]) for i in range(1, 7)), tzinfo=zone)
-    except ValueError:
-        return None
-    return int(when.timestamp()) * 1000 + int(((m[7] or ".0")[1:] + "000")[:3])
-
-
 def pi_record(v: dict) -> dict:
     kind = string(v, "type")
     if kind == "session":
@@ -183,7 +169,7 @@ def events_in(harness: str, source_key: str, path: str, text: str) -> Iterator[d
                 value = {}
             if not isinstance(value, dict):
                 raise ValueError(f"record {n} is no object")
-            yield row | {"ord": n, "kind": "event", "ts": millis(string(value, "timestamp"))} | RECORDS[harness](value)
+            yield row | {"ord": n, "kind": "event", "ts": string(value, "timestamp")} | RECORDS[harness](value)
     except ValueError as e:
         yield row | {"ord": n + 1, "kind": "error", "message": str(e)}
 
@@ -243,7 +229,7 @@ def events_in_range(harness: str, source_key: str, path: str, begin: int, end: i
                 n += harness != "codex"
                 if not isinstance(value, dict):
                     raise ValueError(path)
-                yield row | {"ord": n, "kind": "event", "ts": millis(string(value, "timestamp"))} | RECORDS[harness](value)
+                yield row | {"ord": n, "kind": "event", "ts": string(value, "timestamp")} | RECORDS[harness](value)
         yield row | {"ord": n, "kind": "count"}
     except (OSError, ValueError):
         yield row | {"ord": 0, "kind": "whole"}
@@ -303,7 +289,6 @@ def _events(table: DataFrame, read: Callable[..., Iterator[dict]], schema: str =
     def frame(rows: list[dict]) -> pd.DataFrame:
         out = pd.DataFrame(rows, columns=columns).astype(object)
         out = out.where(out.notna(), None)
-        out["ts"] = out["ts"].astype("Int64")
         out["ord"] = out["ord"].astype("int64")
         return out
 
@@ -319,4 +304,5 @@ def _events(table: DataFrame, read: Callable[..., Iterator[dict]], schema: str =
             if held:
                 yield frame(held)
 
-    return table.mapInPandas(run, schema)
+    # times come as they are written and are read in the JVM
+    return table.mapInPandas(run, schema.replace("ts bigint", "ts string")).withColumn("ts", rfc3339_millis(F.col("ts")))

@@ -92,6 +92,37 @@ def test_no_remote(spark):
     assert one(spark, [(b,) for b in bad], "t string", identity.normalize_remote(F.col("t"))) == [("",)] * 5
 
 
+def test_remotes_in_the_jvm(spark):
+    """The column and the driver's function agree."""
+    rng = random.Random(4)
+    parts = ["https://", "ssh://", "git@", "HTTP://", "h.Org", "[::1]", ":22", ":", "/", "o%20r", "a+b", ".git", "?q", "#f", " ", "x@y", "//", "é", "%zz", "\t", "ftp://"]
+    raw = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 7))) for _ in range(800)] + [None]
+    raw = [r for r in raw if r is None or not ("%zz" in r and "%20" in r)]
+    got = spark.createDataFrame([(i, r) for i, r in enumerate(raw)], "i int, t string").select("i", identity.normalize_remote(F.col("t")).alias("n")).collect()
+    assert {r["i"]: r["n"] for r in got} == {i: identity.remote_name(r) for i, r in enumerate(raw)}
+
+
+def test_times(spark):
+    from quern.functions import times
+
+    said = {
+        "2026-01-01T00:00:00Z": 1767225600000, "2026-01-01T00:00:00.5Z": 1767225600500, "2026-01-01T01:00:00.123456+01:00": 1767225600123, "2026-01-01T00:00:00-05:30": 1767245400000,
+        "2026-07-29": None, "2026-13-01T00:00:00Z": None, "2026-02-30T00:00:00Z": None, "2026-01-01 00:00:00Z": None, "2026-01-01T00:00:00": None, "": None, "soon": None, None: None,
+    }
+    got = spark.createDataFrame([(k,) for k in said], "t string").select("t", times.rfc3339_millis(F.col("t")).alias("ms"), times.bound_millis(F.col("t"), True).alias("last")).collect()
+    assert {r["t"]: r["ms"] for r in got} == said
+    last = {r["t"]: r["last"] for r in got}
+    assert last["2026-07-29"] == filters.parse_date("2026-07-29", True) and last["2026-01-01T00:00:00Z"] == 1767225600000 and last["soon"] is None
+
+
+def test_record_names_in_the_jvm(spark):
+    from quern.sources import records
+
+    names = ["m_abc123.json", "m_abc123.json.bak", "m_ABC123.json", "m_a.json", "x.sync-conflict-20260101-000000-AbC.json", "x.SYNC-conflict-20260101-000000-1.JSON", "x.sync-conflict-2026-1.json", "m_abc123.json\n", ""]
+    got = spark.createDataFrame([(n,) for n in names], "n string").select(records.id_column(F.col("n")), records.canonical_column(F.col("n"))).collect()
+    assert [tuple(r) for r in got] == [(records.id_of(n), records.canonical(n)) for n in names]
+
+
 def test_stable_key(spark):
     ((k,),) = one(spark, [("é", "b")], "a string, b string", identity.stable_key("x", F.col("a"), F.col("b")))
     assert k == identity.stable_key_of("x", "é", "b")
