@@ -49,12 +49,13 @@ def index_sessions(spark: SparkSession, store: Snapshot, roots: dict[str, str],
     touched = False
     buckets: set[int] = set()
     stamp = now_ms()
+    number = store.buckets("chunks")
     old = {t: store.read(t) for t in ("sources", "sessions", "chunks", "parser_errors")}
     sources, sessions, chunks, errors = old.values()
     supported = F.col("harness").isin(*HARNESSES)
     if not maintenance.removed_harnesses(sources, errors, HARNESSES).isEmpty():
         touched = True
-        buckets |= buckets_of(sources.where(~supported))
+        buckets |= buckets_of(sources.where(~supported), number)
     sources, sessions, errors = (df.where(supported) for df in (sources, sessions, errors))
     found: dict[str, list[dict]] = {}
     for harness, root in roots.items():
@@ -74,7 +75,7 @@ def index_sessions(spark: SparkSession, store: Snapshot, roots: dict[str, str],
     gone = status.where("status = 'missing'").select("source_key")
     if result.deleted:
         touched = True
-        buckets |= buckets_of(gone)
+        buckets |= buckets_of(gone, number)
         sources = sources.join(gone, "source_key", "left_anti")
     if not maintenance.vanished(theirs, table).isEmpty():
         touched = True
@@ -94,7 +95,7 @@ def index_sessions(spark: SparkSession, store: Snapshot, roots: dict[str, str],
         result.updated += len(those) - n_failed
         if len(those) > n_failed or not said.join(theirs.select("source_key", "error"), ["source_key", "error"], "left_anti").isEmpty():
             touched = True
-        buckets |= buckets_of(good)
+        buckets |= buckets_of(good, number)
         errors = errors.join(good.select("source_key"), "source_key", "left_anti")
         errors = maintenance.record_errors(errors, said.drop("failed"))
         sources = maintenance.upsert(sources, good.withColumn("indexed_at", F.lit(stamp)), "source_key")
@@ -111,21 +112,21 @@ def index_sessions(spark: SparkSession, store: Snapshot, roots: dict[str, str],
         sessions = maintenance.cascade(sessions, sources, "source_key")
         # of a re-read source only the sessions it still has; a session may have moved to another source
         moved = old["sessions"].join(sessions.select("session_key", F.col("source_key").alias("_now")), "session_key").where("source_key <> _now")
-        buckets |= buckets_of(moved)
+        buckets |= buckets_of(moved, number)
         chunks = chunks.join(sessions.select("session_key", "source_key"), ["session_key", "source_key"], "left_semi")
         store.commit({"sources": sources, "sessions": sessions, "chunks": chunks, "parser_errors": errors}, {"last_indexed_at": str(stamp)}, {"chunks": buckets})
     if provider is not None:
         chunks = store.read("chunks")
-        waiting = buckets_of(maintenance.pending(chunks, provider.fingerprint))
+        waiting = buckets_of(maintenance.pending(chunks, provider.fingerprint), store.buckets("chunks"))
         table, result.embedded, result.embedding_error = embedding.backfill(chunks, provider, "chunk_key", "text", vectors)
         if result.embedded:
             store.commit({"chunks": table}, {"embedding_fingerprint": provider.fingerprint}, {"chunks": waiting})
     return result
 
 
-def buckets_of(rows: DataFrame) -> set[int]:
-    """The buckets of the chunks of these sources; at most ``BUCKETS`` numbers."""
-    return {r[0] for r in rows.select(bucket_of("source_key")).distinct().collect()}
+def buckets_of(rows: DataFrame, number: int) -> set[int]:
+    """The buckets of the chunks of these sources, of so many."""
+    return {r[0] for r in rows.select(bucket_of("source_key", number)).distinct().collect()}
 
 
 def refresh_memories(spark: SparkSession, store: Snapshot, records: RecordStore, provider: embedding.Provider | None = None, vectors: embedding.VectorStore | None = None) -> Result:

@@ -7,13 +7,16 @@ unused folders, and two writers can't create the same manifest.  All file
 operations go through Hadoop's file system API, so the root may be in any store.
 
 Large tables lie in buckets of a key (:data:`PARTED`), each a folder of its own, so a
-commit writes the buckets that changed and the manifest names the others again.
+commit writes the buckets that changed and the manifest names the others again.  Their
+number follows the rows of the table whenever all of it is written; a bucket that is large
+all the same is dealt to several tasks and files.
 What newer commits don't name stays for ``KEEP_MS``, for readers that still use it.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import os
 import socket
 import time
@@ -30,14 +33,19 @@ from ..operators.lineage import cut
 
 #: Commits whose folders stay in any case, and how long all others stay.
 KEEP, KEEP_MS = 2, 24 * 3600 * 1000
-#: Tables in buckets, by key, and the number of buckets.
-PARTED, BUCKETS = {"chunks": "source_key"}, 64
+#: Tables in buckets, by key; the number of buckets that a small table has, rows that a bucket of a larger one aims at, and the most.
+PARTED, BUCKETS, BUCKET_ROWS, MOST_BUCKETS = {"chunks": "source_key"}, 64, 500_000, 16_384
 #: After so long the lock of a writer that can't be asked counts as left behind.
 LEASE_MS = 6 * 3600 * 1000
 
 
-def bucket_of(key: str) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+def bucket_of(key: str, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def buckets_for(rows: int) -> int:
+    """A power of two, so that the number changes seldom."""
+    return min(MOST_BUCKETS, max(BUCKETS, 1 << max(0, math.ceil(math.log2(max(1, rows) / BUCKET_ROWS)))))
 
 
 class Snapshot:
@@ -89,14 +97,19 @@ class Snapshot:
         it all are written."""
         now = self.manifest()
         written: dict = {}
+        meta = dict(meta or {})
         for name, df in tables.items():
             path = f"data/{name}-{now['number'] + 1:06d}-{uuid.uuid4().hex[:8]}"
             if name in PARTED:
-                written[name] = self._write_buckets(name, df, path, now["tables"].get(name), (buckets or {}).get(name))
+                old, changed = now["tables"].get(name), (buckets or {}).get(name)
+                whole = not isinstance(old, dict) or changed is None
+                number = buckets_for(df.count()) if whole else self.buckets(name)
+                meta[f"buckets_{name}"] = str(number)
+                written[name] = self._write_buckets(name, df, path, number, {} if whole else old, None if whole else changed)
                 continue
             df.select(*schemas.names(schemas.TABLES[name])).write.parquet(f"{self.root}/{path}")
             written[name] = path
-        new = {"schema_version": schemas.VERSION, "number": now["number"] + 1, "tables": now["tables"] | written | (folders or {}), "meta": now["meta"] | (meta or {})}
+        new = {"schema_version": schemas.VERSION, "number": now["number"] + 1, "tables": now["tables"] | written | (folders or {}), "meta": now["meta"] | meta}
         out = self.fs.create(self._path(f"{self.root}/manifest-{new['number']:06d}.json"), False)
         try:
             out.write(bytearray(json.dumps(new, indent=2).encode()))
@@ -105,16 +118,20 @@ class Snapshot:
         self._vacuum()
         return new["number"]
 
-    def _write_buckets(self, name: str, df: DataFrame, path: str, old, changed: Iterable[int] | None) -> dict[str, str]:
-        """Folder by bucket: new ones of the changed buckets, the old ones of the rest."""
-        df = df.select(*schemas.names(schemas.TABLES[name]), bucket_of(PARTED[name]).alias("bucket"))
+    def buckets(self, name: str) -> int:
+        """The number of buckets that a table has."""
+        return int(self.manifest()["meta"].get(f"buckets_{name}", BUCKETS))
+
+    def _write_buckets(self, name: str, df: DataFrame, path: str, number: int, old: dict[str, str], changed: Iterable[int] | None) -> dict[str, str]:
+        """Folder by bucket: new ones of the changed buckets (None: of all), the old ones of the rest."""
+        df = df.select(*schemas.names(schemas.TABLES[name]), bucket_of(PARTED[name], number).alias("bucket"))
         kept: dict[str, str] = {}
-        if isinstance(old, dict) and changed is not None:
+        if changed is not None:
             changed = sorted(set(changed))
             kept = {b: p for b, p in old.items() if int(b) not in changed}
             df = df.where(F.col("bucket").isin(changed))
-        # rows of a bucket come together, so a bucket is few files
-        df.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.root}/{path}")
+        # rows of a bucket come together, so a small one is few files, and a large one is split by its size
+        df.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.root}/{path}")
         there = [s.getPath().getName() for s in self.fs.listStatus(self._path(f"{self.root}/{path}"))]
         return kept | {n.removeprefix("bucket="): f"{path}/{n}" for n in there if n.startswith("bucket=")}
 

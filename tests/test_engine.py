@@ -416,3 +416,27 @@ def test_poller(spark, tmp_path):
         q.awaitTermination(0.5)
     q.stop()
     assert runs
+
+
+def test_buckets_follow_the_size(spark, tmp_path, monkeypatch):
+    """A table that is written whole gets buckets by its rows; partial writes keep their number."""
+    from quern import schemas
+    from quern.plans import snapshot
+
+    monkeypatch.setattr(snapshot, "BUCKETS", 2)
+    monkeypatch.setattr(snapshot, "BUCKET_ROWS", 10)
+    assert [snapshot.buckets_for(n) for n in (0, 20, 21, 80, 10**12)] == [2, 2, 4, 8, snapshot.MOST_BUCKETS]
+    names = schemas.names(schemas.CHUNKS)
+    empty = spark.createDataFrame([], schemas.CHUNKS)
+    made = spark.range(70).select(F.concat(F.lit("c"), F.col("id")).alias("chunk_key"), F.concat(F.lit("s"), F.col("id") % 30).alias("source_key"), F.lit("text").alias("text"))
+    rows = empty.unionByName(made, allowMissingColumns=True).select(*names)
+    store = Snapshot(spark, str(tmp_path / "store"))
+    store.commit({"chunks": rows})
+    assert store.buckets("chunks") == 8 and store.read("chunks").count() == 70
+    before = store.manifest()["tables"]["chunks"]
+    number = spark.createDataFrame([("s3",)], "source_key string").select(bucket_of("source_key", 8)).first()[0]
+    store.commit({"chunks": store.read("chunks").where("source_key <> 's3'")}, buckets={"chunks": [number]})
+    after = store.manifest()["tables"]["chunks"]
+    assert store.buckets("chunks") == 8 and {b for b in before if before[b] != after.get(b)} == {str(number)} and store.read("chunks").where("source_key = 's3'").count() == 0
+    store.commit({"chunks": store.read("chunks").limit(5)})
+    assert store.buckets("chunks") == 2 and store.read("chunks").count() == 5
