@@ -46,7 +46,25 @@ class Engine:
 
     # indexing
 
-    def index(self, rebuild: bool = False, reembed: bool = False, harnesses: tuple[str, ...] = ()) -> tuple[indexer.Result, indexer.Result]:
+    def roots(self, harnesses: tuple[str, ...] = ()) -> tuple[dict[str, str], list[dict]]:
+        """Where the harnesses that are wanted and installed keep their sessions, and a warning for each other one."""
+        wanted = [h for h in filters.HARNESSES if self.config.harnesses.get(h) and (not harnesses or h in harnesses)]
+        available = {h: self.installed(h) for h in wanted}
+        skipped = [{"type": "skipped", "message": f"{h} is not installed; its sessions stay as they are"} for h in wanted if not available[h]]
+        roots: dict[str, str] = {}
+        for h in wanted:
+            if available[h]:
+                try:
+                    roots[h] = self.place(h)
+                except OSError as e:
+                    skipped.append({"type": "discovery", "message": str(e)})
+        return roots, skipped
+
+    def index_batch(self, mark: str) -> tuple[indexer.Result, indexer.Result] | None:
+        """:meth:`index` for a batch of a stream; None if the index has that batch already."""
+        return None if self.sessions_store.meta("batch") == mark else self.index(batch=mark)
+
+    def index(self, rebuild: bool = False, reembed: bool = False, harnesses: tuple[str, ...] = (), batch: str = "") -> tuple[indexer.Result, indexer.Result]:
         """Sessions, then memories."""
         with self.sessions_store.writer():
             with self.memories_store.writer():
@@ -58,17 +76,8 @@ class Engine:
                 if reembed and not rebuild:
                     self.sessions_store.commit({"chunks": maintenance.clear_embeddings(self.sessions_store.read("chunks"))})
                     self.memories_store.commit({"memories": maintenance.clear_embeddings(self.memories_store.read("memories"))})
-            wanted = [h for h in filters.HARNESSES if self.config.harnesses.get(h) and (not harnesses or h in harnesses)]
-            available = {h: self.installed(h) for h in wanted}
-            skipped = [{"type": "skipped", "message": f"{h} is not installed; its sessions stay as they are"} for h in wanted if not available[h]]
-            roots: dict[str, str] = {}
-            for h in wanted:
-                if available[h]:
-                    try:
-                        roots[h] = self.place(h)
-                    except OSError as e:
-                        skipped.append({"type": "discovery", "message": str(e)})
-            s = indexer.index_sessions(self.spark, self.sessions_store, roots, self.provider, self.vectors)
+            roots, skipped = self.roots(harnesses)
+            s = indexer.index_sessions(self.spark, self.sessions_store, roots, self.provider, self.vectors, {"batch": batch} if batch else None)
             s.warnings = skipped + s.warnings
             self.update_postings(memories=False)
             return s, self.refresh()

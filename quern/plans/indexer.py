@@ -35,7 +35,7 @@ def now_ms() -> int:
     return int(time.time() * 1000)
 
 
-def index_sessions(spark: SparkSession, store: Snapshot, roots: dict[str, str], provider: embedding.Provider | None = None, vectors: embedding.VectorStore | None = None) -> Result:
+def index_sessions(spark: SparkSession, store: Snapshot, roots: dict[str, str], provider: embedding.Provider | None = None, vectors: embedding.VectorStore | None = None, meta: dict[str, str] | None = None) -> Result:
     """Bring the index up to date with the logs below ``roots`` (harness -> place).
 
     New and changed sources are parsed; rows of vanished sources and of harnesses
@@ -43,7 +43,7 @@ def index_sessions(spark: SparkSession, store: Snapshot, roots: dict[str, str],
     version, so it is tried again.  Harnesses that aren't in ``roots`` are left alone.
 
     Nothing is written if nothing changed; of the chunks only the buckets of sources
-    that were read anew or are gone.
+    that were read anew or are gone.  ``meta`` is kept in the manifest of the rows.
     """
     result = Result()
     touched = False
@@ -114,7 +114,7 @@ def index_sessions(spark: SparkSession, store: Snapshot, roots: dict[str, str],
         moved = old["sessions"].join(sessions.select("session_key", F.col("source_key").alias("_now")), "session_key").where("source_key <> _now")
         buckets |= buckets_of(moved, number)
         chunks = chunks.join(sessions.select("session_key", "source_key"), ["session_key", "source_key"], "left_semi")
-        store.commit({"sources": sources, "sessions": sessions, "chunks": chunks, "parser_errors": errors}, {"last_indexed_at": str(stamp)}, {"chunks": buckets})
+        store.commit({"sources": sources, "sessions": sessions, "chunks": chunks, "parser_errors": errors}, {"last_indexed_at": str(stamp), **(meta or {})}, {"chunks": buckets})
     if provider is not None:
         chunks = store.read("chunks")
         waiting = buckets_of(maintenance.pending(chunks, provider.fingerprint), store.buckets("chunks"))
