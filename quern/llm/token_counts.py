@@ -25,7 +25,9 @@ words at a time.
 
 from __future__ import annotations
 
+import functools
 import json
+import os
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -37,9 +39,11 @@ from pyspark.sql import functions as F
 from .common import cut
 
 #: Pre-tokens that go to all tasks, and the length up to which one may be among them.
-MOST, SHORT = 250_000, 64
+MOST, SHORT = 400_000, 64
 #: Different words of a task after which what was counted is sent on.
-HELD = 200_000
+HELD = 300_000
+#: Rows of a batch that are worked on at once.
+SOME = 500
 #: More than the known pieces of any text: what a word with other pre-tokens counts beside its known ones.
 OTHERS = 1 << 48
 #: Steps of the histogram of frequencies for each doubling.
@@ -75,6 +79,7 @@ class Cutter:
     def tokenizer(self):
         """The library's own, which tasks need for encoding and for characters beyond ``PLAIN`` only."""
         if self._tokenizer is None:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for every core
             from tokenizers import Tokenizer
 
             self._tokenizer = Tokenizer.from_str(self._json)
@@ -104,6 +109,34 @@ class Cutter:
         return [len(e.ids) for e in self.tokenizer.encode_batch(pre_tokens, add_special_tokens=False)]
 
 
+@functools.lru_cache(maxsize=1)
+def cutter_of(tokenizer_json: str) -> Cutter:
+    """Made once a worker, not once a task."""
+    return Cutter(tokenizer_json)
+
+
+@functools.lru_cache(maxsize=1)
+def _pieces_of(raw: bytes) -> dict[str, int]:
+    read = pa.ipc.open_stream(raw).read_all()
+    return dict(zip(read.column(0).to_pylist(), read.column(1).to_pylist(), strict=True))
+
+
+class Memo(dict):
+    """Remembers what ``look`` says of words that a space begins.
+
+    A class of the module, as one made by a task would keep the task's tables until a full collection."""
+
+    __slots__ = ("look",)
+
+    def __init__(self, look: Callable[[str, str], int]):
+        super().__init__()
+        self.look = look
+
+    def __missing__(self, word: str) -> int:
+        found = self[word] = self.look(word, " ")
+        return found
+
+
 def _texts(column: pa.Array, some: int = 200) -> Iterator[str]:
     """The texts of a batch, some at a time."""
     for at in range(0, len(column), some):
@@ -115,7 +148,7 @@ def distinct_pre_tokens(docs: DataFrame, vocabulary, text_col: str = "text", hel
     """pre_token, n, pieces: every distinct pre-token, how often it stands in the texts, and its pieces."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = Cutter(vocabulary.value)
+        cutter = cutter_of(vocabulary.value)
         first, later = Counter(), Counter()
 
         def flush() -> pa.RecordBatch:
@@ -139,10 +172,11 @@ def distinct_pre_tokens(docs: DataFrame, vocabulary, text_col: str = "text", hel
             yield flush()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = Cutter(vocabulary.value)
+        cutter = cutter_of(vocabulary.value)
         for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cutter.pieces(batch.column(0).to_pylist()), pa.int64())], names=["pre_token", "n", "pieces"])
+            for at in range(0, batch.num_rows, SOME):
+                part = batch.slice(at, SOME)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(cutter.pieces(part.column(0).to_pylist()), pa.int64())], names=["pre_token", "n", "pieces"])
 
     counted = docs.select(text_col).mapInArrow(count, "pre_token string, n bigint").groupBy("pre_token").agg(F.sum("n").alias("n"))
     return counted.mapInArrow(encode, "pre_token string, n bigint, pieces bigint")
@@ -183,9 +217,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", tex
     shared = docs.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())  # ``most`` short strings at most
 
     def of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = Cutter(vocabulary.value)
-        read = pa.ipc.open_stream(shared.value).read_all()
-        pieces = dict(zip(read.column(0).to_pylist(), read.column(1).to_pylist(), strict=True))
+        cutter = cutter_of(vocabulary.value)
+        pieces = _pieces_of(shared.value)
         def look(word: str, lead: str) -> int:
             """Pieces of a word's known pre-tokens; ``OTHERS`` more if there are others."""
             total, more = 0, 0
@@ -197,12 +230,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", tex
                     total += n
             return total + more
 
-        class Memo(dict):
-            def __missing__(self, word: str) -> int:
-                found = self[word] = look(word, " ")
-                return found
-
-        memo = Memo()
+        memo = Memo(look)
 
         def of(text: str) -> tuple[int, Counter]:
             parts = cutter.parts(text)
@@ -221,16 +249,21 @@ def count_tokens(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", tex
             return total, others
 
         for batch in batches:
-            rows = []
-            for text in _texts(batch.column("text")):
+            for at in range(0, batch.num_rows, SOME):
+                part = batch.slice(at, SOME)
                 if len(memo) > held:
                     memo.clear()
-                total, others = of(text)
-                rows.append((len(text.encode()), total, [{"pre_token": t, "n": n} for t, n in others.items()]))
-            if rows:
-                kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("pre_token", pa.string()), ("n", pa.int64())]))]
-                made = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), *made], names=["rid", "doc_id", "n_bytes", "n_known", "others"])
+                sizes, known_, ends, names, counts = [], [], [0], [], []
+                for text in _texts(part.column("text")):
+                    total, others = of(text)
+                    sizes.append(len(text.encode()))
+                    known_.append(total)
+                    names += others.keys()
+                    counts += others.values()
+                    ends.append(len(names))
+                each = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(counts, pa.int64())], names=["pre_token", "n"])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each)
+                yield pa.RecordBatch.from_arrays([part.column("rid"), part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(known_, pa.int64()), lists], names=["rid", "doc_id", "n_bytes", "n_known", "others"])
 
     texts = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     rows = texts.mapInArrow(of_texts, f"rid bigint, doc_id bigint, {_FOUND}")
