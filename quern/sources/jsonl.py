@@ -26,8 +26,8 @@ from ..functions.identity import stable_key_of
 from ..functions.times import rfc3339_millis
 from ..operators.lineage import cut
 
-#: What a malformed line is reported as (fixed value).
-MALFORMED = "ignored malformed JSONL line"
+#: What a malformed line and a value that can't be decoded are reported as (fixed values).
+MALFORMED, UNDECODED = "ignored malformed JSONL line", "decode JSON near byte"
 #: Bytes of a range; smaller files are read in one piece.
 RANGE = 64 << 20
 #: Prefixes of user texts that a tool injected (fixed values).
@@ -75,7 +75,7 @@ def decode_stream(text: str) -> Iterator[object]:
         except json.JSONDecodeError as e:
             if _cut_off(text, e):
                 return
-            raise ValueError(f"decode JSON near byte {len(text[: e.pos].encode())}: {e.msg}") from None
+            raise ValueError(f"{UNDECODED} {len(text[: e.pos].encode())}: {e.msg}") from None
         yield value
 
 
