@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .operators import chunking
+from .operators.filters import path_key
 from .operators.lineage import spread
 
 FINGERPRINT = "table:v1"
@@ -44,7 +45,7 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("/work/p"), (F.col("conv_id") % 5).cast("string")).alias("cwd"), T.first_line_title(F.col("first_user")).alias("name"),
         F.concat(F.lit("topic"), (F.col("conv_id") % 3).cast("string")).alias("git_branch"),
         (F.col("conv_id") * 1000 + F.col("first_turn")).alias("started_at"), (F.col("conv_id") * 1000 + F.col("last_turn")).alias("updated_at"),
-    )
+    ).withColumn("cwd_key", path_key(F.col("cwd")))
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +74,7 @@ def stored(rows: DataFrame) -> DataFrame:
 def session_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search rows: chunks with their session's columns and token arrays."""
     s = sessions(spark, sf_dir)
-    s = s.select("session_key", "native_id", "harness", "cwd", "updated_at", *[T.tokens(T.normalize(F.col(c))).alias(t) for t, c in (("t_name", "name"), ("t_cwd", "cwd"), ("t_native", "native_id"), ("t_branch", "git_branch"))])
+    s = s.select("session_key", "native_id", "harness", "cwd", "cwd_key", "updated_at", *[T.tokens(T.normalize(F.col(c))).alias(t) for t, c in (("t_name", "name"), ("t_cwd", "cwd"), ("t_native", "native_id"), ("t_branch", "git_branch"))])
     return stored(chunks(spark, sf_dir).withColumnRenamed("tokens", "t_content").join(s, "session_key").withColumn("group_key", F.col("session_key")))
 
 

@@ -12,12 +12,24 @@ HARNESSES = ("pi", "codex", "opencode", "claude")
 ROLES = ("user", "assistant")
 
 
-def path_prefix(col: Column, path: str) -> Column:
-    """The directory itself (case-sensitive) or below it (ASCII case-insensitive)."""
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def path_key(col: Column) -> Column:
+    """A directory as prefixes are compared: ASCII letters in lower case."""
+    return F.translate(col, _UPPER, _LOWER)
+
+
+def path_prefix(col: Column, path: str, key: Column | None = None) -> Column:
+    """The directory itself (case-sensitive) or below it (ASCII case-insensitive).
+
+    With ``key``, a column that holds :func:`path_key`, both are comparisons of columns with
+    constants, which reach the scan: what is below a directory is a range of keys, for in the
+    order of bytes "0" comes right after "/"."""
     p = path.rstrip("/")
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    low = p.translate(str.maketrans(upper, lower))
-    return (col == p) | F.startswith(F.translate(col, upper, lower), F.lit(low + "/"))
+    low = p.translate(str.maketrans(_UPPER, _LOWER))
+    key = path_key(col) if key is None else key
+    return ((key == low) & (col == p)) | ((key >= low + "/") & (key < low + "0"))
 
 
 def parse_date(value: str, end_of_day: bool = False) -> int:
@@ -71,7 +83,7 @@ class SessionFilters:
         if self.harnesses:
             p &= F.col("harness").isin(*self.harnesses)
         if self.path:
-            p &= path_prefix(F.col("cwd"), self.path)
+            p &= path_prefix(F.col("cwd"), self.path, F.col("cwd_key"))
         if self.since is not None:
             p &= F.col("updated_at") >= self.since
         if self.before is not None:

@@ -139,7 +139,7 @@ class Engine:
 
     @staticmethod
     def _rows_of_sessions(chunks: DataFrame, s: DataFrame) -> DataFrame:
-        s = s.select("session_key", "native_id", "harness", "cwd", "updated_at", *[T.tokens(T.normalize(F.col(c))).alias(t) for t, c in (("t_name", "name"), ("t_cwd", "cwd"), ("t_native", "native_id"), ("t_branch", "git_branch"))])
+        s = s.select("session_key", "native_id", "harness", "cwd", "cwd_key", "updated_at", *[T.tokens(T.normalize(F.col(c))).alias(t) for t, c in (("t_name", "name"), ("t_cwd", "cwd"), ("t_native", "native_id"), ("t_branch", "git_branch"))])
         rows = chunks.withColumnRenamed("tokens", "t_content").withColumn("row_id", F.col("chunk_key"))
         return rows.join(s, "session_key").withColumn("group_key", F.col("session_key"))
 

@@ -35,6 +35,8 @@ from ..operators.lineage import cut
 KEEP, KEEP_MS = 2, 24 * 3600 * 1000
 #: Tables in buckets, by key; the number of buckets that a small table has, rows that a bucket of a larger one aims at, and the most.
 PARTED, BUCKETS, BUCKET_ROWS, MOST_BUCKETS = {"chunks": "source_key"}, 64, 500_000, 16_384
+#: Tables sorted by a key, so that a range of it skips files and row groups.
+CLUSTERED = {"sessions": "cwd_key"}
 #: After so long the lock of a writer that can't be asked counts as left behind.
 LEASE_MS = 6 * 3600 * 1000
 
@@ -107,7 +109,10 @@ class Snapshot:
                 meta[f"buckets_{name}"] = str(number)
                 written[name] = self._write_buckets(name, df, path, number, {} if whole else old, None if whole else changed)
                 continue
-            df.select(*schemas.names(schemas.TABLES[name])).write.parquet(f"{self.root}/{path}")
+            df = df.select(*schemas.names(schemas.TABLES[name]))
+            if key := CLUSTERED.get(name):
+                df = df.repartitionByRange(key).sortWithinPartitions(key)
+            df.write.parquet(f"{self.root}/{path}")
             written[name] = path
         new = {"schema_version": schemas.VERSION, "number": now["number"] + 1, "tables": now["tables"] | written | (folders or {}), "meta": now["meta"] | meta}
         out = self.fs.create(self._path(f"{self.root}/manifest-{new['number']:06d}.json"), False)

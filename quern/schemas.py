@@ -1,11 +1,11 @@
 """Fixed schemas of the engine's tables; absent strings are '', unknown times 0."""
 
-VERSION = 1
+VERSION = 2
 
 SOURCES = "source_key string, harness string, path string, version string, indexed_at bigint"
 SESSIONS = (
     "session_key string, harness string, native_id string, parent_id string, name string, cwd string, source_key string, source_path string, "
-    "started_at bigint, updated_at bigint, git_branch string, git_remote string, generation bigint"
+    "started_at bigint, updated_at bigint, git_branch string, git_remote string, generation bigint, cwd_key string"
 )
 CHUNKS = (
     "chunk_key string, session_key string, source_key string, entry_key string, entry_native_id string, entry_parent_id string, kind string, part int, role string, "

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import identity
 from ..functions import text as T
+from ..operators.filters import path_key
 from ..operators.lineage import cut
 from ..operators.running import running_totals
 from . import jsonl, sqlite
@@ -69,6 +70,7 @@ def assemble(events: DataFrame, harness: str, known: DataFrame) -> Parsed:
         identity.stable_key(harness, F.col("native_id")).alias("session_key"), F.lit(harness).alias("harness"), "native_id", blank("parent_id"),
         F.coalesce("name", T.first_line_title(F.col("first_user"))).alias("name"), blank("cwd"), "source_key", F.col("path").alias("source_path"),
         F.coalesce("started_at", F.lit(0)).cast("bigint").alias("started_at"), F.coalesce("updated_at", F.lit(0)).cast("bigint").alias("updated_at"), blank("git_branch"), blank("git_remote"),
+        path_key(F.coalesce(F.col("cwd"), F.lit(""))).alias("cwd_key"),
     )
     rows = events.where(is_entry & (F.col("kind") == "event"))
     if harness == "codex":  # an entry without an identifier has its number among those that count

@@ -9,9 +9,9 @@ from http.server import BaseHTTPRequestHandler, HTTPServer
 import pytest
 from pyspark.sql import functions as F
 
-from quern import cli, config, project
+from quern import cli, config, project, schemas
 from quern.functions.identity import stable_key_of
-from quern.operators import segments
+from quern.operators import filters, segments
 from quern.operators.filters import MemoryFilters, SessionFilters
 from quern.plans import embedding
 from quern.plans.engine import MEMORY_TABLES, SESSION_TABLES, Engine
@@ -418,6 +418,24 @@ def test_poller(spark, tmp_path):
     assert runs
 
 
+def test_path_filter_reaches_the_scan(spark, tmp_path):
+    """A directory and what is below it are a range of keys that the scan gets; sessions are sorted by it."""
+    e = engine(spark, tmp_path)
+    rows = spark.range(3000).select(F.concat(F.lit("k"), F.col("id")).alias("session_key"), F.concat(F.lit("/Work/p"), F.lpad(F.col("id").cast("string"), 5, "0"), F.lit("/src")).alias("cwd"))
+    rows = rows.unionByName(spark.createDataFrame([("own", "/Work/p00007"), ("other", "/work/p00007"), ("below", "/WORK/P00007/x"), ("beside", "/Work/p00007-x")], "session_key string, cwd string"))
+    empty = spark.createDataFrame([], schemas.SESSIONS)
+    table = empty.unionByName(rows.withColumn("cwd_key", filters.path_key(F.col("cwd"))), allowMissingColumns=True)
+    e.sessions_store.commit({"sessions": table})
+    found = e.sessions_store.read("sessions").where(SessionFilters(path="/Work/p00007/").predicate(with_chunk=False))
+    assert sorted(r["session_key"] for r in found.collect()) == ["below", "k7", "own"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    pushed = plan[plan.index("PushedFilters") :]
+    assert "And(EqualTo(cwd_key,/work/p00007),EqualTo(cwd,/Work/p00007)),And(GreaterThanOrEqual(cwd_key," in pushed
+    files = e.sessions_store.read("sessions").select("cwd_key", F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("i")).collect()
+    keys = [r["cwd_key"] for r in sorted(files, key=lambda r: (r["f"], r["i"]))]
+    assert keys == sorted(keys)
+
+
 def test_buckets_follow_the_size(spark, tmp_path, monkeypatch):
     """A table that is written whole gets buckets by its rows; partial writes keep their number."""
     from quern import schemas
