@@ -289,7 +289,7 @@ def test_snapshot(spark, tmp_path):
     assert s.read("sources").first()["version"] == "4" and s.meta("m") == "4" and s.meta("none") == ""
     assert len(os.listdir(tmp_path / "x" / "data")) == 2
     name = sorted(n for n in os.listdir(tmp_path / "x") if n.endswith(".json"))[-1]
-    (tmp_path / "x" / "manifest-000009.json").write_text((tmp_path / "x" / name).read_text().replace('"schema_version": 1', '"schema_version": 2'))
+    (tmp_path / "x" / "manifest-000009.json").write_text((tmp_path / "x" / name).read_text().replace(f'"schema_version": {schemas.VERSION}', f'"schema_version": {schemas.VERSION + 1}'))
     with pytest.raises(RuntimeError, match="newer"):
         s.read("sources")
     late = Snapshot(spark, str(tmp_path / "y"))  # by default, readers keep their folders for a day
