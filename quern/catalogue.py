@@ -441,8 +441,8 @@ SELECT {MANY_COLS} FROM fused"""
 )
 def hybrid_many_sessions(spark, d):
     """The stated queries against all sessions, in one plan."""
-    rows = corpora.session_rows(spark, d)
-    out = batch.hybrid_many(corpora.session_groups(spark, d), rows, stored_index(rows), channels.SESSIONS, asked_items(spark, d), filters.SessionFilters(limit=10), corpora.FINGERPRINT, THRESHOLD)
+    rows = corpora.session_rows(spark, d, corpora.passing)
+    out = batch.hybrid_many(corpora.session_groups(spark, d), rows, channels.SESSIONS, asked_items(spark, d), filters.SessionFilters(limit=10), corpora.FINGERPRINT, THRESHOLD)
     return many_columns(out)
 
 
@@ -452,10 +452,9 @@ SELECT {MANY_COLS} FROM fused"""
 )
 def hybrid_many_memories(spark, d):
     """The stated queries against all notes that aren't archived."""
-    rows = corpora.memory_rows(spark, d)
-    index = segments.Index([kept(segments.segment(rows, None, dict(channels.MEMORIES.weights)))])
+    rows = corpora.memory_rows(spark, d, corpora.passing)
     groups = corpora.memories(spark, d).withColumn("group_key", F.col("id"))
-    out = batch.hybrid_many(groups, rows, index, channels.MEMORIES, asked_items(spark, d), filters.MemoryFilters(all_projects=True, limit=10), corpora.FINGERPRINT, THRESHOLD)
+    out = batch.hybrid_many(groups, rows, channels.MEMORIES, asked_items(spark, d), filters.MemoryFilters(all_projects=True, limit=10), corpora.FINGERPRINT, THRESHOLD)
     return many_columns(out)
 
 

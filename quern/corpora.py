@@ -71,11 +71,16 @@ def stored(rows: DataFrame) -> DataFrame:
     return rows.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def session_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Search rows: chunks with their session's columns and token arrays."""
+def passing(rows: DataFrame) -> DataFrame:
+    """Rows for a plan that reads their tokens once: made where they are read, kept nowhere."""
+    return rows
+
+
+def session_rows(spark: SparkSession, sf_dir: str, keep=stored) -> DataFrame:
+    """Search rows: chunks with their session's columns and token arrays; ``keep`` as for :func:`memory_rows`."""
     s = sessions(spark, sf_dir)
     s = s.select("session_key", "native_id", "harness", "cwd", "cwd_key", "updated_at", *[T.tokens(T.normalize(F.col(c))).alias(t) for t, c in (("t_name", "name"), ("t_cwd", "cwd"), ("t_native", "native_id"), ("t_branch", "git_branch"))])
-    return stored(chunks(spark, sf_dir).withColumnRenamed("tokens", "t_content").join(s, "session_key").withColumn("group_key", F.col("session_key")))
+    return keep(chunks(spark, sf_dir).withColumnRenamed("tokens", "t_content").join(s, "session_key").withColumn("group_key", F.col("session_key")))
 
 
 def memories(spark: SparkSession, sf_dir: str, documents: DataFrame | None = None) -> DataFrame:
@@ -91,9 +96,10 @@ def memories(spark: SparkSession, sf_dir: str, documents: DataFrame | None = Non
     )
 
 
-def memory_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def memory_rows(spark: SparkSession, sf_dir: str, keep=stored) -> DataFrame:
+    """Search rows of all notes; ``keep`` is what becomes of them, for plans that read them once nothing."""
     m = memories(spark, sf_dir, spread(read(spark, sf_dir, "documents"))).withColumn("t_content", T.tokens(T.normalize(F.col("text"))))
-    return stored(m.select(
+    return keep(m.select(
         F.col("id").alias("row_id"), F.col("id").alias("group_key"), "*", T.grams_of(F.col("t_content")).alias("grams"),
         *[T.tokens(T.normalize(F.col(c))).alias(t) for t, c in (("t_source", "source"), ("t_project", "project_key"), ("t_id", "id"))],
     ))
