@@ -50,3 +50,12 @@ def test_no_rows_and_no_queries(spark, rows):
     most = {WORD: 3, GRAM: 3}
     assert forward.top_many(rows.limit(0), F.lit(True), WEIGHTS, (), terms_of(spark), most).count() == 0
     assert forward.top_many(rows, F.lit(True), WEIGHTS, (), terms_of(spark).limit(0), most).count() == 0
+
+
+def test_sessions_are_made_once_and_kept_nowhere(spark):
+    """A table of queries leaves no cached rows behind."""
+    from quern import catalogue
+
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    assert catalogue.hybrid_many_sessions(spark, "/root/testdata/sf0.001").count() > 0
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() <= before
