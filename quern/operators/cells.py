@@ -28,6 +28,8 @@ SAMPLE, ROUNDS = 20_000, 15
 CELL_ROWS, MOST_CELLS = 64, 4096
 #: Cells that are read first, at least.
 FIRST = 2
+#: Distances that are held at once.
+AT_ONCE = 1 << 20
 
 
 @dataclass
@@ -62,7 +64,12 @@ def means(x: np.ndarray, cells: int, rounds: int = ROUNDS, seed: int = 1) -> np.
 
 
 def nearest_centroid(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return (((c**2).sum(axis=1) - 2 * (x.astype(np.float64) @ c.T))).argmin(axis=1)
+    """Slices of rows, so that the table of distances has one size however many cells there are."""
+    norm, near = (c**2).sum(axis=1), np.empty(len(x), dtype=np.int64)
+    step = max(1, AT_ONCE // max(1, len(c)))
+    for at in range(0, len(x), step):
+        near[at : at + step] = (norm - 2 * (x[at : at + step].astype(np.float64) @ c.T)).argmin(axis=1)
+    return near
 
 
 def build(rows: DataFrame, key: str, vector: str, *, cells: int | None = None, sample: int = SAMPLE) -> Cells:
@@ -112,16 +119,16 @@ def search(index: Cells, queries: DataFrame, *, query: str, vector: str, k: int
     def compare(names: list, matrix: np.ndarray, wanted: np.ndarray) -> DataFrame:
         """The best of the pairs of queries and cells that are wanted."""
         cells = np.flatnonzero(wanted.any(axis=0)).tolist()
-        sent = spark.sparkContext.broadcast((names, matrix, {c: np.flatnonzero(wanted[:, c]) for c in cells}))
+        sent = spark.sparkContext.broadcast((names, matrix, np.packbits(wanted.T, axis=1)))  # a bit a pair
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names, matrix, by_cell = sent.value
+            names, matrix, bits = sent.value
             best: dict = {}
             for batch in batches:
                 cell = batch.column("cell").to_numpy(zero_copy_only=False)
                 for c in np.unique(cell).tolist():
                     own = batch.take(pa.array(np.flatnonzero(cell == c)))
-                    some = by_cell[c]
+                    some = np.flatnonzero(np.unpackbits(bits[c], count=len(names)))
                     for at in range(0, own.num_rows, SLICE):
                         part = own.slice(at, SLICE)
                         keep_best(best, [names[i] for i in some], matrix[some], _matrix(part.column("v"), size), part.column("key").to_numpy(zero_copy_only=False), k, digits, least)

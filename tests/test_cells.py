@@ -1,5 +1,7 @@
 """Cells of vectors: the result of reading all of them, of which part is read."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -50,3 +52,16 @@ def test_odd_tables(spark, clustered):
         cells.build(mixed, "key", "v")
     with pytest.raises(ValueError, match="types"):
         blocks.nearest(mixed.selectExpr("double(key) as key", "v"), mixed, key="key", vector="v")
+
+
+def test_distances_take_one_size():
+    """However many rows a batch has, the table of distances that is held stays as it is."""
+    rng = np.random.default_rng(5)
+    x, c = rng.normal(size=(20_000, 8)).astype(np.float32), rng.normal(size=(1000, 8))
+    tracemalloc.start()
+    near = cells.nearest_centroid(x, c)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40e6
+    some = rng.integers(0, len(x), 200)
+    assert (near[some] == ((x[some, None, :] - c[None]) ** 2).sum(axis=2).argmin(axis=1)).all()
