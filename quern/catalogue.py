@@ -197,7 +197,8 @@ def stored_index(rows: DataFrame) -> segments.Index:
 
 
 def kept(s: segments.Segment) -> segments.Segment:
-    return replace(s, blocks=cut(s.blocks), terms=cut(s.terms), gone=cut(s.gone))
+    s = s.stored(cut(s.blocks))
+    return replace(s, terms=cut(s.terms), gone=cut(s.gone))
 
 
 def earlier_rows(rows: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -59,6 +59,14 @@ class Segment:
     blocks: DataFrame = field(repr=False)
     terms: DataFrame = field(repr=False)
     gone: DataFrame = field(repr=False)
+    #: (kind, term, df) of the rows that went, where the blocks are a segment's own.
+    fewer: DataFrame | None = field(default=None, repr=False)
+    #: Whether ``terms`` are the sums of the blocks, less ``fewer``.
+    summed: bool = False
+
+    def stored(self, blocks: DataFrame) -> Segment:
+        """With its blocks as they are stored; its terms are counted from these, not made anew."""
+        return replace(self, blocks=blocks, terms=document_counts(blocks, self.fewer) if self.summed else self.terms)
 
     SUMS = ("number", "slots", "rows", "n_docs", "words", "grams", "n_gone")
 
@@ -70,26 +78,38 @@ def slots_for(rows: int) -> int:
     return 1 << max(0, math.ceil(math.log2(max(1, rows) / SLOT_ROWS)))
 
 
-def postings(rows: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """(kind, term, row_id, f, n, len) of search rows; ``f`` is the weighted and ``n`` the plain frequency."""
+def postings(rows: DataFrame, weights: dict[str, float], *keep: str) -> tuple[DataFrame, DataFrame]:
+    """(kind, term, row_id, f, n, len) of search rows, of words and of trigrams; ``f`` is the weighted and ``n``
+    the plain frequency.  Columns ``keep`` of the rows stay."""
 
     def weighted(w: float):
         return lambda t: F.struct(t.alias("term"), F.lit(float(w)).alias("w"))
 
     both = F.concat(*[F.transform(F.col(c), weighted(w)) for c, w in weights.items()])
-    words = rows.select("row_id", bm25.length(weights).alias("len"), F.explode(both).alias("p")).groupBy("row_id", "len", F.col("p.term").alias("term"))
-    words = words.agg(F.sum("p.w").alias("f"), F.count("*").cast("double").alias("n")).select(F.lit(WORD).alias("kind"), "term", "row_id", "f", "n", "len")
+    words = rows.select("row_id", *keep, bm25.length(weights).alias("len"), F.explode(both).alias("p")).groupBy("row_id", *keep, "len", F.col("p.term").alias("term"))
+    words = words.agg(F.sum("p.w").alias("f"), F.count("*").cast("double").alias("n")).select(F.lit(WORD).alias("kind"), "term", *keep, "row_id", "f", "n", "len")
     one = F.lit(1.0)
-    return words.unionByName(rows.select(F.lit(GRAM).alias("kind"), F.explode("grams").alias("term"), "row_id", one.alias("f"), one.alias("n"), F.size("grams").alias("len")))
+    return words, rows.select(F.lit(GRAM).alias("kind"), F.explode("grams").alias("term"), *keep, "row_id", one.alias("f"), one.alias("n"), F.size("grams").alias("len"))
+
+
+def slot_of(slots: int) -> Column:
+    return F.pmod(F.xxhash64("row_id"), F.lit(slots)).cast("int")
 
 
-def to_blocks(posts: DataFrame, slots: int) -> DataFrame:
-    """Postings as blocks; a group holds the rows of one slot at most."""
-    slot = F.pmod(F.xxhash64("row_id"), F.lit(slots)).cast("int")
+def to_blocks(posts: DataFrame, *dealt: str) -> DataFrame:
+    """Postings with their slot as blocks; a group holds the rows of one slot at most.  Postings that are
+    dealt by slot already, or by columns ``dealt`` that the slot decides, are grouped where they are."""
     post = F.struct("row_id", "f", "n", "len")
-    return posts.groupBy("kind", "term", slot.alias("slot")).agg(
+    return posts.groupBy("kind", "term", "slot", *dealt).agg(
         F.count("*").cast("int").alias("n_posts"), F.max("f").alias("most_f"), F.max("n").alias("most_n"), F.min("len").alias("least_len"), F.sort_array(F.collect_list(post)).alias("posts")
-    )
+    ).drop(*dealt)
+
+
+def blocks_of(rows: DataFrame, weights: dict[str, float], slots: int) -> DataFrame:
+    """Blocks of search rows.  The rows are dealt by slot, each once as it is: no posting is shuffled."""
+    dealt = lambda *columns: rows.select("row_id", slot_of(slots).alias("slot"), *columns).repartition("slot")
+    words, grams = postings(dealt(*weights, "grams"), weights, "slot")
+    return to_blocks(words).unionByName(to_blocks(grams))
 
 
 def _sums(rows: DataFrame, weights: dict[str, float]) -> tuple[int, int, int]:
@@ -97,18 +117,30 @@ def _sums(rows: DataFrame, weights: dict[str, float]) -> tuple[int, int, int]:
     return r[0], r[1], r[2]
 
 
+def counted(rows: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """(kind, term, df) of search rows, in how many each term is: of a row, each of its terms once."""
+    each = lambda kind, terms: rows.select(F.lit(kind).alias("kind"), F.explode(terms).alias("term")).groupBy("kind", "term").agg(F.count("*").alias("df"))
+    return each(WORD, F.array_distinct(F.concat(*[F.col(c) for c in weights]))).unionByName(each(GRAM, F.col("grams")))
+
+
+def document_counts(blocks: DataFrame, fewer: DataFrame | None) -> DataFrame:
+    """(kind, term, df) that blocks add and rows that went (``fewer``) take away."""
+    df = blocks.groupBy("kind", "term").agg(F.sum("n_posts").alias("df"))
+    if fewer is None:
+        return df
+    return df.unionByName(fewer.withColumn("df", -F.col("df"))).groupBy("kind", "term").agg(F.sum("df").alias("df")).where("df <> 0")
+
+
 def segment(added: DataFrame, removed: DataFrame | None, weights: dict[str, float], number: int = 1) -> Segment:
     """The segment of rows that come and of earlier rows that go (a changed row is in both); its tables are plans yet."""
     n, words, grams = _sums(added, weights)
-    posts = postings(added, weights)
-    df = lambda p, sign: p.groupBy("kind", "term").agg((F.count("*") * sign).alias("df"))
-    terms, less, gone = df(posts, 1), (0, 0, 0), added.select("row_id").limit(0)
+    fewer, less, gone = None, (0, 0, 0), added.select("row_id").limit(0)
     if removed is not None:
         less = _sums(removed, weights)
-        terms = terms.unionByName(df(postings(removed, weights), -1)).groupBy("kind", "term").agg(F.sum("df").alias("df")).where("df <> 0")
-        gone = removed.select("row_id")
+        fewer, gone = counted(removed, weights), removed.select("row_id")
     slots = slots_for(n)
-    return Segment(number, slots, n, n - less[0], words - less[1], grams - less[2], less[0], to_blocks(posts, slots), terms, gone)
+    blocks = blocks_of(added, weights, slots)
+    return Segment(number, slots, n, n - less[0], words - less[1], grams - less[2], less[0], blocks, document_counts(blocks, fewer), gone, fewer, True)
 
 
 def difference(old: DataFrame, new: DataFrame, weights: dict[str, float]) -> tuple[DataFrame, DataFrame]:
@@ -230,14 +262,18 @@ def to_merge(sizes: list[int]) -> int:
 def merged(index: Index, start: int) -> Segment:
     """One segment in place of all from ``start`` on; without earlier ones it has nothing left to take away."""
     part = Index(index.segments[start:])
-    posts = part.live(part.blocks().select("seg", "kind", "term", F.explode("posts").alias("p")).select("seg", "kind", "term", "p.*"))
     added = sum(s.rows for s in part.segments)
     gone = reduce(DataFrame.unionByName, [s.gone for s in part.segments]).distinct()
     terms = reduce(DataFrame.unionByName, [s.terms for s in part.segments]).groupBy("kind", "term").agg(F.sum("df").alias("df")).where("df <> 0")
     whole = start == 0
     rows = part.n_docs if whole else added
     slots = slots_for(rows)
+    # numbers of slots are powers of two, so blocks hold rows of one place: they are dealt as they are, and grouped there
+    places = min([slots, *[s.slots for s in part.segments]])
+    dealt = part.blocks().select("seg", "kind", "term", F.pmod("slot", F.lit(places)).alias("place"), "posts").repartition("place")
+    posts = part.live(dealt.select("seg", "kind", "term", "place", F.explode("posts").alias("p")).select("seg", "kind", "term", "place", "p.*"))
+    blocks = to_blocks(posts.withColumn("slot", slot_of(slots)), "place")
     return Segment(
         part.segments[-1].number, slots, rows, part.n_docs, sum(s.words for s in part.segments), sum(s.grams for s in part.segments), 0 if whole else sum(s.n_gone for s in part.segments),
-        to_blocks(posts, slots), terms, gone.limit(0) if whole else gone,
+        blocks, terms, gone.limit(0) if whole else gone,
     )

@@ -249,6 +249,7 @@ class Snapshot:
             path = f"data/segments-{m['number'] + 1:06d}-{uuid.uuid4().hex[:8]}"
             at = f"{self.root}/{path}"
             new.blocks.repartitionByRange("kind", "term", "slot").sortWithinPartitions("kind", "term", "slot").write.parquet(f"{at}/blocks")
+            new = new.stored(self.spark.read.schema(S.BLOCKS).parquet(f"{at}/blocks"))
             new.terms.repartitionByRange("kind", "term").sortWithinPartitions("kind", "term").write.parquet(f"{at}/terms")
             new.gone.write.parquet(f"{at}/gone")
             folders[str(new.number)] = path

@@ -107,3 +107,20 @@ def test_empty_index(spark, rows):
     index = index_of(spark, (empty, None))
     assert segments.scores(index, segments.WORD, ["w1"]).count() == 0
     assert segments.top(index, segments.WORD, ["w1"], empty.select("row_id", "updated_at"), 5)[0].count() == 0
+
+
+def test_no_posting_is_shuffled(spark, rows, index):
+    """Blocks are made where rows are dealt by slot, merged ones where blocks are; document counts are sums of blocks."""
+    import re
+
+    def exchanges(df):
+        return re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", df._jdf.queryExecution().executedPlan().toString())
+
+    made = segments.segment(rows, None, WEIGHTS)
+    dealt = exchanges(made.blocks)
+    assert dealt and all(re.fullmatch(r"slot#\d+", by) for by in dealt)
+    dealt = exchanges(segments.merged(segments.Index([index.segments[0], index.segments[0]]), 0).blocks)
+    assert dealt and all(re.fullmatch(r"(place|slot)#\d+", by) for by in dealt)  # those of the cached blocks are shown, too
+    stored = made.stored(index.segments[0].blocks)
+    counts = lambda df: sorted(map(tuple, df.collect()))
+    assert counts(stored.terms) == counts(segments.counted(rows, WEIGHTS))
