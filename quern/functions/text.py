@@ -23,7 +23,8 @@ def normalize(text: Column) -> Column:
     """Lower-case per character, NFKD, drop non-spacing marks; what is neither letter
     nor decimal digit becomes one space; trimmed.  The same for every script."""
     # the final sigma is the one letter that lower-casing a string makes depend on its neighbours
-    low = F.lower(F.translate(text, "Σ", "σ"))
+    # (replaced as a string: ``translate`` looks every letter up)
+    low = F.lower(F.replace(text, F.lit("Σ"), F.lit("σ")))
     full = F.regexp_replace(F.reflect(F.lit(_DECOMPOSE), F.lit("decompose"), low, F.lit(True)), _MARKS, "")
     ascii_only = F.octet_length(text) == F.char_length(text)
     return F.trim(F.regexp_replace(F.when(ascii_only, F.lower(text)).otherwise(full), _GAPS, " "))
