@@ -443,7 +443,8 @@ SELECT {MANY_COLS} FROM fused"""
 def hybrid_many_sessions(spark, d):
     """The stated queries against all sessions, in one plan."""
     rows = corpora.session_rows(spark, d, corpora.passing)
-    out = batch.hybrid_many(corpora.session_groups(spark, d), rows, channels.SESSIONS, asked_items(spark, d), filters.SessionFilters(limit=10), corpora.FINGERPRINT, THRESHOLD)
+    texts = lambda ids: corpora.session_rows(spark, d, corpora.passing, ids)
+    out = batch.hybrid_many(corpora.session_groups(spark, d), rows, channels.SESSIONS, asked_items(spark, d), filters.SessionFilters(limit=10), corpora.FINGERPRINT, THRESHOLD, texts)
     return many_columns(out)
 
 

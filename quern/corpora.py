@@ -48,15 +48,22 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("cwd_key", path_key(F.col("cwd")))
 
 
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows of the entries; the first window of an entry may have a vector."""
-    # the entries' vectors are joined before the windows are cut: keys have no nulls and no long text is doubled
+def chunks(spark: SparkSession, sf_dir: str, of_session: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
+    """Windows of the entries; the first window of an entry may have a vector.
+
+    ``of_session`` (session_key, ...) gives them columns of their session, ``only`` (row_id) names the rows wanted."""
+    # what entries are joined with comes before the windows are cut: keys have no nulls, no long text is
+    # doubled, and neither words nor trigrams are shuffled
     vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id"), "embedding")
     turns = spread(read(spark, sf_dir, "conversations")).where(F.col("role").isin("user", "assistant"))
-    with_vector = said(turns).withColumn("vec_id", F.col("conv_id") * 8 + F.col("turn")).join(vectors, "vec_id", "left")
-    out = chunking.chunk_entries(with_vector).withColumn("embedding", F.when(F.col("part") == 0, F.col("embedding")))
+    own = said(turns)
+    if only is not None:
+        own = own.join(only.select(F.regexp_extract("row_id", "^(.*)-[0-9]+$", 1).alias("entry_key")).distinct(), "entry_key", "left_semi")
+    with_vector = own.withColumn("vec_id", F.col("conv_id") * 8 + F.col("turn")).join(vectors, "vec_id", "left")
+    others = [] if of_session is None else [c for c in of_session.columns if c != "session_key"]
+    out = chunking.chunk_entries(with_vector if of_session is None else with_vector.join(of_session, "session_key")).withColumn("embedding", F.when(F.col("part") == 0, F.col("embedding")))
     row = F.concat(F.col("entry_key"), F.lit("-"), F.col("part").cast("string"))
-    return out.select(row.alias("row_id"), "session_key", "entry_key", "part", "role", "text", "text_hash", "tokens", "grams", "embedding", F.when(F.col("embedding").isNotNull(), F.lit(FINGERPRINT)).otherwise("").alias("embedding_fingerprint"))
+    return out.select(row.alias("row_id"), "session_key", "entry_key", "part", "role", "text", "text_hash", "tokens", "grams", "embedding", F.when(F.col("embedding").isNotNull(), F.lit(FINGERPRINT)).otherwise("").alias("embedding_fingerprint"), *others)
 
 
 def session_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,11 +83,12 @@ def passing(rows: DataFrame) -> DataFrame:
     return rows
 
 
-def session_rows(spark: SparkSession, sf_dir: str, keep=stored) -> DataFrame:
-    """Search rows: chunks with their session's columns and token arrays; ``keep`` as for :func:`memory_rows`."""
+def session_rows(spark: SparkSession, sf_dir: str, keep=stored, only: DataFrame | None = None) -> DataFrame:
+    """Search rows: chunks with their session's columns and token arrays; ``keep`` as for :func:`memory_rows`.
+    With ``only`` the rows that it has the row_id of, and perhaps others of their entries."""
     s = sessions(spark, sf_dir)
     s = s.select("session_key", "native_id", "harness", "cwd", "cwd_key", "updated_at", *[T.tokens(T.normalize(F.col(c))).alias(t) for t, c in (("t_name", "name"), ("t_cwd", "cwd"), ("t_native", "native_id"), ("t_branch", "git_branch"))])
-    return keep(chunks(spark, sf_dir).withColumnRenamed("tokens", "t_content").join(s, "session_key").withColumn("group_key", F.col("session_key")))
+    return keep(chunks(spark, sf_dir, s, only).withColumnRenamed("tokens", "t_content").withColumn("group_key", F.col("session_key")))
 
 
 def memories(spark: SparkSession, sf_dir: str, documents: DataFrame | None = None) -> DataFrame:

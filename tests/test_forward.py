@@ -59,3 +59,29 @@ def test_sessions_are_made_once_and_kept_nowhere(spark):
     before = spark.sparkContext._jsc.getPersistentRDDs().size()
     assert catalogue.hybrid_many_sessions(spark, "/root/testdata/sf0.001").count() > 0
     assert spark.sparkContext._jsc.getPersistentRDDs().size() <= before
+
+
+def test_trigrams_of_words(spark):
+    """Trigrams of a column of words need not be written out: their numbers and counts are those of the written ones."""
+    from quern.functions import text as T
+
+    texts = [("a", "Zażółć gęślą 😀😀😀😀 banana ab c"), ("b", ""), ("c", "ab abab banana the then"), ("d", "x ab ć"), ("e", None)]
+    words = T.tokens(T.normalize(F.coalesce("text", F.lit(""))))
+    table = spark.createDataFrame(texts, "row_id string, text string").select("row_id", words.alias("body"), words.alias("head"), F.lit(1).alias("updated_at")).withColumn("grams", T.grams_of(F.col("body")))
+    asked = ["ban", "ab", "zaz", "the", "none", "c", "ana"]
+    held = lambda **more: sorted(map(tuple, forward.hits(table, F.lit(True), WEIGHTS, ("body",), ["ab", "banana"], asked, **more).collect()))
+    assert held(grams_of="body") == held() and sum(len(r[-1]) for r in held()) == 11  # a has five, c four, d two
+    kept = forward.hits(table, F.lit(True), WEIGHTS, ("body",), [], [], "body", {"own": F.upper("row_id")})
+    assert {r["own"] for r in kept.collect()} == set("ABCDE")
+
+
+def test_sessions_are_joined_before_windows_are_cut(spark):
+    """Neither words nor trigrams of a window are shuffled: all joins lie below the windows; named rows are those of all."""
+    from quern import corpora
+
+    rows = corpora.session_rows(spark, "/root/testdata/sf0.001", corpora.passing)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert all("Join" not in line for line in plan[: next(i for i, line in enumerate(plan) if "Generate" in line)])
+    some = rows.orderBy("row_id").limit(7).select("row_id")
+    found = corpora.session_rows(spark, "/root/testdata/sf0.001", corpora.passing, some).join(some, "row_id", "left_semi")
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, rows.orderBy("row_id").limit(7).select(*found.columns).collect()))
