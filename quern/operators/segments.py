@@ -20,13 +20,18 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bm25
+from .lineage import cut
 
 WORD, GRAM = "word", "gram"
 #: Rows of a slot; slots that are read first.
@@ -37,6 +42,8 @@ MOST_SLOTS = 5000
 MOST_SEGMENTS = 8
 #: Rows gone of which a broadcast may hold the keys.
 MOST_GONE = 500_000
+#: Words and trigrams of which blocks are made at once, in whole slots; rows that are looked at together.
+GROUP_TERMS, GROUP_ROWS = 500_000, 256
 #: Scores are compared to so many digits; a floor is lowered by more than that.
 SLACK = 1e-8
 
@@ -78,20 +85,6 @@ def slots_for(rows: int) -> int:
     return 1 << max(0, math.ceil(math.log2(max(1, rows) / SLOT_ROWS)))
 
 
-def postings(rows: DataFrame, weights: dict[str, float], *keep: str) -> tuple[DataFrame, DataFrame]:
-    """(kind, term, row_id, f, n, len) of search rows, of words and of trigrams; ``f`` is the weighted and ``n``
-    the plain frequency.  Columns ``keep`` of the rows stay."""
-
-    def weighted(w: float):
-        return lambda t: F.struct(t.alias("term"), F.lit(float(w)).alias("w"))
-
-    both = F.concat(*[F.transform(F.col(c), weighted(w)) for c, w in weights.items()])
-    words = rows.select("row_id", *keep, bm25.length(weights).alias("len"), F.explode(both).alias("p")).groupBy("row_id", *keep, "len", F.col("p.term").alias("term"))
-    words = words.agg(F.sum("p.w").alias("f"), F.count("*").cast("double").alias("n")).select(F.lit(WORD).alias("kind"), "term", *keep, "row_id", "f", "n", "len")
-    one = F.lit(1.0)
-    return words, rows.select(F.lit(GRAM).alias("kind"), F.explode("grams").alias("term"), *keep, "row_id", one.alias("f"), one.alias("n"), F.size("grams").alias("len"))
-
-
 def slot_of(slots: int) -> Column:
     return F.pmod(F.xxhash64("row_id"), F.lit(slots)).cast("int")
 
@@ -105,11 +98,78 @@ def to_blocks(posts: DataFrame, *dealt: str) -> DataFrame:
     ).drop(*dealt)
 
 
+def _block_batch(kind: str, slots: np.ndarray, ids: pa.Array, terms: pa.Array, term: np.ndarray, row: np.ndarray, f: np.ndarray, n: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
+    """Postings, in order of their term and row, as blocks; ``row`` tells the place of their row among ``ids`` and ``slots``."""
+    slot = slots[row]
+    start = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (slot[1:] != slot[:-1])])
+    size = np.diff(np.r_[start, len(row)])
+    posts = pa.StructArray.from_arrays([ids.take(pa.array(row)), pa.array(f), pa.array(n), pa.array(length, pa.int32())], names=["row_id", "f", "n", "len"])
+    return pa.RecordBatch.from_arrays(
+        [pa.array([kind] * len(start)), terms.take(pa.array(term[start])), pa.array(slot[start], pa.int32()), pa.array(size, pa.int32()), pa.array(np.maximum.reduceat(f, start)), pa.array(np.maximum.reduceat(n, start)),
+         pa.array(np.minimum.reduceat(length, start), pa.int32()), pa.ListArray.from_arrays(pa.array(np.r_[start, len(row)], pa.int32()), posts)],
+        names=["kind", "term", "slot", "n_posts", "most_f", "most_n", "least_len", "posts"],
+    )
+
+
+def _encoded(columns: list[pa.Array]) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values of list columns; and of each value its number, its row and its column."""
+    flat = pc.dictionary_encode(pa.concat_arrays([c.flatten() for c in columns]))
+    sizes = [pc.list_value_length(c).fill_null(0).to_numpy(zero_copy_only=False) for c in columns]
+    row = np.concatenate([np.repeat(np.arange(len(x)), x) for x in sizes])
+    return flat.dictionary, flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), row, np.repeat(np.arange(len(columns)), [int(x.sum()) for x in sizes])
+
+
+def _group_blocks(group: pa.Table, weights: dict[str, float]) -> Iterator[pa.RecordBatch]:
+    """Blocks of rows (row_id, slot, word_len, gram_len, token columns, grams) that are all rows of their slots."""
+    rows = group.sort_by([("slot", "ascending"), ("row_id", "ascending"), ("word_len", "ascending")]).combine_chunks()
+    column = lambda name: rows.column(name).combine_chunks()
+    ids, count = column("row_id"), rows.num_rows
+    slots, word_len, gram_len = (column(c).to_numpy(zero_copy_only=False) for c in ("slot", "word_len", "gram_len"))
+    terms, term, row, own = _encoded([column(c) for c in weights])
+    if len(term):
+        key = term * count + row
+        order = np.argsort(key)
+        key = key[order]
+        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        f = np.add.reduceat(np.array([float(w) for w in weights.values()])[own[order]], start)
+        n = np.diff(np.r_[start, len(key)]).astype(float)
+        term, row = key[start] // count, key[start] % count
+        yield _block_batch(WORD, slots, ids, terms, term, row, f, n, word_len[row])
+    terms, term, row, _ = _encoded([column("grams")])
+    if len(term):
+        key = np.sort(term * count + row)
+        term, row = key // count, key % count
+        one = np.ones(len(key))
+        yield _block_batch(GRAM, slots, ids, terms, term, row, one, one, gram_len[row])
+
+
 def blocks_of(rows: DataFrame, weights: dict[str, float], slots: int) -> DataFrame:
-    """Blocks of search rows.  The rows are dealt by slot, each once as it is: no posting is shuffled."""
-    dealt = lambda *columns: rows.select("row_id", slot_of(slots).alias("slot"), *columns).repartition("slot")
-    words, grams = postings(dealt(*weights, "grams"), weights, "slot")
-    return to_blocks(words).unionByName(to_blocks(grams))
+    """Blocks of search rows.  The rows are dealt by slot, each once as it is: no posting is shuffled, none is a row."""
+    whole = reduce(Column.__and__, [F.col(c).isNotNull() for c in weights])
+    dealt = rows.select(
+        "row_id", slot_of(slots).alias("slot"), F.coalesce(bm25.length(weights), F.lit(0)).alias("word_len"), F.coalesce(F.size("grams"), F.lit(0)).alias("gram_len"), *[F.when(whole, F.col(c)).alias(c) for c in weights], "grams"
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for whole in batches:
+            for at in range(0, whole.num_rows, GROUP_ROWS):
+                some = whole.slice(at, GROUP_ROWS)
+                held.append(some)
+                size += sum(pc.sum(some.column(c)).as_py() for c in ("word_len", "gram_len"))
+                if size < GROUP_TERMS:
+                    continue
+                group = pa.Table.from_batches(held).combine_chunks()
+                slot = group.column("slot").to_numpy()
+                end = int(np.searchsorted(slot, slot[-1]))  # the last slot may go on
+                if end:
+                    yield from _group_blocks(group.slice(0, end), weights)
+                held, size = group.slice(end).to_batches(), 0
+        if held:
+            yield from _group_blocks(pa.Table.from_batches(held), weights)
+
+    return dealt.repartition("slot").sortWithinPartitions("slot").mapInArrow(run, BLOCKS)
 
 
 def _sums(rows: DataFrame, weights: dict[str, float]) -> tuple[int, int, int]:
@@ -148,10 +208,12 @@ def difference(old: DataFrame, new: DataFrame, weights: dict[str, float]) -> tup
 
     The comparison sees a hash a row, so it is narrow whatever the rows hold."""
     terms = [*weights, "grams"]
-    mark = lambda rows: rows.select("row_id", *[F.xxhash64(F.lit(salt), *terms).alias(f"m{salt}") for salt in (1, 2)])
-    marks = ["row_id", "m1", "m2"]
-    changed = lambda a, b: a.join(mark(a).join(mark(b), marks, "left_anti").select("row_id"), "row_id", "left_semi")
-    return changed(new, old), changed(old, new)
+    mark = lambda rows, is_new: rows.select("row_id", *[F.xxhash64(F.lit(salt), *terms).alias(f"m{salt}") for salt in (1, 2)], F.lit(is_new).alias("is_new"))
+    sides = mark(old, False).unionByName(mark(new, True)).groupBy("row_id", "m1", "m2").agg(F.max("is_new").alias("in_new"), F.max(~F.col("is_new")).alias("in_old"))
+    changed = cut(sides.where(F.col("in_new") != F.col("in_old")).select("row_id", "in_new"))
+    few = changed.count() <= MOST_GONE
+    those = lambda side: F.broadcast(side) if few else side
+    return new.join(those(changed.where("in_new")), "row_id", "left_semi"), old.join(those(changed.where("not in_new")), "row_id", "left_semi")
 
 
 @dataclass

@@ -124,3 +124,38 @@ def test_no_posting_is_shuffled(spark, rows, index):
     stored = made.stored(index.segments[0].blocks)
     counts = lambda df: sorted(map(tuple, df.collect()))
     assert counts(stored.terms) == counts(segments.counted(rows, WEIGHTS))
+
+
+def test_blocks_are_made_of_rows(spark, monkeypatch):
+    """No posting is a row of the plan; blocks are those that counting word by word gives, however rows are grouped."""
+    monkeypatch.setattr(segments, "GROUP_TERMS", 100)
+    monkeypatch.setattr(segments, "GROUP_ROWS", 7)
+    table = corpus(spark, 300, 3, 40).drop("updated_at").unionByName(
+        spark.createDataFrame([("none", [], [], []), ("null", None, ["w1"], ["w1"]), ("only head", [], ["ż", "w1", "w1"], [])], "row_id string, body array<string>, head array<string>, grams array<string>")
+    )
+    made = segments.blocks_of(table, WEIGHTS, 4)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan
+    want = {}
+    for r in table.withColumn("slot", segments.slot_of(4)).collect():
+        body = [] if r["body"] is None else [(t, 1.0) for t in r["body"]] + [(t, 3.0) for t in r["head"]]  # a row without a column has no words
+        for t in {t for t, _ in body}:
+            own = [w for term, w in body if term == t]
+            want.setdefault((segments.WORD, t, r["slot"]), []).append((r["row_id"], sum(own), float(len(own)), len(body)))
+        for g in r["grams"]:
+            want.setdefault((segments.GRAM, g, r["slot"]), []).append((r["row_id"], 1.0, 1.0, len(r["grams"])))
+    got = made.collect()
+    assert len(got) == len(want)
+    for b in got:
+        posts = sorted(want[b["kind"], b["term"], b["slot"]])
+        assert [tuple(p) for p in b["posts"]] == posts and b["n_posts"] == len(posts)
+        assert (b["most_f"], b["most_n"], b["least_len"]) == (max(p[1] for p in posts), max(p[2] for p in posts), min(p[3] for p in posts))
+
+
+def test_difference_compares_once(spark, rows):
+    """Both sides are hashed once for what comes and what goes: each then reads its own rows and the keys that changed."""
+    new = rows.where("updated_at > 5").withColumn("head", F.when(F.col("row_id").endswith("7"), F.slice("head", 1, 1)).otherwise(F.col("head")))
+    added, removed = segments.difference(rows, new, WEIGHTS)
+    assert [df._jdf.queryExecution().optimizedPlan().collectLeaves().size() for df in (added, removed)] == [2, 2]
+    assert {r["row_id"] for r in added.collect()} == {r["row_id"] for r in new.where("row_id like '%7'").collect()}
+    assert removed.count() == rows.where("updated_at <= 5 or row_id like '%7'").count()
