@@ -293,7 +293,7 @@ def top(index: Index, kind: str, query: list[str], keys: DataFrame, k: int, by:
     if sum(s.slots for s in index.segments) <= first:
         return best(heads), found
     bound = F.sum("bound_f" if by == "raw" else "bound_n").alias("bound")
-    slots = heads.groupBy("seg", "slot").agg(bound, F.count("*").alias("n"))
+    slots = cut(heads.groupBy("seg", "slot").agg(bound, F.count("*").alias("n")))  # a row a slot, read three times
     lead = slots.orderBy(F.desc("bound"), "seg", "slot").limit(first)
     seen = best(heads.join(F.broadcast(lead.select("seg", "slot")), ["seg", "slot"]))
     floor = seen.agg(F.count("*").alias("n"), F.max("by").alias("worst")).first()

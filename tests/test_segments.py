@@ -159,3 +159,18 @@ def test_difference_compares_once(spark, rows):
     assert [df._jdf.queryExecution().optimizedPlan().collectLeaves().size() for df in (added, removed)] == [2, 2]
     assert {r["row_id"] for r in added.collect()} == {r["row_id"] for r in new.where("row_id like '%7'").collect()}
     assert removed.count() == rows.where("updated_at <= 5 or row_id like '%7'").count()
+
+
+def test_bounds_of_slots_are_summed_once(spark, rows, index):
+    """A search goes over its terms' blocks for the bounds, for the floor and for the result, and no more."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        read.add(1)
+        yield from batches
+
+    blocks = index.segments[0].blocks.coalesce(1)
+    whole = segments.Index([segments.Segment(**index.segments[0].sums(), blocks=blocks.mapInArrow(counted, blocks.schema), terms=index.segments[0].terms, gone=index.segments[0].gone)])
+    top, _ = segments.top(whole, segments.WORD, ["w0", "w390"], rows.select("row_id", "updated_at"), 10, first=8)
+    assert [(r["row_id"], round(r["raw"], 9)) for r in top.collect()] == scan(rows, ["w0", "w390"], 10)
+    assert read.value <= 3
