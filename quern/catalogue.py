@@ -472,9 +472,9 @@ def memory_ctes(where: str) -> str:
 
 
 def memory_hybrid(spark, d, f: filters.MemoryFilters) -> DataFrame:
-    rows = corpora.memory_rows(spark, d)
+    rows = corpora.memory_rows_alone(spark, d)
     groups = corpora.memories(spark, d).withColumn("group_key", F.col("id"))
-    return search.hybrid(groups, rows, channels.MEMORIES, MEMORY_QUERY, f, query_vector(spark, d))
+    return search.hybrid_scan(groups, rows, channels.MEMORIES, MEMORY_QUERY, f, query_vector(spark, d), corpora.note_vectors(spark, d), "doc_id")
 
 
 @query(f"WITH {memory_ctes('archived_at IS NULL')}, {S.fused(False, 50)} SELECT {FUSED_COLS} FROM fused")

@@ -93,21 +93,38 @@ def session_rows(spark: SparkSession, sf_dir: str, keep=stored, only: DataFrame
 
 def memories(spark: SparkSession, sf_dir: str, documents: DataFrame | None = None) -> DataFrame:
     d = read(spark, sf_dir, "documents") if documents is None else documents
-    v = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    d = d.join(v, "doc_id", "left")
+    return noted(d.join(note_vectors(spark, sf_dir), "doc_id", "left")).withColumn("embedding_fingerprint", F.coalesce("embedding_fingerprint", F.lit("")))
+
+
+def note_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    print_ = F.when(F.col("embedding").isNotNull(), F.lit(FINGERPRINT)).otherwise("")
+    return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", print_.alias("embedding_fingerprint"))
+
+
+def noted(d: DataFrame) -> DataFrame:
+    """Documents as notes, with the columns of their vectors where they have any."""
     is_global = F.col("doc_id") % 5 == 0
+    vectors = [c for c in ("embedding", "embedding_fingerprint") if c in d.columns]
     return d.select(
         "doc_id", F.concat(F.lit("m_"), F.lpad(F.col("doc_id").cast("string"), 8, "0")).alias("id"), T.text_or_empty(F.col("text")).alias("text"),
         F.when(is_global, F.lit("global")).otherwise("project").alias("scope"), F.when(is_global, F.lit("")).otherwise(T.text_or_empty(F.col("source"))).alias("project_key"),
         T.text_or_empty(F.col("source")).alias("source"), F.when(F.col("doc_id") % 7 == 0, F.col("doc_id")).alias("archived_at"), F.col("doc_id").alias("updated_at"),
-        "embedding", F.when(F.col("embedding").isNotNull(), F.lit(FINGERPRINT)).otherwise("").alias("embedding_fingerprint"),
+        *vectors,
     )
 
 
 def memory_rows(spark: SparkSession, sf_dir: str, keep=stored) -> DataFrame:
     """Search rows of all notes; ``keep`` is what becomes of them, for plans that read them once nothing."""
-    m = memories(spark, sf_dir, spread(read(spark, sf_dir, "documents"))).withColumn("t_content", T.tokens(T.normalize(F.col("text"))))
-    return keep(m.select(
+    return keep(note_rows(memories(spark, sf_dir, spread(read(spark, sf_dir, "documents")))))
+
+
+def memory_rows_alone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`memory_rows` without vectors, kept nowhere."""
+    return note_rows(noted(spread(read(spark, sf_dir, "documents"))))
+
+
+def note_rows(m: DataFrame) -> DataFrame:
+    return m.withColumn("t_content", T.tokens(T.normalize(F.col("text")))).select(
         F.col("id").alias("row_id"), F.col("id").alias("group_key"), "*", T.grams_of(F.col("t_content")).alias("grams"),
         *[T.tokens(T.normalize(F.col(c))).alias(t) for t, c in (("t_source", "source"), ("t_project", "project_key"), ("t_id", "id"))],
-    ))
+    )

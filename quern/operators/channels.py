@@ -55,9 +55,9 @@ MEMORIES = CorpusSpec(
 )
 
 
-def _ranked(rows: DataFrame, *order: Column) -> DataFrame:
+def _ranked(rows: DataFrame, *order: Column, body: tuple[str, ...] = ("text",)) -> DataFrame:
     pos = F.row_number().over(Window.orderBy(*order)).cast("bigint")
-    return rows.withColumn("pos", pos).select("row_id", "group_key", "text", F.col("raw").cast("double").alias("raw"), "updated_at", "pos")
+    return rows.withColumn("pos", pos).select("row_id", "group_key", *body, F.col("raw").cast("double").alias("raw"), "updated_at", "pos")
 
 
 def exact(groups: DataFrame, spec: CorpusSpec, query: str, where: Column) -> DataFrame:
@@ -88,6 +88,10 @@ def keys_of(rows: DataFrame, where: Column) -> DataFrame:
     return rows.where(where).select("row_id", "updated_at")
 
 
+def _least(scored: DataFrame, order: str, most: int) -> DataFrame:
+    return scored.withColumn("by", F.round(order, DIGITS)).orderBy("by", F.desc("updated_at"), "row_id").limit(most)
+
+
 def lexical_rows(rows: DataFrame, spec: CorpusSpec, query: list[str], where: Column, index: segments.Index | None = None) -> DataFrame:
     """The top rows by BM25, then those that cover enough of the query, with ``coverage``.
 
@@ -97,37 +101,90 @@ def lexical_rows(rows: DataFrame, spec: CorpusSpec, query: list[str], where: Col
     if index is not None:
         top = looked_up(rows, segments.top(index, segments.WORD, query, keys_of(rows, where), TOP, order, DIGITS)[0])
     else:
-        scored = bm25.score_scan(rows, dict(spec.weights), query, "raw", where, unweighted="plain").withColumn("by", F.round(order, DIGITS))
-        top = scored.orderBy("by", F.desc("updated_at"), "row_id").limit(TOP)
+        top = _least(bm25.score_scan(rows, dict(spec.weights), query, "raw", where, unweighted="plain"), order, TOP)
     return top.withColumn("coverage", covered(spec, query)).where(F.col("coverage") >= least_coverage(query))
 
 
 def lexical(rows: DataFrame, spec: CorpusSpec, query: list[str], where: Column, index: segments.Index | None = None) -> DataFrame:
-    top = lexical_rows(rows, spec, query, where, index)
+    return _gated(lexical_rows(rows, spec, query, where, index), spec, query)
+
+
+def _gated(top: DataFrame, spec: CorpusSpec, query: list[str], body: tuple[str, ...] = ("text",)) -> DataFrame:
     n = len(set(query))
     if spec.gate and n >= 3:
         top = top.withColumn("best", F.max("coverage").over(Window.partitionBy(F.lit(0)))).where(F.col("best") * 2 >= n)
-    return _ranked(top, F.col("by"), F.desc("updated_at"), F.col("row_id"))
+    return _ranked(top, F.col("by"), F.desc("updated_at"), F.col("row_id"), body=body)
 
 
 def fuzzy_prefilter(rows: DataFrame, grams: list[str], where: Column, index: segments.Index | None = None) -> DataFrame:
     """The top rows by BM25 over trigrams, from the inverted index where there is one."""
     if index is not None:
         return looked_up(rows, segments.top(index, segments.GRAM, list(dict.fromkeys(grams)), keys_of(rows, where), PREFILTER, "raw", DIGITS)[0])
-    scored = bm25.score_gram_sets(rows, "grams", grams, "gram_score", where)
-    return scored.withColumn("by", F.round("gram_score", DIGITS)).orderBy("by", F.desc("updated_at"), "row_id").limit(PREFILTER)
+    return _least(bm25.score_gram_sets(rows, "grams", grams, "gram_score", where), "gram_score", PREFILTER)
 
 
 def fuzzy(rows: DataFrame, spec: CorpusSpec, grams: list[str], where: Column, index: segments.Index | None = None) -> DataFrame:
     """Trigram containment of the query in the rows that BM25 over trigrams prefers."""
-    top = fuzzy_prefilter(rows, grams, where, index).withColumn("raw", F.col("n_shared") / F.lit(float(len(grams)))).where(F.col("raw") >= LEAST_SIMILARITY)
+    return _contained(fuzzy_prefilter(rows, grams, where, index), grams)
+
+
+def _contained(top: DataFrame, grams: list[str], body: tuple[str, ...] = ("text",)) -> DataFrame:
+    top = top.withColumn("raw", F.col("n_shared") / F.lit(float(len(grams)))).where(F.col("raw") >= LEAST_SIMILARITY)
     order = (F.desc("raw"), F.desc("updated_at"), F.col("by"), F.col("row_id"))
-    return _ranked(top.orderBy(*order).limit(TOP), *order)
+    return _ranked(top.orderBy(*order).limit(TOP), *order, body=body)
 
 
 def semantic(rows: DataFrame, query: list[float], fingerprint: str, threshold: float, where: Column) -> DataFrame:
     """Dot product with the query's unit vector, of rows embedded by the same provider."""
-    usable = rows.where(where & F.col("embedding").isNotNull() & (F.col("embedding_fingerprint") == fingerprint) & (F.size("embedding") == len(query)))
-    usable = usable.withColumn("raw", F.round(V.dot(F.col("embedding"), V.vector(query)), DIGITS)).where(F.col("raw") >= threshold)
+    usable = rows.where(where & _usable(query, fingerprint))
+    return _nearest(usable.withColumn("raw", _dot(query)), threshold)
+
+
+def _usable(query: list[float], fingerprint: str) -> Column:
+    return F.col("embedding").isNotNull() & (F.col("embedding_fingerprint") == fingerprint) & (F.size("embedding") == len(query))
+
+
+def _dot(query: list[float]) -> Column:
+    return F.round(V.dot(F.col("embedding"), V.vector(query)), DIGITS)
+
+
+def _nearest(rows: DataFrame, threshold: float, body: tuple[str, ...] = ("text",)) -> DataFrame:
     order = (F.desc("raw"), F.col("row_id"))
-    return _ranked(usable.orderBy(*order).limit(TOP), *order)
+    return _ranked(rows.where(F.col("raw") >= threshold).orderBy(*order).limit(TOP), *order, body=body)
+
+
+#: What finds the text of a row again, beside its key: keys may repeat.
+PRINT = "text_print"
+
+
+def hits(rows: DataFrame, spec: CorpusSpec, words: list[str], grams: list[str], where: Column, key: str) -> DataFrame:
+    """What the channels need of each row, in the size of the query, however long the row's text is; ``ok`` tells
+    what ``where`` lets through.  For rows whose tokens are stored nowhere: they are made once, and dropped."""
+    ok = F.coalesce(where, F.lit(False)).alias("ok")
+    own = [*dict.fromkeys([key, "row_id"]), "group_key", "updated_at", F.xxhash64("text").alias(PRINT), ok]
+    if not words:
+        return rows.select(*own)
+    shared = [F.size("grams").alias("gram_len"), bm25.shared_grams("grams", grams).alias("_shared")]
+    return bm25.counted(rows, dict(spec.weights), words, spec.coverage).select(*own, "_len", "_f", "_n", "coverage", *shared)
+
+
+def similarities(vectors: DataFrame, query: list[float], fingerprint: str, key: str) -> DataFrame:
+    """(key, near) of all vectors; null where the semantic channel can't use one."""
+    return vectors.select(key, F.when(_usable(query, fingerprint), _dot(query)).alias("near"))
+
+
+def lexical_hits(kept: DataFrame, spec: CorpusSpec, query: list[str], body: tuple[str, ...]) -> DataFrame:
+    """:func:`lexical` of what :func:`hits` kept."""
+    scored = bm25.score_counted(kept, query, "raw", F.col("ok"), unweighted="plain")
+    top = _least(scored, "plain" if spec.unweighted_order else "raw", TOP)
+    return _gated(top.where(F.col("coverage") >= least_coverage(query)), spec, query, body)
+
+
+def fuzzy_hits(kept: DataFrame, grams: list[str], body: tuple[str, ...]) -> DataFrame:
+    """:func:`fuzzy` of what :func:`hits` kept."""
+    return _contained(_least(bm25.score_shared(kept, F.col("gram_len"), "gram_score", F.col("ok")), "gram_score", PREFILTER), grams, body)
+
+
+def semantic_hits(kept: DataFrame, threshold: float, body: tuple[str, ...]) -> DataFrame:
+    """:func:`semantic` of what :func:`hits` kept, joined with :func:`similarities`."""
+    return _nearest(kept.where("ok").withColumn("raw", F.col("near")), threshold, body)
