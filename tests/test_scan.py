@@ -59,3 +59,7 @@ def search_keeps_no_rows(spark, name):
 
 def test_rrf_fusion_memories_keeps_no_rows(spark):
     search_keeps_no_rows(spark, "rrf_fusion_memories")
+
+
+def test_memory_search_keeps_no_rows(spark):
+    search_keeps_no_rows(spark, "memory_search")
